@@ -27,3 +27,32 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .wavelet import encode_corpus
 
     return encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path()).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@query
+def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contentsort import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op4_content_sort"] = """
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents)
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       doc_id = max(doc_id) OVER w AS kept, sha256(norm) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY norm)
+"""
+
+
+@query
+def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
