@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import keep, texts, with_starts
-from .tokens import encoder
+from .tokens import encoder, slices
 
 
 def exact_fill(gap: int, left: np.ndarray, most: int) -> tuple[int, ...] | None:
@@ -123,7 +123,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
 
         part, code = TaskContext.get().partitionId(), encoder(tokenizer)
         seen = np.zeros(capacity + 1, np.int64)
-        for batch in batches:
+        for batch in slices(batches):
             ids, each = code.encode(batch.column("text"))
             ids = np.insert(ids, np.cumsum(each), end_id).astype("<u4")
             each = each + 1

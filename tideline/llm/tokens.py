@@ -11,13 +11,14 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Stretches whose ids a worker keeps; words: twice as many.
-CACHE = 400_000
+CACHE = 250_000
 #: Punctuation that is cut off after a letter.
 TAIL = ".,;:!?&%#$*|"
 CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -99,6 +100,17 @@ def pieces(stretch: str) -> tuple[str, ...]:
     return sum((("\n", *pieces(x)) for x in lines), ())[1:]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in slices of about ``size`` bytes of text, or one longer text."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 def encoder(path: str) -> Encoder:
     """One encoder for each worker process and vocabulary file."""
     if path not in _LOADED:

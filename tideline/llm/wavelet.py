@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_path, texts, with_starts
-from .tokens import encoder
+from .tokens import encoder, slices
 
 BLOCK = 512
 SHARD = (
@@ -167,7 +167,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, to
 
         part, code = TaskContext.get().partitionId(), encoder(tokenizer)
         docs, lengths, ids, held, local = [], [], [], 0, 0
-        for batch in batches:
+        for batch in slices(batches):
             got, each = code.encode(batch.column("text"))
             ends = np.cumsum(each)
             got = np.insert(got, ends, end_id)
