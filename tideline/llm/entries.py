@@ -56,3 +56,21 @@ def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score
 
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_block_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix
+
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: (verdict, host, path prefix)
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+@query
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)

@@ -1,10 +1,11 @@
-"""Byte-level BPE ids with the tokenizers library, encoded piece by piece.
-
-In the pre-tokenizer's pattern a single space between two characters that are
-not white space always begins a new piece, so encoding the stretches between
-such spaces one by one gives the ids of the whole text.  Short stretches and
-their words repeat all over a corpus; a worker keeps the ids of those it has seen
-(a bounded number) and asks the library only for new ones.
+"""Byte-level BPE ids with the tokenizers library, encoded stretch by stretch.
+
+In the pre-tokenizer's pattern a single space or line end between two characters
+that are not white space always parts two pre-tokens, and so does the step from a
+letter to punctuation.  So a text can be cut there, and the ids of its stretches,
+end to end, are the ids of the whole text.  Stretches repeat all over a corpus: a
+worker keeps the ids of those it has seen in flat arrays (``Known``, of bounded
+size) and asks the library only for new ones.
 """
 
 from __future__ import annotations
@@ -17,16 +18,84 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches whose ids a worker keeps; words: twice as many.
-CACHE = 250_000
+#: Stretches whose ids a worker keeps, about 40 bytes each.
+KEPT = 3_000_000
 #: Punctuation that is cut off after a letter.
 TAIL = ".,;:!?&%#$*|"
+#: Marks at the front of a stretch: after a line end, and at the start of a text.  Others stood after a space.
+LINE, START = "\x01", "\x02"
+#: Texts with white space other than single spaces and line ends between other characters, or with the marks.
+ODD = r"[\x00-\x20\x{85}\p{Z}][\x00-\x20\x{85}\p{Z}]|^[ \n]|[ \n]$|^$|[\x01\x02]"
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Texts in which some space is not between two characters other than white space.
-ODD = r"[\x00-\x20\x{85}\p{Z}][\x00-\x20\x{85}\p{Z}]|^ | $|^$"
 _LOADED: dict[str, "Encoder"] = {}
 
 
+class Known:
+    """An open-addressing table from 96-bit hashes of strings to runs in a flat array of ids."""
+
+    def __init__(self, room: int = KEPT):
+        self.room, self.size = room, 1 << (2 * room - 1).bit_length()
+        self.slots = np.full(self.size, -1, np.int32)
+        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """The entry of each string, or -1."""
+        out = np.full(len(hashes), -1, np.int64)
+        open_ = np.arange(len(hashes))
+        at = (hashes & np.uint64(self.size - 1)).astype(np.int64)
+        while len(open_) and len(self.hashes):
+            got = self.slots[at]
+            taken = got >= 0
+            open_, at, got = open_[taken], at[taken], got[taken]
+            same = (self.hashes[got] == hashes[open_]) & (self.checks[got] == checks[open_])
+            out[open_[same]] = got[same]
+            open_, at = open_[~same], (at[~same] + 1) & (self.size - 1)
+        return out
+
+    def add(self, hashes: np.ndarray, checks: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Enter strings that differ from each other and are not yet known; their entries."""
+        entry = np.arange(len(self.hashes), len(self.hashes) + len(hashes))
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.checks = np.concatenate([self.checks, checks])
+        self.flat = np.concatenate([self.flat, flat])
+        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
+        open_, at = entry, (hashes & np.uint64(self.size - 1)).astype(np.int64)
+        while len(open_):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = open_[free]  # of several for one slot the last gets it
+            got = self.slots[at] == open_
+            open_, at = open_[~got], (at[~got] + 1) & (self.size - 1)
+        return entry
+
+
+def hash_strings(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of two polynomial hashes of each string's bytes and length."""
+    strings = strings.cast(pa.large_binary())
+    raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    n = np.diff(ends)
+    raw = raw[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    place = np.arange(len(raw)) - np.repeat(ends[:-1] - ends[0], n)
+    longest = int(n.max(initial=0))
+    out = []
+    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, longest - 1), base, np.uint64)]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(raw * power[place])]) if len(raw) else np.zeros(1, np.uint64)
+        h = sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]] + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for shift, times in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F), (32, 1)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
+        out.append(h)
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+
+
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of ``flat`` that begin at ``starts``, end to end."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return flat[np.repeat(starts - (ends - lengths), lengths) + np.arange(total)]
+
+
 class Encoder:
     """Ids of texts, without special tokens."""
 
@@ -37,70 +106,90 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.library.get_vocab_size()
-        self.whole: dict[str, bytes] = {}  # stretches
-        self.words: dict[str, bytes] = {}  # what stretches are made of
+        self.known = Known()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end (uint32), and how many each text has."""
-        texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+        texts = pc.fill_null(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, "")
         odd = pc.match_substring_regex(texts, ODD)
-        if pc.any(odd).as_py():
-            parts = [CUT.split(t) if o else t.split(" ") for t, o in zip(texts.to_pylist(), odd.to_pylist())]
-            parts = pa.array(parts, pa.list_(pa.large_string()))
-        else:
-            parts = pc.split_pattern(texts, " ")
+        plain = texts.filter(pc.invert(odd))
+        ids, lengths = self._stretches(plain)
+        if len(plain) == len(texts):
+            return ids, lengths
+        mine = [e.ids for e in self.library.encode_batch_fast(texts.filter(odd).to_pylist(), add_special_tokens=False)]
+        is_odd = odd.to_numpy(zero_copy_only=False)
+        all_lengths = np.empty(len(texts), np.int64)
+        all_lengths[~is_odd], all_lengths[is_odd] = lengths, [len(x) for x in mine]
+        starts = np.empty(len(texts), np.int64)
+        starts[~is_odd] = np.cumsum(lengths) - lengths
+        starts[is_odd] = len(ids) + np.cumsum(all_lengths[is_odd]) - all_lengths[is_odd]
+        flat = np.concatenate([ids, *[np.array(x, np.uint32) for x in mine]])
+        return gather(flat, starts, all_lengths), all_lengths
+
+    def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        marked = pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " " + LINE), "")
+        parts = pc.split_pattern(marked, " ")
         edges = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        code = coded.indices.to_numpy().astype(np.int64)
-        later = coded.dictionary.to_pylist()
-        firsts = [later[c] for c in code[edges[:-1]]]
-        code[edges[:-1]] = len(later) + np.arange(len(firsts))
-        ids = self._known([" " + p for p in later] + firsts)
-        length = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        each = length[code]
-        ends = np.cumsum(each)
-        shift = (np.cumsum(length) - length)[code] - (ends - each)
-        out = flat[np.repeat(shift, each) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate([[0], ends])[edges]
-        return out, np.diff(bounds)
-
-    def _known(self, stretches: list[str]) -> list[bytes]:
-        out = list(map(self.whole.get, stretches))
-        at = [k for k, x in enumerate(out) if x is None]
-        if at:
-            if len(self.whole) + len(at) > CACHE:
-                self.whole.clear()
-            made = [pieces(stretches[k]) for k in at]
-            unseen = list(set().union(*made).difference(self.words))
-            if len(self.words) + len(unseen) > 2 * CACHE:
-                self.words = {}
-                unseen = list(set().union(*made))
-            if unseen:
-                got = self.library.encode_batch_fast(unseen, add_special_tokens=False)
-                self.words.update((w, np.array(e.ids, dtype="<u4").tobytes()) for w, e in zip(unseen, got))
-            word, whole = self.words, self.whole
-            for k, m in zip(at, made):
-                whole[stretches[k]] = out[k] = word[m[0]] if len(m) == 1 else b"".join([word[x] for x in m])
-        return out
-
-
-def pieces(stretch: str) -> tuple[str, ...]:
-    """A stretch cut at other places where its pre-tokens always part.
-
-    These are a line end between two characters that are not white space, and the
-    step from a letter to the punctuation that ends a line of the stretch.
-    """
-    if "\n" not in stretch:
-        stem = stretch.rstrip(TAIL)
-        return (stem, stretch[len(stem) :]) if len(stem) < len(stretch) and stem[-1:].isalpha() else (stretch,)
-    lines = stretch.split("\n")
-    if not all(x and not x[-1].isspace() and not x[0].isspace() for x in [lines[0].lstrip(" "), *lines[1:]]):
-        return (stretch,)
-    return sum((("\n", *pieces(x)) for x in lines), ())[1:]
-
-
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+        code = coded.indices.to_numpy()
+        entry = self._entries(coded.dictionary)[code]
+        starts, length = self.known.ends[entry], self.known.ends[entry + 1] - self.known.ends[entry]
+        bounds = np.concatenate([[0], np.cumsum(length)])[edges]
+        return gather(self.known.flat, starts, length), np.diff(bounds)
+
+    def _entries(self, strings: pa.Array) -> np.ndarray:
+        """The entries of distinct marked stretches, entered where they are new."""
+        known = self.known
+        hashes, checks = hash_strings(strings)
+        entry = known.find(hashes, checks)
+        new = np.flatnonzero(entry < 0)
+        if len(known.hashes) + 2 * len(new) > known.room:
+            known = self.known = Known(max(KEPT, 2 * len(strings)))
+            new, entry = np.arange(len(strings)), np.full(len(strings), -1)
+        if not len(new):
+            return entry
+        fresh = strings.take(pa.array(new))
+        stems = pc.utf8_rtrim(fresh, characters=TAIL)
+        cut = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(fresh)), pc.match_substring_regex(stems, r"\p{L}$")).to_numpy(zero_copy_only=False)
+        if cut.any():
+            stem_of = stems.filter(pa.array(cut)).dictionary_encode()
+            s_hash, s_check = hash_strings(stem_of.dictionary)
+            whole = np.flatnonzero(~cut)  # stems that are whole stretches of this lot too
+            self._ask(fresh.take(pa.array(whole)), hashes[new[whole]], checks[new[whole]])
+            s_entry = known.find(s_hash, s_check)
+            missing = np.flatnonzero(s_entry < 0)
+            s_entry[missing] = self._ask(stem_of.dictionary.take(pa.array(missing)), s_hash[missing], s_check[missing])
+            b, t_flat, t_start, t_len = self._tails(fresh.filter(pa.array(cut)), stems.filter(pa.array(cut)))
+            a = s_entry[stem_of.indices.to_numpy()]
+            s_len = known.ends[a + 1] - known.ends[a]
+            both = np.concatenate([known.flat, t_flat])
+            starts = np.stack([known.ends[a], len(known.flat) + t_start[b]], 1).ravel()
+            lengths = np.stack([s_len, t_len[b]], 1).ravel()
+            rows = new[cut]
+            known.add(hashes[rows], checks[rows], gather(both, starts, lengths), s_len + t_len[b])
+        else:
+            self._ask(fresh, hashes[new], checks[new])
+        entry[new] = known.find(hashes[new], checks[new])
+        return entry
+
+    def _tails(self, whole: pa.Array, stems: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What follows each stem: a code per row, and the ids of each code."""
+        tails = pa.array([w[len(s) :] for w, s in zip(whole.to_pylist(), stems.to_pylist())], pa.string()).dictionary_encode()
+        ids = [e.ids for e in self.library.encode_batch_fast(tails.dictionary.to_pylist(), add_special_tokens=False)]
+        length = np.array([len(x) for x in ids], np.int64)
+        return tails.indices.to_numpy().astype(np.int64), np.array(sum(ids, []), np.uint32), np.cumsum(length) - length, length
+
+    def _ask(self, marked: pa.Array, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Have the library encode new stretches; their entries."""
+        real = {LINE: "\n", START: ""}
+        strings = [real[s[0]] + s[1:] if s[:1] in real else " " + s for s in marked.to_pylist()]
+        got = [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, got), np.int64, len(got))
+        flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(lengths.sum()))
+        return self.known.add(hashes, checks, flat, lengths)
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
     """The batches' rows in slices of about ``size`` bytes of text, or one longer text."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
