@@ -74,3 +74,22 @@ def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urlrules import judge
 
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query
+def op7_sorted_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import by_id, top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), by_id(100))
+
+
+ORACLE["op7_sorted_lists"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score
+  FROM v q, v c WHERE q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
