@@ -100,3 +100,10 @@ def op6_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find
 
     return find(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import link_documents
+
+    return link_documents(table(spark, sf_dir, "documents"))
