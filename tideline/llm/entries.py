@@ -107,3 +107,11 @@ def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import link_documents
 
     return link_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fmindex import remove_repeats
+
+    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
