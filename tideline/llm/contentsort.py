@@ -32,7 +32,7 @@ from .shared import ascii_lower, keep, texts
 HEAD = 48
 
 
-OUT = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("run", pa.int64()), ("last_id", pa.int64()), ("size", pa.int64()), ("tail", pa.bool_()), ("sha", pa.binary()), ("edge_text", pa.string())])
+OUT = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("part", pa.int32()), ("run", pa.int64()), ("last_id", pa.int64()), ("size", pa.int64()), ("tail", pa.bool_()), ("sha", pa.binary()), ("edge_text", pa.string())])
 
 
 def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,14 +52,14 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def leave(edge: bool) -> None:
         for k, (t, ids) in enumerate(runs, n - len(runs) + 1):
             raw = t.encode("utf-8", "surrogatepass")
-            sha, last, size = hashlib.sha256(raw).digest(), ids[-1], len(ids)
-            rows.extend((i, part, k, last, size, j == size, sha, t if edge and j == 1 else None) for j, i in enumerate(ids, 1))
+            sha, last, size = hashlib.sha256(raw).digest(), ids[-1][0], len(ids)
+            rows.extend((i, x, part, k, last, size, j == size, sha, t if edge and j == 1 else None) for j, (i, x) in enumerate(ids, 1))
 
     def batch_of() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), OUT)], schema=OUT)
 
     for batch in batches:
-        for i, t, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "norm", "h"))):
+        for i, x, t, k in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "norm", "h"))):
             if k != h or n < 0:
                 leave(h == first)
                 runs, h, text = [], k, None
@@ -67,7 +67,7 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if t != text:
                 n, text = n + 1, t
                 runs.append((t, []))
-            runs[-1][1].append(i)
+            runs[-1][1].append((i, x))
         if rows:
             yield batch_of()
             rows.clear()
@@ -77,14 +77,14 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """Per row: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` of the normalised text.
+    """Per row: ``doc_id``, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` of the normalised text, and ``h``, a hash of the text as it is.
 
     ``kept`` marks one row of each group, of those with its largest ``doc_id``.
     """
-    keyed = texts(docs).select("doc_id", ascii_lower(F.col("text")).alias("norm"))
+    keyed = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), ascii_lower(F.col("text")).alias("norm"))
     keyed = keyed.withColumns({"head": F.substring("norm", 1, HEAD), "h": F.xxhash64("norm")})
     ranged = keyed.repartitionByRange("head", "h", "doc_id").sortWithinPartitions("head", "h", "norm", "doc_id")
-    found = ranged.select("doc_id", "norm", "h").mapInArrow(find_runs, "doc_id long, part int, run long, last_id long, size long, tail boolean, sha binary, edge_text string")
+    found = ranged.select("doc_id", "text_hash", "norm", "h").mapInArrow(find_runs, "doc_id long, text_hash long, part int, run long, last_id long, size long, tail boolean, sha binary, edge_text string")
     runs = keep(found, "runs")
     at = F.struct("last_id", "part", "run")
     edges = runs.where(F.col("edge_text").isNotNull())
@@ -98,4 +98,5 @@ def deduplicate(docs: DataFrame) -> DataFrame:
         F.coalesce("all_size", "size").alias("group_size"),
         (F.col("tail") & ends_here).alias("kept"),
         F.lower(F.hex("sha")).alias("text_sha256"),
+        F.col("text_hash").alias("h"),
     )

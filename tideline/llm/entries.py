@@ -40,7 +40,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .contentsort import deduplicate
 
-    return deduplicate(table(spark, sf_dir, "documents"))
+    return deduplicate(table(spark, sf_dir, "documents")).drop("h")
 
 
 ORACLE["op4_content_sort"] = """
@@ -55,7 +55,7 @@ FROM d WINDOW w AS (PARTITION BY norm)
 def op5_fourier_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import score
 
-    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("h")
 
 
 @query
@@ -106,7 +106,7 @@ def op6_context_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard import link_documents
 
-    return link_documents(table(spark, sf_dir, "documents"))
+    return link_documents(table(spark, sf_dir, "documents")).drop("h", "group")
 
 
 @query

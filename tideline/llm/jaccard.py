@@ -49,16 +49,16 @@ def key_of(shingles: np.ndarray) -> tuple[int, int]:
 
 
 def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id``, ``n`` (set size) and ``key`` (null for an empty set) of every row."""
-    out = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.binary())])
+    """``doc_id``, ``h`` (hash of the text), ``n`` (set size) and ``key`` (null for an empty set) of every row."""
+    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             sets = shingle_sets(Words(batch.column("text"), lower=True), words)
             keys = [np.array(key_of(s), "<u8").tobytes() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], schema=out)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n long, key binary")
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, n long, key binary")
 
 
 def dealt(docs: DataFrame, words: int, bits: int) -> DataFrame:
@@ -226,7 +226,10 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
-    """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id that links reach)."""
+    """Per row: ``doc_id``, ``n_shingles``, ``component_id`` (the smallest id that links reach).
+
+    Also ``h``, the hash of the text, and ``group``, a name of the component (null for an empty set).
+    """
     rows = keep(document_sets(docs, words), "sets")
     total = rows.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (int(total) // SHARD).bit_length())
@@ -235,6 +238,6 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
     smallest = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("low"))
     placed = smallest.join(labels.withColumnRenamed("node", "key"), "key", "left")
     meets = placed.where(F.col("label").isNotNull()).groupBy("label").agg(F.min("low").alias("lowest"))
-    placed = placed.join(meets, "label", "left").select("key", F.coalesce("lowest", "low").alias("component_id"))
+    placed = placed.join(meets, "label", "left").select("key", F.coalesce("lowest", "low").alias("component_id"), F.coalesce("label", "key").alias("group"))
     full = rows.join(placed, "key", "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return full.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "h", "group")

@@ -70,15 +70,15 @@ def statistics(text: bytes) -> list[float]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the vector ``stats`` of every document."""
-    out = pa.schema([("doc_id", pa.int64()), ("stats", pa.list_(pa.float64()))])
+    """``doc_id``, the text's hash ``h`` and the vector ``stats`` of every document."""
+    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("stats", pa.list_(pa.float64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [statistics(t) for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, out.field("stats").type)], schema=out)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(rows, out.field("stats").type)], schema=out)
 
-    return texts(docs).mapInArrow(run, "doc_id long, stats array<double>")
+    return texts(docs).select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(run, "doc_id long, h long, stats array<double>")
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -144,7 +144,7 @@ def bin_of(raw: Column) -> Column:
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 5, threshold: float = 0.3, size: int = 256, width: float = 5.0, alpha: float = 1e-3, seed: int = 7) -> DataFrame:
-    """Per row of ``docs``: ``doc_id``, ``held_out``, ``score``, ``predicted``.
+    """Per row of ``docs``: ``doc_id``, ``held_out``, ``score``, ``predicted``, and ``h``, the hash of its text.
 
     Rows whose id's crc32 leaves the remainder 0 are held out, ``folds - 1``
     calibrates, and the others fit the ridge.
@@ -159,7 +159,7 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     share = known.agg(F.avg("label")).first()[0]
     if stats is None or not stats["count"] or share in (0.0, 1.0, None):
         constant = 0.5 if share is None else float(share)
-        scored = measured.select("doc_id", F.lit(constant).alias("score"))
+        scored = measured.select("doc_id", "h", F.lit(constant).alias("score"))
     else:
         features = Features(stats["mean"].toArray(), stats["std"].toArray(), size, width, seed)
         weights = fit_ridge(fitting, features, alpha * stats["count"])
@@ -171,5 +171,5 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
         model = IsotonicRegression(labelCol="label", featuresCol="bin", weightCol="weight").fit(bins.withColumn("bin", F.col("bin").cast("double")))
         chance = np.interp(np.arange(BINS), model.boundaries.toArray(), model.predictions.toArray())
         table = F.array(*[F.lit(float(x)) for x in np.clip(chance, 0, 1)])
-        scored = raw_scores(measured, features, weights).select("doc_id", F.element_at(table, bin_of(F.col("raw")) + 1).alias("score"))
-    return scored.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+        scored = raw_scores(measured, features, weights).select("doc_id", "h", F.element_at(table, bin_of(F.col("raw")) + 1).alias("score"))
+    return scored.select("doc_id", held_out(F.col("doc_id"), folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "h")

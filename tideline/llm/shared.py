@@ -52,6 +52,15 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (``doc_id``, ``h``) ``chosen`` holds, with its other columns; ``h`` is the text's hash."""
+    more = [c for c in chosen.columns if c not in ("doc_id", "h")]
+    right = chosen.select(F.col("doc_id").alias("__chosen_id"), F.col("h").alias("__chosen_h"), *more)
+    left = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__chosen_id")) & (F.col("__text_hash") == F.col("__chosen_h"))
+    return left.join(right, on, "inner" if more else "left_semi").drop("__text_hash", "__chosen_id", "__chosen_h")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to lower case; every other character stays as it is."""
     return F.translate(text, UPPER, UPPER.lower())
