@@ -118,11 +118,11 @@ def dedupe_key(url: Column, title: Column, content: Column, date: Column, articl
 
 
 def without_suffix(name: Column, passes: int = 4) -> Column:
-    """Legal suffixes removed as long as two characters remain."""
+    """Legal suffixes removed, in order and again, as long as two characters remain."""
     out = normalize_text(name)
     for _ in range(passes):
         for suffix in C.COMPANY_SUFFIXES:
-            out = F.when(out.endswith(suffix) & (F.char_length(out) > len(suffix) + 1), F.trim(F.substring(out, F.lit(1), F.char_length(out) - len(suffix)))).otherwise(out)
+            out = F.rtrim(F.regexp_replace(out, f"(?s)(?<=.{{2}}){suffix}$", ""))
     return out
 
 
