@@ -176,7 +176,7 @@ def segments_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
     span = window - anchor + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=1 << 21):
             words = Words(batch.column("text"), lower=False)
             edges, count = words.edges, np.diff(words.edges)
             if not (count >= window).any():
@@ -208,7 +208,7 @@ def with_words(docs: DataFrame, places: DataFrame) -> DataFrame:
     rows = keyed(docs).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("doc_id", "h", "at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=1 << 21):
             words = Words(batch.column("text"), lower=False)
             at = batch.column("at")
             doc = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, window: int = 35, anchor: int = 8, crowd: in
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=1 << 21):
             total, gone, kept = [], [], []
             for text, cuts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("cuts").to_pylist()):
                 words = text.split()
