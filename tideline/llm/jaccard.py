@@ -10,7 +10,9 @@ similarity of ``percent`` per cent.
    with a partner shares one of its first ``n - needed + 1`` shingles with it; if
    those are all in one set, the set has none.  The others are candidates; all that
    two sets can share is in what they kept, so similarities are exact from there on.
-4. Sets that share such a shingle form a token group; its leader is the set with the
+4. Sets that share such a shingle form a token group.  What a set has of shared shingles
+   from there on bounds its overlap with any member; sets that cannot reach the overlap
+   they need in the group leave it unopened.  A group's leader is the set with the
    smallest part of shingles of its own (an original, among its copies).  Members are
    compared with their leaders: as many comparisons as memberships, not as pairs.
 5. A group whose members have all met in one component is settled.  Only groups that
@@ -53,7 +55,7 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("n", pa.int64()), ("key", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=1 << 21):
             sets = shingle_sets(Words(batch.column("text"), lower=True), words)
             keys = [np.array(key_of(s), "<u8").tobytes() if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary())], schema=out)
@@ -67,7 +69,7 @@ def dealt(docs: DataFrame, words: int, bits: int) -> DataFrame:
     head = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("here", "<u4")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, size=1 << 21):
             by_key = {key_of(s): s for s in shingle_sets(Words(batch.column("text"), lower=True), words) if len(s)}
             if not by_key:
                 continue
@@ -189,11 +191,19 @@ def components(edges: DataFrame) -> DataFrame:
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     """``node`` and ``label`` of the candidate sets that have links."""
     spark = sets.sparkSession
-    rank = F.struct(F.expr("own * 1000000 div n").alias("own"), F.col("key"), "n")
-    members = keep(sets.select("key", "n", rank.alias("rank"), F.explode("first").alias("shingle")), "members")
-    crowd = members.groupBy("shingle").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("shingle")
-    members = keep(members.join(crowd, "shingle", "left_semi"), "groups")
-    fits = (F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent) & (F.col("key") != F.col("l.key"))
+    # ``rest``: shingles of the set from this one on, in the common order.
+    members = sets.select("key", "n", "own", F.posexplode("first").alias("pos", "shingle")).select("key", "n", "own", "shingle", (F.col("n") - F.col("own") - F.col("pos")).alias("rest"))
+    members = keep(members, "members")
+    # Two sets of n and m shingles need common >= percent * (n + m) / (100 + percent) of them.  If this is the first
+    # one that they share, all others stand behind it in both.  A set without enough behind it for any partner of a
+    # fitting size in the group has none here.
+    crowd = members.groupBy("shingle").agg(F.count("*").alias("c"), F.min("n").alias("least")).where(F.col("c") > 1).select("shingle", "least")
+    partner = F.greatest(F.col("least") * 100, F.col("n") * percent)  # a hundredfold
+    members = members.join(crowd, "shingle").where(F.col("rest") * (100 + percent) * 100 >= percent * (partner + F.col("n") * 100))
+    rank = F.struct(F.expr("own * 1000000 div n").alias("own"), F.col("key"), "n", "rest")
+    members = keep(members.select("key", "n", "rest", "shingle", rank.alias("rank")), "groups")
+    enough = F.least("rest", "l.rest") * (100 + percent) >= percent * (F.col("n") + F.col("l.n"))
+    fits = (F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent) & (F.col("key") != F.col("l.key")) & enough
     links = done = labels = None
     open_, used, leaders = members, None, 1
     while True:
@@ -201,10 +211,10 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
         spot = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
         chosen = keep(free.groupBy("shingle", spot.alias("spot")).agg(F.min("rank").alias("l")), "leaders")
         pairs = open_.join(chosen.select("shingle", "l"), "shingle").where(fits)
-        if labels is not None:
-            mine, other = labels.select(F.col("node").alias("key"), F.col("label").alias("x")), labels.select(F.col("node").alias("lk"), F.col("label").alias("y"))
-            pairs = pairs.join(mine, "key", "left").withColumn("lk", F.col("l.key")).join(other, "lk", "left").where(~F.coalesce(F.col("x") == F.col("y"), F.lit(False)))
         pairs = pairs.select(F.greatest("key", "l.key").alias("a"), F.least("key", "l.key").alias("b")).distinct()
+        if labels is not None:
+            mine, other = labels.select(F.col("node").alias("a"), F.col("label").alias("x")), labels.select(F.col("node").alias("b"), F.col("label").alias("y"))
+            pairs = pairs.join(mine, "a", "left").join(other, "b", "left").where(~F.coalesce(F.col("x") == F.col("y"), F.lit(False))).select("a", "b")
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         found = keep(compared(pairs, sets, percent), "compared")
