@@ -20,7 +20,6 @@ other columns of either table are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +42,6 @@ _SYMBOL = frozenset(b"#$%&*<>=@^_{}[]\\|~+/`")
 _CLASS = np.zeros(256, np.uint8)  # 1 letter, 2 upper, 3 digit, 4 punctuation, 5 symbol, 6 space, 7 line end, 8 other bytes
 for _c in range(256):
     _CLASS[_c] = 1 if 97 <= _c <= 122 else 2 if 65 <= _c <= 90 else 3 if 48 <= _c <= 57 else 7 if _c == 10 else 6 if _c in b" \t\r\x0b\x0c" else 5 if _c in _SYMBOL else 4 if 33 <= _c <= 126 else 8
-_WORD_END = re.compile(rb"[A-Za-z\x80-\xff][.,]?$")
 
 
 def statistics(text: bytes) -> list[float]:
@@ -155,12 +153,12 @@ def score(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int
     known = measured.join(given.where(~held_out(F.col("doc_id"), folds)), "doc_id").withColumn("fold", F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds)
     known = keep(known, "labelled")
     fitting = known.where(F.col("fold") != folds - 1)
-    stats = fitting.select(array_to_vector("stats").alias("v")).agg(Summarizer.metrics("count", "mean", "std").summary(F.col("v")).alias("s")).first()["s"]
     share = known.agg(F.avg("label")).first()[0]
-    if stats is None or not stats["count"] or share in (0.0, 1.0, None):
+    if share in (0.0, 1.0, None) or fitting.isEmpty():
         constant = 0.5 if share is None else float(share)
         scored = measured.select("doc_id", "h", F.lit(constant).alias("score"))
     else:
+        stats = fitting.select(array_to_vector("stats").alias("v")).agg(Summarizer.metrics("count", "mean", "std").summary(F.col("v")).alias("s")).first()["s"]
         features = Features(stats["mean"].toArray(), stats["std"].toArray(), size, width, seed)
         weights = fit_ridge(fitting, features, alpha * stats["count"])
         calibrating = known.where(F.col("fold") == folds - 1)
