@@ -16,7 +16,7 @@ similarity of ``percent`` per cent.
    smallest part of shingles of its own (an original, among its copies).  Members are
    compared with their leaders: as many comparisons as memberships, not as pairs.
 5. A group whose members have all met in one component is settled.  Only groups that
-   span components are opened again, with twice as many leaders each time, and only
+   span components are opened again, with eight times as many leaders each time, and only
    members of other components (and fitting sizes) are compared, until every group is
    settled or all of its members have been leaders.  So no link between components is
    missed, and links inside one are not enumerated.
@@ -188,8 +188,11 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(stars.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
 
 
-def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
-    """``node`` and ``label`` of the candidate sets that have links."""
+def linked_sets(sets: DataFrame, percent: int, small: int = 512) -> DataFrame:
+    """``node`` and ``label`` of the candidate sets that have links.
+
+    After the first round all members of groups of at most ``small`` lead at once.
+    """
     spark = sets.sparkSession
     # ``rest``: shingles of the set from this one on, in the common order.
     members = sets.select("key", "n", "own", F.posexplode("first").alias("pos", "shingle")).select("key", "n", "own", "shingle", (F.col("n") - F.col("own") - F.col("pos")).alias("rest"))
@@ -205,10 +208,11 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     enough = F.least("rest", "l.rest") * (100 + percent) >= percent * (F.col("n") + F.col("l.n"))
     fits = (F.least("n", "l.n") * 100 >= F.greatest("n", "l.n") * percent) & (F.col("key") != F.col("l.key")) & enough
     links = done = labels = None
-    open_, used, leaders = members, None, 1
+    open_, used, leaders = members.withColumn("size", F.lit(1 << 60)), None, 1
     while True:
         free = open_ if used is None else open_.join(used, ["shingle", "key"], "left_anti")
-        spot = F.pmod(F.xxhash64("key", F.lit(leaders)), F.lit(leaders))
+        spread = F.xxhash64("key", F.lit(leaders))
+        spot = F.when(F.col("size") <= small, spread).otherwise(F.pmod(spread, F.lit(leaders)))
         chosen = keep(free.groupBy("shingle", spot.alias("spot")).agg(F.min("rank").alias("l")), "leaders")
         pairs = open_.join(chosen.select("shingle", "l"), "shingle").where(fits)
         pairs = pairs.select(F.greatest("key", "l.key").alias("a"), F.least("key", "l.key").alias("b")).distinct()
@@ -227,12 +231,12 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
         used = pairs_used if used is None else used.unionByName(pairs_used)
         # Groups whose members are not all of one component, and that have members left that have not led.
         placed = open_.join(labels.select(F.col("node").alias("key"), "label"), "key", "left").withColumn("at", F.coalesce("label", "key"))
-        split = placed.join(used.withColumn("led", F.lit(1)), ["shingle", "key"], "left").groupBy("shingle").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), (F.count("*") - F.count("led")).alias("rest"))
-        split = split.where((F.col("lo") != F.col("hi")) & (F.col("rest") > 0)).select("shingle")
-        open_ = keep(open_.join(split, "shingle", "left_semi"), "open")
+        split = placed.join(used.withColumn("led", F.lit(1)), ["shingle", "key"], "left").groupBy("shingle").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("size"), (F.count("*") - F.count("led")).alias("rest"))
+        split = split.where((F.col("lo") != F.col("hi")) & (F.col("rest") > 0)).select("shingle", "size")
+        open_ = keep(open_.drop("size").join(split, "shingle"), "open")
         if open_.isEmpty():
             return labels
-        leaders *= 2
+        leaders *= 8
 
 
 def link_documents(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFrame:
