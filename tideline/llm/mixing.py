@@ -128,6 +128,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     named = spark.createDataFrame([(k, s, n, g) for k, ((s, n), g) in enumerate(zip(rows, goal))], "k int, source string, source_size long, target double")
     placed = placed.join(F.broadcast(named) if len(rows) <= 100_000 else named, placed["source"].eqNullSafe(named["source"])).drop(named["source"])
 
+    # The counts of blocks grow with the corpus: they are merged, never broadcast.
     # Slots of every (shard, source), numbered within the source, mapped to blocks.
     plan = [(j, k, int(first[j, k]), int(drawn[j, k])) for j in range(shards) for k in range(len(rows)) if drawn[j, k]]
     counts = spark.createDataFrame(plan, "shard int, k int, first long, n long")
@@ -147,7 +148,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     own = placed.where(size > 0).withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     key = ["k", "start"]  # a document with words begins where no other of its source does
     piece = F.struct(F.greatest(F.col("block") * block - F.col("start"), F.lit(0)).alias("from"), F.least((F.col("block") + 1) * block - F.col("start"), size).alias("until"), "times")
-    part = own.join(taken, ["k", "block"]).select(*key, piece.alias("b"))
+    part = own.join(taken.hint("merge"), ["k", "block"]).select(*key, piece.alias("b"))
     gathered = part.groupBy(*key).agg(F.sum((F.col("b.until") - F.col("b.from")) * F.col("b.times")).alias("taken"), F.array_sort(F.collect_list("b")).alias("blocks"))
     some = placed.where(size > 0).join(gathered, key, "left")
     none = placed.where(size == 0).withColumns({"taken": F.lit(None).cast("long"), "blocks": F.lit(None).cast("array<struct<from:bigint,until:bigint,times:bigint>>")})
