@@ -275,3 +275,28 @@ def ml6_boosted_trees(spark, sf):
 def o1_sorted_predictions(spark, sf):
     place = F.row_number().over(W.partitionBy("event_id", "market").orderBy(F.desc("t2_prediction"), "ticker"))
     return r6(predictions(spark, sf).select(*KEY, "t2_prediction", place.alias("place")), "t2_prediction")
+
+
+@query(f"{WITH}, f AS (SELECT 'e__' || h AS fold_id, CASE WHEN event_id = h THEN 'test' ELSE 'train' END AS part, l.* FROM label l, (SELECT DISTINCT event_id AS h FROM label) WHERE event_id <> 'e4' OR h = 'e4') SELECT fold_id, count(*) FILTER (part = 'train') AS train, count(*) FILTER (part = 'test') AS test, count(event_return) FILTER (part = 'train') AS \"values\" FROM f GROUP BY 1 HAVING count(*) FILTER (part = 'train') < 0")
+def v20_empty_parts(spark, sf):
+    """Folds that lack train or test rows: none."""
+    from ..operators import labels as L
+
+    rows = label_table(spark, sf)
+    return checks.empty_parts(L.members(rows, L.leave_one_out(rows, "event_id", "e")), 0.9)
+
+
+@query(f"""{WITH}, d AS (SELECT market, ticker, lower(company_name) AS compact, 0.95::DOUBLE AS confidence, s_suppkey FROM firm)
+SELECT market, ticker, compact, confidence FROM d WHERE s_suppkey % 3 > 0 UNION ALL SELECT market, ticker, compact, 0.5 FROM d WHERE s_suppkey % 3 = 0""")
+def j12_alias_override(spark, sf):
+    from ..operators import aliases
+
+    firms = S.firms(spark, sf).withColumn("compact", F.lower("company_name"))
+    derived = firms.select("market", "ticker", "compact", F.lit(0.95).alias("confidence"))
+    explicit = firms.where(F.col("s_suppkey") % 3 == 0).select("market", "ticker", "compact", F.lit(0.5).alias("confidence"))
+    return aliases.override(derived, explicit)
+
+
+@query(f"{WITH}, {DAILY} SELECT event_id, market, ticker, date, days_to_event_start FROM daily WHERE date < event_start_date")
+def t5_pre_event_inputs(spark, sf):
+    return daily(spark, sf).where(F.col("date") < F.col("event_start_date")).select(*KEY, "date", "days_to_event_start")
