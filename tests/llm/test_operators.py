@@ -252,6 +252,29 @@ def test_op6_base_spans_and_discovery(spark, none):
     assert find(none.select("doc_id", "text")).count() == 0
 
 
+def test_op6_seeds_without_digits_runs_and_single_patterns(spark):
+    from tideline.llm.pii import find
+
+    name = lambda k: "".join(chr(97 + int(d)) for d in f"{k:03d}")
+    filler = lambda k: f"w{name(k)}"
+    seeds = [f"write to member {name(k)}@example.org today {filler(k)}" for k in range(60)]
+    seeds += [f"{filler(k)} reachable under {name(k)}@example.org {filler(k)}x" for k in range(60)]
+    hidden = {
+        "write to member klmnopqr today then": "klmnopqr",  # no digits
+        "write to member 123 45 6789 today then": "123 45 6789",  # groups
+        "now\tmember  AB 12 34 56 C today": "AB 12 34 56 C",
+        "é 💡 write to member jane van doe today": "jane van doe",  # a run without digits
+        "reachable under X99-1234567 zzz": "X99-1234567",  # one pattern, seen once
+        "page 7 member 987 65 4321 today": "987 65 4321",
+    }
+    clean = ["they write today and then again", "room 12 is free at 10 30 today", "jane van doe wrote klmnopqr", ""]
+    texts = seeds + list(hidden) + clean
+    got = {r["doc_id"]: r for r in find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    for k, t in enumerate(texts):
+        ids = [s.split(":")[1:] for s in got[k]["spans"].split(",") if s.startswith("id:")]
+        assert [t[int(a) : int(b)] for a, b in ids] == ([hidden[t]] if t in hidden else []), t
+
+
 def test_op7_matches_brute_force(spark):
     from tideline.llm.topk import by_id, top_k
 

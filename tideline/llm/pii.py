@@ -1,22 +1,30 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts; DataFrame operations only.
 
 Base spans come from one regular expression for each kind, checked afterwards
-(octets, Luhn, digit counts).  They seed a bootstrap over all words with a digit
-(candidates):
+(octets, Luhn, digit counts).  They seed a bootstrap over contexts:
 
-1. A candidate's contexts are lexical patterns: the word before it, the word after
-   it, and the mark before ``=`` or ``:`` inside it.  Candidates inside base spans
-   are known instances.
+1. Contexts are lexical patterns: the word before a span, the word after it, and
+   the mark before ``=`` or ``:`` glued to it.  Every base span, with or without
+   digits, is a known instance of the patterns around it.  Candidates are all runs
+   of up to ``RUN`` neighbouring words that hold digits, with short groups of
+   capitals among them (``123 45 6789``, ``AB 12 34 C``), outside base spans.
 2. Patterns and distinct instances form a graph.  A pattern's confidence is the
-   (smoothed) mean belief in its instances; an instance is believed as far as its
+   (smoothed) mean belief in what stands at its places, each place counted once
+   however many runs begin or end there; an instance is believed as far as its
    confident patterns say (noisy or).  Known instances stay at 1.  The two scores
    are computed in turn for ``rounds`` rounds.
-3. Candidates outside base spans that look like identifiers (``LOOKS``) and whose
-   belief reaches ``belief`` by at least two confident patterns become spans of
-   kind ``id``.
+3. Candidates that look like identifiers (``LOOKS``, over the whole run) and whose
+   belief reaches ``belief`` become spans of kind ``id``, wherever they stand.  One
+   pattern that reaches ``belief`` by itself is enough.
+4. Runs of up to ``PLAIN`` words of any look, digits or not, are judged by their own
+   place: a pattern's confidence is taken anew with all words that stand at it
+   counted, and the patterns at both ends of a run must reach ``belief`` together,
+   or one of them alone for a single word.  Such a word is no identifier elsewhere.
 
-Only the table of distinct (pattern, instance) pairs is shuffled, so copies of a
-document do not count twice and a frequent word costs its distinct neighbours.
+Of spans that overlap, the more believed stays, then the longer.  Only distinct
+(pattern, instance) pairs are shuffled, so copies of a document do not count twice.
+For step 4 the words at patterns are first counted by sketches, and exactly for
+patterns that could still be confident at half the sketch's count.
 
 Cases: null text counts as empty and has no spans; null or repeated ``doc_id`` rows
 are judged for themselves; long runs of digits or letters are scanned once, not
@@ -41,7 +49,16 @@ PATTERNS = {
 }
 #: What a text holds that can have a span of the kind.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
-CANDIDATE = r"[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Stands for each character of a base span, so that a span is one word at its place.
+FILL = "\ue000"
+DIGIT_WORD = r"[^\x20\x{E000}0-9]*+[0-9][^\x20\x{E000}]*+(?![^\x20])"
+CAPITALS = r"[A-Z]{1,4}(?![^\x20])"
+#: Neighbouring words with digits, short groups of capitals among them.
+STRETCH = rf"(?<![^\x20])(?:{CAPITALS}\x20){{0,2}}{DIGIT_WORD}(?:\x20(?:{DIGIT_WORD}|{CAPITALS}))*+"
+MARK = r"^([^=:0-9\x{E000}]{1,24}[=:])"
+#: Most words of a candidate with digits, and of one that its place alone decides.
+RUN = 6
+PLAIN = 4
 #: Identifier-like: at least six letters or digits, of them three digits.
 LOOKS = r"^(?=(?:[^A-Za-z0-9]*[A-Za-z0-9]){6})(?:[^0-9]*[0-9]){3}"
 SPANS = "array<struct<start:int,end:int,match:string>>"
@@ -97,54 +114,150 @@ def joined(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
 
 
+def pattern(name: str, word: Column) -> Column:
+    """The lexical pattern of a word beside a span; base spans are none."""
+    return F.when((word != "") & ~word.contains(FILL), F.concat(F.lit(name), F.lower(word)))
+
+
+def trimmed(value: Column) -> Column:
+    return F.regexp_replace(value, r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "")
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row: its key, the base spans of each kind, and its candidates with their contexts."""
+    """Per row: its key, base spans of each kind, its words with base spans filled (``m``), known instances (``k``) and candidates (``c``)."""
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), F.col("text"))
-    text = F.col("text")
-    rows = rows.withColumns({k: base_spans(text, k) for k in KINDS})
-    has = text.rlike("[0-9]")
-    rows = rows.withColumn("c", F.when(has, matches(text, CANDIDATE)).otherwise(F.array().cast(SPANS)))
-    around = lambda c, lo, n: F.substring(text, lo, n)
-    inside = lambda c: F.exists(F.concat(*KINDS), lambda b: (b["start"] < c["end"]) & (b["end"] > c["start"]))
-
-    def described(c: Column) -> Column:
-        before = around(c, F.greatest(c["start"] - 47, F.lit(1)), F.least(c["start"], F.lit(48)))
-        after = around(c, c["end"] + 1, F.lit(48))
-        mark = F.regexp_extract(c["match"], r"^([^=:0-9]{1,24}[=:])", 1)
-        left = F.lower(F.regexp_extract(before, r"([^\x20\x09-\x0D]{1,24})[\x20\x09-\x0D]+$", 1))
-        right = F.lower(F.regexp_extract(after, r"^[\x20\x09-\x0D]+([^\x20\x09-\x0D]{1,24})", 1))
-        value = F.regexp_replace(F.substring(c["match"], F.char_length(mark) + 1, F.lit(1 << 30)), r"^[^A-Za-z0-9+@]+|[^A-Za-z0-9]+$", "")
-        pattern = lambda name, x: F.when(x != "", F.concat(F.lit(name), x))
-        return F.struct(c["start"].alias("start"), c["end"].alias("end"), value.alias("value"), inside(c).alias("known"), F.array_compact(F.array(pattern("before ", left), pattern("after ", right), pattern("mark ", F.lower(mark)))).alias("patterns"))
-
-    return rows.withColumn("c", F.transform("c", described)).drop("text")
-
-
-def bootstrap(candidates: DataFrame, rounds: int, confidence: float, belief: float, support: int) -> DataFrame:
-    """Values that the contexts of known ones reveal, from rows (``value``, ``known``, ``patterns``)."""
-    edges = candidates.where(F.col("value") != "").select("value", F.col("known").cast("double").alias("known"), F.explode("patterns").alias("pattern"))
-    edges = keep(edges.groupBy("pattern", "value").agg(F.max("known").alias("known")), "edges")
+    rows = rows.withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
+    spaced = F.translate("text", FILL + "\t\n\x0b\x0c\r", "�     ")
+    filled = F.aggregate(F.concat(*KINDS), spaced, lambda t, b: F.overlay(t, F.repeat(F.lit(FILL), b["end"] - b["start"]), b["start"] + 1, b["end"] - b["start"]))
+    rows = rows.withColumn("m", filled).drop("text")
+    m = F.col("m")
+
+    def around(s: Column) -> tuple[Column, Column, Column]:
+        """The word before, the word after and what is glued to the front."""
+        before = F.substring(m, F.greatest(s["start"] - 119, F.lit(1)), F.least(s["start"], F.lit(120)))
+        after = F.substring(m, s["end"] + 1, F.lit(120))
+        return F.regexp_extract(before, r"([^\x20]{1,24})\x20+[^\x20]*$", 1), F.regexp_extract(after, r"^[^\x20]*\x20+([^\x20]{1,24})", 1), F.regexp_extract(before, r"([^\x20]*)$", 1)
+
+    def known(s: Column) -> Column:
+        left, right, glued = around(s)
+        return F.struct(trimmed(s["match"]).alias("value"), F.array_compact(F.array(pattern("before ", left), pattern("after ", right), pattern("mark ", F.regexp_extract(glued, MARK, 1)))).alias("patterns"))
+
+    def stretch(s: Column) -> Column:
+        left, right, _ = around(s)
+        return F.struct(s["start"].alias("start"), F.split(s["match"], " ").alias("w"), left.alias("left"), right.alias("right"))
+
+    def run(s: Column, i: Column, n: Column) -> Column:
+        """Words ``i`` to ``i + n - 1`` of a stretch; beside each pattern, what stands at its place at most."""
+        w, size = s["w"], F.size(s["w"])
+        text = lambda at, count: F.array_join(F.slice(w, at + 1, count), " ")
+        start = s["start"] + F.when(i > 0, F.char_length(text(F.lit(0), i)) + 1).otherwise(0)
+        match, first = text(i, n), F.greatest(i + n - RUN, F.lit(0))
+        mark = F.regexp_extract(match, MARK, 1)
+        bare = lambda x: trimmed(F.substring(x, F.char_length(mark) + 1, F.lit(1 << 30)))
+        at = lambda p, x: F.when(p.isNotNull(), F.struct(p.alias("pattern"), x.alias("place")))
+        onward = bare(text(i, F.lit(RUN)))
+        patterns = F.array(
+            at(pattern("before ", F.right(F.when(i > 0, F.get(w, i - 1)).otherwise(s["left"]), F.lit(24))), onward),
+            at(pattern("after ", F.left(F.when(i + n < size, F.get(w, i + n)).otherwise(s["right"]), F.lit(24))), trimmed(text(first, i + n - first))),
+            at(pattern("mark ", mark), onward),
+        )
+        return F.struct(start.alias("start"), (start + F.char_length(match)).alias("end"), bare(match).alias("value"), F.array_compact(patterns).alias("patterns"))
+
+    def runs(s: Column) -> Column:
+        size = F.size(s["w"])
+        return F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), size - i)), lambda n: run(s, i, n))))
+
+    rows = rows.withColumn("k", F.transform(F.concat(*KINDS), known))
+    rows = rows.withColumn("s", F.when(m.rlike("[0-9]"), F.transform(matches(m, STRETCH), stretch)))
+    found = F.filter(F.flatten(F.transform("s", runs)), lambda c: c["value"].rlike("[0-9]"))
+    return rows.withColumn("c", F.when(F.size("s") > 0, found)).drop("s")
+
+
+def bootstrap(known: DataFrame, candidates: DataFrame, rounds: int, confidence: float, belief: float, support: int) -> tuple[DataFrame, DataFrame]:
+    """Values that the contexts of known ones reveal, with their belief, and the patterns trusted at last (``mass`` of ``n`` places)."""
+    one = known.select("value", F.lit(1.0).alias("known"), F.explode("patterns").alias("pattern")).select("pattern", F.col("value").alias("place"), "value", "known")
+    two = candidates.where(F.col("value") != "").select("value", F.explode("patterns").alias("p")).select("p.pattern", "p.place", "value", F.lit(0.0).alias("known"))
+    edges = keep(one.unionByName(two).groupBy("pattern", "place", "value").agg(F.max("known").alias("known")), "edges")
     score = edges.withColumn("score", F.col("known"))
     for k in range(rounds):
-        # How much a pattern's distinct instances are believed, one doubt added.
-        trust = score.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum("score").alias("mass"))
-        trusted = trust.where((F.col("confidence") >= confidence) & (F.col("mass") >= support)).select("pattern", "confidence")
-        said = edges.join(trusted, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("said"), F.count("*").alias("by"))
-        score = edges.join(said, "value", "left").withColumn("score", F.greatest("known", F.coalesce("said", F.lit(0.0))))
-        score = keep(score, f"beliefs{k}") if k + 1 < rounds else score
-        score, believed = score.select("pattern", "value", "known", "score"), said
-    return believed.where((F.col("said") >= belief) & (F.col("by") >= 2) & F.col("value").rlike(LOOKS)).select("value")
+        # How much what stands at a pattern's places is believed, one doubt added.
+        places = score.groupBy("pattern", "place").agg(F.max("score").alias("score"))
+        trust = places.groupBy("pattern").agg((F.sum("score") / (F.count("*") + 1)).alias("confidence"), F.sum("score").alias("mass"), F.count("*").alias("n"))
+        trusted = trust.where((F.col("confidence") >= confidence) & (F.col("mass") >= support))
+        pairs = edges.select("pattern", "value").distinct()
+        said = pairs.join(trusted.select("pattern", "confidence"), "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.col("confidence"))))).alias("said"))
+        if k + 1 < rounds:
+            score = keep(edges.join(said, "value", "left").select("pattern", "place", "value", "known", F.greatest("known", F.coalesce("said", F.lit(0.0))).alias("score")), f"beliefs{k}")
+    return said.where((F.col("said") >= belief) & F.col("value").rlike(LOOKS)), trusted.select("pattern", "mass", "n")
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def at_patterns(scanned: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Every word outside base spans at a place of a pattern: ``doc_id``, ``h``, its number ``i``, ``word``, ``pattern``."""
+    words = F.array_remove(F.split("m", " "), "")
+    pairs = scanned.select("doc_id", "h", words.alias("w")).select("doc_id", "h", F.posexplode(F.arrays_zip("w", F.slice("w", 2, F.greatest(F.size("w"), F.lit(1))).alias("y"))).alias("i", "p"))
+    pairs = pairs.select("doc_id", "h", "i", F.col("p.w").alias("x"), F.col("p.y").alias("y"))
+    x, y = F.col("x"), F.col("y")
+    marked = F.when(x.contains("=") | x.contains(":"), pattern("mark ", F.regexp_extract(x, MARK, 1)))
+    pairs = pairs.withColumns({"b": F.concat(F.lit("before "), F.lower(F.right(x, F.lit(24)))), "a": F.concat(F.lit("after "), F.lower(F.left(y, F.lit(24)))), "k": marked})
+    for name, kind in (("b", "before "), ("a", "after "), ("k", "mark ")):
+        pairs = pairs.join(small(trusted.where(F.col("pattern").startswith(kind)).select(F.col("pattern").alias(f"{name}_"))), F.col(name) == F.col(f"{name}_"), "left")
+    hit = lambda name, i, word: F.when(F.col(name).isNotNull() & word.isNotNull() & ~word.contains(FILL), F.struct(F.col(name).alias("pattern"), i.alias("i"), word.alias("word")))
+    hits = F.array_compact(F.array(hit("b_", F.col("i") + 1, y), hit("a_", F.col("i"), x), hit("k_", F.col("i"), x)))
+    found = pairs.where(F.coalesce("b_", "a_", "k_").isNotNull()).select("doc_id", "h", F.explode(hits).alias("p"))
+    return found.select("doc_id", "h", "p.*")
+
+
+def by_place(scanned: DataFrame, trusted: DataFrame, confidence: float, belief: float, support: int) -> DataFrame:
+    """Runs of words of any look that the patterns around them reveal: ``doc_id``, ``h``, ``start``, ``end``, ``said``."""
+    trusted = keep(trusted, "trusted")
+    plain = ~F.col("word").rlike("[0-9]")
+    value = F.lower(trimmed(F.when(F.col("pattern").startswith("mark "), F.regexp_replace("word", MARK, "")).otherwise(F.col("word"))))
+    about = at_patterns(scanned, trusted).where(plain).groupBy("pattern").agg(F.approx_count_distinct("word").alias("about"))
+    could = (F.col("mass") >= confidence * (F.col("n") + 0.5 * F.coalesce("about", F.lit(0)) + 1)) & (F.col("mass") >= support)
+    likely = keep(trusted.join(about, "pattern", "left").where(could).drop("about"), "likely")
+    hits = keep(at_patterns(scanned, likely), "hits")
+    words = hits.where(plain).groupBy("pattern").agg(F.count_distinct(value).alias("others"))
+    sure = likely.join(words, "pattern", "left").withColumn("confidence", F.col("mass") / (F.col("n") + F.coalesce("others", F.lit(0)) + 1)).where(F.col("confidence") >= confidence)
+    doubt = F.sum(F.log1p(-F.col("confidence")))
+    sides = hits.join(small(keep(sure.select("pattern", "confidence"), "sure")), "pattern").groupBy("doc_id", "h", "i", F.col("pattern").startswith("after ").alias("last")).agg(doubt.alias("doubt"))
+    sides = keep(sides, "sides")
+    first, last = sides.where(~F.col("last")).drop("last"), sides.where("last").select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), F.col("i").alias("j"), F.col("doubt").alias("more"))
+    both = first.join(last, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")) & F.col("j").between(F.col("i"), F.col("i") + PLAIN - 1)).select("doc_id", "h", "i", "j", (F.col("doubt") + F.col("more")).alias("doubt"))
+    runs = both.unionByName(sides.select("doc_id", "h", "i", F.col("i").alias("j"), "doubt"))
+    runs = runs.groupBy("doc_id", "h", "i", "j").agg((1 - F.exp(F.min("doubt"))).alias("said")).where(F.col("said") >= belief)
+    runs = runs.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("hh")).agg(F.collect_list(F.struct("i", "j", "said")).alias("runs"))
+    rows = scanned.select("doc_id", "h", "m").join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).dropDuplicates(["doc_id", "h"])
+    # A word's place: as many characters as stand before the spaces before it.
+    numbered = F.filter(F.transform(F.split("m", " "), lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda s: s["w"] != "")
+    rows = rows.withColumn("w", numbered).select("doc_id", "h", "m", "w", F.explode("runs").alias("r"))
+    start = lambda n: F.char_length(F.call_function("substring_index", F.col("m"), F.lit(" "), F.get("w", n)["k"])) + F.when(F.get("w", n)["k"] > 0, 1).otherwise(0)
+    run = F.slice("w", F.col("r.i") + 1, F.col("r.j") - F.col("r.i") + 1)
+    rows = rows.where(F.forall(run, lambda s: ~s["w"].contains(FILL)) & F.exists(run, lambda s: s["w"].rlike("[\\p{L}\\p{N}]")))
+    return rows.select("doc_id", "h", start(F.col("r.i")).alias("start"), (start(F.col("r.j")) + F.char_length(F.get("w", F.col("r.j"))["w"])).alias("end"), "r.said")
+
+
+def apart(spans: Column) -> Column:
+    """Of spans (``rank``, ``size``, ``start``, ``end``), those that overlap none before them in order; by place."""
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    clear = lambda taken, s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (t["end"] > s["start"]))
+    return F.array_sort(F.aggregate(F.array_sort(spans), none, lambda taken, s: F.when(clear(taken, s), F.concat(taken, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"))))).otherwise(taken)))
 
 
 def find(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, belief: float = 0.95, support: int = 4) -> DataFrame:
     """Per row: ``doc_id``, counts of base spans, ``base_sha256``, ``spans``, and ``n_found`` (spans that contexts revealed)."""
     scanned = keep(scan(docs), "scanned")
     each = scanned.select("doc_id", "h", F.explode("c").alias("c")).select("doc_id", "h", "c.*")
-    found = keep(bootstrap(each, rounds, confidence, belief, support), "found")
-    found = F.broadcast(found) if found.count() <= SMALL else found
-    more = each.where(~F.col("known")).join(found, "value").select("doc_id", "h", "start", "end").distinct()
-    more = more.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("more")).select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "more")
-    rows = scanned.drop("c").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left")
+    found, trusted = bootstrap(scanned.select(F.explode("k").alias("k")).select("k.*"), each, rounds, confidence, belief, support)
+    found = small(keep(found, "found"))
+    more = each.join(found, "value").select("doc_id", "h", "start", "end", "said")
+    more = more.unionByName(by_place(scanned, trusted, confidence, belief, support)).groupBy("doc_id", "h", "start", "end").agg(F.max("said").alias("said"))
+    span = F.struct(F.round(-F.col("said"), 9).alias("rank"), (F.col("start") - F.col("end")).alias("size"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))
+    more = more.groupBy("doc_id", "h").agg(apart(F.collect_list(span)).alias("more")).select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "more")
+    rows = scanned.drop("c", "k", "m").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left")
     base = F.concat(*[joined(F.col(k), k) for k in KINDS])
     extra = joined(F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")), "id")
     return rows.select(
