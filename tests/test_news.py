@@ -140,6 +140,17 @@ def test_ingestion_resumes(spark, tmp_path):
     assert run() == (2, 1)
 
 
+def test_ingestion_parts_records_of_one_time(spark, tmp_path):
+    landing = tmp_path / "landing"
+    landing.mkdir()
+    given = [("2020-01-01 08:00:00", "a"), ("2020-01-01 08:00:00", ""), ("2020-01-01 08:00:00", "b"), (None, "c")]
+    records = [{"datetime": ts, "title": "t", "content": c, "src": "s"} for ts, c in given]
+    (landing / "a.json").write_text(json.dumps({"endpoint": "news", "source": "x", "start_dt": "2020-01-01 00:00:00", "end_dt": "2020-01-01 23:59:59", "row_count": 4, "records": records}))
+    ingest.ingest_pools(spark, f"file://{landing}", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
+    assert sorted(r["content"] for r in spark.read.parquet(f"file://{tmp_path}/out/records").collect()) == ["a", "b"]
+    assert sorted(r["rule"] for r in spark.read.parquet(f"file://{tmp_path}/out/violations").collect()) == ["no content", "no time"]
+
+
 def test_tables_keep_keys_as_text(spark, tmp_path):
     rows = spark.createDataFrame([("e", "m", "000001", 1.0)], "event_id string, market string, ticker string, close double")
     io.write_table(rows, f"file://{tmp_path}/t.csv", "csv")

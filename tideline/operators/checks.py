@@ -121,15 +121,11 @@ def bad_aliases(aliases: DataFrame, companies: DataFrame, usable: Column) -> Dat
     return aliases.join(known, ["market", "ticker"], "left").withColumn("rule", rule).where(F.col("rule").isNotNull()).select("market", "ticker", "alias", "rule")
 
 
-def bad_news(records: DataFrame) -> DataFrame:
-    """Landed news without a time or content, with a zone in its time, or outside its pool's window.
-
-    Rows have ``pool``, ``ts`` (text), ``content``, ``window_start``, ``window_end`` (timestamps),
-    ``row_count`` and ``n_records`` (announced and found).
-    """
+def news_rule() -> Column:
+    """The rule that a landed record breaks, null for a sound one; columns as in ``bad_news``."""
     ts = F.trim(F.col("ts"))
     when = F.expr("try_cast(trim(ts) AS timestamp_ntz)")
-    rule = (
+    return (
         F.when(F.coalesce(ts, F.lit("")) == "", "no time")
         .when(F.coalesce(F.trim("content"), F.lit("")) == "", "no content")
         .when(ts.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & ts.rlike(r"\d:\d"), "time with a zone")
@@ -137,7 +133,15 @@ def bad_news(records: DataFrame) -> DataFrame:
         .when((when < F.col("window_start")) | (when > F.col("window_end")), "outside its window")
         .when(F.col("row_count") != F.col("n_records"), "another number of rows")
     )
-    return records.withColumn("rule", rule).where(F.col("rule").isNotNull()).select("pool", "ts", "rule")
+
+
+def bad_news(records: DataFrame) -> DataFrame:
+    """Landed news without a time or content, with a zone in its time, or outside its pool's window.
+
+    Rows have ``pool``, ``ts`` (text), ``content``, ``window_start``, ``window_end`` (timestamps),
+    ``row_count`` and ``n_records`` (announced and found).
+    """
+    return records.withColumn("rule", news_rule()).where(F.col("rule").isNotNull()).select("pool", "ts", "rule")
 
 
 def bad_prices(prices: DataFrame, tasks: DataFrame) -> DataFrame:

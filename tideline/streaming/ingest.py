@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.checks import bad_news
+from ..operators.checks import news_rule
 from ..sources.io import POOL, pool_records
 
 
@@ -16,11 +16,9 @@ def ingest_pools(spark: SparkSession, landing: str, out: str, checkpoint: str) -
     """
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        records = pool_records(rows)
-        wrong = bad_news(records).select("pool", "ts", "rule")
-        good = records.join(wrong.select("pool", "ts").distinct(), ["pool", "ts"], "left_anti")
-        good.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{out}/records")
-        wrong.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(f"{out}/violations")
+        records = pool_records(rows).withColumns({"rule": news_rule(), "epoch": F.lit(epoch)})
+        records.where(F.col("rule").isNull()).drop("rule").write.mode("append").parquet(f"{out}/records")
+        records.where(F.col("rule").isNotNull()).select("pool", "ts", "rule", "epoch").write.mode("append").parquet(f"{out}/violations")
 
     stream = spark.readStream.schema(POOL).option("multiLine", "true").json(landing)
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
