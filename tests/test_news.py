@@ -31,6 +31,9 @@ def one(spark, value, f):
         (scoring.without_suffix, "甲乙集团股份有限公司", "甲乙"),
         (scoring.without_suffix, "甲乙控股股份有限公司", "甲乙控股"),
         (scoring.without_suffix, "集团公司", "集团"),
+        (scoring.without_suffix, "甲乙" + "公司股份集团有限公司" * 6, "甲乙"),
+        (scoring.without_suffix, "甲乙 公司 股份 集团 公司 股份 集团 公司 股份", "甲乙"),
+        (scoring.without_suffix, None, ""),
         (scoring.alias_values, "a; b|、c／d", ["a", "b", "c／d"]),
         (scoring.parse_date, "2020-01-03T08:00:00Z", dt.date(2020, 1, 3)),
         (scoring.parse_date, "20200103", dt.date(2020, 1, 3)),

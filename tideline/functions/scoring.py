@@ -117,13 +117,19 @@ def dedupe_key(url: Column, title: Column, content: Column, date: Column, articl
 # ---- aliases
 
 
-def without_suffix(name: Column, passes: int = 4) -> Column:
-    """Legal suffixes removed, in order and again, as long as two characters remain."""
-    out = normalize_text(name)
-    for _ in range(passes):
+def without_suffix(name: Column) -> Column:
+    """Legal suffixes removed, in order and again until none is left, as long as two characters remain."""
+
+    def once(out: Column) -> Column:
         for suffix in C.COMPANY_SUFFIXES:
             out = F.rtrim(F.regexp_replace(out, f"(?s)(?<=.{{2}}){suffix}$", ""))
-    return out
+        return out
+
+    # A pass that changes the name takes two characters at least, so half its length is passes enough.
+    whole = normalize_text(name)
+    ends = whole.rlike("(?:" + "|".join(C.COMPANY_SUFFIXES) + ")$")
+    passes = F.sequence(F.lit(1), F.greatest(F.lit(1), F.floor(F.char_length(whole) / 2).cast("int")))
+    return F.when(ends, F.aggregate(passes, whole, lambda out, _: once(out))).otherwise(whole)
 
 
 def alias_values(raw: Column) -> Column:
