@@ -69,3 +69,19 @@ def test_splits(spark):
     firm = labels.random_firm(samples)
     assert {(r["part"], r["n"]) for r in firm.groupBy("part", "market").agg(F.count_distinct("ticker").alias("n")).collect()} == {("train", 7), ("validation", 1), ("test", 2)}
     assert firm.groupBy("market", "ticker").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
+
+
+def test_model_queries_fit_the_whole_models(spark, monkeypatch):
+    from tideline.operators import train
+    from tideline.plans import QUERIES
+
+    made, estimator = [], train.estimator
+
+    def spied(*args):
+        made.append((args[0], args[1], estimator(*args)))
+        return made[-1][2]
+
+    monkeypatch.setattr(train, "estimator", spied)
+    QUERIES["ml6_boosted_trees"](spark, "/root/testdata/sf0.001")
+    QUERIES["ml5_perceptron"](spark, "/root/testdata/sf0.001")
+    assert [(t, m, e.getMaxIter()) for t, m, e in made if m != "linear"] == [("T1", "trees", 50), ("T2", "trees", 50), ("T1", "mlp", 200)]

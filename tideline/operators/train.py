@@ -45,7 +45,7 @@ def estimator(task: str, model: str, n: int, width: int, options: dict):
     if model == "linear":
         return LinearRegression(**target, elasticNetParam=0.0, regParam=options.get("alpha", 1.0) / n, standardization=False)
     if model == "mlp" and task == "T1":
-        return MultilayerPerceptronClassifier(**target, layers=[width, *options.get("hidden", (128, 64)), 2], maxIter=options.get("max_iter", 100), seed=options.get("seed", 42))
+        return MultilayerPerceptronClassifier(**target, layers=[width, *options.get("hidden", (128, 64)), 2], maxIter=options.get("max_iter", 200), seed=options.get("seed", 42))
     if model == "trees":
         shared = {"maxIter": options.get("n_estimators", 50), "stepSize": options.get("learning_rate", 0.03), "maxDepth": options.get("max_depth", 5), "subsamplingRate": options.get("subsample", 0.85), "featureSubsetStrategy": str(options.get("colsample", 0.85)), "seed": options.get("seed", 42)}
         return GBTClassifier(**target, **shared) if task == "T1" else GBTRegressor(**target, **shared)

@@ -267,8 +267,16 @@ def ml6_boosted_trees(spark, sf):
     from ..operators.features import aggregate_days
 
     features = aggregate_days(daily(spark, sf), ["close", "volume"])
-    options = {"n_estimators": 5}
-    return train.train_reference_model(features, outcomes(spark, sf).join(features.select(*KEY), KEY, "left_semi"), chronological(spark, sf), "trees", "trees", options=options)["predictions"]
+    return train.train_reference_model(features, outcomes(spark, sf).join(features.select(*KEY), KEY, "left_semi"), chronological(spark, sf), "trees", "trees")["predictions"]
+
+
+@query()
+def ml5_perceptron(spark, sf):
+    """A perceptron for T1 beside a linear T2 (Spark has no perceptron that regresses): predictions of the test rows."""
+    from ..operators.features import aggregate_days
+
+    features = aggregate_days(daily(spark, sf), ["close", "volume"])
+    return train.train_reference_model(features, outcomes(spark, sf).join(features.select(*KEY), KEY, "left_semi"), chronological(spark, sf), "mlp", "linear")["predictions"]
 
 
 @query(f"{WITH} SELECT event_id, market, ticker, round(t2_prediction, 6) AS t2_prediction, (row_number() OVER (PARTITION BY event_id, market ORDER BY t2_prediction DESC, ticker))::INTEGER AS place FROM pred")
