@@ -8,6 +8,7 @@ bounds) are frozen once written.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -20,11 +21,22 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+#: Bytes of a batch that goes to Python at once, about.
+BATCH = "4m"
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where unset (tests), a new temporary one is set."""
+    """The folder in ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session (tests) gets a temporary one; on a cluster that
+    is an error, as executors would write to disks of their own.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="spark-shared-", dir=os.environ.get("TMPDIR"))
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
@@ -45,7 +57,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def texts(docs: DataFrame) -> DataFrame:
-    """``doc_id`` (long, null kept) and ``text`` (null as empty); all other columns go."""
+    """``doc_id`` (long, null kept) and ``text`` (null as empty); all other columns go.
+
+    Batches of texts for Python are bounded in bytes from here on.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),

@@ -4,89 +4,125 @@ In the pre-tokenizer's pattern a single space or line end between two characters
 that are not white space always parts two pre-tokens, and so does the step from a
 letter to punctuation.  So a text can be cut there, and the ids of its stretches,
 end to end, are the ids of the whole text.  Stretches repeat all over a corpus: a
-worker keeps the ids of those it has seen in flat arrays (``Known``, of bounded
-size) and asks the library only for new ones.
+worker keeps the ids of those it has seen in flat arrays (``Known``, bounded in
+bytes) and asks the library only for new ones.  A stretch is known only if its
+bytes equal those kept; a hash merely says where to look.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Stretches whose ids a worker keeps, about 40 bytes each.
-KEPT = 3_000_000
+#: Bytes that a worker's known stretches may take, about.
+KEPT = 48 << 20
+#: Bytes of text that are encoded at once.
+SLICE = 1 << 21
 #: Punctuation that is cut off after a letter.
 TAIL = ".,;:!?&%#$*|"
 #: Marks at the front of a stretch: after a line end, and at the start of a text.  Others stood after a space.
 LINE, START = "\x01", "\x02"
 #: Texts with white space other than single spaces and line ends between other characters, or with the marks.
 ODD = r"[\x00-\x20\x{85}\p{Z}][\x00-\x20\x{85}\p{Z}]|^[ \n]|[ \n]$|^$|[\x01\x02]"
-CUT = re.compile(r"(?<=\S) (?=\S)")
 _LOADED: dict[str, "Encoder"] = {}
 
 
+class Strings:
+    """Bytes of some strings: ``raw``, where each begins, how long it is, and a hash of it."""
+
+    def __init__(self, strings: pa.Array):
+        strings = strings.cast(pa.large_binary())
+        raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
+        ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+        self.raw, self.starts, self.length = raw[ends[0] : ends[-1]], ends[:-1] - ends[0], np.diff(ends)
+        place = np.arange(len(self.raw)) - np.repeat(self.starts, self.length)
+        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, int(self.length.max(initial=0)) - 1), 0x9E3779B97F4A7C15, np.uint64)]))
+        sums = np.concatenate([[np.uint64(0)], np.cumsum((self.raw.astype(np.uint64) + np.uint64(1)) * power[place])]) if len(self.raw) else np.zeros(1, np.uint64)
+        h = sums[self.starts + self.length] - sums[self.starts] + self.length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        self.hashes = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(16)
+
+    def __len__(self) -> int:
+        return len(self.length)
+
+
+def grown(array: np.ndarray, size: int) -> np.ndarray:
+    """Room for ``size`` values at least."""
+    if size <= len(array):
+        return array
+    out = np.zeros(max(size, 2 * len(array)), array.dtype)
+    out[: len(array)] = array
+    return out
+
+
 class Known:
-    """An open-addressing table from 96-bit hashes of strings to runs in a flat array of ids."""
-
-    def __init__(self, room: int = KEPT):
-        self.room, self.size = room, 1 << (2 * room - 1).bit_length()
-        self.slots = np.full(self.size, -1, np.int32)
-        self.hashes, self.checks = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.flat, self.ends = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-
-    def find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """The entry of each string, or -1."""
-        out = np.full(len(hashes), -1, np.int64)
-        open_ = np.arange(len(hashes))
-        at = (hashes & np.uint64(self.size - 1)).astype(np.int64)
-        while len(open_) and len(self.hashes):
+    """An open-addressing table from strings to runs in a flat array of ids; arrays grow by doubling."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.n, self.slots = 0, np.full(slots, -1, np.int32)
+        self.hashes = np.zeros(1 << 14, np.uint64)
+        self.raw, self.raw_ends = np.zeros(1 << 17, np.uint8), np.zeros(1 << 14, np.int64)
+        self.flat, self.ends = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64)
+
+    def size(self) -> int:
+        return sum(x.nbytes for x in (self.slots, self.hashes, self.raw, self.raw_ends, self.flat, self.ends))
+
+    def find(self, strings: Strings, which: np.ndarray) -> np.ndarray:
+        """The entry of each of the strings ``which``, or -1."""
+        out = np.full(len(which), -1, np.int64)
+        open_, mask = np.arange(len(which)), len(self.slots) - 1
+        at = (strings.hashes[which] & np.uint64(mask)).astype(np.int64)
+        while len(open_):
             got = self.slots[at]
             taken = got >= 0
             open_, at, got = open_[taken], at[taken], got[taken]
-            same = (self.hashes[got] == hashes[open_]) & (self.checks[got] == checks[open_])
+            same = self.same(strings, which[open_], got)
             out[open_[same]] = got[same]
-            open_, at = open_[~same], (at[~same] + 1) & (self.size - 1)
+            open_, at = open_[~same], (at[~same] + 1) & mask
+        return out
+
+    def same(self, strings: Strings, which: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """Whether a string's bytes are those of an entry."""
+        length = strings.length[which]
+        out = (self.hashes[entry] == strings.hashes[which]) & (self.raw_ends[entry + 1] - self.raw_ends[entry] == length)
+        at = np.flatnonzero(out)
+        n = length[at]
+        differ = gather(strings.raw, strings.starts[which[at]], n) != gather(self.raw, self.raw_ends[entry[at]], n)
+        sums = np.concatenate([[0], np.cumsum(differ)])
+        ends = np.cumsum(n)
+        out[at] = sums[ends] == sums[ends - n]
         return out
 
-    def add(self, hashes: np.ndarray, checks: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    def add(self, strings: Strings, which: np.ndarray, flat: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Enter strings that differ from each other and are not yet known; their entries."""
-        entry = np.arange(len(self.hashes), len(self.hashes) + len(hashes))
-        self.hashes = np.concatenate([self.hashes, hashes])
-        self.checks = np.concatenate([self.checks, checks])
-        self.flat = np.concatenate([self.flat, flat])
-        self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
-        open_, at = entry, (hashes & np.uint64(self.size - 1)).astype(np.int64)
+        n, m = self.n, len(which)
+        entry = np.arange(n, n + m)
+        self.n += m
+        self.hashes, self.ends, self.raw_ends = grown(self.hashes, n + m), grown(self.ends, n + m + 1), grown(self.raw_ends, n + m + 1)
+        self.hashes[entry] = strings.hashes[which]
+        self.ends[entry + 1] = self.ends[n] + np.cumsum(lengths)
+        self.raw_ends[entry + 1] = self.raw_ends[n] + np.cumsum(strings.length[which])
+        self.flat, self.raw = grown(self.flat, int(self.ends[n + m])), grown(self.raw, int(self.raw_ends[n + m]))
+        self.flat[self.ends[n] : self.ends[n + m]] = flat
+        self.raw[self.raw_ends[n] : self.raw_ends[n + m]] = gather(strings.raw, strings.starts[which], strings.length[which])
+        if 2 * self.n > len(self.slots):
+            self.slots = np.full(4 << (self.n - 1).bit_length(), -1, np.int32)
+            self.place(np.arange(self.n))
+        else:
+            self.place(entry)
+        return entry
+
+    def place(self, entry: np.ndarray) -> None:
+        mask = len(self.slots) - 1
+        open_, at = entry, (self.hashes[entry] & np.uint64(mask)).astype(np.int64)
         while len(open_):
             free = self.slots[at] < 0
             self.slots[at[free]] = open_[free]  # of several for one slot the last gets it
             got = self.slots[at] == open_
-            open_, at = open_[~got], (at[~got] + 1) & (self.size - 1)
-        return entry
-
-
-def hash_strings(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of two polynomial hashes of each string's bytes and length."""
-    strings = strings.cast(pa.large_binary())
-    raw = np.frombuffer(strings.buffers()[2] or b"", np.uint8)
-    ends = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
-    n = np.diff(ends)
-    raw = raw[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
-    place = np.arange(len(raw)) - np.repeat(ends[:-1] - ends[0], n)
-    longest = int(n.max(initial=0))
-    out = []
-    for base in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-        power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(0, longest - 1), base, np.uint64)]))
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(raw * power[place])]) if len(raw) else np.zeros(1, np.uint64)
-        h = sums[ends[1:] - ends[0]] - sums[ends[:-1] - ends[0]] + n.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        for shift, times in ((32, 0xD6E8FEB86659FD93), (29, 0xA0761D6478BD642F), (32, 1)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(times)
-        out.append(h)
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+            open_, at = open_[~got], (at[~got] + 1) & mask
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -105,7 +141,6 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.vocabulary = self.library.get_vocab_size()
         self.known = Known()
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -116,60 +151,56 @@ class Encoder:
         ids, lengths = self._stretches(plain)
         if len(plain) == len(texts):
             return ids, lengths
-        mine = [e.ids for e in self.library.encode_batch_fast(texts.filter(odd).to_pylist(), add_special_tokens=False)]
+        mine = [np.array(self.library.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts.filter(odd).to_pylist()]
         is_odd = odd.to_numpy(zero_copy_only=False)
         all_lengths = np.empty(len(texts), np.int64)
         all_lengths[~is_odd], all_lengths[is_odd] = lengths, [len(x) for x in mine]
         starts = np.empty(len(texts), np.int64)
         starts[~is_odd] = np.cumsum(lengths) - lengths
         starts[is_odd] = len(ids) + np.cumsum(all_lengths[is_odd]) - all_lengths[is_odd]
-        flat = np.concatenate([ids, *[np.array(x, np.uint32) for x in mine]])
-        return gather(flat, starts, all_lengths), all_lengths
+        return gather(np.concatenate([ids, *mine]), starts, all_lengths), all_lengths
 
     def _stretches(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         marked = pc.binary_join_element_wise(START, pc.replace_substring(texts, "\n", " " + LINE), "")
         parts = pc.split_pattern(marked, " ")
         edges = parts.offsets.to_numpy().astype(np.int64)
         coded = parts.flatten().dictionary_encode()
-        code = coded.indices.to_numpy()
-        entry = self._entries(coded.dictionary)[code]
-        starts, length = self.known.ends[entry], self.known.ends[entry + 1] - self.known.ends[entry]
+        entry = self._entries(coded.dictionary)[coded.indices.to_numpy()]
+        known = self.known
+        starts, length = known.ends[entry], known.ends[entry + 1] - known.ends[entry]
         bounds = np.concatenate([[0], np.cumsum(length)])[edges]
-        return gather(self.known.flat, starts, length), np.diff(bounds)
+        return gather(known.flat, starts, length), np.diff(bounds)
 
-    def _entries(self, strings: pa.Array) -> np.ndarray:
+    def _entries(self, stretches: pa.Array) -> np.ndarray:
         """The entries of distinct marked stretches, entered where they are new."""
-        known = self.known
-        hashes, checks = hash_strings(strings)
-        entry = known.find(hashes, checks)
+        if self.known.size() > KEPT:
+            self.known = Known()
+        known, strings = self.known, Strings(stretches)
+        entry = known.find(strings, np.arange(len(strings)))
         new = np.flatnonzero(entry < 0)
-        if len(known.hashes) + 2 * len(new) > known.room:
-            known = self.known = Known(max(KEPT, 2 * len(strings)))
-            new, entry = np.arange(len(strings)), np.full(len(strings), -1)
         if not len(new):
             return entry
-        fresh = strings.take(pa.array(new))
+        fresh = stretches.take(pa.array(new))
         stems = pc.utf8_rtrim(fresh, characters=TAIL)
         cut = pc.and_(pc.less(pc.binary_length(stems), pc.binary_length(fresh)), pc.match_substring_regex(stems, r"\p{L}$")).to_numpy(zero_copy_only=False)
+        whole = np.flatnonzero(~cut)
+        entry[new[whole]] = self._ask(fresh.take(pa.array(whole)), strings, new[whole])
         if cut.any():
-            stem_of = stems.filter(pa.array(cut)).dictionary_encode()
-            s_hash, s_check = hash_strings(stem_of.dictionary)
-            whole = np.flatnonzero(~cut)  # stems that are whole stretches of this lot too
-            self._ask(fresh.take(pa.array(whole)), hashes[new[whole]], checks[new[whole]])
-            s_entry = known.find(s_hash, s_check)
+            rows = np.flatnonzero(cut)
+            stems, ended = stems.take(pa.array(rows)), fresh.take(pa.array(rows))
+            stem_of = stems.dictionary_encode()
+            words = Strings(stem_of.dictionary)
+            s_entry = known.find(words, np.arange(len(words)))
             missing = np.flatnonzero(s_entry < 0)
-            s_entry[missing] = self._ask(stem_of.dictionary.take(pa.array(missing)), s_hash[missing], s_check[missing])
-            b, t_flat, t_start, t_len = self._tails(fresh.filter(pa.array(cut)), stems.filter(pa.array(cut)))
+            s_entry[missing] = self._ask(stem_of.dictionary.take(pa.array(missing)), words, missing)
+            b, t_flat, t_start, t_len = self._tails(ended, stems)
             a = s_entry[stem_of.indices.to_numpy()]
             s_len = known.ends[a + 1] - known.ends[a]
-            both = np.concatenate([known.flat, t_flat])
-            starts = np.stack([known.ends[a], len(known.flat) + t_start[b]], 1).ravel()
+            used = int(known.ends[known.n])
+            both = np.concatenate([known.flat[:used], t_flat])
+            starts = np.stack([known.ends[a], used + t_start[b]], 1).ravel()
             lengths = np.stack([s_len, t_len[b]], 1).ravel()
-            rows = new[cut]
-            known.add(hashes[rows], checks[rows], gather(both, starts, lengths), s_len + t_len[b])
-        else:
-            self._ask(fresh, hashes[new], checks[new])
-        entry[new] = known.find(hashes[new], checks[new])
+            entry[new[rows]] = known.add(strings, new[rows], gather(both, starts, lengths), s_len + t_len[b])
         return entry
 
     def _tails(self, whole: pa.Array, stems: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -179,17 +210,17 @@ class Encoder:
         length = np.array([len(x) for x in ids], np.int64)
         return tails.indices.to_numpy().astype(np.int64), np.array(sum(ids, []), np.uint32), np.cumsum(length) - length, length
 
-    def _ask(self, marked: pa.Array, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
-        """Have the library encode new stretches; their entries."""
+    def _ask(self, marked: pa.Array, strings: Strings, which: np.ndarray) -> np.ndarray:
+        """Have the library encode new stretches, which are the strings ``which``; their entries."""
         real = {LINE: "\n", START: ""}
-        strings = [real[s[0]] + s[1:] if s[:1] in real else " " + s for s in marked.to_pylist()]
-        got = [e.ids for e in self.library.encode_batch_fast(strings, add_special_tokens=False)]
+        asked = [real[s[0]] + s[1:] if s[:1] in real else " " + s for s in marked.to_pylist()]
+        got = [e.ids for e in self.library.encode_batch_fast(asked, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
         flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(lengths.sum()))
-        return self.known.add(hashes, checks, flat, lengths)
+        return self.known.add(strings, which, flat, lengths)
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches' rows in slices of about ``size`` bytes of text, or one longer text."""
     for batch in batches:
         ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -1,7 +1,15 @@
-"""Words of whole texts as 64-bit hashes, many texts at a time."""
+"""Words of whole texts and of their shingles, many texts at a time.
+
+A word stands for 128 bits (``hashes``, ``others``).  Of a word of up to 16 bytes they
+are its bytes, permuted, so two such words never share them; longer words have their
+BLAKE2b digest.  What is built from them (shingles, sequences, set keys) mixes these
+bits, so it never rests on a weak hash of text that somebody may have chosen.
+"""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -10,12 +18,6 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.cumprod(np.concatenate([[np.uint64(1)], np.full((1 << 16) - 1, _BASE, np.uint64)]))
-
-
-def powers(n: int) -> np.ndarray:
-    return _POWERS[:n] if n <= len(_POWERS) else np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE, np.uint64)]))
 
 
 def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -26,8 +28,28 @@ def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def identities(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two whole numbers for each word: its first 16 bytes permuted, or the digest of a longer one (or of one with a zero byte)."""
+    padded = np.concatenate([raw, np.zeros(16, np.uint8)])
+    eight = np.ndarray(len(raw) + 9, "<u8", padded, strides=(1,))  # eight bytes from every place on
+    mask = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+    low = eight[starts] & mask[np.minimum(length, 8)]
+    high = eight[np.minimum(starts + 8, len(raw))] & mask[np.clip(length - 8, 0, 8)]
+    long = length > 16
+    if len(zeros := np.flatnonzero(raw == 0)):
+        word = np.searchsorted(starts, zeros, side="right") - 1
+        long[word[(word >= 0) & (zeros < starts[word] + length[word])]] = True
+    one = mixed(low ^ mixed(high, 1), 2)
+    two = mixed(high ^ one, 3)
+    if len(at := np.flatnonzero(long)):
+        text = raw.tobytes()
+        both = np.frombuffer(b"".join([blake2b(text[a : a + n], digest_size=16).digest() for a, n in zip(starts[at].tolist(), length[at].tolist())]), "<u8")
+        one[at], two[at] = both[::2], both[1::2]
+    return one, two
+
+
 class Words:
-    """Of some texts: the words' hashes, and the first word of each text (``edges``, one more than texts)."""
+    """Of some texts: the words' bits (``hashes``, ``others``), and the first word of each text (``edges``, one more than texts)."""
 
     def __init__(self, texts: pa.Array, lower: bool):
         texts = pc.fill_null(texts, "").cast(pa.large_binary())
@@ -41,43 +63,40 @@ class Words:
         begins[1:] &= ~inside[:-1]
         cut = bounds[:-1][bounds[:-1] < len(raw)]
         begins[cut] = inside[cut]
-        self.raw = raw
-        self.starts = np.flatnonzero(begins)
+        starts = np.flatnonzero(begins)
         ends = inside.copy()
         ends[:-1] &= ~inside[1:]
         ends[cut[cut > 0] - 1] = inside[cut[cut > 0] - 1]
-        self.ends = np.flatnonzero(ends) + 1
-        self.edges = np.searchsorted(self.starts, bounds)
-        length = self.ends - self.starts
-        if len(raw):
-            at = np.flatnonzero(inside)
-            place = at - np.repeat(self.starts, length)
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((raw[at].astype(np.uint64) + np.uint64(1)) * powers(int(length.max(initial=1)))[place])])
-            last = np.cumsum(length)
-            self.hashes = mixed(sums[last] - sums[last - length] + length.astype(np.uint64) * _BASE)
-        else:
-            self.hashes = np.zeros(0, np.uint64)
+        self.edges = np.searchsorted(starts, bounds)
+        self.hashes, self.others = identities(raw, starts, np.flatnonzero(ends) + 1 - starts)
 
     def grams(self, n: int) -> np.ndarray:
-        """The hash of the n words from each word on; those that leave their text are not meaningful."""
+        """A hash of the n words from each word on; those that leave their text are not meaningful."""
         out = np.zeros(max(0, len(self.hashes) - n + 1), np.uint64)
         for k in range(n):
-            out += self.hashes[k : k + len(out)] * np.uint64((0xD6E8FEB86659FD93 * (2 * k + 1)) & 0xFFFFFFFFFFFFFFFF)
-            out ^= out >> np.uint64(29)
-        return mixed(out)
+            out = mixed(out ^ self.hashes[k : k + len(out)] ^ (self.others[k : k + len(out)] << np.uint64(k)), k + 1)
+        return out
 
     def sequences(self) -> np.ndarray:
-        """The hash of each text's whole word sequence."""
+        """A hash of each text's whole word sequence."""
         n = np.diff(self.edges)
         place = np.arange(len(self.hashes)) - np.repeat(self.edges[:-1], n)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(self.hashes * mixed(place.astype(np.uint64), 3))])
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(self.hashes ^ mixed(place.astype(np.uint64), 3)))])
         return mixed(sums[self.edges[1:]] - sums[self.edges[:-1]], 5)
 
 
-def shingle_sets(words: Words, n: int) -> list[np.ndarray]:
-    """Per text its distinct n-word shingles, sorted; with fewer words the whole sequence as one; empty without words."""
+def shingle_sets(words: Words, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text its distinct n-word shingles, sorted, and further bits of each; with fewer words the whole sequence as one; empty without words."""
     grams, whole = words.grams(n), words.sequences()
-    out = []
+    more = np.zeros_like(grams)
+    for k in range(n):
+        more = (more << np.uint64(7) | more >> np.uint64(57)) + words.others[k : k + len(more)]
+    more, out = mixed(more, 8), []
     for k, (a, b) in enumerate(zip(words.edges[:-1].tolist(), words.edges[1:].tolist())):
-        out.append(np.unique(grams[a : b - n + 1]) if b - a >= n else whole[k : k + 1] if b > a else grams[:0])
+        if b - a >= n:
+            shingles, at = np.unique(grams[a : b - n + 1], return_index=True)
+            out.append((shingles, more[a + at]))
+        else:
+            own = whole[k : k + 1] if b > a else whole[:0]
+            out.append((own, mixed(own, 9)))
     return out
