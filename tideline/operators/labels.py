@@ -25,8 +25,8 @@ def members(labels: DataFrame, membership: DataFrame) -> DataFrame:
     m = membership.select("fold_id", "part", "event_id", "market", F.col("ticker").alias("_ticker")).distinct()
     one = m.where(F.col("_ticker").isNotNull()).withColumnRenamed("_ticker", "ticker")
     every = m.where(F.col("_ticker").isNull()).drop("_ticker")
-    columns = ["fold_id", "part", *labels.columns]
-    return labels.join(one, KEY).select(columns).unionByName(labels.join(every, ["event_id", "market"]).select(columns)).distinct()
+    columns, on = ["fold_id", "part", *labels.columns], ["fold_id", "part"]
+    return labels.join(one, KEY).select(columns).unionByName(labels.join(every, ["event_id", "market"]).join(one, [*on, *KEY], "left_anti").select(columns))
 
 
 def centred(rows: DataFrame) -> DataFrame:

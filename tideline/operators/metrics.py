@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .checks import GROUP, KEY, base_labels, prediction_table, require_empty, unmatched
 from .labels import task_frames
+from .tables import written
 
 TOP_SHARE = 0.10
 
@@ -22,24 +23,44 @@ def average_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(W.partitionBy(*by).orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2
 
 
+def cumulative(rows: DataFrame, by: list[str], order: str, columns: list[str]) -> DataFrame:
+    """Adds ``column_below``: a column's sum over the rows of the same ``by`` that stand below in ``order``.
+
+    Rows are range-partitioned and written; sums run within the ranges, and the few sums of whole ranges are added, so
+    no task holds a whole group.
+    """
+    ranged = written(rows.repartitionByRange(*by, order).withColumn("_part", F.spark_partition_id()), "ranged")
+    inside = W.partitionBy(*by, "_part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    zero = F.lit(0)
+    parts = ranged.groupBy(*by, "_part").agg(*[F.sum(c).alias(c) for c in columns]).select(*by, "_part", *[F.coalesce(F.sum(c).over(earlier), zero).alias(f"_{c}") for c in columns])
+    local = ranged.withColumns({f"{c}_below": F.coalesce(F.sum(c).over(inside), zero) for c in columns}).join(parts, [*by, "_part"])
+    return local.withColumns({f"{c}_below": F.col(f"{c}_below") + F.col(f"_{c}") for c in columns}).drop("_part", *[f"_{c}" for c in columns])
+
+
+def binary_metrics(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """``auprc`` and ``auroc`` of each group, from its distinct scores; null for a single class.
+
+    Average precision sums, over distinct scores from high to low, the gain in recall times the precision.  The area
+    under the ROC curve comes from the positives' rank sum, ties shared.
+    """
+    ties = rows.groupBy(*by, score).agg(F.sum(label).cast("long").alias("pos"), F.count("*").alias("n"))
+    totals = ties.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
+    steps = cumulative(ties, by, score, ["pos", "n"]).join(totals, by)
+    precision = (F.col("all_pos") - F.col("pos_below")) / (F.col("all_n") - F.col("n_below"))
+    rank = F.col("n_below") + (F.col("n") + 1) / 2
+    agg = steps.groupBy(*by).agg(F.sum(F.col("pos") * precision).alias("s"), F.sum(F.col("pos") * rank).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
+    p, q = F.col("p"), F.col("n") - F.col("p")
+    both = (p > 0) & (q > 0)
+    return agg.select(*by, F.when(both, F.col("s") / p).alias("auprc"), F.when(both, (F.col("r") - p * (p + 1) / 2) / (p * q)).alias("auroc"))
+
+
 def average_precision(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """Sum over distinct scores, high to low, of the gain in recall times the precision."""
-    ties = rows.groupBy(*by, score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    down = W.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum("pos").over(W.partitionBy(*by))
-    steps = ties.withColumns({"precision": F.sum("pos").over(down) / F.sum("n").over(down), "total": total})
-    agg = steps.groupBy(*by).agg(F.sum(F.col("pos") * F.col("precision")).alias("s"), F.max("total").alias("p"), F.sum("n").alias("n"))
-    return agg.select(*by, F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), F.col("s") / F.col("p")).alias("auprc"))
+    return binary_metrics(rows, score, label, by).select(*by, "auprc")
 
 
 def roc_area(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """From the positives' rank sum, ties shared; counted on distinct scores."""
-    ties = rows.groupBy(*by, score).agg(F.sum(label).alias("pos"), F.count("*").alias("n"))
-    below = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("mean_rank", below + (F.col("n") + 1) / 2)
-    agg = ranked.groupBy(*by).agg(F.sum(F.col("pos") * F.col("mean_rank")).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
-    p, q = F.col("p"), F.col("n") - F.col("p")
-    return agg.select(*by, F.when((p > 0) & (q > 0), (F.col("r") - p * (p + 1) / 2) / (p * q)).alias("auroc"))
+    return binary_metrics(rows, score, label, by).select(*by, "auroc")
 
 
 def mean_absolute_error(rows: DataFrame, prediction: str, truth: str, by: list[str]) -> DataFrame:
@@ -47,10 +68,23 @@ def mean_absolute_error(rows: DataFrame, prediction: str, truth: str, by: list[s
 
 
 def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
-    """Pearson correlation of average ranks; null for fewer than two rows or a constant side."""
-    ranked = rows.withColumns({"_x": average_rank(a, by), "_y": average_rank(b, by)})
-    n, x, y = F.count("*"), F.col("_x"), F.col("_y")
-    sums = ranked.groupBy(*by).agg(n.alias("n"), F.sum(x).alias("x"), F.sum(y).alias("y"), F.sum(x * x).alias("xx"), F.sum(y * y).alias("yy"), F.sum(x * y).alias("xy"))
+    """Pearson correlation of average ranks; null for fewer than two rows or a constant side.  For groups of any size."""
+    pairs = rows.groupBy(*by, a, b).agg(F.count("*").alias("m"))
+    for name, value in (("_x", a), ("_y", b)):
+        ties = pairs.groupBy(*by, value).agg(F.sum("m").alias("n"))
+        ranks = cumulative(ties, by, value, ["n"]).select(*by, value, (F.col("n_below") + (F.col("n") + 1) / 2).alias(name))
+        pairs = pairs.join(ranks, [*by, value])
+    return correlation(pairs, by, F.col("m"))
+
+
+def group_spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """The same by windows, for groups that fit a task (the firms of an event and market)."""
+    return correlation(rows.withColumns({"_x": average_rank(a, by), "_y": average_rank(b, by)}), by, F.lit(1))
+
+
+def correlation(ranked: DataFrame, by: list[str], m: Column) -> DataFrame:
+    x, y = F.col("_x"), F.col("_y")
+    sums = ranked.groupBy(*by).agg(F.sum(m).alias("n"), F.sum(m * x).alias("x"), F.sum(m * y).alias("y"), F.sum(m * x * x).alias("xx"), F.sum(m * y * y).alias("yy"), F.sum(m * x * y).alias("xy"))
     n, vx, vy = F.col("n"), F.col("n") * F.col("xx") - F.col("x") * F.col("x"), F.col("n") * F.col("yy") - F.col("y") * F.col("y")
     return sums.select(*by, F.when((n >= 2) & (vx > 0) & (vy > 0), (n * F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(vx * vy)).alias("spearman"))
 
@@ -91,15 +125,15 @@ def matched(frames: DataFrame, predictions: DataFrame) -> DataFrame:
 
 
 def metric_table(rows: DataFrame, split_name: str = "split", quantile: float = 0.9) -> DataFrame:
-    """Six rows per fold, one for each metric; fields of the ranking task are blank elsewhere."""
+    """Six rows per fold, one for each metric; fields of the ranking task are blank elsewhere.  The rows are computed once."""
     fold, group = ["fold_id"], ["fold_id", *GROUP]
-    ranked = ndcg(rows, "t3_score", "ranking_target", group).join(spearman(rows, "t3_score", "ranking_target", group), group)
+    names = ["threshold", "label_protocol", "t1_score", "t2_prediction", "t3_score", "high_impact_label", "abnormal_return", "ranking_target"]
+    rows = written(rows.select("fold_id", *KEY, *names), "matched")
+    ranked = ndcg(rows, "t3_score", "ranking_target", group).join(group_spearman(rows, "t3_score", "ranking_target", group), group)
     ranked = ranked.groupBy("fold_id").agg(F.avg("ndcg").alias("ndcg"), F.avg("spearman").alias("t3_spearman"), F.count("*").alias("groups"))
     wide = (
-        rows.groupBy("fold_id").agg(F.count("*").alias("n_samples"), F.max("threshold").alias("high_impact_threshold"), F.max("label_protocol").alias("label_protocol_version"))
-        .join(average_precision(rows, "t1_score", "high_impact_label", fold), "fold_id")
-        .join(roc_area(rows, "t1_score", "high_impact_label", fold), "fold_id")
-        .join(mean_absolute_error(rows, "t2_prediction", "abnormal_return", fold), "fold_id")
+        rows.groupBy("fold_id").agg(F.count("*").alias("n_samples"), F.max("threshold").alias("high_impact_threshold"), F.max("label_protocol").alias("label_protocol_version"), F.avg(F.abs(F.col("t2_prediction") - F.col("abnormal_return"))).alias("mae"))
+        .join(binary_metrics(rows, "t1_score", "high_impact_label", fold), "fold_id")
         .join(spearman(rows, "t2_prediction", "abnormal_return", fold), "fold_id")
         .join(ranked, "fold_id")
     )
@@ -121,7 +155,11 @@ def metric_table(rows: DataFrame, split_name: str = "split", quantile: float = 0
 
 
 def evaluate_predictions(labels: DataFrame, predictions: DataFrame, membership: DataFrame, quantile: float = 0.9, split_name: str = "split") -> DataFrame:
-    """Check both tables, build the folds' labels, join the predictions and score them."""
+    """Check both tables, build the folds' labels, join the predictions and score them.
+
+    The three tables have a row per sample or less; each is computed once.
+    """
+    labels, predictions, membership = written(labels, "labels"), written(predictions, "predictions"), written(membership, "membership")
     usable, wrong = base_labels(labels)
     require_empty(wrong, "base labels")
     typed, wrong = prediction_table(predictions)
