@@ -21,6 +21,7 @@ from .checks import KEY, ValidationError, require_empty, shared_test_rows, unmat
 from .labels import iter_task_frames
 from .metrics import matched, metric_table
 from .reports import fold_summary
+from .tables import written
 
 
 def imputation(train: DataFrame, columns: list[str]) -> tuple[dict[str, float], list[str]]:
@@ -37,13 +38,24 @@ def prepared(rows: DataFrame, medians: dict[str, float], missing: list[str]) ->
     return rows.select(*[c for c in rows.columns if c not in filled], *[x.alias(c) for c, x in filled.items()], *[x.alias(c) for c, x in flags.items()])
 
 
-def estimator(task: str, model: str, n: int, width: int, options: dict):
-    """T1 classifies ``high_impact_label``, T2 fits ``abnormal_return``."""
+def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``features``: the columns less their mean, over their deviation, as an array."""
+    made = VectorAssembler(inputCols=columns, outputCol="raw").transform(rows)
+    out = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True).fit(made).transform(made)
+    return out.withColumn("features", vector_to_array("scaled")).drop("raw", "scaled")
+
+
+def estimator(task: str, model: str, n: int, width: int, options: dict, spread: float = 1.0):
+    """T1 classifies ``high_impact_label``, T2 fits ``abnormal_return``.
+
+    Spark fits the ridge to a label over its deviation (``spread``), so a penalty of ``alpha`` on the label as it is
+    has to be multiplied by it.
+    """
     target = {"featuresCol": "features", "labelCol": "label"}
     if model == "linear" and task == "T1":
         return LogisticRegression(**target, weightCol="weight", regParam=1 / (options.get("C", 1.0) * n), maxIter=options.get("max_iter", 2000), standardization=False)
     if model == "linear":
-        return LinearRegression(**target, elasticNetParam=0.0, regParam=options.get("alpha", 1.0) / n, standardization=False)
+        return LinearRegression(**target, elasticNetParam=0.0, regParam=options.get("alpha", 1.0) * spread / n, standardization=False)
     if model == "mlp" and task == "T1":
         return MultilayerPerceptronClassifier(**target, layers=[width, *options.get("hidden", (128, 64)), 2], maxIter=options.get("max_iter", 200), seed=options.get("seed", 42))
     if model == "trees":
@@ -56,13 +68,14 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], task: str
     """``test`` with ``prediction_`` for a task; a train part of one class gives a constant score."""
     label = F.col("high_impact_label" if task == "T1" else "abnormal_return").cast("double")
     train = train.withColumn("label", label).where(F.col("label").isNotNull())
+    spread = 1.0
     if task == "T1":
         n, positive = train.agg(F.count("*"), F.sum("label")).first()
         if not positive or positive == n:
             return test.withColumn("prediction_", F.lit(1.0 if positive else 0.0))
         train = train.withColumn("weight", F.when(F.col("label") == 1, n / (2 * positive)).otherwise(n / (2 * (n - positive))))
     else:
-        n = train.count()
+        n, spread = train.agg(F.count("*"), F.stddev_pop("label")).first()
     medians, missing = imputation(train, columns)
     missing = missing if model != "trees" else []
     inputs = [*medians, *[f"{c}__missing" for c in missing]]
@@ -71,7 +84,7 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], task: str
     stages = [VectorAssembler(inputCols=inputs, outputCol="raw" if model != "trees" else "features")]
     if model != "trees":
         stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True))
-    fitted = Pipeline(stages=[*stages, estimator(task, model, n, len(inputs), options)]).fit(prepared(train, medians, missing))
+    fitted = Pipeline(stages=[*stages, estimator(task, model, n, len(inputs), options, spread or 1.0)]).fit(prepared(train, medians, missing))
     out = fitted.transform(prepared(test, medians, missing))
     score = F.least(F.lit(1.0), F.greatest(F.lit(0.0), vector_to_array("probability")[1])) if task == "T1" else F.col("prediction")
     return out.withColumn("prediction_", score)
@@ -82,11 +95,11 @@ def train_reference_model(features: DataFrame, labels: DataFrame, membership: Da
 
     The loop over folds is a loop over fits; all data work is in DataFrames.
     """
-    frames = iter_task_frames(labels, membership, quantile).cache()
+    frames = written(iter_task_frames(labels, membership, quantile), "frames")
     require_empty(shared_test_rows(frames), "samples tested in more than one fold")
     require_empty(unmatched(frames, features, KEY), "labelled samples without features")
     columns = [c for c, k in features.dtypes if c not in KEY and k in ("double", "float", "int", "bigint")]
-    rows = frames.join(features, KEY)
+    rows = written(frames.join(features, KEY), "samples")
     out = None
     for fold in sorted(r[0] for r in frames.select("fold_id").distinct().collect()):
         mine = rows.where(F.col("fold_id") == fold)
