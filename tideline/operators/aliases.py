@@ -1,17 +1,18 @@
 """Alias dictionary and the scan of texts for its entries.
 
-One alternation of all compact aliases, longest first, finds the leftmost-longest
-matches; what it finds is joined back to the dictionary by the matched text.  The
-pattern is a literal of the plan: it is built on the driver from the dictionary (one
-row per alias, checked against ``PATTERN_LIMIT``); above that the texts' substrings of
-the aliases' lengths are joined instead.
+Each market has a dictionary of its own: an alternation of its compact aliases, longest
+first, finds the leftmost-longest matches, so a form of one market neither hides nor
+credits one of another.  What is found is joined back to the dictionary by market and
+form.  The patterns are literals of the plan: they are built on the driver from the
+dictionary (one row per alias, checked against ``PATTERN_LIMIT``); above that the texts'
+substrings are joined instead.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -66,49 +67,64 @@ def pattern_of(forms: list[str]) -> str:
 
 
 def scan(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """One row per match: the texts' ``id`` and ``day``, ``location``, ``compact``, ``raw``.
+    """One row per match: the texts' ``id`` and ``day``, ``market``, ``location``, ``compact``, ``raw``.
 
-    ``texts`` has ``id``, ``day``, ``title``, ``content``.
+    ``texts`` has ``id``, ``day``, ``title``, ``content``; with a ``market`` too, a text is scanned for that market only.
     """
-    forms = [r[0] for r in aliases.select("compact").distinct().limit(PATTERN_LIMIT + 1).collect()]
+    forms = aliases.select("market", "compact").distinct().limit(PATTERN_LIMIT + 1).collect()
+    own = [c for c in ("market",) if c in texts.columns]
     places = F.array(*[F.struct(F.lit(p).alias("location"), F.coalesce(F.col(p), F.lit("")).alias("raw")) for p in ("title", "content")])
-    spots = texts.select("id", "day", F.explode(places).alias("p")).select("id", "day", "p.location", "p.raw")
+    spots = texts.select("id", "day", *own, F.explode(places).alias("p")).select("id", "day", *own, "p.location", "p.raw")
     spots = spots.withColumn("text", compact_alias(F.col("raw")))
     if not forms:
-        return spots.where(F.lit(False)).select("id", "day", "location", "raw", F.lit("").alias("compact"))
-    if len(forms) <= PATTERN_LIMIT:
-        found = spots.withColumn("compact", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern_of(forms)), F.lit(0)))))
-        return found.select("id", "day", "location", "raw", "compact")
-    return long_dictionary(spots, aliases)
+        return spots.where(F.lit(False)).select("id", "day", F.lit("").alias("market"), "location", "raw", F.lit("").alias("compact"))
+    if len(forms) > PATTERN_LIMIT:
+        return long_dictionary(spots, aliases)
+    by_market: dict[str | None, list[str]] = {}
+    for r in forms:
+        by_market.setdefault(r["market"], []).append(r["compact"])
+
+    def found(market: str | None) -> Column:
+        matches = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern_of(by_market[market])), F.lit(0)))
+        return F.when(F.col("market").eqNullSafe(F.lit(market)), matches) if own else matches
+
+    each = F.array(*[F.struct(F.lit(m).cast("string").alias("market"), found(m).alias("forms")) for m in sorted(by_market, key=str)])
+    rows = spots.select("id", "day", "location", "raw", F.explode(each).alias("f"))
+    return rows.select("id", "day", "f.market", "location", "raw", F.explode("f.forms").alias("compact"))
 
 
 def long_dictionary(spots: DataFrame, aliases: DataFrame) -> DataFrame:
     """Leftmost-longest matches for dictionaries too large for a pattern.
 
-    Aliases are joined by their first two characters; of the matches in a text those stay that begin where no
-    earlier match reaches, taken from left to right.
+    Aliases are joined by market and their first two characters; of the matches in a text those stay that begin where
+    no earlier match reaches, taken from left to right.  Only ids and what stands at a place (as many characters as the
+    longest alias has) are shuffled; the text itself joins what was found.
     """
-    forms = aliases.select("compact").distinct().withColumn("head", F.left("compact", F.lit(2)))
-    starts = spots.withColumn("pos", F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 1, F.lit(1))))).withColumn("head", F.substring(F.col("text"), F.col("pos"), F.lit(2)))
-    fits = F.substring(F.col("text"), F.col("pos"), F.char_length("compact")) == F.col("compact")
-    longest = starts.join(forms, "head").where(fits).groupBy("id", "day", "location", "raw", "pos").agg(F.max_by("compact", F.char_length("compact")).alias("compact"))
-    ordered = longest.groupBy("id", "day", "location", "raw").agg(F.array_sort(F.collect_list(F.struct("pos", "compact"))).alias("m"))
+    own = [c for c in ("market",) if c in spots.columns]
+    forms = aliases.select("market", "compact").distinct().withColumn("head", F.left("compact", F.lit(2)))
+    most = forms.agg(F.max(F.char_length("compact"))).first()[0] or 1  # one number
+    places = F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 1, F.lit(1)))).alias("pos")
+    starts = spots.select("id", *own, "location", "text", places).select("id", *own, "location", "pos", F.substring("text", F.col("pos"), F.lit(most)).alias("ahead"))
+    starts = starts.withColumn("head", F.left("ahead", F.lit(2)))
+    key = ["id", "location", "market"]
+    longest = starts.join(forms, [*own, "head"]).where(F.col("ahead").startswith(F.col("compact"))).groupBy(*key, "pos").agg(F.max_by("compact", F.char_length("compact")).alias("compact"))
+    ordered = longest.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "compact"))).alias("m"))
     start = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("kept"))
     step = lambda s, m: F.when(m["pos"] >= s["free"], F.struct((m["pos"] + F.char_length(m["compact"])).alias("free"), F.array_append(s["kept"], m["compact"]).alias("kept"))).otherwise(s)
-    return ordered.select("id", "day", "location", "raw", F.explode(F.array_distinct(F.aggregate("m", start, step)["kept"])).alias("compact"))
+    found = ordered.select(*key, F.explode(F.array_distinct(F.aggregate("m", start, step)["kept"])).alias("compact"))
+    return found.join(spots.select("id", "day", "location", "raw"), ["id", "location"]).select("id", "day", "market", "location", "raw", "compact")
 
 
 def hits(matches: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Scored hits, one per text, ticker, alias form and location.
+    """Scored hits, one per text, market, ticker, alias form and location.
 
-    A form is ambiguous if more than one ticker has it on the day, counted before anything is filtered.  Latin aliases
+    A form is ambiguous if more than one ticker of its market has it on the day, counted before anything is filtered.  Latin aliases
     have to stand in the raw text between characters that are no letters or digits.
     """
     day = F.col("day")
     on_day = (day.isNull() | ((F.coalesce("valid_from", day) <= day) & (F.coalesce("valid_to", day) >= day)))
-    joined = matches.join(aliases.drop("market") if "market" not in matches.columns else aliases, ["compact"] + (["market"] if "market" in matches.columns else []))
-    joined = joined.where(on_day)
-    spot = W.partitionBy("id", "location", "compact")
+    joined = matches.join(aliases, ["market", "compact"]).where(on_day)
+    spot = W.partitionBy("id", "market", "location", "compact")
     tickers = F.size(F.collect_set("ticker").over(spot))
     bounded = F.expr(r"raw rlike concat('(?i)(?<![A-Za-z0-9])\\Q', alias, '\\E(?![A-Za-z0-9])')")
     latin = F.col("alias").rlike("^[A-Za-z0-9 .&_-]+$")
@@ -116,12 +132,12 @@ def hits(matches: DataFrame, aliases: DataFrame) -> DataFrame:
     title = F.col("location") == "title"
     base = F.when(title, 42.0).otherwise(20.0) * F.col("confidence") + F.when(F.col("alias_type") == "ticker", 4.0).otherwise(0.0)
     score = F.when(~F.col("ambiguous"), base).when(title, base * 0.55).otherwise(base * 0.35)
-    return scored.withColumn("score", F.round(score, 3)).dropDuplicates(["id", "ticker", "compact", "location"])
+    return scored.withColumn("score", F.round(score, 3)).dropDuplicates(["id", "market", "ticker", "compact", "location"])
 
 
 def best_hits(found: DataFrame) -> DataFrame:
-    """The best hit of each text and ticker: by score, alias length, title first, alias."""
-    order = W.partitionBy("id", "ticker").orderBy(F.desc("score"), F.desc(F.char_length("compact")), F.desc("location"), "compact")
+    """The best hit of each text and company: by score, alias length, title first, alias."""
+    order = W.partitionBy("id", "market", "ticker").orderBy(F.desc("score"), F.desc(F.char_length("compact")), F.desc("location"), "compact")
     return found.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
 
 
@@ -132,6 +148,11 @@ def accepted(found: DataFrame, minimum: float = MIN_ALIGNMENT) -> DataFrame:
 
 
 def match_tickers(found: DataFrame, minimum: float = MIN_ALIGNMENT) -> DataFrame:
-    """Tickers of each text whose best hit, ambiguous ones too, scores enough; sorted."""
-    best = found.groupBy("id", "ticker").agg(F.max("score").alias("score")).where(F.col("score") >= minimum)
-    return best.groupBy("id").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
+    """Tickers of each text and market whose best hit, ambiguous ones too, scores enough; sorted."""
+    best = found.groupBy("id", "market", "ticker").agg(F.max("score").alias("score")).where(F.col("score") >= minimum)
+    return best.groupBy("id", "market").agg(F.array_sort(F.collect_set("ticker")).alias("tickers"))
+
+
+def with_company(found: DataFrame, companies: DataFrame) -> DataFrame:
+    """Hits with the attributes of their companies (``market``, ``ticker`` and what else the table has)."""
+    return found.join(companies, ["market", "ticker"])

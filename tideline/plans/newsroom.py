@@ -88,6 +88,29 @@ def c13_content_ids(spark, sf):
     return S.news(spark, sf).select("doc_id", T.article_id(F.col("date"), F.col("title"), F.col("content")).alias("article_id"), T.stable_hash(F.col("title"), F.col("source"), F.col("content")).alias("row_hash"))
 
 
+@query(f"""{WITH}, c AS (SELECT doc_id, {layout("CASE WHEN lang = 'en' THEN '' ELSE title END")} AS a, {layout('content')} AS b, {layout('title')} AS t FROM news)
+SELECT doc_id, md5(CASE WHEN a <> '' THEN a ELSE b END) AS first_md5,
+md5(CASE WHEN a <> '' THEN a WHEN {compact('b')} = '' OR ({compact('t')} <> '' AND (contains({compact('t')}, {compact('b')}) OR contains({compact('b')}, {compact('t')}))) OR length(b) < 80 THEN '' ELSE b END) AS choice_md5 FROM c""")
+def c15_c16_content_choice(spark, sf):
+    """The first filled field; and an article's text, else its summary where that says more than the title."""
+    rows = S.news(spark, sf).withColumn("a", F.when(F.col("lang") == "en", "").otherwise(F.col("title")))
+    rows = rows.select("doc_id", T.first_filled(F.col("a"), F.col("content")).alias("f"), *[T.normalize_article(F.col(x)).alias(y) for x, y in (("a", "x"), ("content", "s"), ("title", "t"))])
+    return rows.select("doc_id", F.md5(F.col("f").cast("binary")).alias("first_md5"), F.md5(C.content_or_summary(F.col("x"), F.col("s"), F.col("t")).cast("binary")).alias("choice_md5"))
+
+
+GARBLED = "中国石油天然气".encode().decode("latin-1")
+
+
+@query("""WITH d AS (SELECT doc_id, lang, replace(coalesce(source, ''), '&', '') AS s FROM documents)
+SELECT doc_id, CASE WHEN lang = 'en' THEN s ELSE '<b> ' || s || ' & é "中"' END AS plain, CASE WHEN lang = 'de' THEN s ELSE '中国石油天然气' || doc_id::VARCHAR END AS repaired FROM d""")
+def u1_u2_entities_and_mojibake(spark, sf):
+    """Entities in texts of all languages but one, and UTF-8 read as Latin-1 in all but another."""
+    s = F.replace(F.coalesce("source", F.lit("")), F.lit("&"), F.lit(""))
+    coded = F.when(F.col("lang") == "en", s).otherwise(F.concat(F.lit("&lt;b&gt; "), s, F.lit(" &amp; &#233; &quot;&#x4e2d;&quot;")))
+    broken = F.when(F.col("lang") == "de", s).otherwise(F.concat(F.lit(GARBLED), F.col("doc_id").cast("string")))
+    return S.table(spark, sf, "documents").select("doc_id", T.unescape(coded).alias("plain"), T.repair(broken).alias("repaired"))
+
+
 # ---- candidates
 
 KINDS = ["hkexnews_announcement", "google_news_rss", "gdelt_doc_api_company_query", "sina_finance_company_news", "other"]
@@ -203,20 +226,26 @@ def c22_c25_classify_news(spark, sf):
 
 # ---- aliases
 
-# word, ticker, type, confidence
-ALIASES = [("that", "1", "short_name", 0.82), ("with", "2", "short_name", 0.82), ("this", "3", "manual_alias", 0.9), ("from", "4", "legal_or_stock_name", 0.95), ("rewh", "5", "ticker", 0.95), ("orre", "6", "manual_alias", 0.9), ("thatin", "7", "short_name", 0.82), ("tion", "8", "manual_alias", 0.9), ("with", "9", "manual_alias", 0.9)]
-ALIAS_CTE = f"alias AS (SELECT * FROM (VALUES {', '.join(str(a) for a in ALIASES)}) t(compact, ticker, alias_type, confidence))"
+# market, word, ticker, type, confidence; "thatin" and "that" are of different markets
+ALIASES = [
+    ("M", "that", "1", "short_name", 0.82), ("M", "with", "2", "short_name", 0.82), ("M", "this", "3", "manual_alias", 0.9), ("M", "from", "4", "legal_or_stock_name", 0.95), ("M", "rewh", "5", "ticker", 0.95),
+    ("M", "orre", "6", "manual_alias", 0.9), ("M", "tion", "8", "manual_alias", 0.9), ("M", "with", "9", "manual_alias", 0.9),
+    ("N", "thatin", "7", "short_name", 0.82), ("N", "that", "1", "manual_alias", 0.9), ("N", "with", "2", "short_name", 0.82), ("N", "and", "5", "short_name", 0.7),
+]
+ALIAS_CTE = f"alias AS (SELECT * FROM (VALUES {', '.join(str(a) for a in ALIASES)}) t(market, compact, ticker, alias_type, confidence))"
 HITS = f"""{ALIAS_CTE}, spot AS (SELECT doc_id AS id, 'title' AS location, title AS raw FROM news UNION ALL SELECT doc_id, 'content', content FROM news),
-found AS (SELECT DISTINCT id, location, raw, unnest(regexp_extract_all({compact_alias('raw')}, 'thatin|from|orre|rewh|that|this|tion|with')) AS compact FROM spot),
-amb AS (SELECT compact, count(DISTINCT ticker) > 1 AS ambiguous FROM alias GROUP BY 1),
-hit AS (SELECT id, ticker, compact, location, alias_type, ambiguous, round((CASE WHEN location = 'title' THEN 42.0::DOUBLE ELSE 20.0::DOUBLE END * confidence::DOUBLE + CASE WHEN alias_type = 'ticker' THEN 4 ELSE 0 END)
+flat AS (SELECT *, {compact_alias('raw')} AS flat FROM spot),
+found AS (SELECT DISTINCT id, location, raw, 'M' AS market, unnest(regexp_extract_all(flat, 'from|orre|rewh|that|this|tion|with')) AS compact FROM flat UNION ALL
+  SELECT DISTINCT id, location, raw, 'N', unnest(regexp_extract_all(flat, 'thatin|that|with|and')) FROM flat),
+amb AS (SELECT market, compact, count(DISTINCT ticker) > 1 AS ambiguous FROM alias GROUP BY ALL),
+hit AS (SELECT id, market, ticker, compact, location, alias_type, ambiguous, round((CASE WHEN location = 'title' THEN 42.0::DOUBLE ELSE 20.0::DOUBLE END * confidence::DOUBLE + CASE WHEN alias_type = 'ticker' THEN 4 ELSE 0 END)
   * CASE WHEN NOT ambiguous THEN 1 WHEN location = 'title' THEN 0.55::DOUBLE ELSE 0.35::DOUBLE END, 3) AS score
-  FROM found JOIN alias USING (compact) JOIN amb USING (compact) WHERE regexp_matches(raw, '(?i)(^|[^A-Za-z0-9])' || compact || '($|[^A-Za-z0-9])'))"""
+  FROM found JOIN alias USING (market, compact) JOIN amb USING (market, compact) WHERE regexp_matches(raw, '(?i)(^|[^A-Za-z0-9])' || compact || '($|[^A-Za-z0-9])'))"""
 
 
 def dictionary(spark):
-    rows = spark.createDataFrame(ALIASES, "alias string, ticker string, alias_type string, confidence double")
-    return rows.withColumns({"compact": T.compact_alias(F.col("alias")), "market": F.lit("M"), "valid_from": F.lit(None).cast("date"), "valid_to": F.lit(None).cast("date")})
+    rows = spark.createDataFrame(ALIASES, "market string, alias string, ticker string, alias_type string, confidence double")
+    return rows.withColumns({"compact": T.compact_alias(F.col("alias")), "valid_from": F.lit(None).cast("date"), "valid_to": F.lit(None).cast("date")})
 
 
 def alias_hits(spark, sf):
@@ -225,14 +254,14 @@ def alias_hits(spark, sf):
     return aliases.hits(aliases.scan(texts, words), words)
 
 
-@query(f"{WITH}, {HITS} SELECT id, ticker, compact, location, ambiguous, score FROM hit")
+@query(f"{WITH}, {HITS} SELECT id, market, ticker, compact, location, ambiguous, score FROM hit")
 def j10_alias_hits(spark, sf):
-    return alias_hits(spark, sf).select("id", "ticker", "compact", "location", "ambiguous", "score")
+    return alias_hits(spark, sf).select("id", "market", "ticker", "compact", "location", "ambiguous", "score")
 
 
-@query(f"""{WITH}, {HITS} SELECT id, ticker, compact, location, score, NOT ambiguous AND score >= 18 AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY id, ticker ORDER BY score DESC, length(compact) DESC, location DESC, compact) AS r FROM hit) WHERE r = 1""")
+@query(f"""{WITH}, {HITS} SELECT id, market, ticker, compact, location, score, NOT ambiguous AND score >= 18 AS accepted FROM (SELECT *, row_number() OVER (PARTITION BY id, market, ticker ORDER BY score DESC, length(compact) DESC, location DESC, compact) AS r FROM hit) WHERE r = 1""")
 def w3_best_hits(spark, sf):
-    return aliases.accepted(aliases.best_hits(alias_hits(spark, sf))).select("id", "ticker", "compact", "location", "score", "accepted")
+    return aliases.accepted(aliases.best_hits(alias_hits(spark, sf))).select("id", "market", "ticker", "compact", "location", "score", "accepted")
 
 
 @query(f"{WITH}, {HITS} SELECT count(*) AS hits, count(*) FILTER (NOT (NOT ambiguous AND score >= 18)) AS rejected FROM hit")
@@ -240,9 +269,16 @@ def a8_rejected_hits(spark, sf):
     return aliases.accepted(alias_hits(spark, sf)).agg(F.count("*").alias("hits"), F.count_if(~F.col("accepted")).alias("rejected"))
 
 
-@query(f"{WITH}, {HITS} SELECT id, string_agg(ticker, ';' ORDER BY ticker) AS tickers FROM (SELECT id, ticker FROM hit GROUP BY 1, 2 HAVING max(score) >= 18) GROUP BY 1")
+@query(f"{WITH}, {HITS} SELECT id, market, string_agg(ticker, ';' ORDER BY ticker) AS tickers FROM (SELECT id, market, ticker FROM hit GROUP BY ALL HAVING max(score) >= 18) GROUP BY ALL")
 def j10_match_tickers(spark, sf):
-    return aliases.match_tickers(alias_hits(spark, sf)).select("id", F.array_join("tickers", ";").alias("tickers"))
+    return aliases.match_tickers(alias_hits(spark, sf)).select("id", "market", F.array_join("tickers", ";").alias("tickers"))
+
+
+@query(f"""{WITH}, {HITS}, company AS (SELECT market, ticker, market || ':' || ticker AS company_id, count(*) AS forms FROM alias GROUP BY ALL)
+SELECT id, company_id, forms, count(*) AS hits, max(score) AS score FROM hit JOIN company USING (market, ticker) GROUP BY ALL""")
+def j13_hit_companies(spark, sf):
+    companies = dictionary(spark).groupBy("market", "ticker").agg(F.concat_ws(":", F.first("market"), F.first("ticker")).alias("company_id"), F.count("*").alias("forms"))
+    return aliases.with_company(alias_hits(spark, sf), companies).groupBy("id", "company_id", "forms").agg(F.count("*").alias("hits"), F.max("score").alias("score"))
 
 
 @query(f"""{WITH}, raw AS (SELECT market, ticker, 0 AS pos, company_name AS alias, 'legal_or_stock_name' AS alias_type FROM firm UNION ALL SELECT market, ticker, 1, company_name, 'short_name' FROM firm
@@ -291,16 +327,16 @@ def a13_top_themes(spark, sf):
     return attention.top_themes(S.mentions(spark, sf), ["market", "date"])
 
 
-FAMILY = [("CLICK", "energy"), ("VIEW", "energy"), ("PURCHASE", "sanction"), ("SIGNUP", "war_conflict"), ("T1", "war_conflict"), ("T2", "sanction")]
+FAMILIES = ["war_conflict", "sanction", "energy", "supply_chain_trade", "financial_stress", "policy_regulation", "disaster_health", "protest_unrest"]
+FAMILY = [("CLICK", "energy"), ("VIEW", "policy_regulation"), ("PURCHASE", "supply_chain_trade"), ("SIGNUP", "war_conflict"), *[(f"T{k}", FAMILIES[k % 8]) for k in range(100)]]
 
 
 @query(f"""{WITH}, fam AS (SELECT * FROM (VALUES {', '.join(str(f) for f in FAMILY)}) t(token, family)), m AS (SELECT DISTINCT market, date, article, family FROM (SELECT market, date, article, unnest(string_split(themes, ';')) AS token FROM mention) JOIN fam USING (token)),
-c AS (SELECT market, date, count(*) FILTER (family = 'energy') AS e, count(*) FILTER (family = 'sanction') AS s, count(*) FILTER (family = 'war_conflict') AS w FROM m GROUP BY ALL), n AS (SELECT market, date, count(*) AS n FROM mention GROUP BY ALL)
-SELECT market, date, coalesce(e, 0) AS gdelt_theme_energy_count, coalesce(s, 0) AS gdelt_theme_sanction_count, coalesce(w, 0) AS gdelt_theme_war_conflict_count, round(coalesce(e, 0) / n, 6) AS gdelt_theme_energy_share, round(coalesce(s, 0) / n, 6) AS gdelt_theme_sanction_share, round(coalesce(w, 0) / n, 6) AS gdelt_theme_war_conflict_share FROM n LEFT JOIN c USING (market, date)""")
+c AS (SELECT market, date, {', '.join(f"count(*) FILTER (family = '{f}') AS {f}" for f in FAMILIES)} FROM m GROUP BY ALL), n AS (SELECT market, date, count(*) AS n FROM mention GROUP BY ALL)
+SELECT market, date, {', '.join(f"coalesce({f}, 0) AS gdelt_theme_{f}_count, round(coalesce({f}, 0) / n, 6) AS gdelt_theme_{f}_share" for f in FAMILIES)} FROM n LEFT JOIN c USING (market, date)""")
 def a14_theme_families(spark, sf):
-    names = ["energy", "sanction", "war_conflict"]
-    out = attention.theme_families(S.mentions(spark, sf), spark.createDataFrame(FAMILY, "token string, family string"), names, ["market", "date"], "gdelt_theme")
-    return r6(out, *[f"gdelt_theme_{n}_share" for n in names])
+    out = attention.theme_families(S.mentions(spark, sf), spark.createDataFrame(FAMILY, "token string, family string"), FAMILIES, ["market", "date"], "gdelt_theme")
+    return r6(out, *[f"gdelt_theme_{n}_share" for n in FAMILIES])
 
 
 def over(c, n, f="sum"):
@@ -318,10 +354,25 @@ def w10_w11_rolling_attention(spark, sf):
     return r6(out.select(*KEY, "date", *names), *[c for c in names if "count" not in c])
 
 
-@query()
+def market_over(c, n, f="sum"):
+    return f"{f}({c}) OVER (PARTITION BY event_id, market ORDER BY date RANGE BETWEEN INTERVAL {n - 1} DAYS PRECEDING AND CURRENT ROW)"
+
+
+def market_burst(c):
+    return f"round(({market_over(c, 3)} / 3) / ({market_over(c, 14)} / 14 + 1), 6)"
+
+
+@query(f"""{WITH}, {FIRMDAY}, el AS (SELECT market, count(DISTINCT ticker) AS n FROM firm GROUP BY 1),
+md AS (SELECT fd.event_id, fd.market, fd.date, sum(gdelt_news_count)::BIGINT AS m, sum(negative_news_count)::BIGINT AS neg, count(*) AS cover, count(*) / any_value(el.n) AS share, avg(avg_gdelt_tone) AS tone FROM fd JOIN el USING (market) GROUP BY ALL)
+SELECT event_id, market, date, {market_over('m', 3)}::BIGINT AS market_gdelt_mentions_3d, {market_over('m', 7)}::BIGINT AS market_gdelt_mentions_7d, {market_over('m', 14)}::BIGINT AS market_gdelt_mentions_14d,
+{market_over('neg', 3)}::BIGINT AS market_negative_news_3d, {market_over('neg', 7)}::BIGINT AS market_negative_news_7d, round({market_over('neg', 7)} / {market_over('m', 7)}, 6) AS market_negative_share_7d,
+round({market_over('share', 7, 'avg')}, 6) AS market_covered_firm_share_7d, round({market_over('tone', 3, 'avg')} - {market_over('tone', 14, 'avg')}, 6) AS market_tone_drop_3d_vs_14d,
+{market_burst('neg')} AS market_negative_burst_3d_vs_14d, {market_burst('cover')} AS market_coverage_burst_3d_vs_14d FROM md""")
 def w10_w11_rolling_market(spark, sf):
     m = S.mentions(spark, sf)
-    return attention.rolling_market(attention.market_days(m, attention.firm_days(m), eligible(spark, sf).where(F.col("event_id") == "e1")))
+    out = attention.rolling_market(attention.market_days(m, attention.firm_days(m), eligible(spark, sf).where(F.col("event_id") == "e1")))
+    names = [c for c in out.columns if c.endswith(("_3d", "_7d", "_14d"))]
+    return r6(out.select("event_id", "market", "date", *names), *[c for c in names if "share" in c or "burst" in c or "drop" in c])
 
 
 @query(f"""{WITH}, {PANEL}, fn AS (SELECT market, ticker, n.* FROM news n JOIN firm ON s_suppkey - 1 = doc_id % (SELECT count(*) FROM firm)),
