@@ -15,6 +15,11 @@ def period(date: Column) -> Column:
     return F.when(date < F.col("event_start_date"), "pre_event").when(date <= F.col("event_end_date"), "during_event").otherwise("post_event")
 
 
+def pre_event_inputs(days: DataFrame) -> DataFrame:
+    """The days of a panel that may be inputs: those before their event."""
+    return days.where(F.col("is_pre_event_input") == 1)
+
+
 def covered_days(events: DataFrame) -> DataFrame:
     """Distinct days of all event windows."""
     return events.select(F.explode(F.sequence("pre_start_date", "post_end_date")).alias("date")).distinct()

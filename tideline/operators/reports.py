@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,14 +34,22 @@ def source_inventory(rows: DataFrame) -> DataFrame:
     )
 
 
-def fingerprint(df: DataFrame) -> DataFrame:
-    """Rows, and a hash of the content that does not depend on order; one aggregate, no sort.
-
-    A row's sha256 in two halves; both sums run over decimals, so that repeated rows count.
-    """
+def row_hashes(df: DataFrame) -> list[Column]:
+    """Sums of two parts of each row's sha256, over decimals, so that repeated rows count."""
     row = F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).cast("binary"), 256)
     part = lambda lo: F.conv(F.substring(row, lo, 12), 16, 10).cast("decimal(20,0)")
-    return df.agg(F.count("*").alias("rows"), F.sum(part(1)).alias("hash_a"), F.sum(part(13)).alias("hash_b"))
+    return [F.sum(part(1)).alias("hash_a"), F.sum(part(13)).alias("hash_b")]
+
+
+def fingerprints(df: DataFrame, by: str) -> DataFrame:
+    """For each value of ``by`` (as ``path``): rows, and a sha256 of the sums of its rows' hashes."""
+    out = df.groupBy(F.col(by).cast("string").alias("path")).agg(F.count("*").alias("rows"), *row_hashes(df.drop(by)))
+    return out.select("path", "rows", F.sha2(F.concat_ws(":", "hash_a", "hash_b").cast("binary"), 256).alias("sha256"))
+
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """Rows, and a hash of the content that does not depend on order; one aggregate, no sort."""
+    return df.agg(F.count("*").alias("rows"), *row_hashes(df))
 
 
 def stale(df: DataFrame, stored: dict) -> bool:

@@ -2,25 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as C
-from ..operators import checks, panel, train
+from ..operators import checks, panel, reports, train
+from ..operators.labels import task_frames
+from ..operators.tables import shared_path, written
 from ..sources import io
 from ..streaming import ingest
 from . import standin as S
 from .registry import query
-from .study import DAILY, KEY, WITH, chronological, daily, label_table, outcomes, predictions, r6
+from .study import DAILY, KEY, PANEL, WITH, chronological, daily, dense, label_table, outcomes, predictions, r6, stats_sql
 
 
-def scratch(spark, name: str) -> str:
-    """A new folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+scratch = shared_path
 
 
 # ---- sources and sinks
@@ -42,14 +38,15 @@ def s9_event_market_slices(spark, sf):
 
 @query("SELECT doc_id % 30 AS day, source, count(*) AS n, count(DISTINCT text) AS texts FROM (SELECT doc_id, source, coalesce(text, '') AS text FROM documents) GROUP BY ALL")
 def s3_news_pools(spark, sf):
-    """Documents landed as JSON envelopes, a source and day each, and read back."""
+    """Documents landed as JSON envelopes, a day and some thousand records at most each, and read back."""
     path = scratch(spark, "pools")
     docs = S.table(spark, sf, "documents")
+    pieces = docs.count() // 30_000 + 1
     day = F.col("doc_id") % 30
     start = F.to_timestamp_ntz(F.date_add(F.lit("1996-01-01").cast("date"), day.cast("int")).cast("string"))
     record = F.struct((start + F.expr("interval 8 hours")).cast("string").alias("datetime"), F.lit(None).cast("string").alias("pub_time"), F.col("doc_id").cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("src"), F.lit("x").alias("source"))
     pools = docs.withColumns({"start_dt": start, "end_dt": start + F.expr("interval 23 hours"), "r": record})
-    pools = pools.groupBy(F.lit("news").alias("endpoint"), F.lit("x").alias("source"), "start_dt", "end_dt", (F.col("doc_id") % 97).alias("piece")).agg(F.count("*").alias("row_count"), F.collect_list("r").alias("records"))
+    pools = pools.groupBy(F.lit("news").alias("endpoint"), F.lit("x").alias("source"), "start_dt", "end_dt", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece")).agg(F.count("*").alias("row_count"), F.collect_list("r").alias("records"))
     pools.drop("piece").write.option("compression", "gzip").json(path)
     raw = spark.read.schema(io.POOL).json(path)
     rows = io.pool_records(raw)
@@ -83,25 +80,97 @@ def s5_s6_vendor_rows(spark, sf):
     return panel.from_vendor(rows).select("market", "ticker", "date", "close", "volume")
 
 
-@query(f"{WITH} SELECT DISTINCT 'by_year__test' AS fold_id, CASE WHEN event_id IN ('e1', 'e2') THEN 'train' ELSE 'test' END AS part, event_id, market, ticker FROM label WHERE event_id IN ('e1', 'e2', 'e4')")
+@query(f"{WITH} SELECT DISTINCT 'by_year__test' AS fold_id, CASE WHEN event_id IN ('e1', 'e2') THEN 'train' WHEN event_id = 'e3' THEN 'validation' ELSE 'test' END AS part, event_id, market, ticker FROM label")
 def s11_split_json(spark, sf):
-    """A split written as JSON from the labels' firms, and read as a membership table."""
+    """A split written as JSON, a document for each market and run of its firms, and read as a membership table."""
     path = scratch(spark, "split")
-    labels = label_table(spark, sf)
-    by_market = labels.groupBy("market").agg(F.array_sort(F.collect_set("ticker")).alias("t")).agg(F.map_from_entries(F.collect_list(F.struct("market", "t"))).alias("m"))
-    part = lambda events: F.struct(F.array(*[F.lit(e) for e in events]).cast("array<string>").alias("events"), F.map_keys("m").alias("markets"), F.col("m").alias("tickers_by_market"))
-    by_market.select(F.lit("by_year").alias("split_type"), part(["e1", "e2"]).alias("train"), part([]).alias("validation"), part(["e4"]).alias("test")).write.json(path)
-    return io.read_split(spark, path).join(labels.select("event_id", "market", "ticker"), KEY, "left_semi").select("fold_id", "part", *KEY)
+    labels = written(label_table(spark, sf), "labels")
+    runs = labels.select("market", "ticker").distinct().groupBy("market", F.pmod(F.xxhash64("ticker"), F.lit(64)).alias("run")).agg(F.array_sort(F.collect_list("ticker")).alias("t"))
+    part = lambda events: F.struct(F.array(*[F.lit(e) for e in events]).alias("events"), F.array("market").alias("markets"), F.create_map("market", "t").alias("tickers_by_market"))
+    runs.select(F.lit("by_year").alias("split_type"), part(["e1", "e2"]).alias("train"), part(["e3"]).alias("validation"), part(["e4"]).alias("test")).write.option("maxRecordsPerFile", 1).json(path)
+    return io.read_split(spark, path).join(labels.select(*KEY), KEY, "left_semi").select("fold_id", "part", *KEY)
 
 
-@query("SELECT count(*) AS files, sum(rows)::BIGINT AS rows FROM (SELECT count(*) AS rows FROM customer HAVING count(*) > 0)")
+@query("""WITH f AS (SELECT c_mktsegment AS path, count(*) AS n FROM customer GROUP BY 1), m AS (SELECT * FROM f WHERE path <> 'MACHINERY')
+SELECT f.path, n AS found_rows, CASE WHEN path = 'BUILDING' THEN n + 1 WHEN path <> 'MACHINERY' THEN n END AS listed_rows FROM f WHERE path IN ('BUILDING', 'FURNITURE', 'MACHINERY')
+UNION ALL SELECT 'NOWHERE', NULL, 1""")
 def v16_release_audit(spark, sf):
-    """Files of a release as they were listed: no violation, and what was counted."""
+    """A release by segment against a manifest with a wrong count, a wrong content, a missing and an unknown entry."""
     path = scratch(spark, "release")
-    S.table(spark, sf, "customer").coalesce(1).write.parquet(path)
-    found = io.file_counts(spark, path)
-    wrong = checks.audit(found, found)
-    return found.join(wrong.select("path"), "path", "left_anti").agg(F.count("*").alias("files"), F.sum("rows").alias("rows"))
+    customers = S.table(spark, sf, "customer")
+    io.write_table(customers, path, by=["c_mktsegment"])
+    found = reports.fingerprints(spark.read.parquet(path), "c_mktsegment")
+    listed = reports.fingerprints(customers, "c_mktsegment").where(F.col("path") != "MACHINERY")
+    segment = F.col("path")
+    listed = listed.select("path", (F.col("rows") + (segment == "BUILDING").cast("int")).alias("rows"), F.when(segment == "FURNITURE", "another").otherwise(F.col("sha256")).alias("sha256"))
+    listed = listed.unionByName(spark.createDataFrame([("NOWHERE", 1, "x")], "path string, rows long, sha256 string"))
+    return checks.audit(found, listed).select("path", "found_rows", "listed_rows")
+
+
+@query("SELECT count(*) AS n, count(*) AS listed FROM customer")
+def s16_release_files(spark, sf):
+    """Rows and sums of a release's files, each listed once."""
+    path = scratch(spark, "files")
+    S.table(spark, sf, "customer").write.parquet(path)
+    files = io.file_counts(spark, path)
+    return files.agg(F.sum("rows").alias("n"), F.sum(F.when(F.length("sha256") == 64, F.col("rows"))).alias("listed"))
+
+
+@query(f"{WITH}, {DAILY} SELECT event_id, market, ticker, {stats_sql(['days_to_event_start', 'high', 'low', 'close', 'volume'])}, count(*) AS pre_event_day_count FROM daily JOIN label USING (event_id, market, ticker) GROUP BY ALL")
+def s2_release_folder(spark, sf):
+    """Daily features and labels written in a release's layout, found there and aggregated."""
+    root = scratch(spark, "layout")
+    days = written(daily(spark, sf), "days")
+    io.write_table(days, f"{root}/data/daily_features")
+    io.write_table(outcomes(spark, sf).join(days.select(*KEY).distinct(), KEY, "left_semi"), f"{root}/data/labels")
+    frame, _ = io.load_event_feature_frame(spark, root, "S0")
+    return r6(frame, *[c for c in frame.columns if "__" in c])
+
+
+@query(f"""{WITH}, a AS (SELECT market, ticker, 'Brand ' || ticker AS alias, CASE WHEN s_suppkey % 3 = 0 THEN 'ticker' ELSE 'short_name' END AS alias_type, CASE WHEN s_suppkey % 2 = 0 THEN 0.5 END AS given FROM firm)
+SELECT market, ticker, alias, 'brand' || ticker AS compact, coalesce(given::DOUBLE, CASE WHEN alias_type = 'ticker' THEN 0.95 ELSE 0.82 END::DOUBLE) AS confidence FROM a""")
+def s7_alias_file(spark, sf):
+    """Explicit aliases as CSV, some without a usable name or number."""
+    path = scratch(spark, "aliases")
+    n = F.col("s_suppkey")
+    firms = S.firms(spark, sf)
+    rows = firms.select("market", "ticker", F.concat(F.lit("Brand "), "ticker").alias("alias"), F.when(n % 3 == 0, "ticker").otherwise("short_name").alias("alias_type"), F.when(n % 2 == 0, "0.5").otherwise("high").alias("confidence"))
+    rows = rows.unionByName(firms.select("market", "ticker", F.lit("中国").alias("alias"), F.lit("short_name").alias("alias_type"), F.lit("1").alias("confidence")))
+    rows.write.option("header", "true").csv(path)
+    return io.read_aliases(spark, path).select("market", "ticker", "alias", "compact", "confidence")
+
+
+@query(f"{WITH} SELECT 'predictions' AS name, count(*) AS n, round(sum(t2_prediction), 4) AS total FROM pred UNION ALL SELECT 'folds', count(*), round(sum(event_return), 4) FROM label")
+def s10_run_bundle(spark, sf):
+    """A run's tables written together and read back."""
+    path = scratch(spark, "run")
+    io.write_run({"predictions": predictions(spark, sf), "folds": label_table(spark, sf)}, path)
+    one = lambda name, x: spark.read.parquet(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.round(F.sum(x), 4).alias("total"))
+    return one("predictions", "t2_prediction").unionByName(one("folds", "event_return"))
+
+
+@query("SELECT vec_id, round(list_sum(list_transform(range(len(embedding)), lambda i: (i + 1) * embedding[i + 1]::DOUBLE)), 4) AS weighted FROM embeddings")
+def f3_wide_embeddings(spark, sf):
+    """Vectors as wide columns in the order of their names' text, brought back in the order of their numbers."""
+    from ..operators import features
+
+    e = S.table(spark, sf, "embeddings")
+    width = e.agg(F.max(F.size("embedding"))).first()[0]  # one number
+    wide = e.select("vec_id", *[F.get("embedding", F.lit(int(k))).alias(f"emb_{k}") for k in sorted(map(str, range(width)))])
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: (i + 1) * x), F.lit(0.0), lambda a, b: a + b)
+    return features.as_array(wide).select("vec_id", F.round(weighted, 4).alias("weighted"))
+
+
+@query("SELECT false AS unchanged_stale, true AS one_row_less_stale, count(*) > 0 AS has_rows FROM orders")
+def v17_stale_lineage(spark, sf):
+    """A stored fingerprint against the same table in another order, and against it without its last key."""
+    orders = S.table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    stored = reports.fingerprint(orders)
+    last = orders.agg(F.max("o_orderkey").alias("last"))
+    less = reports.fingerprint(orders.join(F.broadcast(last), F.col("o_orderkey") != F.col("last")).drop("last"))
+    same = reports.fingerprint(orders.repartition(7, "o_custkey"))
+    differs = lambda df, name: stored.alias("a").join(df.alias("b")).select((F.struct("a.*") != F.struct("b.*")).alias(name))  # noqa: E731  one row each
+    return differs(same, "unchanged_stale").join(differs(less, "one_row_less_stale")).join(stored.select((F.col("rows") > 0).alias("has_rows")))
 
 
 # ---- checks
@@ -112,14 +181,13 @@ def v2_bad_keys(spark, sf):
     return checks.bad_keys(S.table(spark, sf, "events").select("user_id", "event_type"), ["user_id", "event_type"])
 
 
-RAW = "(['true', ' Yes ', '0', 'NO', 'maybe', '1', 'False'])[doc_id % 7 + 1]"
-
-
-@query(f"""SELECT doc_id, CASE lower(trim({RAW})) WHEN 'true' THEN true WHEN 'yes' THEN true WHEN '1' THEN true WHEN 'false' THEN false WHEN 'no' THEN false WHEN '0' THEN false END AS flag,
-try_cast(substr(coalesce(text, ''), 1, 2) AS DOUBLE) AS num FROM documents""")
+@query("""WITH r AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'maybe' WHEN quality = 1 THEN ' Yes ' ELSE 'NO' END AS raw, CASE WHEN quality = 1 THEN doc_id::VARCHAR || '.50' ELSE 'n' || doc_id::VARCHAR END AS num FROM labels)
+SELECT doc_id, CASE lower(trim(raw)) WHEN 'yes' THEN true WHEN 'no' THEN false END AS flag, try_cast(num AS DOUBLE) AS num FROM r""")
 def v3_v4_coercions(spark, sf):
-    raw = F.element_at(F.array(*[F.lit(x) for x in ("true", " Yes ", "0", "NO", "maybe", "1", "False")]), (F.col("doc_id") % 7 + 1).cast("int"))
-    return S.table(spark, sf, "documents").select("doc_id", checks.as_flag(raw).alias("flag"), checks.number(F.substring(F.coalesce("text", F.lit("")), 1, 2)).alias("num"))
+    good, bad = F.col("quality") == 1, F.col("toxic") == 1
+    raw = F.when(bad, "maybe").when(good, " Yes ").otherwise("NO")
+    text = F.when(good, F.concat(F.col("doc_id").cast("string"), F.lit(".50"))).otherwise(F.concat(F.lit("n"), F.col("doc_id").cast("string")))
+    return S.table(spark, sf, "labels").select("doc_id", checks.as_flag(raw).alias("flag"), checks.number(text).alias("num"))
 
 
 @query(f"{WITH} SELECT event_id, market, ticker, round(event_return, 6) AS event_return FROM label")
@@ -188,9 +256,10 @@ def v14_disagreeing_prices(spark, sf):
     return checks.disagreeing_prices(rows, ["l_suppkey", "date"])
 
 
-@query(f"{WITH} SELECT DISTINCT unnest(generate_series(pre_start_date, post_end_date, INTERVAL 1 DAY))::DATE AS date FROM cal EXCEPT SELECT o_orderdate::DATE FROM orders WHERE o_orderkey % 50 = 0")
+@query(f"{WITH} SELECT DISTINCT unnest(generate_series(pre_start_date, post_end_date, INTERVAL 1 DAY))::DATE AS date FROM cal EXCEPT SELECT o_orderdate::DATE FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
 def v15_o5_uncovered_days(spark, sf):
-    landed = S.table(spark, sf, "orders").where(F.col("o_orderkey") % 50 == 0).select(F.to_date("o_orderdate").alias("date"))
+    """Days on which no urgent order is in part delivered."""
+    landed = S.table(spark, sf, "orders").where((F.col("o_orderstatus") == "P") & (F.col("o_orderpriority") == "1-URGENT")).select(F.to_date("o_orderdate").alias("date"))
     return checks.uncovered_days(panel.covered_days(S.calendar(spark)), landed)
 
 
@@ -285,13 +354,17 @@ def o1_sorted_predictions(spark, sf):
     return r6(predictions(spark, sf).select(*KEY, "t2_prediction", place.alias("place")), "t2_prediction")
 
 
-@query(f"{WITH}, f AS (SELECT 'e__' || h AS fold_id, CASE WHEN event_id = h THEN 'test' ELSE 'train' END AS part, l.* FROM label l, (SELECT DISTINCT event_id AS h FROM label) WHERE event_id <> 'e4' OR h = 'e4') SELECT fold_id, count(*) FILTER (part = 'train') AS train, count(*) FILTER (part = 'test') AS test, count(event_return) FILTER (part = 'train') AS \"values\" FROM f GROUP BY 1 HAVING count(*) FILTER (part = 'train') < 0")
+@query(f"""{WITH}, f AS (SELECT 'e__' || h AS fold_id, CASE WHEN event_id = h THEN 'test' ELSE 'train' END AS part, l.* FROM label l, (SELECT DISTINCT event_id AS h FROM label)),
+n AS (SELECT fold_id, count(*) FILTER (part = 'train' AND fold_id <> 'e__e2') AS train, count(*) FILTER (part = 'test' AND fold_id <> 'e__e1') AS test FROM f GROUP BY 1)
+SELECT fold_id, train, test, train AS "values" FROM n WHERE train = 0 OR test = 0""")
 def v20_empty_parts(spark, sf):
-    """Folds that lack train or test rows: none."""
+    """Folds of which one has lost its test rows and one its train rows."""
     from ..operators import labels as L
 
-    rows = label_table(spark, sf)
-    return checks.empty_parts(L.members(rows, L.leave_one_out(rows, "event_id", "e")), 0.9)
+    rows = written(label_table(spark, sf), "labels")
+    folds = L.leave_one_out(rows, "event_id", "e")
+    lost = ((F.col("fold_id") == "e__e1") & (F.col("part") == "test")) | ((F.col("fold_id") == "e__e2") & (F.col("part") == "train"))
+    return checks.empty_parts(L.members(rows, folds.where(~lost)), 0.9)
 
 
 @query(f"""{WITH}, d AS (SELECT market, ticker, lower(company_name) AS compact, 0.95::DOUBLE AS confidence, s_suppkey FROM firm)
@@ -305,6 +378,121 @@ def j12_alias_override(spark, sf):
     return aliases.override(derived, explicit)
 
 
-@query(f"{WITH}, {DAILY} SELECT event_id, market, ticker, date, days_to_event_start FROM daily WHERE date < event_start_date")
+@query(f"{WITH}, {PANEL} SELECT event_id, market, ticker, date, close, news_count FROM panel WHERE is_pre_event_input = 1")
 def t5_pre_event_inputs(spark, sf):
-    return daily(spark, sf).where(F.col("date") < F.col("event_start_date")).select(*KEY, "date", "days_to_event_start")
+    """Of the dense panel, what may be an input."""
+    return panel.pre_event_inputs(dense(spark, sf)).select(*KEY, "date", "close", "news_count")
+
+
+# ---- what models are fitted on, and what can be said of them exactly
+
+
+POOLED = """CASE WHEN lang = 'es' THEN 'no time' WHEN coalesce(text, '') = '' OR trim(text) = '' THEN 'no content' WHEN lang = 'fr' THEN 'time with a zone' WHEN lang = 'de' THEN 'outside its window' END"""
+
+
+@query(f"SELECT coalesce({POOLED}, 'sound') AS rule, count(*) AS n FROM documents GROUP BY 1")
+def r1_v12_ingest_pools(spark, sf):
+    """Documents landed as pools in two lots and ingested by a stream that resumes: sound records and violations."""
+    landing, out, checkpoint = scratch(spark, "lots"), scratch(spark, "ingested"), scratch(spark, "ingested-checkpoint")
+    docs = S.table(spark, sf, "documents")
+    pieces = docs.count() // 1000 + 1
+    lang = F.coalesce("lang", F.lit(""))
+    ts = F.when(lang == "es", F.lit(None).cast("string")).when(lang == "fr", "1996-01-01 08:00:00Z").when(lang == "de", "1996-02-01 08:00:00").otherwise("1996-01-01 08:00:00")
+    record = F.struct(ts.alias("datetime"), F.lit(None).cast("string").alias("pub_time"), F.col("doc_id").cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("src"), F.lit("x").alias("source"))
+    pools = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece"), record.alias("r")).groupBy("piece").agg(F.count("*").alias("row_count"), F.collect_list("r").alias("records"))
+    start = F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00"))
+    pools = pools.select("piece", F.lit("news").alias("endpoint"), F.lit("x").alias("source"), start.alias("start_dt"), (start + F.expr("interval 23 hours")).alias("end_dt"), "row_count", "records")
+    for lot in (0, 1):  # the second run takes up only what landed since
+        pools.where(F.col("piece") % 2 == lot).drop("piece").write.mode("append").json(landing)
+        ingest.ingest_pools(spark, landing, out, checkpoint)
+    sound = spark.read.parquet(f"{out}/records").select(F.lit("sound").alias("rule"))
+    return sound.unionByName(spark.read.parquet(f"{out}/violations").select("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+MODEL_ROWS = """mrow AS (SELECT o.event_id, o.market, o.ticker, o.event_return AS a, CASE WHEN p.t2_prediction > 0 THEN p.t2_prediction END AS b FROM outcome o LEFT JOIN pred p USING (event_id, market, ticker)),
+med AS (SELECT quantile_cont(a, 0.5) AS ma, quantile_cont(b, 0.5) AS mb FROM mrow)"""
+
+
+def model_rows(spark, sf):
+    """Outcomes with two columns that are null in places."""
+    rows = outcomes(spark, sf).select(*KEY, F.col("event_return").alias("a")).join(predictions(spark, sf).select(*KEY, F.when(F.col("t2_prediction") > 0, F.col("t2_prediction")).alias("b")), KEY, "left")
+    return written(rows, "model-rows")
+
+
+@query(f"{WITH}, {MODEL_ROWS} SELECT event_id, market, ticker, round(coalesce(a, ma), 6) AS a, round(coalesce(b, mb), 6) AS b, (b IS NULL)::DOUBLE AS b__missing, (a IS NULL)::DOUBLE AS a__missing FROM mrow, med")
+def ml1_imputation(spark, sf):
+    """Exact medians for what is missing, and indicators; a column without any value goes."""
+    rows = model_rows(spark, sf).withColumn("c", F.lit(None).cast("double"))
+    medians, missing = train.imputation(rows, ["a", "b", "c"])
+    out = train.prepared(rows, medians, missing).drop("c")
+    for c in ("a", "b"):
+        out = out.withColumn(f"{c}__missing", F.col(f"{c}__missing") if f"{c}__missing" in out.columns else F.lit(0.0))
+    return r6(out, "a", "b")
+
+
+@query(f"""{WITH}, {MODEL_ROWS}, f AS (SELECT event_id, market, ticker, coalesce(a, ma) AS a, coalesce(b, mb) AS b FROM mrow, med)
+SELECT event_id, market, ticker, round((a - avg(a) OVER ()) / stddev_samp(a) OVER (), 5) AS a, round((b - avg(b) OVER ()) / stddev_samp(b) OVER (), 5) AS b FROM f""")
+def ml2_standardised(spark, sf):
+    """The columns that a linear model sees: less their mean, over their deviation."""
+    rows = model_rows(spark, sf)
+    medians, _ = train.imputation(rows, ["a", "b"])
+    out = train.standardised(train.prepared(rows, medians, []), ["a", "b"])
+    return out.select(*KEY, F.round(F.get("features", F.lit(0)), 5).alias("a"), F.round(F.get("features", F.lit(1)), 5).alias("b"))
+
+
+@query(f"""{WITH}, {S.FRAMES}, {DAILY}, x AS (SELECT event_id, market, ticker, avg(close) AS x FROM daily GROUP BY ALL),
+r AS (SELECT f.*, x FROM frame f JOIN x USING (event_id, market, ticker)), s AS (SELECT avg(x) AS m, stddev_samp(x) AS sd, avg(abnormal_return) AS y FROM r WHERE part = 'train'),
+b AS (SELECT sum((x - m) / sd * (abnormal_return - y)) / (sum(((x - m) / sd) ** 2) + 1) AS b FROM r, s WHERE part = 'train')
+SELECT fold_id, event_id, market, ticker, round(y + b * (x - m) / sd, 5) AS t2_prediction FROM r, s, b WHERE part = 'test'""")
+def ml4_ridge(spark, sf):
+    """Ridge on one standardised feature, fitted on train and applied to test; its closed form is the oracle."""
+    x = written(daily(spark, sf).groupBy(*KEY).agg(F.avg("close").alias("x")), "feature")
+    frames = written(task_frames(label_table(spark, sf).join(x.select(*KEY), KEY, "left_semi"), chronological(spark, sf)), "frames").join(x, KEY)
+    out = train.fit_predict(frames.where(F.col("part") == "train"), frames.where(F.col("part") == "test"), ["x"], "T2", "linear", {})
+    return out.select("fold_id", *KEY, F.round("prediction_", 5).alias("t2_prediction"))
+
+
+@query(f"{WITH}, {S.FRAMES} SELECT event_id, market, ticker, 0.0::DOUBLE AS none_positive, 1.0::DOUBLE AS all_positive FROM frame WHERE part = 'test'")
+def ml7_single_class(spark, sf):
+    """A train part of one class gives a constant score."""
+    rows = written(task_frames(label_table(spark, sf), chronological(spark, sf)), "frames").withColumn("x", F.col("event_return"))
+    fit, test = rows.where(F.col("part") == "train"), rows.where(F.col("part") == "test")
+    of = lambda label, name: train.fit_predict(fit.where(F.col("high_impact_label") == label), test, ["x"], "T1", "linear", {}).select(*KEY, F.col("prediction_").alias(name))
+    return of(0, "none_positive").join(of(1, "all_positive"), KEY)
+
+
+@query(f"""{WITH}, {DAILY}, e AS (SELECT market, ticker, embedding FROM embeddings JOIN firm ON s_suppkey - 1 = vec_id % (SELECT count(*) FROM firm)),
+v AS (SELECT market, ticker, list(avg_x ORDER BY i) AS vec, any_value(n) AS n FROM (SELECT market, ticker, i, avg(x) AS avg_x, count(*) AS n FROM (SELECT market, ticker, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM e) GROUP BY ALL) GROUP BY 1, 2),
+k AS (SELECT DISTINCT event_id, market, ticker FROM daily JOIN label USING (event_id, market, ticker))
+SELECT event_id, market, ticker, coalesce(n, 0)::DOUBLE AS text_embedding_doc_count, (n IS NOT NULL)::INTEGER::DOUBLE AS text_embedding_available_flag,
+round(list_sum(list_transform(range(len(vec)), lambda i: (i + 1) * vec[i + 1])), 4) AS weighted FROM k LEFT JOIN v USING (market, ticker)""")
+def j4_embedding_features(spark, sf):
+    """The feature set of all modalities: text vectors join where there are any, counts and flags are 0 elsewhere."""
+    from ..operators import features
+
+    firms = S.firms(spark, sf)
+    n = firms.agg(F.count("*").cast("long").alias("k"))
+    place = firms.select("market", "ticker", (F.col("s_suppkey") - 1).alias("place"))
+    vectors = S.table(spark, sf, "embeddings").crossJoin(F.broadcast(n)).withColumn("place", F.col("vec_id") % F.col("k")).join(place, "place")
+    days = written(daily(spark, sf), "days")
+    keys = days.select(*KEY).distinct()
+    vectors = vectors.join(keys, ["market", "ticker"]).select(*KEY, F.col("embedding").cast("array<double>").alias("embedding"), F.lit(1).alias("text_doc_count"))
+    usable = outcomes(spark, sf).join(keys, KEY, "left_semi")
+    out = features.build_event_feature_frame(days, usable, "S6", vectors)
+    weighted = F.aggregate(F.transform("embedding", lambda x, i: (i + 1) * x), F.lit(0.0), lambda a, b: a + b)
+    return out.select(*KEY, "text_embedding_doc_count", "text_embedding_available_flag", F.round(weighted, 4).alias("weighted"))
+
+
+@query(f"""{WITH}, {DAILY}, d AS (SELECT *, row_number() OVER (PARTITION BY event_id, market, ticker ORDER BY date DESC) AS r FROM daily JOIN label USING (event_id, market, ticker)),
+s AS (SELECT event_id, market, ticker, count(*) AS n, list((days_to_event_start + round(volume))::BIGINT ORDER BY date) AS v FROM d WHERE r <= 6 GROUP BY ALL)
+SELECT event_id, market, ticker, n, array_to_string(list_concat(list_transform(range(6 - n), lambda i: '-'), list_transform(v, lambda x: x::VARCHAR)), ',') AS steps FROM s""")
+def q1_sequence_batch(spark, sf):
+    """Steps of all features, padded on the left: of each step the days left and the volume are shown."""
+    from ..operators import features
+
+    days = written(daily(spark, sf), "days")
+    usable = outcomes(spark, sf).join(days.select(*KEY).distinct(), KEY, "left_semi")
+    out, names = features.build_sequence_batch(days, usable, "S0", max_length=6)
+    left, volume = (F.lit(names.index(c)) for c in ("days_to_event_start", "volume"))
+    step = F.transform(F.arrays_zip("values", "mask"), lambda s: F.when(s["mask"], (F.get(s["values"], left) + F.round(F.get(s["values"], volume))).cast("long").cast("string")).otherwise("-"))
+    return out.select(*KEY, F.size(F.filter("mask", lambda m: m)).cast("long").alias("n"), F.array_join(step, ",").alias("steps"))
