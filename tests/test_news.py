@@ -76,6 +76,18 @@ def test_alias_rules(spark):
     assert set(longer) == {("P", "title")}
 
 
+def test_markets_have_dictionaries_of_their_own(spark):
+    schema = "market string, ticker string, alias string, alias_type string, confidence double, valid_from date, valid_to date"
+    words = spark.createDataFrame([("A", "1", "alpha", "manual_alias", 0.9, None, None), ("B", "2", "alpha beta", "manual_alias", 0.9, None, None), ("B", "1", "gamma", "manual_alias", 0.9, None, None), ("A", "3", "gamma", "manual_alias", 0.9, None, None)], schema)
+    words = words.withColumn("compact", text.compact_alias(F.col("alias")))
+    texts = spark.createDataFrame([(1, None, "alpha beta rises, gamma falls", "")], "id int, day date, title string, content string")
+    found = {(r["market"], r["ticker"], r["compact"]): r["ambiguous"] for r in aliases.hits(aliases.scan(texts, words), words).collect()}
+    assert found == {("A", "1", "alpha"): False, ("B", "2", "alphabeta"): False, ("B", "1", "gamma"): False, ("A", "3", "gamma"): False}
+    mine = aliases.hits(aliases.scan(texts.withColumn("market", F.lit("A")), words), words)
+    assert {(r["market"], r["ticker"]) for r in mine.collect()} == {("A", "1"), ("A", "3")}
+    assert {r["market"]: r["tickers"] for r in aliases.match_tickers(mine).collect()} == {"A": ["1", "3"]}
+
+
 def test_long_dictionary_agrees(spark):
     words = dictionary(spark, [(str(k), w, "short_name", 0.8, None, None) for k, w in enumerate(["that", "thatin", "tion", "on", "hat"])])
     texts = spark.createDataFrame([(k, None, t, t[::-1]) for k, t in enumerate(["thatination on that", "nothatin tion", "", "xx thatthation"])], "id int, day date, title string, content string")
@@ -95,7 +107,9 @@ def test_pool_keeps_everything_when_nothing_passes(spark):
     got = pool.daily_pool(rows)
     assert {(r["ticker"], r["article_id"]) for r in got.where("in_pool").collect()} == {("A", "2"), ("A", "3"), ("B", "4")}
     assert {r["ticker"] for r in pool.strict_pool(got).collect()} == {"B"}
-    assert pool.representatives(pool.strict_pool(got)).first()["pool_article_ids"] == ["4"]
+    first = pool.representatives(pool.strict_pool(got))
+    assert first.first()["pool_article_ids"] == ["4"]
+    assert [(r["article_id"], r["title"], r["content"]) for r in pool.with_texts(first, rows).collect()] == [("4", "t", "c")]
 
 
 def test_dense_panel(spark):

@@ -48,7 +48,7 @@ def filled(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """HTML entities resolved; only texts with ``&`` go through Python."""
+    """HTML entities resolved.  All rows pass the Python stage, those without ``&`` as empty strings."""
     return F.when(text.contains("&"), _unescaped(F.when(text.contains("&"), text).otherwise(""))).otherwise(text)
 
 

@@ -24,14 +24,21 @@ def distinct_news(news: DataFrame) -> DataFrame:
 def best_duplicates(candidates: DataFrame) -> DataFrame:
     """One candidate per firm-day and dedupe key, with the group's size and sorted sources.
 
-    One aggregate: the winner is the maximum of a struct, so copies are combined before the shuffle.
+    One aggregate: the winner is the maximum of a struct, so copies are combined before the shuffle.  Titles and
+    contents stay behind; ``with_texts`` brings those of the winners.
     """
-    best = F.struct("quality_score", "source_priority", F.char_length("content").alias("length"), "time", "file_name", "article_id", "source", "source_type", "title", "content", "alignment_score")
+    best = F.struct("quality_score", "source_priority", F.char_length("content").alias("length"), "time", "file_name", "article_id", "source", "source_type", "alignment_score")
     groups = candidates.groupBy(*DAY, "dedupe_key").agg(F.max(best).alias("b"), F.min("file_name").alias("first_file"), F.count("*").alias("duplicate_count"), F.array_sort(F.collect_set(F.nullif("source", F.lit("")))).alias("duplicate_sources"))
     flat = groups.select(*DAY, "dedupe_key", "b.*", "first_file", "duplicate_count", "duplicate_sources")
     return flat.withColumn("representative_score", representative(F.col("alignment_score"), F.col("quality_score"), F.col("source_priority"), F.col("duplicate_count")))
 
 
+def with_texts(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Pool rows with the ``title`` and ``content`` of their articles."""
+    texts = candidates.select(*DAY, "article_id", "title", "content").dropDuplicates([*DAY, "article_id"])
+    return rows.join(texts, [*DAY, "article_id"], "left")
+
+
 def daily_pool(candidates: DataFrame, minimum: float = MIN_ALIGNMENT) -> DataFrame:
     """Deduplicated candidates with ``passes``, ``in_pool`` and ``rank`` in the pool.
 
@@ -54,7 +61,7 @@ def strict_pool(pool: DataFrame, minimum: float = MIN_ALIGNMENT) -> DataFrame:
 def representatives(strict: DataFrame) -> DataFrame:
     """The first of each day's strict pool, with the pool's ids and sources in order."""
     of = F.array_sort(F.collect_list(F.struct("rank", "article_id", "source")))
-    first = F.min_by(F.struct("article_id", "source", "title", "representative_score"), "rank").alias("r")
+    first = F.min_by(F.struct("article_id", "source", "representative_score"), "rank").alias("r")
     return strict.groupBy(*DAY).agg(first, of.alias("o"), F.count("*").alias("pool_candidate_count")).select(
         *DAY, "r.*", "pool_candidate_count", F.transform("o", lambda x: x["article_id"]).alias("pool_article_ids"), F.transform("o", lambda x: x["source"]).alias("pool_sources")
     )
