@@ -13,29 +13,39 @@ from pyspark.sql import functions as F
 from .checks import DAILY_KEY, KEY, ValidationError, base_labels, bad_keys, number, require_empty, unmatched
 
 # The published daily columns, in their order, by modality.
-PRICE = """days_to_event_start open high low close volume price_daily_return price_trading_day_flag price_missing_flag close_ffill""".split()
-NEWS = """source_news_count source_count title_char_count content_char_count avg_title_length avg_content_length title_available_count
-content_available_count event_source_news_count event_source_active_day_count source_unavailable_flag source_available_zero_news_flag
-source_news_missing_flag""".split()
-THEMES = "war_conflict sanction energy supply_chain_trade financial_stress policy_regulation disaster_health protest_unrest".split()
+PRICE = [
+    "days_to_event_start", "open", "high", "low", "close", "volume", "price_daily_return", "price_trading_day_flag", "price_missing_flag",
+    "close_ffill",
+]
+NEWS = [
+    "source_news_count", "source_count", "title_char_count", "content_char_count", "avg_title_length", "avg_content_length", "title_available_count",
+    "content_available_count", "event_source_news_count", "event_source_active_day_count", "source_unavailable_flag",
+    "source_available_zero_news_flag", "source_news_missing_flag",
+]
 FIRM_GDELT = [
-    *"""gdelt_news_count gdelt_source_count gdelt_source_entropy avg_gdelt_tone min_gdelt_tone max_gdelt_tone positive_news_count
-negative_news_count neutral_news_count tone_missing_count positive_news_share negative_news_share gdelt_theme_count gdelt_entity_count
-gdelt_news_count_3d gdelt_news_count_7d gdelt_news_count_14d gdelt_negative_count_3d gdelt_negative_count_7d gdelt_negative_share_7d
-gdelt_avg_tone_3d gdelt_avg_tone_7d gdelt_min_tone_7d gdelt_news_burst_3d_vs_14d gdelt_negative_burst_3d_vs_14d
-gdelt_tone_drop_3d_vs_14d""".split(),
-    *[f"gdelt_theme_{t}_{k}" for t in THEMES for k in ("count", "share")],
+    "gdelt_news_count", "gdelt_source_count", "gdelt_source_entropy", "avg_gdelt_tone", "min_gdelt_tone", "max_gdelt_tone", "positive_news_count",
+    "negative_news_count", "neutral_news_count", "tone_missing_count", "positive_news_share", "negative_news_share", "gdelt_theme_count",
+    "gdelt_entity_count", "gdelt_news_count_3d", "gdelt_news_count_7d", "gdelt_news_count_14d", "gdelt_negative_count_3d", "gdelt_negative_count_7d",
+    "gdelt_negative_share_7d", "gdelt_avg_tone_3d", "gdelt_avg_tone_7d", "gdelt_min_tone_7d", "gdelt_news_burst_3d_vs_14d",
+    "gdelt_negative_burst_3d_vs_14d", "gdelt_tone_drop_3d_vs_14d", "gdelt_theme_war_conflict_count", "gdelt_theme_war_conflict_share",
+    "gdelt_theme_sanction_count", "gdelt_theme_sanction_share", "gdelt_theme_energy_count", "gdelt_theme_energy_share",
+    "gdelt_theme_supply_chain_trade_count", "gdelt_theme_supply_chain_trade_share", "gdelt_theme_financial_stress_count",
+    "gdelt_theme_financial_stress_share", "gdelt_theme_policy_regulation_count", "gdelt_theme_policy_regulation_share",
+    "gdelt_theme_disaster_health_count", "gdelt_theme_disaster_health_share", "gdelt_theme_protest_unrest_count", "gdelt_theme_protest_unrest_share",
     "gdelt_firm_coverage_missing_flag", "gdelt_firm_row_missing_flag",
 ]
 MARKET_GDELT = [
-    *"""eligible_firm_count covered_firm_count covered_firm_share market_gdelt_firm_mention_count market_gdelt_unique_article_count
-avg_market_gdelt_tone_equal_weighted avg_market_gdelt_tone_news_weighted min_market_firm_tone negative_firm_count negative_firm_share
-market_negative_news_count market_negative_news_share market_source_count market_source_entropy market_theme_count market_entity_count
-market_gdelt_mentions_3d market_gdelt_mentions_7d market_gdelt_mentions_14d market_negative_news_3d market_negative_news_7d
-market_negative_share_7d market_covered_firm_share_7d market_tone_drop_3d_vs_14d market_negative_burst_3d_vs_14d
-market_coverage_burst_3d_vs_14d""".split(),
-    *[f"market_theme_{t}_{k}" for t in THEMES for k in ("count", "share")],
-    "gdelt_market_coverage_missing_flag", "gdelt_market_row_missing_flag",
+    "eligible_firm_count", "covered_firm_count", "covered_firm_share", "market_gdelt_firm_mention_count", "market_gdelt_unique_article_count",
+    "avg_market_gdelt_tone_equal_weighted", "avg_market_gdelt_tone_news_weighted", "min_market_firm_tone", "negative_firm_count",
+    "negative_firm_share", "market_negative_news_count", "market_negative_news_share", "market_source_count", "market_source_entropy",
+    "market_theme_count", "market_entity_count", "market_gdelt_mentions_3d", "market_gdelt_mentions_7d", "market_gdelt_mentions_14d",
+    "market_negative_news_3d", "market_negative_news_7d", "market_negative_share_7d", "market_covered_firm_share_7d", "market_tone_drop_3d_vs_14d",
+    "market_negative_burst_3d_vs_14d", "market_coverage_burst_3d_vs_14d", "market_theme_war_conflict_count", "market_theme_war_conflict_share",
+    "market_theme_sanction_count", "market_theme_sanction_share", "market_theme_energy_count", "market_theme_energy_share",
+    "market_theme_supply_chain_trade_count", "market_theme_supply_chain_trade_share", "market_theme_financial_stress_count",
+    "market_theme_financial_stress_share", "market_theme_policy_regulation_count", "market_theme_policy_regulation_share",
+    "market_theme_disaster_health_count", "market_theme_disaster_health_share", "market_theme_protest_unrest_count",
+    "market_theme_protest_unrest_share", "gdelt_market_coverage_missing_flag", "gdelt_market_row_missing_flag",
 ]
 SETS = {
     "S0": PRICE, "S1": PRICE + NEWS, "S2": PRICE, "S3": PRICE + FIRM_GDELT, "S4": PRICE + MARKET_GDELT,
