@@ -1,10 +1,12 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts; DataFrame operations only.
 
 Base spans come from one regular expression for each kind, checked afterwards
-(octets, Luhn, digit counts).  They seed a bootstrap over contexts:
+(octets, Luhn, digit counts).  Beside them, strings that can hardly be anything but
+identifiers (``SEED``: long hexadecimal keys, numbers of 13 to 19 digits) are marked
+as kind ``id``.  All of these seed a bootstrap over contexts:
 
 1. Contexts are lexical patterns: the word before a span, the word after it, and
-   the mark before ``=`` or ``:`` glued to it.  Every base span, with or without
+   the mark before ``=`` or ``:`` glued to it.  Every such span, with or without
    digits, is a known instance of the patterns around it.  Candidates are all runs
    of up to ``RUN`` neighbouring words that hold digits, with short groups of
    capitals among them (``123 45 6789``, ``AB 12 34 C``), outside base spans.
@@ -28,7 +30,8 @@ patterns that could still be confident at half the sketch's count.
 
 Cases: null text counts as empty and has no spans; null or repeated ``doc_id`` rows
 are judged for themselves; long runs of digits or letters are scanned once, not
-from each of their characters; an empty table gives no rows; other columns are
+from each of their characters, and places and contexts of many spans in a long text are
+found by sums over blocks, not from its start; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -49,6 +52,8 @@ PATTERNS = {
 }
 #: What a text holds that can have a span of the kind.
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
+#: Strings that are taken for identifiers wherever they stand.
+SEED = r"(?<![0-9A-Za-z])(?:(?=[A-Fa-f]*+[0-9])[0-9A-Fa-f]{32,128}|[0-9]{13,19})(?![0-9A-Za-z])"
 #: Stands for each character of a base span, so that a span is one word at its place.
 FILL = "\ue000"
 DIGIT_WORD = r"[^\x20\x{E000}0-9]*+[0-9][^\x20\x{E000}]*+(?![^\x20])"
@@ -66,14 +71,72 @@ SPANS = "array<struct<start:int,end:int,match:string>>"
 SMALL = 100_000
 
 
+#: Characters of a block of a text.
+PIECE = 1024
+
+
+def let(value: Column, f) -> Column:
+    """``f`` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def with_sums(each: Column, f, **more: Column) -> Column:
+    """``f`` of a struct with ``each``, ``more``, and sums of each 256 numbers (``blocks``), for ``before``."""
+    last = lambda v: F.shiftright(F.size(v["each"]), 8)
+    blocks = lambda v: F.transform(F.sequence(F.lit(0), last(v)), lambda j: total(F.slice(v["each"], F.shiftleft(j, 8) + 1, F.lit(256))))
+    named = lambda v: [v[n].alias(n) for n in more]
+    return let(F.struct(each.alias("each"), *[c.alias(n) for n, c in more.items()]), lambda v: let(F.struct(v["each"].alias("each"), *named(v), blocks(v).alias("blocks")), f))
+
+
+def total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda x, y: x + y)
+
+
+def before(v: Column, n: Column) -> Column:
+    """The sum of the first ``n`` numbers of ``with_sums``."""
+    whole = F.shiftright(n, 8)
+    return total(F.slice(v["blocks"], F.lit(1), whole)) + total(F.slice(v["each"], F.shiftleft(whole, 8) + 1, n.bitwiseAND(F.lit(255))))
+
+
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def cut(parts: Column, start: Column, n: Column) -> Column:
+    """``n`` characters from ``start`` (0 is the first) of a text in ``pieces``."""
+    first = F.floor(start / PIECE).cast("int")
+    last = F.floor((start + n - 1) / PIECE).cast("int")
+    held = F.array_join(F.slice(parts, first + 1, last - first + 1), "")
+    return F.when(n > 0, F.substring(held, start - first * PIECE + 1, n)).otherwise("")
+
+
 def matches(text: Column, pattern: str) -> Column:
     """All matches with their places in code points, from the pieces between them."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.transform(F.split(text, pattern, -1), F.char_length)
-    sizes = F.transform(found, F.char_length)
-    total = lambda a, n: F.aggregate(F.slice(a, 1, n), F.lit(0), lambda x, y: x + y)
-    at = lambda m, i: total(parts, i + 1) + total(sizes, i)
-    return F.transform(found, lambda m, i: F.struct(at(m, i).alias("start"), (at(m, i) + F.char_length(m)).alias("end"), m.alias("match")))
+    gaps = F.transform(F.split(text, pattern, -1), F.char_length)
+    span = lambda m, end: F.struct((end - F.char_length(m)).alias("start"), end.alias("end"), m.alias("match"))
+    placed = lambda v: F.transform(v["found"], lambda m, i: let(before(v, i + 1), lambda end: span(m, end)))
+    each = lambda v: F.transform(v["found"], lambda m, i: F.get(v["gaps"], i) + F.char_length(m))
+    return let(F.struct(found.alias("found"), gaps.alias("gaps")), lambda v: with_sums(each(v), placed, found=v["found"]))
+
+
+def fill(text: Column, spans: Column) -> Column:
+    """The text with each character of the spans, which may overlap, replaced by ``FILL``."""
+    tops = lambda v: F.transform(F.sequence(F.lit(0), F.shiftright(F.size(v["spans"]), 8)), lambda j: F.array_max(F.slice(v["spans"]["end"], F.shiftleft(j, 8) + 1, F.lit(256))))
+
+    def reach(v: Column, i: Column) -> Column:
+        """Where the first ``i`` spans end."""
+        whole = F.shiftright(i, 8)
+        return F.coalesce(F.greatest(F.array_max(F.slice(v["tops"], F.lit(1), whole)), F.array_max(F.slice(v["ends"], F.shiftleft(whole, 8) + 1, i.bitwiseAND(F.lit(255))))), F.lit(0))
+
+    def run(v: Column) -> Column:
+        one = lambda s, r: F.concat(cut(v["parts"], r, s["start"] - r), F.repeat(F.lit(FILL), F.greatest(s["end"] - F.greatest(s["start"], r), F.lit(0))))
+        filled = F.transform(v["spans"], lambda s, i: let(reach(v, i), lambda r: one(s, r)))
+        return F.array_join(F.concat(filled, F.array(let(reach(v, F.size(v["spans"])), lambda r: cut(v["parts"], r, v["n"] - r)))), "")
+
+    sorted_ = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+    whole = lambda v: F.struct(v["spans"].alias("spans"), v["spans"]["end"].alias("ends"), tops(v).alias("tops"), pieces(v["text"]).alias("parts"), F.char_length(v["text"]).alias("n"))
+    return F.when(F.size(spans) > 0, let(F.struct(sorted_.alias("spans"), text.alias("text")), lambda v: let(whole(v), run))).otherwise(text)
 
 
 def digits(match: Column) -> Column:
@@ -124,53 +187,53 @@ def trimmed(value: Column) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row: its key, base spans of each kind, its words with base spans filled (``m``), known instances (``k``) and candidates (``c``)."""
+    """Per row: its key, base spans of each kind, further seeds (``seeds``), its words with all of these filled (``m``), known instances (``k``) and candidates (``c``)."""
     rows = texts(docs).select("doc_id", F.xxhash64("text").alias("h"), F.col("text"))
     rows = rows.withColumns({k: base_spans(F.col("text"), k) for k in KINDS})
-    spaced = F.translate("text", FILL + "\t\n\x0b\x0c\r", "�     ")
-    filled = F.aggregate(F.concat(*KINDS), spaced, lambda t, b: F.overlay(t, F.repeat(F.lit(FILL), b["end"] - b["start"]), b["start"] + 1, b["end"] - b["start"]))
-    rows = rows.withColumn("m", filled).drop("text")
+    rows = rows.withColumn("m", fill(F.translate("text", FILL + "\t\n\x0b\x0c\r", "�     "), F.concat(*KINDS))).drop("text")
     m = F.col("m")
+    rows = rows.withColumn("seeds", F.when(m.rlike("[0-9]"), matches(m, SEED)).otherwise(F.array().cast(SPANS)))
+    rows = rows.withColumn("m", fill(m, F.col("seeds")))
 
-    def around(s: Column) -> tuple[Column, Column, Column]:
+    def around(parts: Column, s: Column) -> tuple[Column, Column, Column]:
         """The word before, the word after and what is glued to the front."""
-        before = F.substring(m, F.greatest(s["start"] - 119, F.lit(1)), F.least(s["start"], F.lit(120)))
-        after = F.substring(m, s["end"] + 1, F.lit(120))
-        return F.regexp_extract(before, r"([^\x20]{1,24})\x20+[^\x20]*$", 1), F.regexp_extract(after, r"^[^\x20]*\x20+([^\x20]{1,24})", 1), F.regexp_extract(before, r"([^\x20]*)$", 1)
+        front = cut(parts, F.greatest(s["start"] - 120, F.lit(0)), F.least(s["start"], F.lit(120)))
+        after = cut(parts, s["end"], F.lit(120))
+        return F.regexp_extract(front, r"([^\x20]{1,24})\x20+[^\x20]*$", 1), F.regexp_extract(after, r"^[^\x20]*\x20+([^\x20]{1,24})", 1), F.regexp_extract(front, r"([^\x20]*)$", 1)
 
-    def known(s: Column) -> Column:
-        left, right, glued = around(s)
+    def known(parts: Column, s: Column) -> Column:
+        left, right, glued = around(parts, s)
         return F.struct(trimmed(s["match"]).alias("value"), F.array_compact(F.array(pattern("before ", left), pattern("after ", right), pattern("mark ", F.regexp_extract(glued, MARK, 1)))).alias("patterns"))
 
-    def stretch(s: Column) -> Column:
-        left, right, _ = around(s)
-        return F.struct(s["start"].alias("start"), F.split(s["match"], " ").alias("w"), left.alias("left"), right.alias("right"))
-
-    def run(s: Column, i: Column, n: Column) -> Column:
+    def run(v: Column, i: Column, n: Column) -> Column:
         """Words ``i`` to ``i + n - 1`` of a stretch; beside each pattern, what stands at its place at most."""
-        w, size = s["w"], F.size(s["w"])
+        w, size = v["w"], F.size(v["w"])
         text = lambda at, count: F.array_join(F.slice(w, at + 1, count), " ")
-        start = s["start"] + F.when(i > 0, F.char_length(text(F.lit(0), i)) + 1).otherwise(0)
-        match, first = text(i, n), F.greatest(i + n - RUN, F.lit(0))
-        mark = F.regexp_extract(match, MARK, 1)
-        bare = lambda x: trimmed(F.substring(x, F.char_length(mark) + 1, F.lit(1 << 30)))
+        first = F.greatest(i + n - RUN, F.lit(0))
         at = lambda p, x: F.when(p.isNotNull(), F.struct(p.alias("pattern"), x.alias("place")))
-        onward = bare(text(i, F.lit(RUN)))
-        patterns = F.array(
-            at(pattern("before ", F.right(F.when(i > 0, F.get(w, i - 1)).otherwise(s["left"]), F.lit(24))), onward),
-            at(pattern("after ", F.left(F.when(i + n < size, F.get(w, i + n)).otherwise(s["right"]), F.lit(24))), trimmed(text(first, i + n - first))),
-            at(pattern("mark ", mark), onward),
-        )
-        return F.struct(start.alias("start"), (start + F.char_length(match)).alias("end"), bare(match).alias("value"), F.array_compact(patterns).alias("patterns"))
 
-    def runs(s: Column) -> Column:
-        size = F.size(s["w"])
-        return F.flatten(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), size - i)), lambda n: run(s, i, n))))
+        def made(x: Column) -> Column:
+            bare = lambda y: trimmed(F.substring(y, F.char_length(x["mark"]) + 1, F.lit(1 << 30)))
+            patterns = F.array(
+                at(pattern("before ", F.right(F.when(i > 0, F.get(w, i - 1)).otherwise(v["left"]), F.lit(24))), bare(x["onward"])),
+                at(pattern("after ", F.left(F.when(i + n < size, F.get(w, i + n)).otherwise(v["right"]), F.lit(24))), trimmed(text(first, i + n - first))),
+                at(pattern("mark ", x["mark"]), bare(x["onward"])),
+            )
+            return F.struct(x["start"].alias("start"), (x["start"] + F.char_length(x["match"])).alias("end"), bare(x["match"]).alias("value"), F.array_compact(patterns).alias("patterns"))
+
+        start = (v["start"] + before(v, i)).alias("start")
+        return let(F.struct(start, text(i, n).alias("match"), text(i, F.lit(RUN)).alias("onward"), F.regexp_extract(F.get(w, i), MARK, 1).alias("mark")), made)
+
+    def runs(parts: Column, s: Column) -> Column:
+        left, right, _ = around(parts, s)
+        each = lambda v: F.flatten(F.transform(F.sequence(F.lit(0), F.size(v["w"]) - 1), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(RUN), F.size(v["w"]) - i)), lambda n: run(v, i, n))))
+        words = lambda x: with_sums(F.transform(x["w"], lambda y: F.char_length(y) + 1), each, w=x["w"], start=x["start"], left=x["left"], right=x["right"])
+        return let(F.struct(s["start"].alias("start"), F.split(s["match"], " ").alias("w"), left.alias("left"), right.alias("right")), words)
 
-    rows = rows.withColumn("k", F.transform(F.concat(*KINDS), known))
-    rows = rows.withColumn("s", F.when(m.rlike("[0-9]"), F.transform(matches(m, STRETCH), stretch)))
-    found = F.filter(F.flatten(F.transform("s", runs)), lambda c: c["value"].rlike("[0-9]"))
-    return rows.withColumn("c", F.when(F.size("s") > 0, found)).drop("s")
+    seen = F.concat(*KINDS, "seeds")
+    rows = rows.withColumn("k", F.when(F.size(seen) > 0, let(pieces(m), lambda parts: F.transform(seen, lambda s: known(parts, s)))))
+    found = let(F.struct(pieces(m).alias("parts"), matches(m, STRETCH).alias("s")), lambda v: F.flatten(F.transform(v["s"], lambda s: runs(v["parts"], s))))
+    return rows.withColumn("c", F.when(m.rlike("[0-9]"), F.filter(found, lambda c: c["value"].rlike("[0-9]"))))
 
 
 def bootstrap(known: DataFrame, candidates: DataFrame, rounds: int, confidence: float, belief: float, support: int) -> tuple[DataFrame, DataFrame]:
@@ -231,13 +294,14 @@ def by_place(scanned: DataFrame, trusted: DataFrame, confidence: float, belief:
     runs = runs.groupBy("doc_id", "h", "i", "j").agg((1 - F.exp(F.min("doubt"))).alias("said")).where(F.col("said") >= belief)
     runs = runs.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("hh")).agg(F.collect_list(F.struct("i", "j", "said")).alias("runs"))
     rows = scanned.select("doc_id", "h", "m").join(runs, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).dropDuplicates(["doc_id", "h"])
-    # A word's place: as many characters as stand before the spaces before it.
-    numbered = F.filter(F.transform(F.split("m", " "), lambda w, k: F.struct(w.alias("w"), k.alias("k"))), lambda s: s["w"] != "")
-    rows = rows.withColumn("w", numbered).select("doc_id", "h", "m", "w", F.explode("runs").alias("r"))
-    start = lambda n: F.char_length(F.call_function("substring_index", F.col("m"), F.lit(" "), F.get("w", n)["k"])) + F.when(F.get("w", n)["k"] > 0, 1).otherwise(0)
+    # Words with their places in the text.
+    words = lambda v: F.filter(F.transform(v["w"], lambda w, k: F.struct(w.alias("w"), before(v, k).alias("at"))), lambda s: s["w"] != "")
+    numbered = let(F.split("m", " "), lambda w: with_sums(F.transform(w, lambda x: F.char_length(x) + 1), words, w=w))
+    rows = rows.withColumn("w", numbered).select("doc_id", "h", "w", F.explode("runs").alias("r"))
     run = F.slice("w", F.col("r.i") + 1, F.col("r.j") - F.col("r.i") + 1)
     rows = rows.where(F.forall(run, lambda s: ~s["w"].contains(FILL)) & F.exists(run, lambda s: s["w"].rlike("[\\p{L}\\p{N}]")))
-    return rows.select("doc_id", "h", start(F.col("r.i")).alias("start"), (start(F.col("r.j")) + F.char_length(F.get("w", F.col("r.j"))["w"])).alias("end"), "r.said")
+    first, last = F.get("w", F.col("r.i")), F.get("w", F.col("r.j"))
+    return rows.select("doc_id", "h", first["at"].alias("start"), (last["at"] + F.char_length(last["w"])).alias("end"), "r.said")
 
 
 def apart(spans: Column) -> Column:
@@ -248,7 +312,7 @@ def apart(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, belief: float = 0.95, support: int = 4) -> DataFrame:
-    """Per row: ``doc_id``, counts of base spans, ``base_sha256``, ``spans``, and ``n_found`` (spans that contexts revealed)."""
+    """Per row: ``doc_id``, counts of base spans, ``base_sha256``, ``spans``, ``n_found`` (spans beside base ones) and ``n_spans`` (all)."""
     scanned = keep(scan(docs), "scanned")
     each = scanned.select("doc_id", "h", F.explode("c").alias("c")).select("doc_id", "h", "c.*")
     found, trusted = bootstrap(scanned.select(F.explode("k").alias("k")).select("k.*"), each, rounds, confidence, belief, support)
@@ -259,11 +323,13 @@ def find(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, belief: floa
     more = more.groupBy("doc_id", "h").agg(apart(F.collect_list(span)).alias("more")).select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "more")
     rows = scanned.drop("c", "k", "m").join(more, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left")
     base = F.concat(*[joined(F.col(k), k) for k in KINDS])
-    extra = joined(F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")), "id")
+    seeds = F.transform("seeds", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    extra = joined(F.array_sort(F.concat(F.coalesce("more", F.array().cast("array<struct<start:int,end:int>>")), seeds)), "id")
     return rows.select(
         "doc_id",
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"),
         F.array_join(F.concat(base, extra), ",").alias("spans"),
         F.size(extra).cast("long").alias("n_found"),
+        F.size(F.concat(base, extra)).cast("long").alias("n_spans"),
     )
