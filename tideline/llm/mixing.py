@@ -5,16 +5,16 @@ The words of each source, in ``doc_id`` order, are one stream, cut into blocks o
 
 * targets per source come from the weights by raising a common level until the
   wanted total is met, no source above ``most`` times its size;
-* each output shard draws multinomial slot counts for the sources; what the sums
-  of the draws differ from the targets is taken evenly from, or given evenly to,
-  the shards, so every source comes within a block of its target;
+* a source's slots, as many as its target asks for, are drawn multinomially over the
+  output shards, so a shard's counts of the sources follow the weights, and the sums
+  over the shards are the targets to within a block;
 * the slots of a source are numbered over all shards; every pass over the source's
   blocks is a pseudorandom permutation of the block indices (a Feistel network
   with cycle walking), so slot j stands for block ``permutation(j mod blocks)``;
 * slots are grouped by (source, block) and joined with the documents' blocks.
 
-Driver-side tables have one row per source and per (shard, source); the number of
-shards is a parameter.  Everything is seeded: reruns agree.
+Sources are a table like any other; the driver sees sums over them only.  Everything
+is seeded: reruns agree.
 
 Cases: null text has size 0 and takes nothing; a null source is a source of its
 own, last in the order of weights; null or repeated ``doc_id`` rows are documents
@@ -35,36 +35,51 @@ from pyspark.sql import functions as F
 from .shared import WORD, keep, with_starts
 
 
-def targets(sizes: list[int], weights: list[float], total: float, most: float) -> list[float]:
-    """Shares of ``total`` by weight; none above ``most`` times its size, what is over reshared by weight."""
-    out, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(total)
-    while open_:
-        weight = sum(weights[k] for k in open_)
-        over = [k for k in open_ if left * weights[k] / weight > most * sizes[k]]
-        if not over:
-            for k in open_:
-                out[k] = left * weights[k] / weight
+#: Slots in a range that is permuted at once.
+STEP = 4096
+#: Sources up to this number are broadcast.
+SMALL = 100_000
+
+
+def targets(sources: DataFrame, share: float, most: float) -> DataFrame:
+    """``target`` for each row (``source_size``, ``weight``): shares by weight; none above ``most`` times its size, what is over reshared by weight."""
+    size, cap = F.col("source_size"), F.col("source_size") * most
+    wanted, level, closed = None, 0.0, -1
+    while True:
+        over = F.col("weight") * level > cap
+        # One row of sums for each round; a round closes sources or is the last.
+        r = sources.agg(F.sum(size).alias("size"), F.sum(F.when(over, cap)).alias("cap"), F.sum(F.when(~over, F.col("weight"))).alias("weight"), F.count_if(over).alias("closed")).first()
+        wanted = share * (r["size"] or 0)
+        if r["closed"] == closed or not r["weight"]:
             break
-        for k in over:
-            out[k] = float(most * sizes[k])
-        left -= sum(out[k] for k in over)
-        open_ = [k for k in open_ if k not in over]
-    return out
-
-
-def draws(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """Slots of each source (column) in each shard (row): multinomial draws, brought to the given sums."""
-    total = int(slots.sum())
-    out = np.zeros((shards, len(slots)), np.int64)
-    for k in range(shards if total else 0):
-        rng = np.random.default_rng([seed, k])
-        out[k] = rng.multinomial(total // shards + (k < total % shards), slots / total)
-    for s in range(len(slots)):
-        while d := int(slots[s] - out[:, s].sum()):
-            can = np.arange(shards) if d > 0 else np.flatnonzero(out[:, s])
-            step = np.full(len(can), abs(d) // len(can)) + (np.arange(len(can)) < abs(d) % len(can))
-            out[can, s] = np.maximum(out[can, s] + np.sign(d) * step, 0)
-    return out
+        closed, left, weight = r["closed"], wanted - (r["cap"] or 0.0), r["weight"]
+        level = left / weight
+    open_ = F.lit(left) * F.col("weight") / F.lit(float(weight)) if r["weight"] else cap
+    return sources.withColumn("target", F.when(F.col("weight") * level > cap, cap).otherwise(open_).cast("double"))
+
+
+def ranked(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """Sources with their place ``k`` in code point order, null last, and their weight."""
+    rows = sources.repartitionByRange(F.asc_nulls_last("source")).sortWithinPartitions(F.asc_nulls_last("source"))
+    place = F.monotonically_increasing_id()
+    rows = keep(rows.select("*", F.shiftright(place, 33).cast("int").alias("part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("local"), F.lit(1).cast("long").alias("one")), "sources")
+    rows = with_starts(rows, [], "one", "k").drop("part", "local", "one")
+    return rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int")))
+
+
+def slot_ranges(sources: DataFrame, shards: int, seed: int) -> DataFrame:
+    """Slots of every (source, output shard) in ranges: ``k``, ``blocks``, ``lo``, ``hi``."""
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for k, slots, blocks in frame[["k", "slots", "blocks"]].itertuples(index=False):
+                drawn = np.random.default_rng([seed, k]).multinomial(slots, np.full(shards, 1 / shards))
+                hi = np.cumsum(drawn)
+                yield pd.DataFrame({"k": k, "blocks": blocks, "first": hi - drawn, "end": hi})
+
+    drawn = sources.where(F.col("slots") > 0).select("k", "slots", "blocks").mapInPandas(draw, "k long, blocks long, first long, end long").where(F.col("first") < F.col("end"))
+    lo = F.explode(F.sequence("first", F.col("end") - 1, F.lit(STEP).cast("long"))).alias("lo")
+    return drawn.select("k", "blocks", lo, "end").select("k", "blocks", "lo", F.least(F.col("lo") + STEP, "end").alias("hi"))
 
 
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -87,7 +102,7 @@ def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray) -> np.ndarray
 def streams(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents with their source's number and their place in its stream; and a row for each source."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("h"), size.alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("h"), size.alias("size"), F.monotonically_increasing_id().alias("place"))
     out = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("h", pa.int64()), ("size", pa.int64()), ("part", pa.int32()), ("local", pa.int64())])
 
     def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,7 +118,7 @@ def streams(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
                 before[s] = before.get(s, 0) + int(n)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(frame), part, np.int32)), pa.array(local.to_numpy(np.int64))], schema=out)
 
-    ranged = rows.repartitionByRange("source", "doc_id", "h").sortWithinPartitions("source", "doc_id", "h")
+    ranged = rows.repartitionByRange("source", "doc_id", "h", "place").sortWithinPartitions("source", "doc_id", "h").drop("place")
     placed = keep(ranged.mapInArrow(running, "doc_id long, source string, h long, size long, part int, local long"), "streams")
     sources = placed.groupBy("source").agg(F.sum("size").alias("source_size"))
     return with_starts(placed, ["source"], "size", "start"), sources
@@ -115,35 +130,29 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     ``blocks`` lists what is taken: the first word and the end in the document, and
     how often (``from``, ``until``, ``times``), in order.
     """
-    spark = docs.sparkSession
     placed, sources = streams(docs)
-    rows = sorted(((r["source"], r["source_size"]) for r in sources.collect()), key=lambda x: (x[0] is None, x[0] or ""))  # one row for each source
-    sizes = [n for _, n in rows]
-    goal = targets(sizes, [weights[k % len(weights)] for k in range(len(rows))], share * sum(sizes), most)
-    blocks = np.array([-(-n // block) for n in sizes], np.int64)
-    slots = np.array([round(g * b / n) if n else 0 for g, b, n in zip(goal, blocks, sizes)], np.int64)
-    slots = np.minimum(slots, np.floor(most * blocks).astype(np.int64))
-    drawn = draws(slots, shards, seed)
-    first = np.cumsum(drawn, axis=0) - drawn
-    named = spark.createDataFrame([(k, s, n, g) for k, ((s, n), g) in enumerate(zip(rows, goal))], "k int, source string, source_size long, target double")
-    placed = placed.join(F.broadcast(named) if len(rows) <= 100_000 else named, placed["source"].eqNullSafe(named["source"])).drop(named["source"])
-
-    # The counts of blocks grow with the corpus: they are merged, never broadcast.
-    # Slots of every (shard, source), numbered within the source, mapped to blocks.
-    plan = [(j, k, int(first[j, k]), int(drawn[j, k])) for j in range(shards) for k in range(len(rows)) if drawn[j, k]]
-    counts = spark.createDataFrame(plan, "shard int, k int, first long, n long")
-    step = 4096
-    ranges = counts.select("k", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1, F.lit(step).cast("long"))).alias("lo"), (F.col("first") + F.col("n")).alias("hi")).repartition("k", "lo")
-    n_blocks = blocks
+    goal = targets(ranked(sources, weights), share, most)
+    blocks = F.ceil(F.col("source_size") / block)
+    slots = F.when(F.col("source_size") > 0, F.least(F.round(F.col("target") * blocks / F.col("source_size")), F.floor(blocks * most))).otherwise(0)
+    named = keep(goal.withColumn("blocks", blocks.cast("long")).withColumn("slots", slots.cast("long")), "targets")
+    sums = named.agg(F.count("*").alias("n"), F.sum("slots").alias("slots")).first()
+    of = named.select(F.col("source").alias("of"), "k", "source_size", "target")
+    placed = placed.join(F.broadcast(of) if sums["n"] <= SMALL else of, placed["source"].eqNullSafe(F.col("of"))).drop("of")
+
+    # Slots of every (shard, source), numbered within the source, mapped to blocks.  The ranges are dealt to a
+    # given number of tasks, each with some 64 ranges; their number grows with the corpus, the blocks' too, so
+    # they are merged and never broadcast.
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sums["slots"] or 0) // (64 * STEP)))
+    ranges = slot_ranges(named, shards, seed).repartition(parts, "k", "lo")
 
     def to_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for k, lo, hi in frame[["k", "lo", "hi"]].itertuples(index=False):
-                j = np.arange(lo, min(lo + step, hi))
-                size = np.full(len(j), n_blocks[k])
-                yield pd.DataFrame({"k": np.full(len(j), k, np.int32), "block": permuted(j % size, size, (j // size) * 1_000_003 + k * 7919 + seed)})
+            for k, n, lo, hi in frame[["k", "blocks", "lo", "hi"]].itertuples(index=False):
+                j = np.arange(lo, hi)
+                size = np.full(len(j), n)
+                yield pd.DataFrame({"k": k, "block": permuted(j % size, size, (j // size) * 1_000_003 + k * 7919 + seed)})
 
-    taken = ranges.mapInPandas(to_blocks, "k int, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
+    taken = ranges.mapInPandas(to_blocks, "k long, block long").groupBy("k", "block").agg(F.count("*").alias("times"))
     size = F.col("size")
     own = placed.where(size > 0).withColumn("block", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))))
     key = ["k", "start"]  # a document with words begins where no other of its source does
