@@ -343,15 +343,20 @@ def over(c, n, f="sum"):
     return f"{f}({c}) OVER (PARTITION BY event_id, market, ticker ORDER BY date RANGE BETWEEN INTERVAL {n - 1} DAYS PRECEDING AND CURRENT ROW)"
 
 
+def r9(df, *columns):
+    """Nine digits, so that means of numbers with two do not end on a half; and no negative zero."""
+    return df.withColumns({c: F.round(c, 9) + F.lit(0.0) for c in columns})
+
+
 @query(f"""{WITH}, {FIRMDAY} SELECT event_id, market, ticker, date, {over('gdelt_news_count', 3)}::BIGINT AS gdelt_news_count_3d, {over('gdelt_news_count', 7)}::BIGINT AS gdelt_news_count_7d, {over('gdelt_news_count', 14)}::BIGINT AS gdelt_news_count_14d,
-{over('negative_news_count', 3)}::BIGINT AS gdelt_negative_count_3d, {over('negative_news_count', 7)}::BIGINT AS gdelt_negative_count_7d, round({over('negative_news_count', 7)} / {over('gdelt_news_count', 7)}, 6) AS gdelt_negative_share_7d,
-round({over('avg_gdelt_tone', 3, 'avg')}, 6) AS gdelt_avg_tone_3d, round({over('avg_gdelt_tone', 7, 'avg')}, 6) AS gdelt_avg_tone_7d, round({over('min_gdelt_tone', 7, 'min')}, 6) AS gdelt_min_tone_7d,
-round(({over('gdelt_news_count', 3)} / 3) / ({over('gdelt_news_count', 14)} / 14 + 1), 6) AS gdelt_news_burst_3d_vs_14d, round(({over('negative_news_count', 3)} / 3) / ({over('negative_news_count', 14)} / 14 + 1), 6) AS gdelt_negative_burst_3d_vs_14d,
-round({over('avg_gdelt_tone', 3, 'avg')} - {over('avg_gdelt_tone', 14, 'avg')}, 6) AS gdelt_tone_drop_3d_vs_14d FROM fd""")
+{over('negative_news_count', 3)}::BIGINT AS gdelt_negative_count_3d, {over('negative_news_count', 7)}::BIGINT AS gdelt_negative_count_7d, round({over('negative_news_count', 7)} / {over('gdelt_news_count', 7)}, 9) + 0.0 AS gdelt_negative_share_7d,
+round({over('avg_gdelt_tone', 3, 'avg')}, 9) + 0.0 AS gdelt_avg_tone_3d, round({over('avg_gdelt_tone', 7, 'avg')}, 9) + 0.0 AS gdelt_avg_tone_7d, round({over('min_gdelt_tone', 7, 'min')}, 9) + 0.0 AS gdelt_min_tone_7d,
+round(({over('gdelt_news_count', 3)} / 3) / ({over('gdelt_news_count', 14)} / 14 + 1), 9) + 0.0 AS gdelt_news_burst_3d_vs_14d, round(({over('negative_news_count', 3)} / 3) / ({over('negative_news_count', 14)} / 14 + 1), 9) + 0.0 AS gdelt_negative_burst_3d_vs_14d,
+round({over('avg_gdelt_tone', 3, 'avg')} - {over('avg_gdelt_tone', 14, 'avg')}, 9) + 0.0 AS gdelt_tone_drop_3d_vs_14d FROM fd""")
 def w10_w11_rolling_attention(spark, sf):
     out = attention.rolling(attention.firm_days(S.mentions(spark, sf)), KEY)
     names = [c for c in out.columns if c.endswith(("_3d", "_7d", "_14d"))]
-    return r6(out.select(*KEY, "date", *names), *[c for c in names if "count" not in c])
+    return r9(out.select(*KEY, "date", *names), *[c for c in names if "count" not in c])
 
 
 def market_over(c, n, f="sum"):
@@ -359,20 +364,20 @@ def market_over(c, n, f="sum"):
 
 
 def market_burst(c):
-    return f"round(({market_over(c, 3)} / 3) / ({market_over(c, 14)} / 14 + 1), 6)"
+    return f"round(({market_over(c, 3)} / 3) / ({market_over(c, 14)} / 14 + 1), 9) + 0.0"
 
 
 @query(f"""{WITH}, {FIRMDAY}, el AS (SELECT market, count(DISTINCT ticker) AS n FROM firm GROUP BY 1),
 md AS (SELECT fd.event_id, fd.market, fd.date, sum(gdelt_news_count)::BIGINT AS m, sum(negative_news_count)::BIGINT AS neg, count(*) AS cover, count(*) / any_value(el.n) AS share, avg(avg_gdelt_tone) AS tone FROM fd JOIN el USING (market) GROUP BY ALL)
 SELECT event_id, market, date, {market_over('m', 3)}::BIGINT AS market_gdelt_mentions_3d, {market_over('m', 7)}::BIGINT AS market_gdelt_mentions_7d, {market_over('m', 14)}::BIGINT AS market_gdelt_mentions_14d,
-{market_over('neg', 3)}::BIGINT AS market_negative_news_3d, {market_over('neg', 7)}::BIGINT AS market_negative_news_7d, round({market_over('neg', 7)} / {market_over('m', 7)}, 6) AS market_negative_share_7d,
-round({market_over('share', 7, 'avg')}, 6) AS market_covered_firm_share_7d, round({market_over('tone', 3, 'avg')} - {market_over('tone', 14, 'avg')}, 6) AS market_tone_drop_3d_vs_14d,
+{market_over('neg', 3)}::BIGINT AS market_negative_news_3d, {market_over('neg', 7)}::BIGINT AS market_negative_news_7d, round({market_over('neg', 7)} / {market_over('m', 7)}, 9) + 0.0 AS market_negative_share_7d,
+round({market_over('share', 7, 'avg')}, 9) + 0.0 AS market_covered_firm_share_7d, round({market_over('tone', 3, 'avg')} - {market_over('tone', 14, 'avg')}, 9) + 0.0 AS market_tone_drop_3d_vs_14d,
 {market_burst('neg')} AS market_negative_burst_3d_vs_14d, {market_burst('cover')} AS market_coverage_burst_3d_vs_14d FROM md""")
 def w10_w11_rolling_market(spark, sf):
     m = S.mentions(spark, sf)
     out = attention.rolling_market(attention.market_days(m, attention.firm_days(m), eligible(spark, sf).where(F.col("event_id") == "e1")))
     names = [c for c in out.columns if c.endswith(("_3d", "_7d", "_14d"))]
-    return r6(out.select("event_id", "market", "date", *names), *[c for c in names if "share" in c or "burst" in c or "drop" in c])
+    return r9(out.select("event_id", "market", "date", *names), *[c for c in names if "share" in c or "burst" in c or "drop" in c])
 
 
 @query(f"""{WITH}, {PANEL}, fn AS (SELECT market, ticker, n.* FROM news n JOIN firm ON s_suppkey - 1 = doc_id % (SELECT count(*) FROM firm)),
