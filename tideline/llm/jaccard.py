@@ -44,9 +44,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, texts
+from .shared import keep, release, texts
 from .tokens import slices
-from .words import Words, mixed, shingle_sets
+from .words import Words, mixed, numbered, shingle_sets
 
 #: Shingles in a shard, about.
 SHARD = 4_000_000
@@ -55,7 +55,6 @@ RARE = 200
 #: Members of a block of the matrix, about.
 BLOCK = 64
 HEAD = np.dtype([("a", "<u8"), ("b", "<u8"), ("n", "<u4"), ("here", "<u4")])
-KEY = np.dtype([("a", "<u8"), ("b", "<u8")])
 CANDIDATE = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("own", pa.int64()), ("room", pa.int32()), ("shared", pa.list_(pa.int64()))])
 #: Ids of common shingles begin here, above those of shards.
 COMMON = 1 << 62
@@ -150,23 +149,31 @@ def shared_shingles(shards: DataFrame, bits: int, common: np.ndarray) -> DataFra
     """Shingles in two or more sets with their counts, dealt anew by set (``bucket``)."""
 
     def run(table: pa.Table) -> pa.Table:
+        # A shard holds millions of shingles, so what is not needed any more goes at once.
+        shard = table.column("shard")[0].as_py()
         heads = np.concatenate([np.frombuffer(x.as_py(), HEAD) for x in table.column("sets")])
         flat = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")])
-        doc = np.repeat(np.arange(len(heads)), heads["here"])
+        del table
+        doc = np.repeat(np.arange(len(heads), dtype=np.int32), heads["here"])
         order = np.lexsort((heads["b"], heads["a"]))
         copy = np.zeros(len(heads), bool)  # sets that another batch has sent too
         copy[order[1:]] = (heads["a"][order[1:]] == heads["a"][order[:-1]]) & (heads["b"][order[1:]] == heads["b"][order[:-1]])
         if copy.any():
             first = ~copy[doc]
             flat, doc = flat[first], doc[first]
-        order = np.argsort(flat, kind="stable")
-        ordered = flat[order]
-        start = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(ordered) else np.zeros(0, np.int64)
-        count = np.diff(np.append(start, len(ordered)))
-        group = np.repeat(np.arange(len(start)), count)
+        order = np.argsort(flat).astype(np.int32)
+        flat, doc = flat[order], doc[order]
+        del order
+        start = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]])) if len(flat) else np.zeros(0, np.int64)
+        count = np.diff(np.append(start, len(flat))).astype(np.int32)
+        del flat
+        group = np.repeat(np.arange(len(start), dtype=np.int32), count)
         many = count[group] >= 2
-        doc, group, count = doc[order][many], group[many], count[group][many]
-        return to_buckets(heads, doc, group | table.column("shard")[0].as_py() << 32, count, bits)
+        doc, group = doc[many], group[many]
+        del many
+        out = to_buckets(heads, doc, group.astype(np.int64) | shard << 32, count[group].astype(np.int64), bits)
+        release()
+        return out
 
     def straight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +193,8 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
         heads = np.concatenate([np.frombuffer(x.as_py(), HEAD) for x in table.column("sets")])
         ids = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table.column("ids")])
         counts = np.concatenate([np.frombuffer(x.as_buffer(), "<i8") for x in table.column("counts")])
-        names, which = np.unique(np.ascontiguousarray(heads[["a", "b"]]).astype(KEY), return_inverse=True)
+        which, at = numbered(heads["a"], heads["b"])
+        names = np.stack([heads["a"][at], heads["b"][at]], 1)
         doc = np.repeat(which, heads["here"])
         n = np.zeros(len(names), np.int64)
         n[which] = heads["n"]
@@ -201,6 +209,7 @@ def candidates(shared: DataFrame, percent: int) -> DataFrame:
         rows = []
         for k in np.flatnonzero(room > 0):
             rows.append((names[k].tobytes(), int(n[k]), int(n[k] - kept[k]), int(room[k]), ids[edges[k] : edges[k + 1]]))
+        release()
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), CANDIDATE.types)] if rows else [pa.array([], t) for t in CANDIDATE.types], schema=CANDIDATE)
 
     return shared.groupBy("bucket").applyInArrow(run, "key binary, n long, own long, room int, shared array<long>")
@@ -236,11 +245,13 @@ def opened_pairs(stars: DataFrame, percent: int) -> DataFrame:
     fits = lambda bound, n, m: bound * (100 + percent) >= percent * (n + m)  # noqa: E731  enough in common for a link
     partner = lambda least: F.greatest(least, F.ceil(F.col("na") * percent / 100))  # noqa: E731  the smallest that can fit
     # The groups: their size and smallest member; members that are linked with the leader are no queries.
-    groups = stars.groupBy("b").agg(F.count("*").alias("members"), F.min("na").alias("least"), F.max("common").alias("most"))
-    rows = stars.join(groups.where(F.col("members") > 1), "b")
+    # What is joined by leader is written first: a leader may have a third of all rows, and joins of written tables are split.
+    groups = keep(stars.groupBy("b").agg(F.count("*").alias("members"), F.min("na").alias("least"), F.max("common").alias("most")).where(F.col("members") > 1), "stargroups")
+    rows = stars.join(groups, "b")
     query = ~F.col("linked") & fits(F.least("common", "most") + F.size("rest"), F.col("na"), partner(F.col("least")))
     rows = rows.select("a", "b", "na", "common", "rest", query.alias("query"), F.pmod(F.xxhash64("a"), F.expr(f"members div {BLOCK} + 1")).alias("block"))
-    rows = keep(rows.join(rows.where("query").select("b").distinct(), "b", "left_semi"), "members")
+    rows = keep(rows, "starmembers")
+    rows = keep(rows.join(keep(rows.where("query").select("b").distinct(), "asked"), "b", "left_semi"), "members")
     # The matrix: each block's union outside the leader, and how many members have a shingle.
     union = keep(rows.select("b", "block", F.explode("rest").alias("shingle")).groupBy("b", "block", "shingle").agg(F.count("*").alias("n")), "matrix")
     blocks = keep(rows.groupBy("b", "block").agg(F.min("na").alias("least"), F.max("common").alias("most")), "blocks")

@@ -8,10 +8,13 @@ bounds) are frozen once written.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -25,6 +28,13 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH = "4m"
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system: Python workers live on for other stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``.
 
@@ -68,13 +78,22 @@ def texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose (``doc_id``, ``h``) ``chosen`` holds, with its other columns; ``h`` is the text's hash."""
+def chosen_rows(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Rows of ``docs`` (as a struct ``row``) whose (``doc_id``, ``h``) ``chosen`` holds, with its other columns.
+
+    ``h`` is the text's hash.  No column of ``docs`` meets one of ``chosen``, whatever it is called.
+    """
     more = [c for c in chosen.columns if c not in ("doc_id", "h")]
-    right = chosen.select(F.col("doc_id").alias("__chosen_id"), F.col("h").alias("__chosen_h"), *more)
-    left = docs.withColumn("__text_hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__chosen_id")) & (F.col("__text_hash") == F.col("__chosen_h"))
-    return left.join(right, on, "inner" if more else "left_semi").drop("__text_hash", "__chosen_id", "__chosen_h")
+    right = chosen.select(F.col("doc_id").alias("right_id"), F.col("h").alias("right_h"), *more)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    left = docs.select(row, F.col("doc_id").cast("long").alias("left_id"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("left_h"))
+    on = F.col("left_id").eqNullSafe(F.col("right_id")) & (F.col("left_h") == F.col("right_h"))
+    return left.join(right, on, "inner" if more else "left_semi").select("row", *more)
+
+
+def rows_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose (``doc_id``, ``h``) ``chosen`` holds."""
+    return chosen_rows(docs, chosen.select("doc_id", "h")).select("row.*")
 
 
 def ascii_lower(text: Column) -> Column:

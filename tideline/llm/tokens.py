@@ -18,8 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .shared import release
+
 #: Bytes that a worker's known stretches may take, about.
-KEPT = 48 << 20
+KEPT = 32 << 20
 #: Bytes of text that are encoded at once.
 SLICE = 1 << 21
 #: Punctuation that is cut off after a letter.
@@ -229,6 +231,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int =
             hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + size, side="right")))
             yield batch.slice(lo, hi - lo)
             lo = hi
+    release()
 
 
 def encoder(path: str) -> Encoder:

@@ -28,6 +28,16 @@ def mixed(h: np.ndarray, seed: int = 0) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def numbered(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each pair of values, equal pairs the same; and where the first of each number stands."""
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out, order[new]
+
+
 def identities(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two whole numbers for each word: its first 16 bytes permuted, or the digest of a longer one (or of one with a zero byte)."""
     padded = np.concatenate([raw, np.zeros(16, np.uint8)])
