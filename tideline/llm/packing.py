@@ -6,9 +6,10 @@ rows in parallel:
 
 1. Tasks encode documents, cut the long ones, and number the pieces of each
    length within their partition.
-2. The histogram goes to the planner.  For the longest length left it looks up
-   the gap among single lengths, then pair sums, then triple sums, and consumes
-   a combination that fills the gap exactly, as often as the counts allow.  A gap
+2. The histogram goes to the planner, which indexes the sums of pairs and triples of
+   lengths by hash (``Complements``).  For the longest length left it looks up the
+   gap among single lengths, then pair sums, then triple sums, and consumes a
+   combination that fills the gap exactly, as often as the counts allow.  A gap
    that nothing fills exactly takes the longest length that fits (best fit) and
    is looked up again.
 3. A pattern used ``c`` times owns ``c`` sequences and, of each of its lengths, a
@@ -35,54 +36,64 @@ from .shared import keep, texts, with_starts
 from .tokens import encoder, slices
 
 
-def exact_fill(gap: int, left: np.ndarray, most: int) -> tuple[int, ...] | None:
-    """Up to ``most`` (three, at most) lengths, longest first, that sum to ``gap`` and are all in stock."""
-    if most and gap < len(left) and left[gap]:
-        return (gap,)
-    if most < 2:
+class Complements:
+    """A hash index from sums to the pairs and triples of lengths in stock that have them; ``left`` counts the stock."""
+
+    def __init__(self, left: np.ndarray):
+        self.left = left
+        self.pairs: dict[int, list[tuple[int, int]]] = {}  # the best, with the longest part, stands last
+        self.firsts: dict[int, list[int]] = {}  # of triples: the longest part; the others are a pair
+        lengths = np.flatnonzero(left).tolist()
+        for k, a in enumerate(lengths):
+            for b in lengths[: k + 1]:
+                if a + b >= len(left):
+                    break
+                self.pairs.setdefault(a + b, []).append((a, b))
+        for total in range(3, len(left)):
+            self.firsts[total] = [a for a in lengths if 3 * a >= total and total - a in self.pairs]
+
+    def pair(self, total: int, top: int, taken: int = 0) -> tuple[int, int] | None:
+        """Two lengths in stock, none above ``top``, when one of ``taken`` is in use already."""
+        found = self.pairs.get(total, [])
+        while found and not self.there(found[-1]):  # stock only shrinks: what is gone stays gone
+            found.pop()
+        for p in reversed(found):
+            if p[0] <= top and self.there(p, taken):
+                return p
         return None
 
-    def pair(total: int, top: int, used: int) -> tuple[int, int] | None:
-        """Two lengths, the larger at most ``top``, with ``used`` (a length) taken once."""
-        hi = min(top, total - 1, len(left) - 1)
-        lo = (total + 1) // 2
-        if hi < lo:
-            return None
-        a = np.arange(hi, lo - 1, -1)
-        b = total - a
-        ok = (left[a] - (a == used) > 0) & (left[b] - (b == used) - (a == b) > 0)
-        k = int(np.argmax(ok))
-        return (int(a[k]), int(b[k])) if ok[k] else None
-
-    if two := pair(gap, gap, 0):
-        return two
-    if most < 3:
+    def there(self, pair: tuple[int, int], taken: int = 0) -> bool:
+        a, b = pair
+        return self.left[a] > (a == taken) and self.left[b] > (b == taken) + (a == b)
+
+    def fill(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three lengths in stock that sum to ``gap``, longest first."""
+        if self.left[gap]:
+            return (gap,)
+        if two := self.pair(gap, gap):
+            return two
+        firsts = self.firsts.get(gap, [])
+        while firsts and not self.left[firsts[-1]]:
+            firsts.pop()
+        for a in reversed(firsts):
+            if self.left[a] and (rest := self.pair(gap - a, a, a)):
+                return (a, *rest)
         return None
-    for first in np.flatnonzero(left[: min(gap - 1, len(left))])[::-1].tolist():
-        if 3 * first < gap:
-            break
-        if rest := pair(gap - first, first, first):
-            return (first, *rest)
-    return None
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """The plan with the fewest sequences of those that look up to 3, 2, 1 or no lengths for a gap."""
-    return min((plan_with(histogram, capacity, most) for most in (3, 2, 1, 0)), key=lambda p: sum(n for _, n in p))
-
-
-def plan_with(histogram: dict[int, int], capacity: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     """Patterns of lengths that sum to at most ``capacity``, and how often each is used."""
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
+    index = Complements(left)
     out: list[tuple[tuple[int, ...], int]] = []
     for longest in range(capacity, 0, -1):
         while left[longest]:
             left[longest] -= 1
             pattern, gap = [longest], capacity - longest
             while gap:
-                more = exact_fill(gap, left, most)
+                more = index.fill(gap)
                 if more is None:
                     fits = np.flatnonzero(left[1 : gap + 1])
                     if not len(fits):
