@@ -9,12 +9,16 @@ its tokens (the rarest), a page looks its tokens up and keeps the rules whose
 tokens it has all of.  The most confident decides (then the one with the most
 support, then with more tokens, then by name); a page that none matches is allowed.
 
+Tokens that the same judged pages hold are one item: they would only multiply the
+combinations (all subsets of k tokens that always occur together are frequent), and a
+rule that needs one of them holds for any.  A page has the item if it has one of them.
+
 Tokens are the host's labels with their place from the end, host suffixes, words
 of the path with digits made ``#``, and names of query parameters.
 
 Cases: a null url or one without ``://`` has an empty host and path, no rule and no
-tokens, and is allowed; null ``page_id`` and repeated rows are judged like others; without
-judged pages nothing is mined; an empty table gives no rows; other columns are
+tokens, and is allowed; null ``page_id`` and repeated rows are judged like others (repeated
+pages count again as support); without judged pages nothing is mined; an empty table gives no rows; other columns are
 ignored.
 """
 
@@ -24,7 +28,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import UPPER
+from .shared import UPPER, keep
 
 #: Mined rules up to this number are broadcast; more are joined by shuffle.
 SMALL = 20_000
@@ -59,12 +63,28 @@ def tokens_of(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(places, F.when(F.size(labels) >= 2, above).otherwise(F.array().cast("array<string>")), steps, names))
 
 
+def items_of(judged: DataFrame) -> DataFrame:
+    """``token`` and its ``item``: the first of the tokens that stand in the same rows of ``judged`` (different ``tokens``)."""
+    # Two sums of 64-bit hashes stand for the set of a token's rows.
+    rows = judged.select(F.xxhash64("tokens").alias("one"), F.xxhash64(F.lit("two"), "tokens").alias("two"), F.explode("tokens").alias("token"))
+    where = rows.groupBy("token").agg(F.count("*").alias("n"), F.bit_xor("one").alias("one"), F.bit_xor("two").alias("two"))
+    first = where.groupBy("n", "one", "two").agg(F.min("token").alias("item"))
+    return keep(where.join(first, ["n", "one", "two"]).select("token", "item"), "items")
+
+
+def with_items(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """Rows with an array ``tokens``, each with its ``items`` (those without any are left out)."""
+    pairs = rows.select("tokens", F.explode("tokens").alias("token")).join(items, "token")
+    return pairs.groupBy("tokens").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
 def mine(judged: DataFrame, support: float, confidence: float) -> DataFrame:
-    """Rules (``need``, ``verdict``, ``confidence``, ``support``) from rows with ``tokens`` and ``verdict``."""
-    baskets = judged.select(F.concat("tokens", F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
+    """Rules (``need``, ``verdict``, ``confidence``, ``support``) from rows with ``items`` and ``verdict``."""
+    baskets = judged.select(F.concat("items", F.array(F.concat(F.lit(VERDICT), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where(F.element_at("consequent", 1).startswith(VERDICT) & ~F.exists("antecedent", lambda x: x.startswith(VERDICT)))
-    rules = rules.select(F.array_sort("antecedent").alias("need"), F.substring(F.element_at("consequent", 1), len(VERDICT) + 1, 100).alias("verdict"), "confidence", "support").cache()
+    rules = rules.select(F.array_sort("antecedent").alias("need"), F.substring(F.element_at("consequent", 1), len(VERDICT) + 1, 100).alias("verdict"), "confidence", "support")
+    rules = keep(rules, "rules")
     # A rule goes if taking one token away leaves a rule for the verdict that is as sure.
     shorter = rules.where(F.size("need") > 1).select("need", "verdict", "confidence", F.explode("need").alias("gone"))
     shorter = shorter.select("need", "verdict", "confidence", F.array_except("need", F.array("gone")).alias("less"))
@@ -82,16 +102,19 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], support: float =
     rows = pages.select("page_id", url.alias("url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("given", given_rule(F.col("host"), F.col("path"), rules)).withColumn("tokens", tokens_of(F.col("url"), F.col("host"), F.col("path")))
     judged = rows.where(F.col("given").isNotNull()).select("tokens", F.col("given.verdict").alias("verdict"))
-    mined = mine(judged, support, confidence)
+    shapes = judged.select("tokens").distinct()
+    items = items_of(shapes)
+    baskets = judged.join(keep(with_items(shapes, items), "baskets"), "tokens").select("items", "verdict")
+    mined = keep(mine(baskets, support, confidence), "mined")
     # The inverted index: a mined rule stands under its rarest token among the mined rules.
     spread = mined.select("*", F.explode("need").alias("token"))
     often = spread.groupBy("token").agg(F.count("*").alias("n"))
     index = spread.join(often, "token").groupBy("need", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
     index = F.broadcast(index) if mined.count() <= SMALL else index
     # Distinct token sets are looked up once; pages of one shape share the answer.
-    open_ = rows.where(F.col("given").isNull() & (F.size("tokens") > 0)).select("tokens").distinct()
-    hits = open_.select("tokens", F.explode("tokens").alias("token")).join(index, "token").where(F.size(F.array_except("need", "tokens")) == 0)
-    best = hits.groupBy("tokens").agg(F.max_by(F.struct("verdict", "need"), F.struct("confidence", "support", F.size("need"), "need", "verdict")).alias("best"))
+    open_ = with_items(rows.where(F.col("given").isNull() & (F.size("tokens") > 0)).select("tokens").distinct(), items)
+    hits = open_.select("tokens", "items", F.explode("items").alias("token")).join(index, "token").where(F.size(F.array_except("need", "items")) == 0)
+    best = keep(hits.groupBy("tokens").agg(F.max_by(F.struct("verdict", "need"), F.struct("confidence", "support", F.size("need"), "need", "verdict")).alias("best")), "best")
     settled = rows.where(F.col("given").isNotNull() | (F.size("tokens") == 0)).withColumn("best", F.lit(None).cast("struct<verdict:string,need:array<string>>"))
     looked = rows.where(F.col("given").isNull() & (F.size("tokens") > 0)).join(best, "tokens", "left").select(*settled.columns)
     return settled.unionByName(looked).select(
