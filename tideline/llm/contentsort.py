@@ -4,9 +4,10 @@ Normalised texts are range-partitioned by sampled splitters and sorted inside
 each partition by Spark's spilling sort, which puts equal texts side by side; a
 pass over neighbours compares them in full and closes a run where they differ.
 
-The splitters are short: the first characters, a 64-bit hash and the row's id.
-The hash parts texts with a common beginning, the id spreads the copies of one
-text over as many partitions as their number asks for.  A run that stands at a
+The splitters are short: the first characters, a 64-bit hash, the row's id and its
+place in the input.  The hash parts texts with a common beginning; the id and the
+place spread the copies of one text over as many partitions as their number asks for,
+equal or null ids too.  A run that stands at a
 partition's edge may go on in the next one, so runs whose splitter key equals
 that of the first or last row carry their text along once and are joined, in
 full, with each other (at most a few rows for each partition).
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import ascii_lower, keep, texts
+from .shared import ascii_lower, keep, release, texts
 
 #: Characters of the text in a splitter.
 HEAD = 48
@@ -74,6 +75,7 @@ def find_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     leave(True)
     if rows:
         yield batch_of()
+    release()
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
@@ -82,8 +84,8 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     ``kept`` marks one row of each group, of those with its largest ``doc_id``.
     """
     keyed = texts(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), ascii_lower(F.col("text")).alias("norm"))
-    keyed = keyed.withColumns({"head": F.substring("norm", 1, HEAD), "h": F.xxhash64("norm")})
-    ranged = keyed.repartitionByRange("head", "h", "doc_id").sortWithinPartitions("head", "h", "norm", "doc_id")
+    keyed = keyed.withColumns({"head": F.substring("norm", 1, HEAD), "h": F.xxhash64("norm"), "place": F.monotonically_increasing_id()})
+    ranged = keyed.repartitionByRange("head", "h", "doc_id", "place").sortWithinPartitions("head", "h", "norm", "doc_id")
     found = ranged.select("doc_id", "text_hash", "norm", "h").mapInArrow(find_runs, "doc_id long, text_hash long, part int, run long, last_id long, size long, tail boolean, sha binary, edge_text string")
     runs = keep(found, "runs")
     at = F.struct("last_id", "part", "run")
