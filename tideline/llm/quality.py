@@ -13,7 +13,8 @@ Statistics of all labelled rows are used; there is no sample.
 Cases: null text counts as empty, and an empty text gets the score of its (zero)
 statistics; rows with a null ``doc_id`` are scored, not learnt from, and not held
 out; a document labelled more than once counts once for each label; labels that
-are null or other than 0 and 1 are left out; without any label of either kind the
+are null or other than 0 and 1 are left out; equal texts have equal scores; very long
+texts are measured whole; without any label of either kind the
 share of label 1 (0.5 without labels) is the score; an empty table gives no rows;
 other columns of either table are ignored.
 """
@@ -97,7 +98,7 @@ class Features:
     def __call__(self, stats: np.ndarray) -> np.ndarray:
         z = np.clip((stats - self.mean) / self.std, -6, 6)
         rows = np.cos(z @ self.w + self.b) * np.sqrt(2 / len(self.b))
-        return np.hstack([rows, z / 6, np.ones((len(z), 1))])
+        return np.hstack([rows, np.ones((len(z), 1))])
 
 
 def matrix_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
@@ -107,7 +108,7 @@ def matrix_of(batch: pa.RecordBatch, name: str) -> np.ndarray:
 
 def fit_ridge(rows: DataFrame, features: Features, alpha: float) -> np.ndarray:
     """Weights for ``label`` from the summed normal equations of (``stats``, ``label``)."""
-    size = len(features.b) + len(features.mean) + 1
+    size = len(features.b) + 1
     out = pa.schema([("i", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
