@@ -30,20 +30,33 @@ from tideline.llm.jaccard import link_documents
 from tideline.llm.mixing import mix
 from tideline.llm.packing import pack
 from tideline.llm.quality import score
-from tideline.llm.shared import WORD, keep, rows_of, table
+from tideline.llm.shared import WORD, chosen_rows, keep, rows_of, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.3 or more.
+
+    Null and empty texts get the score of empty statistics and stay or go by it, rows with null ids too; equal rows go
+    or stay together; without labels all have 0.5 and stay; an empty table stays empty.
+    """
     judged = score(docs, table(spark, sf_dir, "labels"))
     return rows_of(docs, judged.where(F.col("predicted") == 1).select("doc_id", "h"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each normalised text: the one with the largest id.
+
+    Null and empty texts are one text; a null id is smaller than any other; of rows that share id and text one stays.
+    """
     kept = keep(deduplicate(docs).where("kept").select("doc_id", "h"), "kept")
     return one_each(docs, kept)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents that links connect, the one with the smallest id; a null id only where all are null.
+
+    Texts without words are linked with nothing and all stay.
+    """
     linked = keep(link_documents(docs), "linked")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("first")
     kept = linked.where(F.col("group").isNotNull()).groupBy("group").agg(first).select("first.doc_id", "first.h")
@@ -61,9 +74,13 @@ def one_each(docs: DataFrame, chosen: DataFrame) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    taken = mix(docs).where(F.col("taken") > 0).select("doc_id", "h", F.col("blocks").alias("__blocks"))
-    taken = taken.dropDuplicates(["doc_id", "h"])
-    rows = rows_of(docs, taken)
+    """What the mix takes of each document, a row for words taken once or more and another for those taken twice.
+
+    Documents without words, or of which nothing is taken, have no row; a null source is a source; ``n_chars`` is that
+    of the new text, all other columns stay as they are.
+    """
+    taken = mix(docs).where(F.col("taken") > 0).select("doc_id", "h", F.col("blocks").alias("taken_blocks"))
+    rows = chosen_rows(docs, taken.dropDuplicates(["doc_id", "h"]))
     names, kinds = docs.columns, docs.dtypes
     word = re.compile(WORD.replace(r"\x20", " "))
 
@@ -84,8 +101,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, out = [], []
-            for k, (text, blocks) in enumerate(zip(batch.column("text").to_pylist(), batch.column("__blocks").to_pylist())):
+            at, out, row = [], [], dict(zip(names, batch.column("row").flatten()))
+            for k, (text, blocks) in enumerate(zip(row["text"].to_pylist(), batch.column("taken_blocks").to_pylist())):
                 for times in range(1, 1 + max(b["times"] for b in blocks)):
                     part = cut(text, blocks, times)
                     if part is not None:
@@ -93,12 +110,13 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                         out.append(part)
             take = pa.array(at, pa.int64())
             made = {"text": pa.array(out, pa.string()), "n_chars": pa.array([len(t) for t in out], pa.int64())}
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(n).take(take) for n in names], names=names)
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else row[n].take(take) for n in names], names=names)
 
     return rows.mapInArrow(run, ", ".join(f"`{n}` {'long' if n == 'n_chars' else 'string' if n == 'text' else k}" for n, k in kinds))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of at most 1024 ids, with its sequence and place; an empty text is one piece."""
     return pack(docs, tokenizer_path())
 
 
