@@ -115,3 +115,49 @@ def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+# ---- columns of op2 and op6 that SQL can express
+
+
+@query
+def url_rule_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and given rule of every page's URL."""
+    from .urlrules import judge
+
+    return judge(table(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule")
+
+
+def _fits(host: str, path: str) -> str:
+    return f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
+
+
+ORACLE["url_rule_columns"] = f"""
+WITH u AS (SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h)
+SELECT page_id, host, path, CASE {" ".join(f"WHEN {_fits(h, p)} THEN '{h}{p}'" for _, h, p in sorted(URL_RULES, key=lambda r: -len(r[1] + r[2])))} END AS rule FROM p
+"""
+
+
+@query
+def base_span_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base spans of each kind in every text."""
+    from .pii import KINDS, base_spans
+    from .shared import texts
+
+    docs = texts(table(spark, sf_dir, "documents"))
+    return docs.select("doc_id", *[F.size(base_spans(F.col("text"), k)).cast("long").alias(f"n_{k}") for k in KINDS])
+
+
+ORACLE["base_span_counts"] = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, t,
+  list_transform(regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS cards,
+  list_transform(regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]'), lambda x: regexp_replace(x, '[^0-9]', '', 'g')) AS phones,
+  list_transform(regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)'), lambda x: list_transform(string_split(x, '.'), lambda y: ltrim(y, '0'))) AS ips FROM d)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+')) AS n_email,
+  len(list_filter(ips, lambda x: len(list_filter(x, lambda y: length(y) > 3 OR coalesce(try_cast(left(y, 3) AS INTEGER), 0) > 255)) = 0)) AS n_ip,
+  len(list_filter(cards, lambda g: length(g) BETWEEN 13 AND 19 AND list_sum(list_transform(range(length(g)), lambda i: CASE WHEN i % 2 = 0 THEN substr(g, length(g) - i, 1)::INTEGER
+    WHEN substr(g, length(g) - i, 1)::INTEGER > 4 THEN substr(g, length(g) - i, 1)::INTEGER * 2 - 9 ELSE substr(g, length(g) - i, 1)::INTEGER * 2 END)) % 10 = 0)) AS n_card,
+  len(list_filter(phones, lambda g: length(g) BETWEEN 9 AND 15)) AS n_phone FROM m
+"""
