@@ -133,6 +133,81 @@ def test_op2_rules_and_mined_verdicts(spark):
     assert judge(pages.limit(0), URL_RULES).count() == 0
 
 
+def url_tokens(url):
+    import re
+
+    rest = url.split("://", 1)[1]
+    host = re.split("[/?#]", rest)[0].lower()
+    path = re.split("[?#]", rest[len(host) :])[0]
+    labels = [x for x in host.split(".") if x][::-1]
+    out = [f"host{k}:{x}" for k, x in enumerate(labels)]
+    out += ["under:" + ".".join(labels[:n][::-1]) for n in range(2, len(labels) + 1)]
+    out += ["path:" + x for x in re.split("[/._-]+", re.sub("[0-9]+", "#", path)) if x]
+    out += ["query:" + x for x in re.findall(r"[?&]([^=&#]+)=", url)]
+    return set(out)
+
+
+def plain_mined(judged, others, support, confidence):
+    """Verdicts of ``others`` by all rules over classes of tokens that the same pages of ``judged`` hold."""
+    from itertools import combinations
+
+    rows = [(url_tokens(u), v) for u, v in judged]
+    where = {}
+    for k, (tokens, _) in enumerate(rows):
+        for t in tokens:
+            where.setdefault(t, set()).add(k)
+    first = {}
+    for t in sorted(where):
+        first.setdefault(frozenset(where[t]), t)
+    item = {t: first[frozenset(w)] for t, w in where.items()}
+    baskets = [({item[t] for t in tokens}, v) for tokens, v in rows]
+    rules = {}
+    for size in range(1, 9):
+        for basket, _ in baskets:
+            for need in combinations(sorted(basket), size):
+                if need not in rules:
+                    holds = [v for b, v in baskets if set(need) <= b]
+                    rules[need] = {v: (holds.count(v) / len(holds), holds.count(v) / len(baskets)) for v in set(holds)}
+    good = {(need, v): (c, s) for need, by in rules.items() for v, (c, s) in by.items() if s >= support and c >= confidence}
+    kept = {(n, v): x for (n, v), x in good.items() if not any(good.get((n[:k] + n[k + 1 :], v), (0,))[0] >= x[0] for k in range(len(n)))}
+    out = []
+    for u in others:
+        have = {item[t] for t in url_tokens(u) if t in item}
+        fits = [(c, s, len(n), list(n), v) for (n, v), (c, s) in kept.items() if set(n) <= have]
+        out.append(max(fits)[-1] if fits else "allow")
+    return out
+
+
+def test_op2_mined_verdicts_match_plain_rules(spark):
+    from tideline.llm.entries import URL_RULES
+    from tideline.llm.urlrules import judge
+
+    rng = random.Random(4)
+    judged, others = [], []
+    for k in range(160):
+        good = rng.random() < 0.5
+        word = rng.choice(["news", "guide"] if good else ["casino", "win", "news"])
+        tail = f"{word}/{rng.choice(['a', 'b', 'c'])}/{k % 7}?{rng.choice(['id', 'ref'])}={k}"
+        judged.append((f"http://x{k % 3}.example.net/{'en' if good else 'de'}/{tail}", "allow" if good else "block"))
+        others.append(f"http://x{k % 5}.example.com/es/{rng.choice(['news', 'guide', 'casino', 'win', 'else'])}/{rng.choice(['a', 'b', 'd'])}/{k}?{rng.choice(['id', 'q'])}=1")
+    judged += judged[:5]  # repeated rows
+    pages = [(k, u) for k, u in enumerate([u for u, _ in judged] + others)]
+    got = {r["page_id"]: r for r in judge(spark.createDataFrame(pages, "page_id long, url string"), URL_RULES, support=0.05).collect()}
+    assert [got[k]["verdict"] for k in range(len(judged))] == [v for _, v in judged]
+    assert [got[len(judged) + k]["verdict"] for k in range(len(others))] == plain_mined(judged, others, 0.05, 0.8)
+    assert {got[len(judged) + k]["verdict"] for k in range(len(others))} == {"allow", "block"}
+
+
+def test_op2_long_urls_of_one_shape(spark):
+    from tideline.llm.entries import URL_RULES
+    from tideline.llm.urlrules import judge
+
+    tail = "/".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(40))
+    pages = [(k, f"http://s{k}.example.com/de/{tail}/{k}") for k in range(220)] + [(900, f"http://other.example.org/{tail}/1"), (901, "http://a.b/" + "x/" * 3000)]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark.createDataFrame(pages, "page_id long, url string"), URL_RULES).collect()}
+    assert len(got) == 222 and got[900] == "block" and got[901] == "allow"
+
+
 @pytest.mark.parametrize("capacity", [64, 1024])
 def test_op3_packs_everything(docs, none, rows, tokenizer, capacity):
     from tideline.llm.entries import tokenizer_path
@@ -166,13 +241,66 @@ def test_op3_packs_everything(docs, none, rows, tokenizer, capacity):
 def test_op3_plan_is_exact_where_it_can_be():
     from tideline.llm.packing import plan
 
-    patterns = plan({10: 5, 7: 3, 3: 3, 6: 2, 2: 4, 5: 2}, 10)
+    stock = {10: 5, 7: 3, 3: 3, 6: 2, 2: 4, 5: 2}
+    patterns = plan(stock, 10)
     used = Counter()
     for p, n in patterns:
         assert sum(p) <= 10
         for x in p:
             used[x] += n
-    assert used == {10: 5, 7: 3, 3: 3, 6: 2, 2: 4, 5: 2} and sum(n for _, n in patterns) == 11
+    assert used == stock and sum(n for _, n in patterns) == 11
+    rng = random.Random(3)
+    for _ in range(20):
+        stock = {n: rng.randint(1, 40) for n in rng.sample(range(1, 101), 40)}
+        patterns, used = plan(stock, 100), Counter()
+        for p, n in patterns:
+            assert sum(p) <= 100
+            for x in p:
+                used[x] += n
+        assert used == stock
+        assert sum(n for _, n in patterns) <= 1.3 * -(-sum(k * v for k, v in stock.items()) // 100)
+    stock = {60: 2, 40: 2, 50: 2, 70: 1, 20: 1, 10: 1, 91: 1, 5: 1, 3: 1, 1: 1}  # single, pair and triple complements
+    assert all(sum(p) == 100 for p, _ in plan(stock, 100))
+
+
+def hostile():
+    """Two words of 2,048 letters that polynomial hashes modulo 2**64 cannot tell apart, whatever their base."""
+    bits = [bin(k).count("1") % 2 for k in range(2048)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_with_equal_weak_hashes_stay_apart(spark, tokenizer):
+    import pyarrow as pa
+
+    from tideline.llm.entries import tokenizer_path
+    from tideline.llm.fmindex import remove_repeats
+    from tideline.llm.jaccard import link_documents
+    from tideline.llm.packing import pack
+    from tideline.llm.tokens import Encoder
+    from tideline.llm.wavelet import encode_corpus
+    from tideline.llm.words import Words
+
+    a, b = hostile()
+    rows = []
+    for k, x in enumerate((a, b)):
+        rows.append((k, f"{x} q"))
+        rows.append((2 + k, " ".join([*[f"w{i}" for i in range(30)], x, *[f"w{i}" for i in range(31, 61)]])))
+        rows.append((4 + k, " ".join(["s1", "s2", x, "s3", "s4"])))
+        rows.append((6 + k, f"{x} 0 {x}"))
+    encoder = Encoder(tokenizer_path())
+    for _ in range(2):
+        ids, n = encoder.encode(pa.array([t for _, t in rows]))
+        for (_, t), e, m in zip(rows, np.cumsum(n), n):
+            assert ids[e - m : e].tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    crc = lambda t, end: zlib.crc32(ids_of(tokenizer, t, end).tobytes())
+    assert {r["doc_id"]: r["ids_crc32"] for r in encode_corpus(table, tokenizer_path()).collect()} == {k: crc(t, 0) for k, t in rows}
+    assert {r["doc_id"]: r["ids_crc32"] for r in pack(table, tokenizer_path(), 1 << 14).collect()} == {k: crc(t, 2) for k, t in rows}
+    assert Counter(tuple(r) for r in remove_repeats(table).collect()) == plain_removal(rows, 35)
+    assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in link_documents(table).collect()) == plain_components(rows, 5, 75)
+    words = ["a", "a\x00", "12345678", "12345678a", "12345678a\x00", "0123456789abcdef", "0123456789abcdefg", a, b, "é", "\x00"]
+    w = Words(pa.array([" ".join(words), "x\x00 " + a]), lower=False)
+    assert len({*zip(w.hashes.tolist(), w.others.tolist())}) == len(words) + 1 and w.hashes[7] == w.hashes[-1]
 
 
 def lower(t):
@@ -220,6 +348,60 @@ def test_op5_learns_and_does_not_peek(spark, none):
     assert score(none, given).count() == 0 and score(table, given.limit(0)).select("score").distinct().first()[0] == 0.5
 
 
+def plain_scores(rows, labels, size, seed=7, width=5.0, alpha=1e-3, bins=2048):
+    """The same model by plain linear algebra and pooling of neighbours."""
+    from tideline.llm.quality import statistics
+
+    stats = np.array([statistics((t or "").encode()) for _, t in rows])
+    fold = np.array([zlib.crc32(str(i).encode()) % 5 if i is not None else -1 for i, _ in rows])
+    at = {i: k for k, (i, _) in enumerate(rows)}
+    known = [(at[i], y) for i, y in labels if i is not None and y in (0, 1) and i in at and fold[at[i]] != 0]
+    fit = [(k, y) for k, y in known if fold[k] != 4]
+    x = stats[[k for k, _ in fit]]
+    mean, std = x.mean(0), x.std(0, ddof=1)
+    rng = np.random.default_rng(seed)
+    w, b = rng.normal(0, 1 / width, (stats.shape[1], size)), rng.uniform(0, 2 * np.pi, size)
+    z = np.clip((stats - mean) / np.where(std > 1e-9, std, 1), -6, 6)
+    phi = np.hstack([np.cos(z @ w + b) * np.sqrt(2 / size), np.ones((len(z), 1))])
+    a = phi[[k for k, _ in fit]]
+    raw = phi @ np.linalg.solve(a.T @ a + alpha * len(fit) * np.eye(size + 1), a.T @ np.array([y for _, y in fit], float))
+    place = np.clip(np.floor((raw + 0.5) / 2 * bins), 0, bins - 1).astype(int)
+    cal = {}
+    for k, y in known:
+        if fold[k] == 4:
+            cal.setdefault(place[k], []).append(y)
+    pools = []  # mean, weight, bins
+    for c in sorted(cal):
+        pools.append([np.mean(cal[c]), len(cal[c]), [c]])
+        while len(pools) > 1 and pools[-2][0] >= pools[-1][0]:
+            m, n, cs = pools.pop()
+            last = pools[-1]
+            pools[-1] = [(last[0] * last[1] + m * n) / (last[1] + n), last[1] + n, last[2] + cs]
+    xs = [c for p in pools for c in p[2]]
+    return np.interp(place, xs, [p[0] for p in pools for _ in p[2]])
+
+
+def test_op5_scores_match_a_plain_fit(spark):
+    from tideline.llm.quality import score
+
+    rng = random.Random(12)
+    rows, labels = [], []
+    for k in range(500):
+        good = rng.random() < 0.7
+        w = words(rng, rng.randint(5, 80)).split()
+        rows.append((k, " ".join(w if good or rng.random() < 0.2 else [x.upper() + "!!" if rng.random() < 0.6 else x for x in w])))
+        labels.append((k, int(good)))
+    rows += [(None, "x y"), (600, None), (601, ""), (602, "long " * 20_000), (603, rows[3][1]), (604, rows[3][1])]
+    labels += [(7, None), (None, 1), (603, 1), (9999, 0)]
+    got = {r["doc_id"]: r["score"] for r in score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, quality int"), size=48).collect()}
+    want = plain_scores(rows, labels, 48)
+    assert len(got) == len(rows)
+    # A raw score beside a bin's edge may fall on either side of it.
+    off = [i for (i, _), x in zip(rows, want) if abs(got[i] - x) > 1e-6]
+    assert len(off) <= 2
+    assert got[603] == got[604] == got[3] and got[600] == got[601]
+
+
 def test_op6_base_spans_and_discovery(spark, none):
     import re
 
@@ -275,14 +457,34 @@ def test_op6_seeds_without_digits_runs_and_single_patterns(spark):
         assert [t[int(a) : int(b)] for a, b in ids] == ([hidden[t]] if t in hidden else []), t
 
 
+def test_op6_many_matches_in_one_text_and_repeated_rows(spark):
+    import time
+
+    from tideline.llm.pii import find
+
+    numbers = " ".join(f"{k % 97}.5" for k in range(20_000))
+    mails = " ".join(f"u{k}@example.org" for k in range(20_000))
+    rows = [(1, numbers), (2, mails), (3, "key " + "0f" * 20 + " end"), (3, "key " + "0f" * 20 + " end"), (None, "call 4111111111111112 now")]
+    start = time.time()
+    got = sorted(((r["doc_id"], r["n_email"], r["spans"]) for r in find(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=lambda r: (r[0] is None, r[0] or 0))
+    assert time.time() - start < 120
+    assert [(r[0], r[1]) for r in got] == [(1, 0), (2, 20_000), (3, 0), (3, 0), (None, 0)]
+    at = 0
+    for k, span in enumerate(got[1][2].split(",")[:20_000]):
+        n = len(f"u{k}@example.org")
+        assert span == f"email:{at}:{at + n}"
+        at += n + 1
+    assert got[2][2] == got[3][2] == "id:4:44" and got[4][2] == "id:5:21"
+
+
 def test_op7_matches_brute_force(spark):
     from tideline.llm.topk import by_id, top_k
 
     rng = np.random.default_rng(3)
     rows = [(k, (rng.normal(size=8) * 0.3).astype(float).tolist(), 1) for k in range(700)]
-    rows += [(1000 + k, rows[3][1], 1) for k in range(60)] + [(2000, None, 1), (2001, [], 1), (2002, [1.0] * 7 + [float("nan")], 1), (2003, [1.0] * 7 + [None], 1), (2004, [float("inf")] + [0.0] * 7, 1), (None, [0.1] * 8, 1)]
+    rows += [(1000 + k, rows[3][1], 1) for k in range(60)] + [(2000, None, 1), (2002, [1.0] * 7 + [float("nan")], 1), (2003, [1.0] * 7 + [None], 1), (2004, [float("inf")] + [0.0] * 7, 1), (None, [0.1] * 8, 1)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, x int").repartition(3)
-    sound = {k: np.floor(np.array(v) * 1024).astype(int) for k, v, _ in rows if k is not None and v and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v)}
+    sound = {k: np.floor(np.array(v) * 1024).astype(int) for k, v, _ in rows if k is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     got = {}
     for r in top_k(table, by_id(100), candidates_per_block=150, queries_per_block=4).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
@@ -295,6 +497,29 @@ def test_op7_matches_brute_force(spark):
     assert top_k(few.limit(0), by_id()).count() == 0
 
 
+def test_op7_mixed_lengths_large_components_and_repeated_ids(spark):
+    from tideline.llm.topk import by_id, top_k
+
+    rng = np.random.default_rng(8)
+    rows = [(k, (rng.normal(size=rng.integers(0, 6)) * 10.0 ** rng.integers(-2, 13)).tolist()) for k in range(400)]
+    rows += [(100, [5.0, 1.0]), (17, [3.0]), (17, [3.0]), (401, [1e300, -1e300]), (402, [9e9 + 1, 2.0**40 + 0.5, -7.0])]
+    whole = [(k, [max(-(1 << 63), min((1 << 63) - 1, int(np.floor(x * 1024)))) for x in v]) for k, v in rows]
+    queries = {}
+    for k, v in whole:
+        if k % 100 == 0:
+            queries[k] = min(queries.get(k, v), v)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for blocks in ({}, {"candidates_per_block": 60, "queries_per_block": 2}):
+        got = {}
+        for r in top_k(table, by_id(100), **blocks).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert set(got) == set(queries)
+        for q, x in queries.items():
+            held = lambda n: max(-(1 << 63), min((1 << 63) - 1, n))
+            best = sorted((-held(sum(a * b for a, b in zip(x, v))), k) for k, v in whole if k != q)[:10]
+            assert [(k, s) for _, k, s in sorted(got[q])] == [(k, -s) for s, k in best], q
+
+
 def plain_removal(rows, window):
     split = [(r[0], (r[1] or "").encode().split()) for r in rows]
     seen = Counter(tuple(w[k : k + window]) for _, w in split for k in range(len(w) - window + 1))
@@ -308,11 +533,11 @@ def plain_removal(rows, window):
     return out
 
 
-@pytest.mark.parametrize(("window", "anchor", "crowd"), [(35, 8, 20_000), (6, 3, 20_000), (6, 3, 2)])
-def test_op8_removes_what_repeats(docs, none, rows, window, anchor, crowd):
+@pytest.mark.parametrize(("window", "anchor", "block"), [(35, 8, 8192), (6, 3, 8192), (6, 3, 2)])
+def test_op8_removes_what_repeats(docs, none, rows, window, anchor, block):
     from tideline.llm.fmindex import remove_repeats
 
-    got = Counter(tuple(r) for r in remove_repeats(docs, window, anchor, crowd).collect())
+    got = Counter(tuple(r) for r in remove_repeats(docs, window, anchor, block).collect())
     assert got == plain_removal(rows, window)
     assert remove_repeats(none).count() == 0
 
@@ -322,7 +547,7 @@ def test_fm_index_counts():
 
     rng = np.random.default_rng(4)
     text = np.append(rng.integers(1, 5, 400), 0)
-    index = FMIndex(text)
+    index = FMIndex(text, 5)
     for length in (1, 3, 5):
         for at in range(0, 300, 37):
             word = text[at : at + length]
@@ -332,8 +557,44 @@ def test_fm_index_counts():
             assert int(hi[0] - lo[0]) == sum((text[k : k + length] == word).all() for k in range(len(text) - length))
 
 
-def test_op9_targets_and_limits(docs, none, rows):
-    from tideline.llm.mixing import mix, permuted, targets
+def plain_targets(sizes, weights, total, most):
+    out, open_, left = [0.0] * len(sizes), list(range(len(sizes))), float(total)
+    while open_:
+        weight = sum(weights[k] for k in open_)
+        over = [k for k in open_ if left * weights[k] / weight > most * sizes[k]]
+        if not over:
+            for k in open_:
+                out[k] = left * weights[k] / weight
+            break
+        for k in over:
+            out[k] = float(most * sizes[k])
+        left -= sum(out[k] for k in over)
+        open_ = [k for k in open_ if k not in over]
+    return out
+
+
+def plain_mix(rows, block, shards, seed=11):
+    """Words taken of each (doc_id, text), by going through every slot."""
+    from tideline.llm.mixing import permuted
+    from tideline.llm.words import _SPACE
+
+    assert _SPACE.sum() == 6
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    count = lambda t: len((t or "").encode().split())
+    sizes = [sum(count(r[1]) for r in rows if r[3] == s) for s in sources]
+    goals = plain_targets(sizes, [(3, 1, 2)[k % 3] for k in range(len(sources))], 1.5 * sum(sizes), 2)
+    taken = {}
+    for k, (s, n, goal) in enumerate(zip(sources, sizes, goals)):
+        blocks = -(-n // block)
+        slots = min(round(goal * blocks / n), 2 * blocks) if n else 0
+        times = Counter()
+        for j in range(slots):
+            times[int(permuted(np.array([j % blocks]), np.array([blocks]), np.array([(j // blocks) * 1_000_003 + k * 7919 + seed]))[0])] += 1
+        yield s, n, goal, [times[w // block] for w in range(n)]
+
+
+def test_op9_takes_what_the_slots_say(docs, none, rows):
+    from tideline.llm.mixing import mix
 
     got = mix(docs, block=8, shards=4).collect()
     assert len(got) == len(rows)
@@ -341,16 +602,37 @@ def test_op9_targets_and_limits(docs, none, rows):
     for r in got:
         assert 0 <= r["taken"] <= 2 * r["size"]
         by.setdefault(r["source"], []).append(r)
-    for source, rs in by.items():
-        assert abs(sum(r["taken"] for r in rs) - rs[0]["target"]) <= 16, source
-        assert sum(r["size"] for r in rs) == rs[0]["source_size"] and rs[0]["target"] <= 2 * rs[0]["source_size"]
     assert sum(rs[0]["target"] for rs in by.values()) == pytest.approx(1.5 * sum(rs[0]["source_size"] for rs in by.values()))
+    for source, size, goal, times in plain_mix(rows, 8, 4):
+        rs = sorted(by[source], key=lambda r: (r["doc_id"] is not None, r["doc_id"], r["h"] is not None, r["h"]))
+        assert rs[0]["source_size"] == size == sum(r["size"] for r in rs) and rs[0]["target"] == pytest.approx(goal)
+        at = 0
+        for r in rs:
+            mine = times[at : at + r["size"]]
+            assert r["taken"] == sum(mine), (source, r)
+            assert sum((b["until"] - b["from"]) * b["times"] for b in r["blocks"] or []) == sum(mine)
+            at += r["size"]
+        assert abs(sum(r["taken"] for r in rs) - goal) <= 16, source
     again = {(r["doc_id"], r["h"], r["taken"]) for r in mix(docs.repartition(5), block=8, shards=4).collect()}
     assert again == {(r["doc_id"], r["h"], r["taken"]) for r in got}
     assert mix(none).count() == 0
-    assert targets([10, 100, 100], [3, 1, 2], 150, 2) == [20.0, 130 / 3, 260 / 3]
+
+
+def test_op9_targets_and_permutations(spark):
+    from tideline.llm.mixing import permuted, slot_ranges, targets
+
+    rng = random.Random(1)
+    for _ in range(6):
+        sizes, weights = [rng.randint(0, 100) for _ in range(7)], [float(rng.randint(1, 3)) for _ in range(7)]
+        table = spark.createDataFrame(list(zip(range(7), sizes, weights)), "k int, source_size long, weight double")
+        got = [r["target"] for r in targets(table, 1.5, 2.0).orderBy("k").collect()]
+        assert got == pytest.approx(plain_targets(sizes, weights, 1.5 * sum(sizes), 2))
+    assert plain_targets([10, 100, 100], [3, 1, 2], 150, 2) == [20.0, 130 / 3, 260 / 3]
     for n in (1, 2, 7, 100):
         assert sorted(permuted(np.arange(n), np.full(n, n), np.full(n, 5)).tolist()) == list(range(n))
+    ranges = slot_ranges(spark.createDataFrame([(0, 10_000, 9), (1, 0, 0), (2, 5, 3)], "k long, slots long, blocks long"), 4, 1).collect()
+    for k, n in ((0, 10_000), (2, 5)):
+        assert sorted(j for r in ranges if r["k"] == k for j in range(r["lo"], r["hi"])) == list(range(n))
 
 
 def plain_components(rows, n, percent):
@@ -400,3 +682,35 @@ def test_op10_links_through_members(spark):
                 w[rng.randint(0, 79)] = f"n{rng.random()}"
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in link_documents(spark.createDataFrame(rows, DOC)).collect())
     assert got == plain_components(rows, 5, 75)
+
+
+def test_op10_large_group_with_far_members(spark, monkeypatch):
+    """Near copies of one text, many too far from it to be linked with it, some linked with each other only."""
+    from tideline.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    rng = random.Random(21)
+    base = [f"b{k}" for k in range(70)]
+
+    def edited(w, n):
+        w = list(w)
+        for _ in range(n):
+            at = rng.randint(0, len(w) - 1)
+            kind = rng.random()
+            if kind < 0.6:
+                w[at] = f"e{rng.randint(0, 60)}"
+            elif kind < 0.8 and len(w) > 50:
+                del w[at]
+            else:
+                w.insert(at, f"e{rng.randint(0, 60)}")
+        return w
+
+    texts = [edited(base, rng.choice([0, 1, 2, 3, 5, 8])) for _ in range(130)]
+    for _ in range(12):  # far ones with a close relative each
+        far = edited(base, rng.randint(4, 9))
+        texts += [far, edited(far, 1), edited(far, 2)]
+    rows = [(k, " ".join(w)) for k, w in enumerate(texts)]
+    rng.shuffle(rows)
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = plain_components(rows, 5, 75)
+    assert got == want and len({c for _, _, c in want}) > 5
