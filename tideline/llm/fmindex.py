@@ -3,24 +3,23 @@
 A window is ``window`` consecutive words of one text; it is repeated if its word
 sequence also starts anywhere else.
 
-1. A window's anchor is the leftmost of the smallest hashes among the ``anchor``-word
-   grams in it, so equal windows have equal anchors in equal places.  The windows of a
-   text that share an anchor are consecutive; their words are a segment.
-2. Segments are grouped by content, with their number and one place each.  A segment
-   that occurs twice is repeated in all of its windows.  Of the others, those whose
-   anchor no other segment has are not repeated at all.
-3. What is left differs from a segment with the same anchor only in part.  Anchors are
-   dealt to shards.  A shard joins its distinct segments to one sequence of word
-   numbers, builds the FM-index of it (Burrows-Wheeler transform in a wavelet matrix
-   with rank directories), and streams the segments through it: backward search from
-   the end of a window as far as the words occur a second time gives the matching
-   statistic; windows matched whole are repeated, and a window that fails at a word
-   rules out all windows that hold the failed stretch.
-4. Repeated intervals go back to their texts; the words they cover are removed.
-
-An anchor that more than ``crowd`` distinct segments share (a very common line) would
-make one shard as large as the corpus.  The windows of its segments are counted one by
-one by content instead, which is as exact: equal windows stay together.
+1. A window's anchors are the leftmost smallest of the ``anchor``-word grams in it by
+   two hashes, so equal windows have equal anchors in equal places.  The windows of a
+   text that share both anchors are consecutive; their words are a segment.  Two
+   anchors keep a very common line from gathering all texts: it rarely gives both.
+2. Segments whose anchors no other segment has hold no repeated window.  The others are
+   grouped by content (96 bits), with their number and one place each.
+3. The distinct segments of equal anchors are dealt to shards as texts; where they are
+   more than ``BLOCK``, they are cut into blocks, and every two blocks meet in a shard.
+   A shard joins its segments (those that occur more than once, twice) to one sequence
+   of word numbers, builds the FM-index of it (Burrows-Wheeler transform in a wavelet
+   matrix with rank directories), and streams the segments through it: backward search
+   from the end of a stretch as far as the words occur a second time gives the matching
+   statistic.  A whole segment is searched at once: if the search fails at a word, all
+   windows behind that are repeated.  Then it is gone through from its first window: one
+   that fails rules out all windows that hold the failed words; behind one that is
+   matched, the rest is searched at once again.
+4. Repeated intervals go to all texts that hold the segment; the words they cover are removed.
 
 Cases: null text has no words; texts shorter than a window keep all words; rows with a
 null or repeated ``doc_id`` are texts of their own (a text given twice is repeated); an
@@ -29,6 +28,7 @@ empty table gives no rows; very long texts are judged whole; other columns are i
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,115 +36,144 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep, texts
+from .shared import keep, release, texts
 from .tokens import slices
-from .words import Words, mixed
+from .words import Words, mixed, numbered
 
 #: Words in a shard, about.
-SHARD = 2_000_000
-SEGMENT = "doc_id long, h long, anchor long, content long, first int, n int"
-HITS = "doc_id long, h long, lo int, hi int"
+SHARD = 500_000
+#: Segments of equal anchors that stay together.
+BLOCK = 8192
+KEY = ["a", "c1", "c2"]  # anchors and content of a segment
+KEY_TYPE = "a long, c1 long, c2 int"
+KEY_FIELDS = [("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int32())]
+SEGMENT = f"doc_id long, h long, {KEY_TYPE}, first int, n int"
 
 
 class FMIndex:
     """Counts of word sequences in a text of small whole numbers, by backward search."""
 
-    def __init__(self, text: np.ndarray):
-        """``text`` ends with its only 0; other numbers are 1 and above."""
-        suffixes = suffix_order(text)
+    def __init__(self, text: np.ndarray, longest: int):
+        """``text`` ends with its only 0; other numbers are 1 and above.  Sequences of up to ``longest`` words can be counted."""
+        suffixes = suffix_order(text, longest)
         bwt = text[suffixes - 1]
         self.n = len(text)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text))])
         self.levels = max(1, int(text.max()).bit_length())
-        self.planes, self.ranks, self.zeros = [], [], []
+        # Of each plane, the inverted words and the words themselves, and where the zeros or ones before a word lead.
+        self.planes, self.places = [], []
         rows = bwt
         for level in range(self.levels - 1, -1, -1):
             one = (rows >> level & 1).astype(bool)
             words = np.zeros(len(one) // 64 + 1, np.uint64)
             packed = np.packbits(one, bitorder="little")
             words.view(np.uint8)[: len(packed)] = packed
-            self.planes.append(words)
-            self.ranks.append(np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1])
-            self.zeros.append(int(len(one) - np.count_nonzero(one)))
+            ones = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])[:-1]
+            zeros = int(len(one) - np.count_nonzero(one))
+            self.planes.append(np.concatenate([~words, words]))
+            self.places.append(np.concatenate([np.arange(len(words)) * 64 - ones, zeros + ones]))
             rows = np.concatenate([rows[~one], rows[one]])
-
-    def rank1(self, level: int, at: np.ndarray) -> np.ndarray:
-        block = at >> 6
-        mask = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
-        return self.ranks[level][block] + np.bitwise_count(self.planes[level][block] & mask)
+        # From where the planes lead to a word's suffixes.
+        every = np.arange(int(text.max()) + 1)
+        self.shift = self.before[every] - self.down(np.zeros(len(every), np.int64), every)
+
+    def down(self, at: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Where places of the transform go when the planes are followed for a word."""
+        half = len(self.planes[0]) // 2
+        for level, (plane, places) in enumerate(zip(self.planes, self.places)):
+            block = (at >> 6) + (word >> (self.levels - 1 - level) & 1) * half
+            inside = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+            at = places[block] + np.bitwise_count(plane[block] & inside)
+        return at
 
     def extend(self, lo: np.ndarray, hi: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The suffix intervals of ``word`` put before what the intervals stand for."""
-        a, b = lo, hi
-        start = np.zeros_like(lo)
-        for level in range(self.levels):
-            bit = (word >> (self.levels - 1 - level) & 1).astype(bool)
-            ra, rb, rs = self.rank1(level, a), self.rank1(level, b), self.rank1(level, start)
-            z = self.zeros[level]
-            a, b, start = np.where(bit, z + ra, a - ra), np.where(bit, z + rb, b - rb), np.where(bit, z + rs, start - rs)
-        base = self.before[word]
-        return base + a - start, base + b - start
-
-
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Suffixes in order, by doubling the length that ranks compare."""
+        both = self.down(np.concatenate([lo, hi]), np.concatenate([word, word]))
+        shift = self.shift[word]
+        return shift + both[: len(lo)], shift + both[len(lo) :]
+
+
+def suffix_order(text: np.ndarray, enough: int) -> np.ndarray:
+    """Suffixes in the order of their first ``enough`` words at least, by doubling the length that ranks compare.
+
+    Backward search for as many words needs no finer order: suffixes that share them are in one interval anyhow.
+    """
     n = len(text)
-    rank = text.astype(np.int64)
-    k = 1
+    # As many words as fit a number make the first rank.
+    bits = max(1, int(text.max()).bit_length())
+    rank, k = text.astype(np.int64), 1
+    while bits * (k + 1) <= 62 and k < enough:
+        rank = rank << bits
+        rank[: n - k] |= text[k:]
+        k += 1
+    _, rank = np.unique(rank, return_inverse=True)
     while True:
         second = np.zeros(n, np.int64)
         second[: n - k] = rank[k:] + 1
-        pair = rank * (n + text.max() + 2) + second
-        order = np.argsort(pair, kind="stable")
+        pair = rank * (n + 1) + second
+        order = np.argsort(pair)
         ordered = pair[order]
         fresh = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
-        if fresh[-1] == n - 1:
-            return order
         k *= 2
+        if fresh[-1] == n - 1 or k >= enough:
+            return order
 
 
-def repeated_windows(segments: list[np.ndarray], times: np.ndarray, window: int) -> list[np.ndarray]:
-    """Per segment (of word hashes) the first words of its windows that occur twice in all segments.
+def repeated_windows(words: np.ndarray, edges: np.ndarray, twice: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that occur twice in segments of word numbers: the segment, and the first words of the first and last window.
 
-    The segments are distinct; ``times`` says how often each occurs.
+    Segment k is ``words[edges[k] : edges[k + 1]]``; those in ``twice`` occur more than once.
     """
-    alphabet, flat = np.unique(np.concatenate(segments), return_inverse=True)
-    flat = flat.astype(np.int64) + 2
-    size = np.array([len(s) for s in segments])
+    size = np.diff(edges)
     # A 1 after each segment; no window holds it.
-    text = np.ones(int(size.sum()) + len(size) + 1, np.int64)
-    starts = np.cumsum(size + 1) - (size + 1)
-    text[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = flat
+    joined = np.concatenate([np.arange(len(size)), np.flatnonzero(twice)])
+    length = size[joined]
+    text = np.ones(int(length.sum()) + len(joined) + 1, np.int64)
+    starts = np.cumsum(length + 1) - (length + 1)
+    inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+    text[np.repeat(starts, length) + inside] = words[np.repeat(edges[joined], length) + inside].astype(np.int64) + 2
     text[-1] = 0
-    index = FMIndex(text)
-    hits: list[list[np.ndarray]] = [[], []]
-    seg = np.flatnonzero((size >= window) & (times == 1))
-    at = np.zeros(len(seg), np.int64)  # the window's first word in its segment
-    while len(seg):
-        lo, hi = np.zeros(len(seg), np.int64), np.full(len(seg), index.n)
-        left = np.full(len(seg), window)  # words of the window still to match
-        open_ = np.arange(len(seg))
+    index = FMIndex(text, int(size.max(initial=1)))
+
+    def unmatched(begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Of stretches of ``text``, how many words are left when the search from their end has them no second time."""
+        lo, hi, left = np.zeros(len(begin), np.int64), np.full(len(begin), index.n), length.copy()
+        open_ = np.flatnonzero(left > 0)
+        again = np.ones(len(begin), bool)
         while len(open_):
-            word = text[starts[seg[open_]] + at[open_] + left[open_] - 1]
-            lo[open_], hi[open_] = index.extend(lo[open_], hi[open_], word)
+            lo[open_], hi[open_] = index.extend(lo[open_], hi[open_], text[begin[open_] + left[open_] - 1])
             left[open_] -= 1
-            twice = hi[open_] - lo[open_] >= 2
-            open_ = open_[twice & (left[open_] > 0)]
-        whole = hi - lo >= 2
-        hits[0].append(seg[whole])
-        hits[1].append(at[whole])
-        # A failed stretch begins at word at + left; the next window begins behind that.
-        at = np.where(whole, at + 1, at + left + 1)
-        more = at + window <= size[seg]
-        seg, at = seg[more], at[more]
-    which, first = (np.concatenate(h) if h else np.zeros(0, np.int64) for h in hits)
+            again[open_] = hi[open_] - lo[open_] >= 2
+            open_ = open_[again[open_] & (left[open_] > 0)]
+        return np.where(again, 0, left + 1)
+
+    found: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 3]
+    seg = np.flatnonzero(size >= window)
+    b = size[seg] - window  # windows from a to b are not yet judged
+    fails = unmatched(starts[seg], size[seg]) - 1
+    behind = fails < b
+    found.append([seg[behind], fails[behind] + 1, b[behind]])
+    seg, b = seg[fails >= 0], np.minimum(fails, b - 1)[fails >= 0]
+    seg, b = seg[b >= 0], b[b >= 0]
+    a = np.zeros(len(seg), np.int64)
+    while len(seg):
+        left = unmatched(starts[seg] + a, np.full(len(seg), window))
+        yes = left == 0
+        rest = np.zeros(len(seg), np.int64)
+        rest[yes] = unmatched(starts[seg[yes]] + a[yes], b[yes] - a[yes] + window)
+        fails = a + rest - 1
+        found.append([seg[yes], a[yes], np.where(rest[yes] == 0, b[yes], a[yes])])
+        behind = yes & (rest > 0) & (fails < b)
+        found.append([seg[behind], fails[behind] + 1, b[behind]])
+        b = np.where(yes, np.where(rest == 0, -1, np.minimum(fails, b - 1)), b)
+        a = np.where(yes, a + 1, a + left)
+        more = a <= b
+        seg, a, b = seg[more], a[more], b[more]
+    which, first, last = (np.concatenate(x) for x in zip(*found))
     order = np.lexsort((first, which))
-    which, first = which[order], first[order]
-    edges = np.searchsorted(which, np.arange(len(size) + 1))
-    every = [np.arange(max(0, n - window + 1)) for n in size]
-    return [every[k] if times[k] > 1 else first[edges[k] : edges[k + 1]] for k in range(len(size))]
+    return which[order], first[order], last[order]
 
 
 def anchors(hashes: np.ndarray, span: int) -> np.ndarray:
@@ -157,43 +186,47 @@ def anchors(hashes: np.ndarray, span: int) -> np.ndarray:
     return best
 
 
-def content(hashes: np.ndarray, starts: np.ndarray, length: np.ndarray, seed: int) -> np.ndarray:
-    """A hash of the words from each start on."""
-    place = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    at = np.repeat(starts, length) + place
-    sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(hashes[at], seed) * (mixed(place.astype(np.uint64), seed + 1) | np.uint64(1)))])
-    ends = np.cumsum(length)
-    return mixed(sums[ends] - sums[ends - length] + length.astype(np.uint64), seed + 2)
+class Stretches:
+    """Hashes of stretches of words, from sums of the words' bits times powers of an odd ``base``."""
+
+    def __init__(self, bits: np.ndarray, base: int):
+        mask = (1 << 64) - 1
+        up, down = (np.cumprod(np.concatenate([[np.uint64(1)], np.full(len(bits), b, np.uint64)])) for b in (base, pow(base, -1, mask + 1)))
+        self.sums, self.down = np.concatenate([[np.uint64(0)], np.cumsum(bits * up[:-1])]), down
+
+    def __call__(self, begin: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        return mixed((self.sums[begin + length] - self.sums[begin]) * self.down[begin] + np.asarray(length).astype(np.uint64))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
 
 
-def segments_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """Segments of all texts: their anchor, a hash of their content, first word and length."""
-    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("first", pa.int32()), ("n", pa.int32())])
+def segments_of(docs: DataFrame, window: int, anchor: int, base: int) -> DataFrame:
+    """Segments of all texts: a hash of their anchors, 96 bits of their content, first word and length."""
+    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *KEY_FIELDS, ("first", pa.int32()), ("n", pa.int32())])
     span = window - anchor + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=1 << 21):
+        for batch in slices(batches):
             words = Words(batch.column("text"), lower=False)
             edges, count = words.edges, np.diff(words.edges)
             if not (count >= window).any():
                 continue
-            grams = words.grams(anchor)
-            best = anchors(grams, span)  # of each window, by its first word
+            one, two = Stretches(words.hashes, base), Stretches(words.others, base)
+            grams = one(np.arange(len(words.hashes) - anchor + 1), anchor)
             doc = np.repeat(np.arange(len(count)), count)
             first = np.arange(len(words.hashes)) - edges[doc]
             real = np.flatnonzero(first + window <= count[doc])
-            place, own = best[real], doc[real]
-            new = np.concatenate([[True], (place[1:] != place[:-1]) | (own[1:] != own[:-1])])
+            own, left, right = doc[real], anchors(grams, span)[real], anchors(mixed(grams, 7), span)[real]
+            new = np.concatenate([[True], (left[1:] != left[:-1]) | (right[1:] != right[:-1]) | (own[1:] != own[:-1])])
             begin = real[new]
             length = np.diff(np.append(np.flatnonzero(new), len(real))) + window - 1
             d = doc[begin]
             at = pa.array(d)
+            keys = [mixed(grams[left[new]] ^ mixed(grams[right[new]], 3)), one(begin, length), two(begin, length)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("h").take(at), pa.array(grams[place[new]].view(np.int64)), pa.array(content(words.hashes, begin, length, 11).view(np.int64)), pa.array((begin - edges[d]).astype(np.int32)), pa.array(length.astype(np.int32))],
+                [batch.column("doc_id").take(at), batch.column("h").take(at), *[pa.array(k.view(np.int64).astype(t.to_pandas_dtype())) for k, (_, t) in zip(keys, KEY_FIELDS)], pa.array((begin - edges[d]).astype(np.int32)), pa.array(length.astype(np.int32))],
                 schema=out,
             )
 
@@ -201,104 +234,75 @@ def segments_of(docs: DataFrame, window: int, anchor: int) -> DataFrame:
 
 
 def with_words(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` (one text's segments) with their words, as hashes end to end."""
+    """``places`` (one text's segments) with their ``words`` as text."""
     names = [n for n in places.columns if n not in ("doc_id", "h")]
     kinds = dict(places.dtypes)
     by_text = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*names)).alias("at")).select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "at")
-    rows = keyed(docs).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("doc_id", "h", "at", "text")
+    rows = keyed(docs).dropDuplicates(["doc_id", "h"]).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=1 << 21):
-            words = Words(batch.column("text"), lower=False)
+        for batch in slices(batches):
             at = batch.column("at")
-            doc = np.repeat(np.arange(len(at)), np.diff(at.offsets.to_numpy()))
+            size = np.diff(at.offsets.to_numpy())
             flat = at.flatten()
-            begin = words.edges[doc] + flat.field("first").to_numpy()
-            raw = [words.hashes[b : b + n].tobytes() for b, n in zip(begin.tolist(), flat.field("n").to_pylist())]
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(take), batch.column("h").take(take), *[flat.field(n) for n in names], pa.array(raw, pa.binary())], names=["doc_id", "h", *names, "words"])
+            first, n = flat.field("first").to_numpy(), flat.field("n").to_numpy()
+            raw, lo = [], 0
+            for text, k in zip(batch.column("text").cast(pa.binary()).to_pylist(), size.tolist()):
+                words = text.split()
+                raw += [b" ".join(words[a : a + m]) for a, m in zip(first[lo : lo + k].tolist(), n[lo : lo + k].tolist())]
+                lo += k
+            for a in range(0, len(raw), 8192):
+                part = flat.slice(a, 8192)
+                yield pa.RecordBatch.from_arrays([*[part.field(x) for x in names], pa.array(raw[a : a + 8192], pa.binary())], names=[*names, "words"])
 
-    return rows.mapInArrow(run, ", ".join(["doc_id long", "h long", *[f"{n} {kinds[n]}" for n in names], "words binary"]))
+    return rows.mapInArrow(run, ", ".join([*[f"{n} {kinds[n]}" for n in names], "words binary"]))
 
 
 def search_shards(segments: DataFrame, window: int) -> DataFrame:
-    """Intervals of repeated windows in segments that occur once, by an FM-index for each ``shard``."""
-    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32())])
+    """Intervals of repeated windows in distinct segments, by an FM-index for each ``shard``."""
+    out = pa.schema([*KEY_FIELDS, ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        words = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("words")]
-        found = repeated_windows(words, table.column("times").to_numpy(), window)
-        times, first = table.column("times").to_numpy(), table.column("first").to_numpy()
-        rows, lo, hi = [], [], []
-        for k, starts in enumerate(found):
-            if times[k] > 1 or not len(starts):
-                continue
-            gap = np.flatnonzero(np.diff(starts) > window)  # runs of windows that touch
-            rows += [k] * (len(gap) + 1)
-            lo += (first[k] + starts[np.concatenate([[0], gap + 1])]).tolist()
-            hi += (first[k] + starts[np.concatenate([gap, [len(starts) - 1]])] + window).tolist()
-        at = pa.array(rows, pa.int64())
-        ids, hs = table.column("doc_id").combine_chunks().take(at), table.column("h").combine_chunks().take(at)
-        return pa.Table.from_arrays([ids, hs, pa.array(lo, pa.int32()), pa.array(hi, pa.int32())], schema=out)
+        words = Words(table.column("words").combine_chunks(), lower=False)
+        numbers, _ = numbered(words.hashes, words.others)
+        which, first, last = repeated_windows(numbers, words.edges, table.column("times").to_numpy() > 1, window)
+        at = pa.array(which)
+        release()
+        return pa.Table.from_arrays([*[table.column(k).take(at) for k in KEY], pa.array(first.astype(np.int32)), pa.array((last + window).astype(np.int32))], schema=out)
 
-    return segments.groupBy("shard").applyInArrow(run, HITS)
+    return segments.groupBy("shard").applyInArrow(run, f"{KEY_TYPE}, lo int, hi int")
 
 
-def search_windows(segments: DataFrame, window: int) -> DataFrame:
-    """The same for crowded anchors: every window counted by its content."""
-    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("lo", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                part = batch.slice(lo, 4096)
-                words = [np.frombuffer(x.as_buffer(), "<u8") for x in part.column("words")]
-                size = np.array([len(w) for w in words])
-                each = np.maximum(0, size - window + 1)
-                seg = np.repeat(np.arange(len(words)), each)
-                inside = np.arange(len(seg)) - np.repeat(np.cumsum(each) - each, each)
-                starts, length = (np.cumsum(size) - size)[seg] + inside, np.full(len(seg), window)
-                flat, at = np.concatenate(words), pa.array(seg)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("h").take(at), pa.array((part.column("first").to_numpy()[seg] + inside).astype(np.int32)), pa.array(content(flat, starts, length, 23).view(np.int64)), pa.array(content(flat, starts, length, 29).view(np.int64))], schema=out)
-
-    windows = keep(segments.select("doc_id", "h", "first", "words").mapInArrow(run, "doc_id long, h long, lo int, w1 long, w2 long"), "windows")
-    often = windows.groupBy("w1", "w2").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("w1", "w2")
-    return windows.join(often, ["w1", "w2"], "left_semi").select("doc_id", "h", "lo", (F.col("lo") + window).alias("hi"))
-
-
-def repeated_intervals(docs: DataFrame, window: int = 35, anchor: int = 8, crowd: int = 20_000) -> DataFrame:
+def repeated_intervals(docs: DataFrame, window: int = 35, anchor: int = 8, block: int = BLOCK) -> DataFrame:
     """Per text (``doc_id``, ``h``) the intervals of words (``lo``, ``hi``) that repeated windows cover; they may overlap."""
-    common = segments_of(docs, window, anchor).groupBy("anchor").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("anchor")
-    shared = keep(segments_of(docs, window, anchor).join(common, "anchor"), "segments")
-    kinds = shared.groupBy("anchor", "content").agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "h", "first", "n")).alias("at"))
-    kinds = keep(kinds, "kinds")
-    again = kinds.where(F.col("times") > 1).select("anchor", "content")
-    hits = shared.join(again, ["anchor", "content"], "left_semi").select("doc_id", "h", F.col("first").alias("lo"), (F.col("first") + F.col("n")).alias("hi"))
-    # Anchors of several different segments, of which one at least occurs once.
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.count_if(F.col("times") == 1).alias("single")).where((F.col("kinds") > 1) & (F.col("single") > 0)).select("anchor", "kinds")
-    places = keep(kinds.join(several, "anchor").select("at.doc_id", "at.h", "at.first", "at.n", "anchor", "times", "kinds"), "places")
-    size = places.agg(F.sum("n").alias("words"), F.max("kinds").alias("most")).first()
-    shards = -(-int(size["words"] or 0) // SHARD)
-    if shards:
-        shard = F.pmod(F.xxhash64("anchor"), F.lit(shards)).cast("int").alias("shard")
-        calm = places.where(F.col("kinds") <= crowd).select("doc_id", "h", "first", "n", "times", shard)
-        hits = hits.unionByName(search_shards(with_words(docs, calm), window))
-        if size["most"] > crowd:
-            dense = places.where(F.col("kinds") > crowd).select("doc_id", "h", "first", "n", "times")
-            hits = hits.unionByName(search_windows(with_words(docs, dense), window))
-    return hits
-
-
-def remove_repeats(docs: DataFrame, window: int = 35, anchor: int = 8, crowd: int = 20_000) -> DataFrame:
+    # What the hashes of stretches are taken with is drawn anew each time, so nobody can prepare texts for it; the result does not depend on it.
+    base = secrets.randbits(64) | 1
+    common = segments_of(docs, window, anchor, base).groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("a")
+    shared = keep(segments_of(docs, window, anchor, base).join(keep(common, "anchors"), "a"), "segments")
+    kinds = keep(shared.groupBy(*KEY).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "h", "first", "n")).alias("at")), "kinds")
+    crowd = keep(kinds.groupBy("a").agg(F.expr(f"(count(*) - 1) div {block} + 1").cast("int").alias("blocks")), "crowds")
+    # Segments of equal anchors are in one block, or every two blocks of them meet.
+    mine = F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b != mine) | (F.col("blocks") == 1))
+    places = kinds.join(crowd, "a").select("at.doc_id", "at.h", "at.first", "at.n", *KEY, "times", F.explode(others).alias("other"), mine.alias("mine"))
+    meets = F.xxhash64("a", F.least("mine", "other"), F.greatest("mine", "other"))
+    places = places.select("doc_id", "h", "first", "n", *KEY, F.least("times", F.lit(2)).alias("times"), meets.alias("meets"))
+    size = kinds.agg(F.sum("at.n")).first()[0] or 0
+    shard = F.pmod("meets", F.lit(-(-size // SHARD) or 1)).cast("int").alias("shard")
+    found = keep(search_shards(with_words(docs, places.select("doc_id", "h", "first", "n", *KEY, "times", shard)), window), "found")
+    return shared.join(found.distinct(), KEY).select("doc_id", "h", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+
+
+def remove_repeats(docs: DataFrame, window: int = 35, anchor: int = 8, block: int = BLOCK) -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space)."""
-    hits = keep(repeated_intervals(docs, window, anchor, crowd), "hits")
-    by_text = hits.groupBy("doc_id", "h").agg(F.collect_list(F.struct("lo", "hi")).alias("cuts")).select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "cuts")
+    hits = keep(repeated_intervals(docs, window, anchor, block), "hits")
+    by_text = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")).select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "cuts")
     rows = keyed(docs).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left").select("doc_id", "text", "cuts")
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, size=1 << 21):
+        for batch in slices(batches):
             total, gone, kept = [], [], []
             for text, cuts in zip(batch.column("text").cast(pa.binary()).to_pylist(), batch.column("cuts").to_pylist()):
                 words = text.split()
