@@ -117,6 +117,49 @@ def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .transducer import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op13_gnat_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .codes import compress, with_label_errors
+
+    codes, book = compress(table(spark, sf_dir, "embeddings"))
+    return with_label_errors(codes).select("vec_id", "code", "error", "label_error", F.lit(book.sha256()).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
+    """Rounds of assignment and means; ``b`` tables are codebooks, ``a`` tables have each part's entry and distance."""
+    near = "SELECT vec_id, label, p.part, min_by(entry, (d, entry)) AS entry, min(d) AS d, any_value(v) AS v FROM (SELECT p.*, b.entry, list_sum(list_transform(list_zip(p.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM p JOIN {b} b USING (part)) p GROUP BY vec_id, label, p.part"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"a{k} AS MATERIALIZED ({near.format(b=f'b{k}')})")
+        if k < rounds:
+            steps.append(
+                f"m{k} AS (SELECT part, entry, k, floor(sum(v[k])::DOUBLE / count(*))::BIGINT AS x FROM a{k}, range(1, len(v) + 1) r(k) GROUP BY ALL), "
+                f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(n.v, b.v) AS v FROM b{k} b LEFT JOIN (SELECT part, entry, list(x ORDER BY k) AS v FROM m{k} GROUP BY ALL) n USING (part, entry))"
+            )
+    return f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x::DOUBLE))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, part, v[part * (len(v) // {parts}) + 1 : (part + 1) * (len(v) // {parts})] AS v FROM e, range({parts}) r(part)),
+b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, v FROM p WHERE vec_id IN (SELECT vec_id FROM e ORDER BY vec_id LIMIT {entries})),
+{", ".join(steps)},
+c AS (SELECT vec_id, label, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY ALL)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM b{rounds}) AS codebooks_sha256 FROM c
+"""
+
+
+ORACLE["op13_gnat_codes"] = _codes_sql()
+
+
 # ---- columns of op2 and op6 that SQL can express
 
 
