@@ -241,19 +241,19 @@ class Splitter:
 
         every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
         raw = {bytes([k]): k for k in range(256)}
-        fitted, differ = pattern, ""
+        fitted, chars = pattern, set()
         listed = lambda chars: "".join(f"\\U{ord(c):08x}" for c in sorted(chars))
         for name in (r"\p{L}", r"\p{N}", r"\s"):
             theirs = set(bytes(tiktoken.Encoding("probe", pat_str=name, mergeable_ranks=raw, special_tokens={}).encode_ordinary(every)).decode())
             mine = set(regex.findall(name, every))
             made = f"[{name}--[{listed(mine - theirs)}]]" if mine - theirs else name
             made = f"[{made}||[{listed(theirs - mine)}]]" if theirs - mine else made
-            fitted, differ = fitted.replace(name, made), differ + listed(mine ^ theirs)
+            fitted, chars = fitted.replace(name, made), chars | (mine ^ theirs)
         self.plain, self.fitted = regex.compile(pattern).findall, regex.compile(fitted, regex.V1).findall
-        self.differs = regex.compile(f"[{differ}]").search if differ else lambda text: None
+        self.differs, self.least = regex.compile(f"[{listed(chars)}]" if chars else "(?!)").search, min(chars, default="")
 
     def __call__(self, text: str) -> list[str]:
-        return self.plain(text) if text.isascii() or not self.differs(text) else self.fitted(text)
+        return self.plain(text) if text.isascii() or max(text) < self.least or not self.differs(text) else self.fitted(text)
 
 
 class _Ids:
