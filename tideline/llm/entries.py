@@ -117,6 +117,13 @@ def op8_fm_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic import collapse, longest_runs
+
+    return longest_runs(collapse(table(spark, sf_dir, "documents"), echo=True))
+
+
 @query
 def op12_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

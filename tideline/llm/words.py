@@ -58,27 +58,32 @@ def identities(raw: np.ndarray, starts: np.ndarray, length: np.ndarray) -> tuple
     return one, two
 
 
+def word_spans(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts' bytes (A-Z lower-cased if asked for), where each word begins, how long it is, and the first word of each text (one more than texts)."""
+    texts = pc.fill_null(texts, "").cast(pa.large_binary())
+    bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
+    bounds = bounds - bounds[0]
+    if lower:
+        raw = _LOWER[raw]
+    inside = ~_SPACE[raw]
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cut = bounds[:-1][bounds[:-1] < len(raw)]
+    begins[cut] = inside[cut]
+    starts = np.flatnonzero(begins)
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:]
+    ends[cut[cut > 0] - 1] = inside[cut[cut > 0] - 1]
+    return raw, starts, np.flatnonzero(ends) + 1 - starts, np.searchsorted(starts, bounds)
+
+
 class Words:
     """Of some texts: the words' bits (``hashes``, ``others``), and the first word of each text (``edges``, one more than texts)."""
 
     def __init__(self, texts: pa.Array, lower: bool):
-        texts = pc.fill_null(texts, "").cast(pa.large_binary())
-        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]]
-        bounds = bounds - bounds[0]
-        if lower:
-            raw = _LOWER[raw]
-        inside = ~_SPACE[raw]
-        begins = inside.copy()
-        begins[1:] &= ~inside[:-1]
-        cut = bounds[:-1][bounds[:-1] < len(raw)]
-        begins[cut] = inside[cut]
-        starts = np.flatnonzero(begins)
-        ends = inside.copy()
-        ends[:-1] &= ~inside[1:]
-        ends[cut[cut > 0] - 1] = inside[cut[cut > 0] - 1]
-        self.edges = np.searchsorted(starts, bounds)
-        self.hashes, self.others = identities(raw, starts, np.flatnonzero(ends) + 1 - starts)
+        raw, starts, length, self.edges = word_spans(texts, lower)
+        self.hashes, self.others = identities(raw, starts, length)
 
     def grams(self, n: int) -> np.ndarray:
         """A hash of the n words from each word on; those that leave their text are not meaningful."""
