@@ -4,6 +4,7 @@ import datetime as dt
 import json
 
 import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tideline.functions import scoring, text
@@ -138,34 +139,80 @@ def test_fingerprint_ignores_order_only(spark):
     assert not reports.stale(a.orderBy(F.desc("k")), stored) and reports.stale(a.distinct(), stored)
 
 
-def test_ingestion_resumes(spark, tmp_path):
-    landing = tmp_path / "landing"
-    landing.mkdir()
+WINDOW = {"endpoint": "news", "source": "x", "start_dt": "2020-01-01 00:00:00", "end_dt": "2020-01-01 23:59:59"}
 
-    def land(name, stamps):
-        records = [{"datetime": s, "title": "t", "content": f"c{k}", "src": "s"} for k, s in enumerate(stamps)]
-        (landing / name).write_text(json.dumps({"endpoint": "news", "source": "x", "start_dt": "2020-01-01 00:00:00", "end_dt": "2020-01-01 23:59:59", "row_count": len(records), "records": records}))
 
-    def run():
-        ingest.ingest_pools(spark, f"file://{landing}", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
-        return spark.read.parquet(f"file://{tmp_path}/out/records").count(), spark.read.parquet(f"file://{tmp_path}/out/violations").count()
+def envelope(stamps, announced=None, **other):
+    records = [{"datetime": s, "title": "t", "content": f"c{k}", "src": "s"} if not isinstance(s, dict) else s for k, s in enumerate(stamps)]
+    return json.dumps(WINDOW | {"row_count": len(records) if announced is None else announced, "records": records} | other)
 
-    land("a.json", ["2020-01-01 08:00:00", "2020-01-02 08:00:00"])
-    assert run() == (1, 1)
-    assert run() == (1, 1)
-    land("b.json", ["2020-01-01 09:00:00"])
-    assert run() == (2, 1)
 
+@pytest.fixture
+def lots(spark, tmp_path):
+    """Land files, run both streams (stopping in mid-batch if asked), and count."""
+    (tmp_path / "landing").mkdir()
+    out = f"file://{tmp_path}/out"
 
-def test_ingestion_parts_records_of_one_time(spark, tmp_path):
-    landing = tmp_path / "landing"
-    landing.mkdir()
+    class Lots:
+        def land(self, name, *texts):
+            (tmp_path / "landing" / name).write_text("\n".join(texts))
+
+        def run(self, stop=False, lines=True):
+            def after(epoch):
+                if stop:
+                    raise OSError("stopped")
+
+            for f, checkpoint in ((ingest.ingest_pools, "c1"), (ingest.keep_ledger, "c2")):
+                args = (spark, f"file://{tmp_path}/landing", out, f"file://{tmp_path}/{checkpoint}", lines, after)
+                if stop:
+                    with pytest.raises(StreamingQueryException, match="stopped"):
+                        f(*args)
+                else:
+                    f(*args)
+            return ingest.records(spark, out).count(), ingest.violations(spark, out).count()
+
+        def tasks(self):
+            return {r["pool"]: (r["status"], r["attempts"], r["row_count"], r["bad"], r["error"]) for r in ingest.ledger(spark, out).collect()}
+
+        def sound(self):
+            return sorted(r["content"] for r in ingest.ingested(spark, out).collect())
+
+    yield Lots()
+
+
+TASK = "news|x|2020-01-01 00:00:00|2020-01-01 23:59:59"
+
+
+def test_ingestion_stops_and_resumes(lots):
+    good, late = ["2020-01-01 08:00:00"] * 3, "2020-01-02 08:00:00"
+    lots.land("a.json", envelope([good[0], late]), envelope(good, source="y"), envelope(good, source="y"), envelope([], source="z"), "{no json", "")
+    assert lots.run(stop=True)  # the epoch is written, not marked as done
+    assert lots.run() == (4, 1) == lots.run()
+    other = TASK.replace("|x|", "|y|"), TASK.replace("|x|", "|z|")
+    tasks = lots.tasks()
+    assert tasks[TASK] == ("error", 1, 2, 1, "outside its window") and tasks[other[0]] == ("complete", 1, 3, 0, None) and tasks[other[1]] == ("empty", 1, 0, 0, None)
+    assert [v[4] for k, v in tasks.items() if k.endswith("a.json")] == ["unreadable"]
+    assert lots.sound() == ["c0", "c0", "c1", "c2"]
+    lots.land("b.json", envelope(good), envelope(good, source="y"))  # the failed task lands again, and one that was complete
+    lots.run(stop=True)
+    assert lots.run() == (10, 1)
+    assert lots.tasks()[TASK] == ("complete", 2, 3, 0, None) and lots.tasks()[other[0]] == ("complete", 2, 3, 0, None)
+    assert lots.sound() == ["c0", "c0", "c1", "c1", "c2", "c2"]
+
+
+def test_ingestion_parts_records_of_one_time(spark, lots):
     given = [("2020-01-01 08:00:00", "a"), ("2020-01-01 08:00:00", ""), ("2020-01-01 08:00:00", "b"), (None, "c")]
-    records = [{"datetime": ts, "title": "t", "content": c, "src": "s"} for ts, c in given]
-    (landing / "a.json").write_text(json.dumps({"endpoint": "news", "source": "x", "start_dt": "2020-01-01 00:00:00", "end_dt": "2020-01-01 23:59:59", "row_count": 4, "records": records}))
-    ingest.ingest_pools(spark, f"file://{landing}", f"file://{tmp_path}/out", f"file://{tmp_path}/checkpoint")
-    assert sorted(r["content"] for r in spark.read.parquet(f"file://{tmp_path}/out/records").collect()) == ["a", "b"]
-    assert sorted(r["rule"] for r in spark.read.parquet(f"file://{tmp_path}/out/violations").collect()) == ["no content", "no time"]
+    lots.land("a.json", envelope([{"datetime": ts, "title": "t", "content": c, "src": "s"} for ts, c in given]))
+    assert lots.run() == (2, 2) and lots.sound() == ["a", "b"]
+    assert lots.tasks()[TASK] == ("error", 1, 4, 2, "no content;no time")
+
+
+def test_documents_over_many_lines_and_missing_tasks(spark, lots):
+    lots.land("a.json", json.dumps(json.loads(envelope(["2020-01-01 08:00:00"], announced=7)), indent=1))
+    assert lots.run(lines=False) == (0, 1) and lots.tasks()[TASK] == ("error", 1, 1, 0, "another number of rows")
+    tasks = spark.createDataFrame([("news", "x", "2020-01-01 00:00:00", "2020-01-01 23:59:59"), ("news", "q", "2020-01-01 00:00:00", "2020-01-01 23:59:59")], "endpoint string, source string, start_dt string, end_dt string")
+    states = spark.createDataFrame([(k, v[0], v[4]) for k, v in lots.tasks().items()], "pool string, status string, error string")
+    assert sorted(r["rule"] for r in ingest.failed_or_missing(tasks, states).collect()) == ["another number of rows", "missing"]
 
 
 def test_tables_keep_keys_as_text(spark, tmp_path):

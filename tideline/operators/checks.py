@@ -121,17 +121,18 @@ def bad_aliases(aliases: DataFrame, companies: DataFrame, usable: Column) -> Dat
     return aliases.join(known, ["market", "ticker"], "left").withColumn("rule", rule).where(F.col("rule").isNotNull()).select("market", "ticker", "alias", "rule")
 
 
-def news_rule() -> Column:
-    """The rule that a landed record breaks, null for a sound one; columns as in ``bad_news``."""
-    ts = F.trim(F.col("ts"))
-    when = F.expr("try_cast(trim(ts) AS timestamp_ntz)")
+def news_rule(ts: Column | str = "ts", content: Column | str = "content", start: Column | str = "window_start", end: Column | str = "window_end", announced: Column | str = "row_count", found: Column | str = "n_records") -> Column:
+    """The rule that a landed record breaks, null for a sound one; columns as in ``bad_news``, or fields of an array's element."""
+    ts, content, start, end, announced, found = (F.col(x) if isinstance(x, str) else x for x in (ts, content, start, end, announced, found))
+    ts = F.trim(ts)
+    when = ts.try_cast("timestamp_ntz")
     return (
         F.when(F.coalesce(ts, F.lit("")) == "", "no time")
-        .when(F.coalesce(F.trim("content"), F.lit("")) == "", "no content")
+        .when(F.coalesce(F.trim(content), F.lit("")) == "", "no content")
         .when(ts.rlike(r"(Z|[+-]\d{2}:?\d{2})$") & ts.rlike(r"\d:\d"), "time with a zone")
         .when(when.isNull(), "no time")
-        .when((when < F.col("window_start")) | (when > F.col("window_end")), "outside its window")
-        .when(F.col("row_count") != F.col("n_records"), "another number of rows")
+        .when((when < start) | (when > end), "outside its window")
+        .when(announced != found, "another number of rows")
     )
 
 

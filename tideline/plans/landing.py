@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -48,8 +49,7 @@ def s3_news_pools(spark, sf):
     pools = docs.withColumns({"start_dt": start, "end_dt": start + F.expr("interval 23 hours"), "r": record})
     pools = pools.groupBy(F.lit("news").alias("endpoint"), F.lit("x").alias("source"), "start_dt", "end_dt", F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece")).agg(F.count("*").alias("row_count"), F.collect_list("r").alias("records"))
     pools.drop("piece").write.option("compression", "gzip").json(path)
-    raw = spark.read.schema(io.POOL).json(path)
-    rows = io.pool_records(raw)
+    rows = io.read_pools(spark, path)
     return rows.groupBy(F.pmod(F.datediff(F.to_date("window_start"), F.lit("1996-01-01").cast("date")), F.lit(30)).cast("long").alias("day"), "source").agg(F.count("*").alias("n"), F.count_distinct("content").alias("texts"))
 
 
@@ -390,23 +390,95 @@ def t5_pre_event_inputs(spark, sf):
 POOLED = """CASE WHEN lang = 'es' THEN 'no time' WHEN coalesce(text, '') = '' OR trim(text) = '' THEN 'no content' WHEN lang = 'fr' THEN 'time with a zone' WHEN lang = 'de' THEN 'outside its window' END"""
 
 
+PIECE = 200
+
+
+def landed_pools(spark, sf, faulty):
+    """Documents as envelopes of some 200 records, a task (hour) each; where ``faulty`` holds, times are wrong in some languages."""
+    docs, lang = S.table(spark, sf, "documents"), F.coalesce("lang", F.lit(""))
+    piece = F.floor(F.col("doc_id") / PIECE)
+    start = F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00")) + F.make_dt_interval(hours=piece.cast("int"))
+    time = lambda t: F.date_format(t, "yyyy-MM-dd HH:mm:ss")
+    right = time(start + F.expr("interval 30 minutes"))
+    ts = F.when(~faulty, right).when(lang == "es", F.lit(None)).when(lang == "fr", F.concat(right, F.lit("Z"))).when(lang == "de", time(start + F.expr("interval 40 days"))).otherwise(right)
+    record = F.struct(ts.alias("datetime"), F.lit(None).cast("string").alias("pub_time"), F.col("doc_id").cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("src"), F.lit("x").alias("source"))
+    rows = docs.select(piece.alias("piece"), start.alias("start_dt"), (start + F.expr("interval 59 minutes")).alias("end_dt"), record.alias("r"))
+    pools = rows.groupBy("piece", "start_dt", "end_dt").agg(F.count("*").alias("row_count"), F.collect_list("r").alias("records"))  # an id is on one row, so a piece is bounded
+    return pools.select("piece", F.lit("news").alias("endpoint"), F.lit("x").alias("source"), "start_dt", "end_dt", "row_count", "records")
+
+
+class Stopped(Exception):
+    """Raised between an epoch's write and its commit."""
+
+
+def stop_once():
+    calls = []
+
+    def after(epoch):
+        calls.append(epoch)
+        if len(calls) == 1:
+            raise Stopped
+
+    return after
+
+
+def run_twice(f, *args):
+    """A run that stops in its first batch, and one that takes up where it stopped."""
+    after = stop_once()
+    for _ in range(2):
+        try:
+            f(*args, after_write=after)
+            return
+        except StreamingQueryException as e:
+            if "Stopped" not in str(e):
+                raise
+
+
 @query(f"SELECT coalesce({POOLED}, 'sound') AS rule, count(*) AS n FROM documents GROUP BY 1")
 def r1_v12_ingest_pools(spark, sf):
-    """Documents landed as pools in two lots and ingested by a stream that resumes: sound records and violations."""
+    """Documents landed as pools, many in a file, in two lots, and ingested by a stream that stops in mid-batch and resumes: every record is sound or a violation."""
     landing, out, checkpoint = scratch(spark, "lots"), scratch(spark, "ingested"), scratch(spark, "ingested-checkpoint")
-    docs = S.table(spark, sf, "documents")
-    pieces = docs.count() // 1000 + 1
-    lang = F.coalesce("lang", F.lit(""))
-    ts = F.when(lang == "es", F.lit(None).cast("string")).when(lang == "fr", "1996-01-01 08:00:00Z").when(lang == "de", "1996-02-01 08:00:00").otherwise("1996-01-01 08:00:00")
-    record = F.struct(ts.alias("datetime"), F.lit(None).cast("string").alias("pub_time"), F.col("doc_id").cast("string").alias("title"), F.coalesce("text", F.lit("")).alias("content"), F.col("source").alias("src"), F.lit("x").alias("source"))
-    pools = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(pieces)).alias("piece"), record.alias("r")).groupBy("piece").agg(F.count("*").alias("row_count"), F.collect_list("r").alias("records"))
-    start = F.to_timestamp_ntz(F.lit("1996-01-01 00:00:00"))
-    pools = pools.select("piece", F.lit("news").alias("endpoint"), F.lit("x").alias("source"), start.alias("start_dt"), (start + F.expr("interval 23 hours")).alias("end_dt"), "row_count", "records")
+    pools = landed_pools(spark, sf, F.lit(True))
     for lot in (0, 1):  # the second run takes up only what landed since
-        pools.where(F.col("piece") % 2 == lot).drop("piece").write.mode("append").json(landing)
-        ingest.ingest_pools(spark, landing, out, checkpoint)
-    sound = spark.read.parquet(f"{out}/records").select(F.lit("sound").alias("rule"))
-    return sound.unionByName(spark.read.parquet(f"{out}/violations").select("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+        pools.where(F.col("piece") % 2 == lot).drop("piece").write.mode("append").option("compression", "gzip").json(landing)
+        run_twice(ingest.ingest_pools, spark, landing, out, checkpoint)
+    return ingest.landed(spark, out).groupBy(F.coalesce("rule", F.lit("sound")).alias("rule")).agg(F.count("*").alias("n"))
+
+
+#: Tasks: every third has wrong times at first, every sixth lands again with right ones; every fifth announces another number of rows.
+TASKS = f"""d AS (SELECT doc_id // {PIECE} AS piece, {POOLED.replace("WHEN lang", "WHEN doc_id // " + str(PIECE) + " % 3 = 0 AND lang")} AS rule, CASE WHEN coalesce(text, '') = '' OR trim(text) = '' THEN 'no content' END AS again FROM documents),
+p AS (SELECT piece, count(*) AS n, count(rule) AS bad, string_agg(DISTINCT rule, ';' ORDER BY rule) AS rules, count(again) AS bad2, string_agg(DISTINCT again, ';' ORDER BY again) AS rules2 FROM d GROUP BY 1),
+t AS (SELECT *, CASE WHEN piece % 5 = 2 THEN 'another number of rows' WHEN bad > 0 THEN rules END AS e1, CASE WHEN bad2 > 0 THEN rules2 END AS e2, piece % 6 = 0 OR piece % 3 = 1 AS twice,
+  strftime(TIMESTAMP '1996-01-01 00:00:00' + to_hours(piece), '%Y-%m-%d %H:%M:%S') || '|' || strftime(TIMESTAMP '1996-01-01 00:59:00' + to_hours(piece), '%Y-%m-%d %H:%M:%S') AS w FROM p),
+u AS (SELECT 'news|x|' || w AS pool, CASE WHEN twice THEN 2 ELSE 1 END::BIGINT AS attempts, n AS row_count, CASE WHEN twice AND e1 IS NOT NULL THEN bad2 ELSE bad END AS bad, CASE WHEN twice AND e1 IS NOT NULL THEN e2 ELSE e1 END AS error FROM t
+UNION ALL SELECT 'major_news|x|' || w, 1, 0, 0, NULL FROM t WHERE piece % 4 = 0)"""
+
+
+def landed_twice(spark, sf):
+    """Lots that stop in mid-batch and resume: records and ledger below the folder that comes back."""
+    landing, out = scratch(spark, "tasks"), scratch(spark, "tasks-out")
+    piece, few = F.col("piece"), F.floor(F.col("doc_id") / PIECE) % 3 == 0
+    first = landed_pools(spark, sf, few).withColumn("row_count", F.when(piece % 5 == 2, F.col("row_count") + 1).otherwise(F.col("row_count")))
+    none = first.where(piece % 4 == 0).withColumns({"endpoint": F.lit("major_news"), "row_count": F.lit(0).cast("long"), "records": F.slice("records", 1, 0)})
+    again = landed_pools(spark, sf, F.lit(False)).where((piece % 6 == 0) | (piece % 3 == 1))
+    for lot in (first.unionByName(none), again):
+        lot.drop("piece").write.mode("append").json(landing)
+        run_twice(ingest.ingest_pools, spark, landing, out, f"{out}-records")
+        run_twice(ingest.keep_ledger, spark, landing, out, f"{out}-ledger")
+    return out
+
+
+@query(f"WITH {TASKS} SELECT pool, CASE WHEN error IS NOT NULL THEN 'error' WHEN row_count = 0 THEN 'empty' ELSE 'complete' END AS status, attempts, row_count, bad, error FROM u")
+def r1_task_ledger(spark, sf):
+    """Every task's status, attempts and fault after two lots; keyed state survives a stop in mid-batch."""
+    return ingest.ledger(spark, landed_twice(spark, sf)).select("pool", "status", "attempts", "row_count", "bad", "error")
+
+
+@query(f"WITH {TASKS} SELECT pool, row_count - CASE WHEN error = 'another number of rows' THEN row_count ELSE bad END AS n FROM u WHERE n > 0")
+def r1_ingested_records(spark, sf):
+    """Sound records of each task's attempt; tasks that landed twice count once."""
+    out = landed_twice(spark, sf)
+    return ingest.ingested(spark, out).groupBy("pool").agg(F.count("*").alias("n"))
 
 
 MODEL_ROWS = """mrow AS (SELECT o.event_id, o.market, o.ticker, o.event_return AS a, CASE WHEN p.t2_prediction > 0 THEN p.t2_prediction END AS b FROM outcome o LEFT JOIN pred p USING (event_id, market, ticker)),

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,18 +54,44 @@ def load_event_feature_frame(spark: SparkSession, root: str, feature_set: str =
     return build_event_feature_frame(daily, labels, feature_set, embeddings), usable
 
 
-def read_pools(spark: SparkSession, path: str) -> DataFrame:
+def pool_envelopes(texts: DataFrame) -> DataFrame:
+    """Landed texts (``value``, a JSON document each) as envelopes.
+
+    ``attempt`` names the file and the text; ``unreadable`` says that the text is no envelope: then there is no endpoint or
+    window, or it is no JSON at all.
+    """
+    kind = F.from_json("value", POOL + ", _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"})
+    rows = texts.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("landed"), F.sha2(F.concat("_metadata.file_path", F.lit("\n"), "value"), 256).alias("attempt"), kind.alias("e"))
+    broken = F.col("e._corrupt").isNotNull() | F.col("e.endpoint").isNull() | F.col("e.start_dt").isNull() | F.col("e.end_dt").isNull()
+    return rows.select("file", "landed", "attempt", broken.alias("unreadable"), "e.*").drop("_corrupt")
+
+
+def landed_texts(reader, path: str, lines: bool = True) -> DataFrame:
+    """The JSON documents below ``path``: one in each line that is not empty, or with ``lines`` off one in each file.  ``reader`` is ``spark.read`` or ``spark.readStream``."""
+    made = reader.format("text").option("wholetext", str(not lines).lower()).load(path)
+    return made.where(F.trim("value") != "").select("value", "_metadata")
+
+
+def read_pools(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
     """Landed news envelopes (JSON, gzip allowed): a row per record, its time by endpoint, ``src`` before ``source``."""
-    raw = spark.read.schema(POOL).option("multiLine", "true").json(path)
-    return pool_records(raw)
+    return pool_records(pool_envelopes(landed_texts(spark.read, path, lines)))
+
+
+def record_time(endpoint: Column, record: Column) -> Column:
+    return F.when(endpoint == "major_news", record["pub_time"]).otherwise(record["datetime"])
 
 
-def pool_records(raw: DataFrame) -> DataFrame:
-    rows = raw.withColumns({"pool": F.xxhash64("endpoint", "source", "start_dt", "end_dt"), "n_records": F.size(F.coalesce("records", F.array().cast(raw.schema["records"].dataType)))})
-    rows = rows.withColumn("r", F.explode("records"))
-    time = F.when(F.col("endpoint") == "major_news", F.col("r.pub_time")).otherwise(F.col("r.datetime"))
+def pool_records(envelopes: DataFrame) -> DataFrame:
+    """A row per record; ``pool`` names the task (endpoint, source, window), ``place`` counts from 0."""
+    rows = envelopes.withColumns({"pool": task_name(), "n_records": F.size(F.coalesce("records", F.array().cast(envelopes.schema["records"].dataType)))})
+    rows = rows.select("*", F.posexplode("records").alias("place", "r"))
     source = F.coalesce(F.nullif("r.src", F.lit("")), F.nullif("r.source", F.lit("")), F.col("source"))
-    return rows.select("pool", "endpoint", time.alias("ts"), F.col("r.title").alias("title"), F.col("r.content").alias("content"), source.alias("source"), F.col("start_dt").alias("window_start"), F.col("end_dt").alias("window_end"), "row_count", "n_records")
+    more = [c for c in ("attempt",) if c in envelopes.columns]
+    return rows.select("pool", *more, "place", "endpoint", record_time(F.col("endpoint"), F.col("r")).alias("ts"), F.col("r.title").alias("title"), F.col("r.content").alias("content"), source.alias("source"), F.col("start_dt").alias("window_start"), F.col("end_dt").alias("window_end"), "row_count", "n_records")
+
+
+def task_name() -> Column:
+    return F.concat_ws("|", "endpoint", "source", F.col("start_dt").cast("string"), F.col("end_dt").cast("string"))
 
 
 def read_companies(spark: SparkSession, path: str) -> DataFrame:
