@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.errors import StreamingQueryException
@@ -89,13 +90,33 @@ def test_markets_have_dictionaries_of_their_own(spark):
     assert {r["market"]: r["tickers"] for r in aliases.match_tickers(mine).collect()} == {"A": ["1", "3"]}
 
 
-def test_long_dictionary_agrees(spark):
-    words = dictionary(spark, [(str(k), w, "short_name", 0.8, None, None) for k, w in enumerate(["that", "thatin", "tion", "on", "hat"])])
-    texts = spark.createDataFrame([(k, None, t, t[::-1]) for k, t in enumerate(["thatination on that", "nothatin tion", "", "xx thatthation"])], "id int, day date, title string, content string")
-    short = {tuple(r) for r in aliases.scan(texts, words).select("id", "location", "compact").collect()}
-    spots = texts.select("id", "day", F.explode(F.array(*[F.struct(F.lit(p).alias("location"), F.col(p).alias("raw")) for p in ("title", "content")])).alias("p")).select("id", "day", "p.location", "p.raw")
-    long = aliases.long_dictionary(spots.withColumn("text", text.compact_alias(F.col("raw"))), words)
-    assert {tuple(r) for r in long.select("id", "location", "compact").collect()} == short
+def plain_scan(text, forms):
+    """At each place the longest form, then on from its end."""
+    out, at = set(), 0
+    while at < len(text):
+        best = max((f for f in forms if text.startswith(f, at)), key=len, default="")
+        out |= {best} - {""}
+        at += len(best) or 1
+    return out
+
+
+@pytest.mark.parametrize("part_bytes", [1 << 20, 5])
+def test_scan_is_leftmost_longest_in_any_number_of_parts(spark, monkeypatch, part_bytes):
+    monkeypatch.setattr(aliases, "PART_BYTES", part_bytes)
+    rng = random.Random(part_bytes)
+    forms = ["that", "thatin", "tion", "on", "hat", "abab", "ba", "bb", "aabb", "a.b"]
+    words = dictionary(spark, [(str(k), w, "short_name", 0.8, None, None) for k, w in enumerate(forms)])
+    given = ["thatination on that", "nothatin tion", "", None, "xx thatthation", *["".join(rng.choice("ab") for _ in range(30)) for _ in range(20)]]
+    texts = spark.createDataFrame([(k, None, t, (t or "")[::-1]) for k, t in enumerate(given)], "id int, day date, title string, content string")
+    want = {(k, p, f) for k, t in enumerate(given) for p, x in (("title", t or ""), ("content", (t or "")[::-1])) for f in plain_scan(x.replace(" ", ""), [w.replace(".", "") for w in forms])}
+    got = aliases.scan(texts, words)
+    assert {(r["id"], r["location"], r["compact"]) for r in got.collect()} == want
+    assert aliases.scan(texts.limit(0), words).count() == 0 == aliases.scan(texts, words.limit(0)).count()
+
+
+@pytest.mark.parametrize(("text", "alias", "free"), [("a cat.", "cat", True), ("concat cat1", "cat", False), ("concat cat", "cat", True), ("écat", "cat", True), ("cat", "cat", True), ("", "cat", False)])
+def test_aliases_stand_free(text, alias, free):
+    assert aliases.stands_free(text, alias) is free
 
 
 CANDIDATE = "event_id string, market string, ticker string, date date, dedupe_key string, article_id string, source string, source_type string, title string, content string, time string, file_name string, alignment_score double, quality_score double, source_priority double"

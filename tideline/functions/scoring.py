@@ -37,10 +37,11 @@ def source_priority(source_type: Column, source_name: Column) -> Column:
     return reduce(lambda a, b: a + b, boosts, lookup(source_type, C.SOURCE_PRIORITY, 10.0))
 
 
-def alignment(title: Column, content: Column, ticker: Column, name: Column, source_type: Column, alias_score: Column) -> tuple[Column, Column]:
+def alignment(title: Column, content: Column, ticker: Column, name: Column, source_type: Column, hit: Column | None = None) -> tuple[Column, Column]:
     """Score 0 to 100 that an article is about a company, and the reasons.
 
-    ``title`` and ``content`` are normalised; ``alias_score`` is the best alias hit's (null for none).
+    ``title`` and ``content`` are normalised; ``hit`` is the best alias hit of the
+    company (``location``, ``alias``, ``alias_type``, ``score``, ``ambiguous``; null for none).
     """
     t, c, code = compact_plain(title), compact_plain(content), F.lower(filled(ticker))
     direct = F.coalesce(source_type.isin(*C.DIRECT_SOURCES), F.lit(False))
@@ -54,9 +55,14 @@ def alignment(title: Column, content: Column, ticker: Column, name: Column, sour
         (in_title, 25.0, "name_in_title"),
         (~in_title & in_content, 12.0, "name_in_content"),
     ]
-    score = reduce(lambda a, b: a + b, [F.when(p, F.lit(x)).otherwise(0.0) for p, x, _ in parts], F.coalesce(alias_score, F.lit(0.0)))
-    alias_reason = F.when(alias_score.isNotNull(), F.lit("alias"))
-    reasons = F.array_compact(F.array(*[F.when(p, F.lit(r)) for p, _, r in parts[:3]], alias_reason, *[F.when(p, F.lit(r)) for p, _, r in parts[3:]], F.when(~direct & (score == 0), F.lit("no_alignment_signal"))))
+    points = [F.when(p, F.lit(x)).otherwise(0.0) for p, x, _ in parts]
+    of_alias = F.lit(0.0) if hit is None else F.coalesce(hit["score"], F.lit(0.0))
+    score = reduce(lambda a, b: a + b, [*points[:3], of_alias, *points[3:]])
+    by_alias = []
+    if hit is not None:
+        named = F.concat(F.lit("alias_"), F.concat_ws(":", hit["location"], hit["alias"], hit["alias_type"]), F.lit(":score="), hit["score"].cast("string"))
+        by_alias = [F.when(hit.isNotNull(), named), F.when(hit["ambiguous"], F.lit("alias_ambiguous_downweighted"))]
+    reasons = F.array_compact(F.array(*[F.when(p, F.lit(r)) for p, _, r in parts[:3]], *by_alias, *[F.when(p, F.lit(r)) for p, _, r in parts[3:]], F.when(~direct & (score == 0), F.lit("no_alignment_signal"))))
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), reasons
 
 

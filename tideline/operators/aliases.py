@@ -1,18 +1,25 @@
 """Alias dictionary and the scan of texts for its entries.
 
-Each market has a dictionary of its own: an alternation of its compact aliases, longest
-first, finds the leftmost-longest matches, so a form of one market neither hides nor
-credits one of another.  What is found is joined back to the dictionary by market and
-form.  The patterns are literals of the plan: they are built on the driver from the
-dictionary (one row per alias, checked against ``PATTERN_LIMIT``); above that the texts'
-substrings are joined instead.
+Each market has a dictionary of its own and so an automaton of its own (Aho-Corasick): one
+pass over a text finds all its forms, of which the leftmost-longest stay, so a form of one
+market neither hides nor credits one of another.  What is found is joined back to the
+dictionary by market and form.
+
+Tasks build the automata from the dictionary's forms, which are broadcast in parts of at
+most ``PART_BYTES``; a text meets all parts before overlaps are settled, so the number of
+parts changes no result and the driver and a worker hold a part at a time, about.
 """
 
 from __future__ import annotations
 
-import re
+import functools
+import io
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,8 +27,10 @@ from ..functions import scoring as S
 from ..functions.constants import MIN_ALIGNMENT
 from ..functions.text import compact_alias, normalize_text
 
-#: Most aliases of a dictionary that go into one pattern.
-PATTERN_LIMIT = 10_000
+#: Bytes of forms in a part of the dictionary; an automaton takes some fifty times as much.
+PART_BYTES = 4 << 20
+#: Aliases of these characters have to stand between characters that are no letters or digits.
+LATIN = "^[A-Za-z0-9 .&_-]+$"
 
 
 def derive_aliases(companies: DataFrame) -> DataFrame:
@@ -61,74 +70,122 @@ def best_per_alias(aliases: DataFrame) -> DataFrame:
     return aliases.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
 
 
-def pattern_of(forms: list[str]) -> str:
-    """Longest first, then by text, so that an alias inside a longer one is not found alone."""
-    return "|".join(re.escape(f) if not f.isalnum() else f for f in sorted(set(forms), key=lambda f: (-len(f), f)))
+def dictionary_parts(aliases: DataFrame) -> list[Broadcast]:
+    """Forms and Latin aliases by market, in parts that are bounded in bytes; each is collected on its own."""
+    latin = F.when(F.col("alias").rlike(LATIN), F.col("alias"))
+    forms = aliases.where(F.col("compact") != "").select("market", "compact", latin.alias("latin")).distinct()
+    size = forms.agg(F.sum(F.octet_length("compact") + F.coalesce(F.octet_length("latin"), F.lit(0)))).first()[0] or 0
+    n = size // PART_BYTES + 1
+    context, out = aliases.sparkSession.sparkContext, []
+    for k in range(n):
+        part = forms.where(F.pmod(F.xxhash64("market", "compact"), F.lit(n)) == k).toArrow()
+        buffer = io.BytesIO()
+        with pa.ipc.new_stream(buffer, part.schema) as writer:
+            writer.write_table(part)
+        out.append(context.broadcast(buffer.getvalue()))
+    return out
+
+
+class Forms:
+    """A part's automaton for each market, and the Latin aliases of its forms in lower case."""
+
+    def __init__(self, raw: bytes):
+        self.automata: dict[str | None, ahocorasick.Automaton] = {}
+        self.latin: dict[tuple[str | None, str], list[str]] = {}
+        with pa.ipc.open_stream(raw) as reader:
+            for batch in reader:
+                for market, form, latin in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                    self.automata.setdefault(market, ahocorasick.Automaton()).add_word(form, len(form))
+                    if latin is not None:
+                        self.latin.setdefault((market, form), []).append(latin)
+        for a in self.automata.values():
+            a.make_automaton()
+
+
+@functools.lru_cache(maxsize=4)
+def part_forms(part: Broadcast) -> Forms:
+    """One for each worker process and part."""
+    return Forms(part.value)
+
+
+def leftmost_longest(found: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Of matches (start, length) those that a scan from left to right takes, the longest at each place."""
+    out, free = [], 0
+    for start, negative in sorted((s, -n) for s, n in found):
+        if start >= free:
+            out.append((start, -negative))
+            free = start - negative
+    return out
+
+
+def stands_free(text: str, alias: str) -> bool:
+    """Whether the alias stands in the text between characters that are no ASCII letters or digits; both in lower case."""
+    at = text.find(alias)
+    while at >= 0:
+        before, after = text[at - 1 : at], text[at + len(alias) : at + len(alias) + 1]
+        if not (before.isascii() and before.isalnum()) and not (after.isascii() and after.isalnum()):
+            return True
+        at = text.find(alias, at + 1)
+    return False
 
 
 def scan(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """One row per match: the texts' ``id`` and ``day``, ``market``, ``location``, ``compact``, ``raw``.
+    """One row per form found in a place: the texts' ``id`` and ``day``, ``market``, ``location``, ``compact``, ``free`` (its Latin aliases that stand between other characters).
 
     ``texts`` has ``id``, ``day``, ``title``, ``content``; with a ``market`` too, a text is scanned for that market only.
     """
-    forms = aliases.select("market", "compact").distinct().limit(PATTERN_LIMIT + 1).collect()
-    own = [c for c in ("market",) if c in texts.columns]
-    places = F.array(*[F.struct(F.lit(p).alias("location"), F.coalesce(F.col(p), F.lit("")).alias("raw")) for p in ("title", "content")])
-    spots = texts.select("id", "day", *own, F.explode(places).alias("p")).select("id", "day", *own, "p.location", "p.raw")
-    spots = spots.withColumn("text", compact_alias(F.col("raw")))
-    if not forms:
-        return spots.where(F.lit(False)).select("id", "day", F.lit("").alias("market"), "location", "raw", F.lit("").alias("compact"))
-    if len(forms) > PATTERN_LIMIT:
-        return long_dictionary(spots, aliases)
-    by_market: dict[str | None, list[str]] = {}
-    for r in forms:
-        by_market.setdefault(r["market"], []).append(r["compact"])
-
-    def found(market: str | None) -> Column:
-        matches = F.array_distinct(F.regexp_extract_all("text", F.lit(pattern_of(by_market[market])), F.lit(0)))
-        return F.when(F.col("market").eqNullSafe(F.lit(market)), matches) if own else matches
-
-    each = F.array(*[F.struct(F.lit(m).cast("string").alias("market"), found(m).alias("forms")) for m in sorted(by_market, key=str)])
-    rows = spots.select("id", "day", "location", "raw", F.explode(each).alias("f"))
-    return rows.select("id", "day", "f.market", "location", "raw", F.explode("f.forms").alias("compact"))
-
-
-def long_dictionary(spots: DataFrame, aliases: DataFrame) -> DataFrame:
-    """Leftmost-longest matches for dictionaries too large for a pattern.
-
-    Aliases are joined by market and their first two characters; of the matches in a text those stay that begin where
-    no earlier match reaches, taken from left to right.  Only ids and what stands at a place (as many characters as the
-    longest alias has) are shuffled; the text itself joins what was found.
-    """
-    own = [c for c in ("market",) if c in spots.columns]
-    forms = aliases.select("market", "compact").distinct().withColumn("head", F.left("compact", F.lit(2)))
-    most = forms.agg(F.max(F.char_length("compact"))).first()[0] or 1  # one number
-    places = F.explode(F.sequence(F.lit(1), F.greatest(F.char_length("text") - 1, F.lit(1)))).alias("pos")
-    starts = spots.select("id", *own, "location", "text", places).select("id", *own, "location", "pos", F.substring("text", F.col("pos"), F.lit(most)).alias("ahead"))
-    starts = starts.withColumn("head", F.left("ahead", F.lit(2)))
-    key = ["id", "location", "market"]
-    longest = starts.join(forms, [*own, "head"]).where(F.col("ahead").startswith(F.col("compact"))).groupBy(*key, "pos").agg(F.max_by("compact", F.char_length("compact")).alias("compact"))
-    ordered = longest.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "compact"))).alias("m"))
-    start = F.struct(F.lit(1).alias("free"), F.array().cast("array<string>").alias("kept"))
-    step = lambda s, m: F.when(m["pos"] >= s["free"], F.struct((m["pos"] + F.char_length(m["compact"])).alias("free"), F.array_append(s["kept"], m["compact"]).alias("kept"))).otherwise(s)
-    found = ordered.select(*key, F.explode(F.array_distinct(F.aggregate("m", start, step)["kept"])).alias("compact"))
-    return found.join(spots.select("id", "day", "location", "raw"), ["id", "location"]).select("id", "day", "market", "location", "raw", "compact")
+    parts = dictionary_parts(aliases)
+    own = "market" in texts.columns
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    keys = ["id", "day", *(["market"] if own else [])]
+    raw = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "content")]
+    flat = [compact_alias(F.coalesce(F.col(c), F.lit(""))).alias(f"{c}_flat") for c in ("title", "content")]
+    rows = texts.select(*keys, *raw, *flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
+            markets = column("market") if own else None
+            at, out = [], {"market": [], "location": [], "compact": [], "free": []}
+            for location in ("title", "content"):
+                raws, flats = column(location), column(f"{location}_flat")
+                found: dict[tuple[int, str | None], list[tuple[int, int]]] = {}
+                for part in parts:
+                    automata = part_forms(part).automata
+                    for row, text in enumerate(flats):
+                        for market in (automata if markets is None else (markets[row],)):
+                            if text and market in automata:
+                                spots = [(end + 1 - n, n) for end, n in automata[market].iter(text)]
+                                if spots:
+                                    found.setdefault((row, market), []).extend(spots)
+                for (row, market), spots in found.items():
+                    text, lower = flats[row], raws[row].lower()
+                    for form in dict.fromkeys(text[s : s + n] for s, n in leftmost_longest(spots)):
+                        at.append(row)
+                        named = [a for part in parts for a in part_forms(part).latin.get((market, form), ())]
+                        for name, value in (("market", market), ("location", location), ("compact", form), ("free", [a for a in named if stands_free(lower, a.lower())])):
+                            out[name].append(value)
+            take = pa.array(at, pa.int64())
+            made = [pa.array(out["market"], pa.string()), pa.array(out["location"], pa.string()), pa.array(out["compact"], pa.string()), pa.array(out["free"], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *made], names=["id", "day", *out])
+
+    kinds = dict(texts.dtypes)
+    return rows.mapInArrow(run, f"id {kinds['id']}, day {kinds['day']}, market string, location string, compact string, free array<string>")
 
 
 def hits(matches: DataFrame, aliases: DataFrame) -> DataFrame:
     """Scored hits, one per text, market, ticker, alias form and location.
 
     A form is ambiguous if more than one ticker of its market has it on the day, counted before anything is filtered.  Latin aliases
-    have to stand in the raw text between characters that are no letters or digits.
+    have to be among those that stand free in the raw text.
     """
     day = F.col("day")
     on_day = (day.isNull() | ((F.coalesce("valid_from", day) <= day) & (F.coalesce("valid_to", day) >= day)))
     joined = matches.join(aliases, ["market", "compact"]).where(on_day)
     spot = W.partitionBy("id", "market", "location", "compact")
     tickers = F.size(F.collect_set("ticker").over(spot))
-    bounded = F.expr(r"raw rlike concat('(?i)(?<![A-Za-z0-9])\\Q', alias, '\\E(?![A-Za-z0-9])')")
-    latin = F.col("alias").rlike("^[A-Za-z0-9 .&_-]+$")
-    scored = joined.withColumn("ambiguous", tickers > 1).where(~latin | bounded)
+    latin = F.col("alias").rlike(LATIN)
+    scored = joined.withColumn("ambiguous", tickers > 1).where(~latin | F.array_contains("free", F.col("alias")))
     title = F.col("location") == "title"
     base = F.when(title, 42.0).otherwise(20.0) * F.col("confidence") + F.when(F.col("alias_type") == "ticker", 4.0).otherwise(0.0)
     score = F.when(~F.col("ambiguous"), base).when(title, base * 0.55).otherwise(base * 0.35)

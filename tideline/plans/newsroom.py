@@ -140,7 +140,7 @@ def raw_candidates(spark, sf):
 
 def scored_candidates(spark, sf):
     rows = raw_candidates(spark, sf)
-    score, reasons = C.alignment(F.col("title"), F.col("content"), F.col("ticker"), F.col("company_name"), F.col("source_type"), F.lit(None).cast("double"))
+    score, reasons = C.alignment(F.col("title"), F.col("content"), F.col("ticker"), F.col("company_name"), F.col("source_type"))
     quality = C.quality(F.col("status"), F.col("content"), F.col("title"), F.col("source"), F.col("url"), F.col("time"), F.lit(None).cast("string"))
     rows = rows.withColumns({"alignment_score": score, "reasons": F.array_join(reasons, ";"), "quality_score": quality, "source_priority": C.source_priority(F.col("source_type"), F.col("source"))})
     return rows.withColumns({"dedupe_key": C.dedupe_key(F.col("url"), F.col("title"), F.col("content"), F.col("date"), F.col("article_id")), "file_name": F.concat(F.col("article_id"), F.lit(".json"))})
@@ -274,6 +274,42 @@ def j10_match_tickers(spark, sf):
     return aliases.match_tickers(alias_hits(spark, sf)).select("id", "market", F.array_join("tickers", ";").alias("tickers"))
 
 
+DIRECT = "source_type IN ('hkexnews_announcement', 'sina_finance_company_news')"
+
+
+@query(f"""{WITH}, {HITS}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, market, ticker ORDER BY score DESC, length(compact) DESC, location DESC, compact) AS r FROM hit) WHERE r = 1),
+c AS (SELECT b.*, {pick_sql(KINDS, 5)} AS source_type, {pick_sql(WORDS, 8)} AS company_name, {compact('title')} AS tc, {compact('content')} AS cc FROM b JOIN news ON id = doc_id)
+SELECT id, market, ticker, least(100.0::DOUBLE, CASE WHEN {DIRECT} THEN 45.0 ELSE 0.0 END + CASE WHEN contains(tc, ticker) THEN 20.0 WHEN contains(cc, ticker) THEN 10.0 ELSE 0.0 END + score + CASE WHEN contains(tc, company_name) THEN 25.0 WHEN contains(cc, company_name) THEN 12.0 ELSE 0.0 END)::DOUBLE AS alignment_score,
+  concat_ws(';', CASE WHEN {DIRECT} THEN 'direct_company_source' END, CASE WHEN contains(tc, ticker) THEN 'ticker_in_title' WHEN contains(cc, ticker) THEN 'ticker_in_content' END,
+  'alias_' || location || ':' || compact || ':' || alias_type || ':score=' || score::VARCHAR, CASE WHEN ambiguous THEN 'alias_ambiguous_downweighted' END,
+  CASE WHEN contains(tc, company_name) THEN 'name_in_title' WHEN contains(cc, company_name) THEN 'name_in_content' END) AS reasons FROM c""")
+def c19_alias_alignment(spark, sf):
+    """Alignment of texts with the companies whose aliases they hold: the best hit counts and is named in the reasons."""
+    best = aliases.best_hits(alias_hits(spark, sf)).select("id", "market", "ticker", F.struct("location", "alias", "alias_type", "score", "ambiguous").alias("hit"))
+    rows = best.join(S.news(spark, sf), F.col("id") == F.col("doc_id")).withColumns({"source_type": pick(KINDS, 5), "company_name": pick(WORDS, 8)})
+    score, reasons = C.alignment(F.col("title"), F.col("content"), F.col("ticker"), F.col("company_name"), F.col("source_type"), F.col("hit"))
+    return rows.select("id", "market", "ticker", score.alias("alignment_score"), F.array_join(reasons, ";").alias("reasons"))
+
+
+#: A form for each order that is not open, and one for its customer's orders of that priority; texts name the orders of line items.
+LARGE = """form AS (SELECT 'R' || (o_custkey % 3)::VARCHAR AS market, 'order#' || o_orderkey::VARCHAR AS compact, o_custkey::VARCHAR AS ticker FROM orders WHERE o_orderstatus <> 'O' OR o_orderkey % 2 = 0),
+line AS (SELECT l_partkey AS id, string_agg('Order# ' || l_orderkey::VARCHAR, ', ' ORDER BY l_orderkey, l_linenumber) AS title FROM lineitem GROUP BY 1),
+word AS (SELECT id, unnest(string_split(title, ', ')) AS w FROM line),
+flat AS (SELECT DISTINCT id, replace(lower(w), ' ', '') AS f FROM word), m AS (SELECT DISTINCT market FROM form),
+best AS (SELECT id, m.market, f, max(n) AS n FROM flat, m, range(7, 24) r(n) WHERE n <= length(f) AND EXISTS (SELECT 1 FROM form WHERE form.market = m.market AND compact = left(f, n)) GROUP BY ALL)"""
+
+
+@query(f"WITH {LARGE} SELECT DISTINCT id, best.market, left(f, n) AS compact, ticker FROM best JOIN form ON form.market = best.market AND compact = left(f, n)")
+def j10_large_dictionary(spark, sf):
+    """More than ten thousand forms, many the beginning of others: the longest counts."""
+    orders = S.table(spark, sf, "orders").where((F.col("o_orderstatus") != "O") | (F.col("o_orderkey") % 2 == 0))
+    words = orders.select(F.concat(F.lit("R"), (F.col("o_custkey") % 3).cast("string")).alias("market"), F.concat(F.lit("Order#"), F.col("o_orderkey").cast("string")).alias("alias"), F.col("o_custkey").cast("string").alias("ticker"), F.lit("manual_alias").alias("alias_type"), F.lit(0.9).alias("confidence"))
+    words = words.withColumns({"compact": T.compact_alias(F.col("alias")), "valid_from": F.lit(None).cast("date"), "valid_to": F.lit(None).cast("date")})
+    title = F.array_join(F.transform(F.array_sort(F.collect_list("l_orderkey")), lambda k: F.concat(F.lit("Order# "), k.cast("string"))), ", ")
+    texts = S.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(title.alias("title")).select("id", F.lit(None).cast("date").alias("day"), "title", F.lit("").alias("content"))
+    return aliases.hits(aliases.scan(texts, words), words).select("id", "market", "compact", "ticker")
+
+
 @query(f"""{WITH}, {HITS}, company AS (SELECT market, ticker, market || ':' || ticker AS company_id, count(*) AS forms FROM alias GROUP BY ALL)
 SELECT id, company_id, forms, count(*) AS hits, max(score) AS score FROM hit JOIN company USING (market, ticker) GROUP BY ALL""")
 def j13_hit_companies(spark, sf):
