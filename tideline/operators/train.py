@@ -1,4 +1,4 @@
-"""Baseline models with Spark ML, fitted fold by fold.
+"""Baseline models: linear ones for all folds together (``linear``), others with Spark ML, fold by fold.
 
 Preprocessing is learnt from train rows: medians for missing numbers, columns without any
 train value dropped, indicators for columns with missing train values (linear models and
@@ -19,16 +19,18 @@ from pyspark.sql import functions as F
 
 from .checks import KEY, ValidationError, require_empty, shared_test_rows, unmatched
 from .labels import iter_task_frames
+from .linear import fit_folds, unpivoted
 from .metrics import matched, metric_table
+from .quantiles import quantiles
 from .reports import fold_summary
 from .tables import written
 
 
 def imputation(train: DataFrame, columns: list[str]) -> tuple[dict[str, float], list[str]]:
-    """Exact medians of the columns that have train values, and the columns with missing ones; one aggregate."""
-    row = train.agg(*[F.percentile(F.col(c), F.lit(0.5)).alias(f"m{k}") for k, c in enumerate(columns)], *[F.count_if(F.col(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
-    medians = {c: float(row[f"m{k}"]) for k, c in enumerate(columns) if row[f"m{k}"] is not None}
-    return medians, [c for k, c in enumerate(columns) if c in medians and row[f"n{k}"]]
+    """Exact medians of the columns that have train values, and the columns with missing ones; the columns go through ``quantiles`` together."""
+    medians = {columns[r["column"]]: r["quantile"] for r in quantiles(unpivoted(train, columns), ["column"], "x", 0.5).collect()}
+    missing = train.agg(*[F.count_if(F.col(c).isNull()).alias(f"n{k}") for k, c in enumerate(columns)]).first()
+    return {c: medians[c] for c in columns if c in medians}, [c for k, c in enumerate(columns) if c in medians and missing[f"n{k}"]]
 
 
 def prepared(rows: DataFrame, medians: dict[str, float], missing: list[str]) -> DataFrame:
@@ -91,21 +93,25 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], task: str
 
 
 def train_reference_model(features: DataFrame, labels: DataFrame, membership: DataFrame, t1_model: str = "linear", t2_model: str = "linear", quantile: float = 0.9, options: dict | None = None) -> dict[str, DataFrame]:
-    """Fit both tasks on every fold: ``predictions``, ``metrics`` and ``folds`` tables.
+    """Fit both tasks on every fold: ``predictions``, ``metrics``, ``folds`` and, of linear models, ``fits`` tables.
 
-    The loop over folds is a loop over fits; all data work is in DataFrames.
+    Linear models of all folds are fitted together (``linear.fit_folds``); the loop over folds for other models is a loop
+    over fits, with all data work in DataFrames.
     """
     frames = written(iter_task_frames(labels, membership, quantile), "frames")
     require_empty(shared_test_rows(frames), "samples tested in more than one fold")
     require_empty(unmatched(frames, features, KEY), "labelled samples without features")
     columns = [c for c, k in features.dtypes if c not in KEY and k in ("double", "float", "int", "bigint")]
     rows = written(frames.join(features, KEY), "samples")
-    out = None
-    for fold in sorted(r[0] for r in frames.select("fold_id").distinct().collect()):
-        mine = rows.where(F.col("fold_id") == fold)
-        train, test = mine.where(F.col("part") == "train"), mine.where(F.col("part") == "test")
-        one = fit_predict(train, test, columns, "T1", t1_model, options or {}).select("fold_id", *KEY, F.col("prediction_").alias("t1_score"))
-        two = fit_predict(train, test, columns, "T2", t2_model, options or {}).select(*KEY, F.col("prediction_").alias("t2_prediction"))
-        both = one.join(two, KEY)
-        out = both if out is None else out.unionByName(both)
-    return {"predictions": out, "metrics": metric_table(matched(frames, out), quantile=quantile), "folds": fold_summary(frames, len(columns), f"{t1_model}/{t2_model}")}
+    out, more = None, {}
+    if t1_model == t2_model == "linear":
+        out, more["fits"] = fit_folds(rows, columns, options)
+    else:
+        for fold in sorted(r[0] for r in frames.select("fold_id").distinct().collect()):
+            mine = rows.where(F.col("fold_id") == fold)
+            train, test = mine.where(F.col("part") == "train"), mine.where(F.col("part") == "test")
+            one = fit_predict(train, test, columns, "T1", t1_model, options or {}).select("fold_id", *KEY, F.col("prediction_").alias("t1_score"))
+            two = fit_predict(train, test, columns, "T2", t2_model, options or {}).select(*KEY, F.col("prediction_").alias("t2_prediction"))
+            both = one.join(two, KEY)
+            out = both if out is None else out.unionByName(both)
+    return {"predictions": out, "metrics": metric_table(matched(frames, out), quantile=quantile), "folds": fold_summary(frames, len(columns), f"{t1_model}/{t2_model}"), **more}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring as C
 from ..operators import checks, panel, reports, train
-from ..operators.labels import task_frames
+from ..operators.labels import leave_one_out, task_frames
 from ..operators.tables import shared_path, written
 from ..sources import io
 from ..streaming import ingest
@@ -524,6 +524,53 @@ def ml4_ridge(spark, sf):
     return out.select("fold_id", *KEY, F.round("prediction_", 5).alias("t2_prediction"))
 
 
+#: Leave-one-event-out folds with two features: the mean close and the mean volume of the days before.
+FOLDS = f"""{DAILY}, x AS (SELECT event_id, market, ticker, avg(close) AS u, avg(volume) AS v FROM daily GROUP BY ALL), l AS (SELECT * FROM label SEMI JOIN x USING (event_id, market, ticker)),
+g0 AS (SELECT 'loeo__' || h.event_id AS fold_id, CASE WHEN l.event_id = h.event_id THEN 'test' ELSE 'train' END AS part, l.* FROM l, (SELECT DISTINCT event_id FROM l) h),
+g1 AS (SELECT *, event_return - avg(event_return) OVER (PARTITION BY fold_id, part, event_id, market) AS ar FROM g0),
+gt AS (SELECT fold_id, quantile_cont(abs(ar), 0.9) AS t FROM g1 WHERE part = 'train' GROUP BY 1),
+g AS (SELECT g1.*, (abs(ar) >= t)::DOUBLE AS y, u, v FROM g1 JOIN gt USING (fold_id) JOIN x USING (event_id, market, ticker)),
+st AS (SELECT fold_id, avg(u) AS mu, stddev_pop(u) AS su, avg(v) AS mv, stddev_pop(v) AS sv, count(*)::DOUBLE AS n, sum(y) AS p, avg(ar) AS ma FROM g WHERE part = 'train' GROUP BY 1),
+z AS MATERIALIZED (SELECT fold_id, part, event_id, market, ticker, y, ar, (u - mu) / su AS a, (v - mv) / sv AS b, CASE WHEN y = 1 THEN n / (2 * p) ELSE n / (2 * (n - p)) END AS s FROM g JOIN st USING (fold_id)),
+r0 AS (SELECT fold_id, sum(a * a) + 1 AS aa, sum(a * b) AS ab, sum(b * b) + 1 AS bb, sum(a * (ar - ma)) AS ay, sum(b * (ar - ma)) AS yb, any_value(ma) AS ma FROM z JOIN st USING (fold_id) WHERE part = 'train' GROUP BY 1),
+r AS (SELECT fold_id, ma, (ay * bb - yb * ab) / (aa * bb - ab * ab) AS ra, (yb * aa - ay * ab) / (aa * bb - ab * ab) AS rb FROM r0)"""
+
+
+def newton_sql(steps: int = 12) -> str:
+    """Reweighted least squares with two weights and an intercept, a step in each pair of tables, by Cramer's rule."""
+    out = ["w0 AS (SELECT fold_id, 0.0::DOUBLE AS c, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb FROM st)"]
+    for k in range(steps):
+        out.append(f"""q{k} AS (SELECT fold_id, a, b, s, y, 1 / (1 + exp(-(c + wa * a + wb * b))) AS p FROM z JOIN w{k} USING (fold_id) WHERE part = 'train'),
+h{k} AS (SELECT fold_id, sum(s * (p - y)) AS g0, sum(s * (p - y) * a) AS g1, sum(s * (p - y) * b) AS g2, sum(s * p * (1 - p)) AS h00, sum(s * p * (1 - p) * a) AS h01, sum(s * p * (1 - p) * b) AS h02,
+  sum(s * p * (1 - p) * a * a) + 1 AS h11, sum(s * p * (1 - p) * a * b) AS h12, sum(s * p * (1 - p) * b * b) + 1 AS h22 FROM q{k} GROUP BY 1),
+j{k} AS (SELECT fold_id, c, wa, wb, g0, g1 + wa AS g1, g2 + wb AS g2, h00, h01, h02, h11, h12, h22, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02) + h02 * (h01 * h12 - h11 * h02) AS det FROM h{k} JOIN w{k} USING (fold_id)),
+w{k + 1} AS MATERIALIZED (SELECT fold_id, c - (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2) + h02 * (g1 * h12 - h11 * g2)) / det AS c,
+  wa - (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02) + h02 * (h01 * g2 - g1 * h02)) / det AS wa, wb - (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02) + g0 * (h01 * h12 - h11 * h02)) / det AS wb FROM j{k})""")
+    return ", ".join([*out, f"w AS (SELECT * FROM w{steps})"])
+
+
+def trained_folds(spark, sf):
+    """Both linear models on all leave-one-event-out folds."""
+    x = written(daily(spark, sf).groupBy(*KEY).agg(F.avg("close").alias("u"), F.avg("volume").alias("v")), "features")
+    usable = label_table(spark, sf).join(x.select(*KEY), KEY, "left_semi")
+    return train.train_reference_model(x, usable, leave_one_out(usable, "event_id", "loeo"))
+
+
+@query(f"""{WITH}, {FOLDS}, {newton_sql()} SELECT fold_id, event_id, market, ticker, round(1 / (1 + exp(-(c + wa * a + wb * b))), 6) AS t1_score, round(ma + ra * a + rb * b, 6) AS t2_prediction
+FROM z JOIN w USING (fold_id) JOIN r USING (fold_id) WHERE part = 'test'""")
+def ml3_j2_ml8_fold_predictions(spark, sf):
+    """Test scores of all folds; SQL makes the same steps from closed forms."""
+    out = trained_folds(spark, sf)["predictions"]
+    return out.select("fold_id", *KEY, F.round("t1_score", 6).alias("t1_score"), F.round("t2_prediction", 6).alias("t2_prediction"))
+
+
+@query(f"{WITH}, {FOLDS} SELECT fold_id, n::BIGINT AS n_train, p::BIGINT AS n_positive, true AS t1_certain, true AS t2_certain FROM st")
+def ml3_certificates(spark, sf):
+    """Every fold's gradients, over its train rows, are below 1e-8 (T1) and 1e-6 (T2)."""
+    out = trained_folds(spark, sf)["fits"]
+    return out.select("fold_id", "n_train", "n_positive", (F.col("t1_gradient") < 1e-8).alias("t1_certain"), (F.col("t2_gradient") < 1e-6).alias("t2_certain"))
+
+
 @query(f"{WITH}, {S.FRAMES} SELECT event_id, market, ticker, 0.0::DOUBLE AS none_positive, 1.0::DOUBLE AS all_positive FROM frame WHERE part = 'test'")
 def ml7_single_class(spark, sf):
     """A train part of one class gives a constant score."""
