@@ -303,6 +303,21 @@ def test_words_with_equal_weak_hashes_stay_apart(spark, tokenizer):
     assert len({*zip(w.hashes.tolist(), w.others.tolist())}) == len(words) + 1 and w.hashes[7] == w.hashes[-1]
 
 
+def test_words_chosen_to_cancel_out_stay_apart(spark):
+    """Words whose public bits differ by 2^63 in both halves, and short texts whose public first halves are equal."""
+    from tideline.llm.fmindex import remove_repeats
+    from tideline.llm.jaccard import link_documents
+
+    x, y = r"i5thy\U6$C+s*ma<", "0CG|lVr6O2$%1{|Z"
+    long = [(k, " ".join([*[f"w{i}" for i in range(29)], u, u, *[f"w{i}" for i in range(31, 60)]])) for k, u in enumerate((x, y))]
+    short = [(10, "[]n{#*r{16v=3s2<"), (11, '^3s@v2_<=:g[9$r"'), (12, x), (13, y), (14, f"{x} {x}"), (15, f"{y} {y}")]
+    rows = [*long, *short, *[(20 + k, " ".join(f"{u} a{k} {u} b c d".split())) for k, u in enumerate((x, y))]]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for _ in range(2):  # with another key each time
+        assert all(r["n_removed"] == 0 for r in remove_repeats(table).collect())
+        assert all(r["component_id"] == r["doc_id"] for r in link_documents(table).collect() if r["doc_id"] > 1)
+
+
 def lower(t):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
 

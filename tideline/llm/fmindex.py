@@ -209,7 +209,7 @@ def segments_of(docs: DataFrame, window: int, anchor: int, base: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            words = Words(batch.column("text"), lower=False)
+            words = Words(batch.column("text"), False, base)
             edges, count = words.edges, np.diff(words.edges)
             if not (count >= window).any():
                 continue

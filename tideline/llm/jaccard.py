@@ -26,8 +26,8 @@ So no link between components is missed, and links inside one are not enumerated
 large group of near copies costs comparisons in proportion to its members.
 
 A shingle is known by 64 bits beside those that choose its shard of about ``SHARD``
-shingles; both derive from the exact bytes of words of up to 16 bytes and from 128-bit
-digests of longer ones.
+shingles, a set by 128; both derive from the exact bytes of words of up to 16 bytes and from
+128-bit digests of longer ones, permuted with a key drawn for the run.
 
 Cases: texts without words (or null) have no shingles and are linked with nothing;
 texts with fewer words than ``n`` have their whole sequence as one shingle; rows with
@@ -37,6 +37,7 @@ are linked copies; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -60,11 +61,12 @@ CANDIDATE = pa.schema([("key", pa.binary()), ("n", pa.int64()), ("own", pa.int64
 COMMON = 1 << 62
 
 
-def key_of(shingles: np.ndarray) -> tuple[int, int]:
-    return int(mixed(shingles, 1).sum(dtype=np.uint64)), int(mixed(shingles, 2).sum(dtype=np.uint64))
+def key_of(shingles: np.ndarray, more: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, from both numbers of each shingle."""
+    return int(mixed(shingles ^ mixed(more, 3), 1).sum(dtype=np.uint64)), int(mixed(more ^ mixed(shingles, 4), 2).sum(dtype=np.uint64))
 
 
-def document_sets(docs: DataFrame, words: int) -> DataFrame:
+def document_sets(docs: DataFrame, words: int, secret: int) -> DataFrame:
     """``doc_id``, ``h`` (hash of the text), ``n`` (set size) and ``key`` (null for an empty set) of every row.
 
     In one row of each slice ``often`` has the shingles that one set in ``RARE`` has there, and in how many.
@@ -74,8 +76,8 @@ def document_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sets = [s for s, _ in shingle_sets(Words(batch.column("text"), lower=True), words)]
-            names = [key_of(s) if len(s) else None for s in sets]
+            both = shingle_sets(Words(batch.column("text"), True, secret), words)
+            sets, names = [s for s, _ in both], [key_of(*s) if len(s[0]) else None for s in both]
             distinct = {k: s for k, s in zip(names, sets) if k}
             often: list[dict] = []
             if len(distinct) > 1:
@@ -95,13 +97,13 @@ def common_shingles(rows: DataFrame) -> np.ndarray:
     return np.sort(np.array([r["shingle"] for r in often.select("shingle").collect()], np.int64).view(np.uint64))
 
 
-def dealt(docs: DataFrame, words: int, bits: int, common: np.ndarray) -> DataFrame:
+def dealt(docs: DataFrame, words: int, secret: int, bits: int, common: np.ndarray) -> DataFrame:
     """Shingles by shard, many sets to a row, eight bytes a shingle; and those of ``common`` by set (``shard`` -1)."""
     out = pa.schema([("shard", pa.int64()), ("sets", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            by_key = {key_of(s): (s, at) for s, at in shingle_sets(Words(batch.column("text"), lower=True), words) if len(s)}
+            by_key = {key_of(s, at): (s, at) for s, at in shingle_sets(Words(batch.column("text"), True, secret), words) if len(s)}
             if not by_key:
                 continue
             flat = np.concatenate([s for s, _ in by_key.values()])
@@ -299,11 +301,12 @@ def link_documents(docs: DataFrame, words: int = 5, percent: int = 75) -> DataFr
 
     Also ``h``, the hash of the text, and ``group``, a name of the component (null for an empty set).
     """
-    rows = keep(document_sets(docs, words), "sets")
+    secret = secrets.randbits(128)  # of the words' bits; no result depends on it
+    rows = keep(document_sets(docs, words, secret), "sets")
     total = rows.agg(F.sum("n")).first()[0] or 0
     bits = max(0, (int(total) // SHARD).bit_length())
     common = common_shingles(rows)
-    sets = keep(candidates(shared_shingles(dealt(docs, words, bits, common), bits, common), percent), "candidates")
+    sets = keep(candidates(shared_shingles(dealt(docs, words, secret, bits, common), bits, common), percent), "candidates")
     labels = linked_sets(sets, percent)
     smallest = rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.min("doc_id").alias("low"))
     placed = smallest.join(labels.withColumnRenamed("node", "key"), "key", "left")

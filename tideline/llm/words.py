@@ -2,8 +2,9 @@
 
 A word stands for 128 bits (``hashes``, ``others``).  Of a word of up to 16 bytes they
 are its bytes, permuted, so two such words never share them; longer words have their
-BLAKE2b digest.  What is built from them (shingles, sequences, set keys) mixes these
-bits, so it never rests on a weak hash of text that somebody may have chosen.
+BLAKE2b digest.  What is built from them (shingles, sequences, set keys) comes from bits
+that are permuted once more with a key drawn for the run, so nobody can choose words
+whose bits cancel out; results do not depend on the key.
 """
 
 from __future__ import annotations
@@ -78,12 +79,22 @@ def word_spans(texts: pa.Array, lower: bool) -> tuple[np.ndarray, np.ndarray, np
     return raw, starts, np.flatnonzero(ends) + 1 - starts, np.searchsorted(starts, bounds)
 
 
+def keyed(one: np.ndarray, two: np.ndarray, key: int) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits permuted with a key: four rounds, each of which adds a mix of one half and a part of the key to the other."""
+    parts = np.frombuffer(blake2b(key.to_bytes(16, "little"), digest_size=32).digest(), "<u8")
+    for part in parts:
+        one, two = two ^ mixed(mixed(one ^ part) + part), one
+    return one, two
+
+
 class Words:
-    """Of some texts: the words' bits (``hashes``, ``others``), and the first word of each text (``edges``, one more than texts)."""
+    """Of some texts: the words' bits (``hashes``, ``others``; with a ``key`` permuted by it), and the first word of each text (``edges``, one more than texts)."""
 
-    def __init__(self, texts: pa.Array, lower: bool):
+    def __init__(self, texts: pa.Array, lower: bool, key: int | None = None):
         raw, starts, length, self.edges = word_spans(texts, lower)
         self.hashes, self.others = identities(raw, starts, length)
+        if key is not None:
+            self.hashes, self.others = keyed(self.hashes, self.others, key)
 
     def grams(self, n: int) -> np.ndarray:
         """A hash of the n words from each word on; those that leave their text are not meaningful."""
@@ -92,17 +103,20 @@ class Words:
             out = mixed(out ^ self.hashes[k : k + len(out)] ^ (self.others[k : k + len(out)] << np.uint64(k)), k + 1)
         return out
 
-    def sequences(self) -> np.ndarray:
-        """A hash of each text's whole word sequence."""
+    def sequences(self) -> tuple[np.ndarray, np.ndarray]:
+        """128 bits of each text's whole word sequence."""
         n = np.diff(self.edges)
-        place = np.arange(len(self.hashes)) - np.repeat(self.edges[:-1], n)
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(self.hashes ^ mixed(place.astype(np.uint64), 3)))])
-        return mixed(sums[self.edges[1:]] - sums[self.edges[:-1]], 5)
+        place = mixed((np.arange(len(self.hashes)) - np.repeat(self.edges[:-1], n)).astype(np.uint64), 3)
+        both = []
+        for bits, seed in ((self.hashes, 5), (self.others, 6)):
+            sums = np.concatenate([[np.uint64(0)], np.cumsum(mixed(bits ^ place, seed))])
+            both.append(mixed(sums[self.edges[1:]] - sums[self.edges[:-1]], seed))
+        return both[0], both[1]
 
 
 def shingle_sets(words: Words, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """Per text its distinct n-word shingles, sorted, and further bits of each; with fewer words the whole sequence as one; empty without words."""
-    grams, whole = words.grams(n), words.sequences()
+    grams, (whole, rest) = words.grams(n), words.sequences()
     more = np.zeros_like(grams)
     for k in range(n):
         more = (more << np.uint64(7) | more >> np.uint64(57)) + words.others[k : k + len(more)]
@@ -112,6 +126,6 @@ def shingle_sets(words: Words, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
             shingles, at = np.unique(grams[a : b - n + 1], return_index=True)
             out.append((shingles, more[a + at]))
         else:
-            own = whole[k : k + 1] if b > a else whole[:0]
-            out.append((own, mixed(own, 9)))
+            filled = slice(k, k + 1 if b > a else k)
+            out.append((whole[filled], rest[filled]))
     return out
