@@ -18,8 +18,13 @@ class ValidationError(ValueError):
     """A table breaks a rule; the message has up to five examples."""
 
 
+def examples_of(violations: DataFrame, n: int = 5) -> DataFrame:
+    """The first violations in the order of their columns."""
+    return violations.orderBy(*violations.columns).limit(n)
+
+
 def require_empty(violations: DataFrame, what: str, examples: int = 5) -> None:
-    found = violations.limit(examples).collect()
+    found = examples_of(violations, examples).collect()
     if found:
         raise ValidationError(f"{what}: " + "; ".join(str(r.asDict()) for r in found))
 

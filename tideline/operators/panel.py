@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .tables import shared_path
+
 FIRM = ["market", "ticker"]
 EVENT_FIRM = ["event_id", "market", "ticker"]
 
@@ -47,11 +51,23 @@ def fetch_grid(days: DataFrame, endpoints: DataFrame, landed: DataFrame) -> Data
     return grid.join(landed.select("endpoint", "source", "date", "row_count"), ["endpoint", "source", "date"], "left").withColumn("status", status)
 
 
+def interval_join(points: DataFrame, intervals: DataFrame, day: str, start: str, end: str, on: list[str] | None = None, width: int = 32) -> DataFrame:
+    """Pairs of points and intervals that hold their ``day``, for any number of both; null ends are open.
+
+    Days are dealt to buckets of ``width`` days.  An interval stands in each bucket that it touches between the first
+    and the last day of the points, so it is copied once for ``width`` of its days, and rows meet by bucket (and ``on``).
+    """
+    bucket = lambda d: F.floor(F.datediff(d, F.lit("1970-01-01").cast("date")) / width)
+    reach = points.agg(F.min(day).alias("_lo"), F.max(day).alias("_hi"))  # one row
+    clipped = intervals.join(F.broadcast(reach)).withColumns({"_a": F.greatest(F.coalesce(F.col(start), F.col("_lo")), F.col("_lo")), "_b": F.least(F.coalesce(F.col(end), F.col("_hi")), F.col("_hi"))})
+    dealt = clipped.where(F.col("_a") <= F.col("_b")).withColumn("_bucket", F.explode(F.sequence(bucket(F.col("_a")), bucket(F.col("_b"))))).drop("_lo", "_hi")
+    met = points.withColumn("_bucket", bucket(F.col(day))).join(dealt, [*(on or []), "_bucket"]).where(F.col(day).between(F.col("_a"), F.col("_b")))
+    return met.drop("_bucket", "_a", "_b")
+
+
 def eligible(events: DataFrame, companies: DataFrame) -> DataFrame:
-    """Companies whose membership covers an event's start; open ends allowed.  Events are a handful and broadcast."""
-    start = F.col("event_start_date")
-    on = (F.coalesce(F.col("member_from"), start) <= start) & (F.coalesce(F.col("member_to"), start) >= start)
-    return companies.join(F.broadcast(events), on)
+    """Companies whose membership covers an event's start; open ends allowed.  Any number of events."""
+    return interval_join(events, companies, "event_start_date", "member_from", "member_to")
 
 
 def dense_panel(firms: DataFrame, prices: DataFrame, news: DataFrame) -> DataFrame:
@@ -61,7 +77,10 @@ def dense_panel(firms: DataFrame, prices: DataFrame, news: DataFrame) -> DataFra
     """
     days = firms.select(*EVENT_FIRM, "event_start_date", "event_end_date", F.explode(F.sequence("pre_start_date", "post_end_date")).alias("date"))
     daily = news.groupBy(*FIRM, "date").agg(F.count("*").alias("news_count"))
-    full = days.join(prices, [*FIRM, "date"], "left").join(daily, [*FIRM, "date"], "left")
+    return flagged(days.join(prices, [*FIRM, "date"], "left").join(daily, [*FIRM, "date"], "left"))
+
+
+def flagged(full: DataFrame) -> DataFrame:
     return full.withColumns(
         {
             "news_count": F.coalesce("news_count", F.lit(0)),
@@ -78,9 +97,30 @@ def selected_prices(prices: DataFrame, panel: DataFrame) -> DataFrame:
     return prices.join(panel.select(*FIRM, "date"), [*FIRM, "date"], "left_semi")
 
 
-def event_news(events: DataFrame, news: DataFrame) -> DataFrame:
-    """News of every event whose window holds its day; one row may enter several events."""
-    return news.join(F.broadcast(events.select("event_id", "pre_start_date", "event_start_date", "event_end_date", "post_end_date")), F.col("date").between(F.col("pre_start_date"), F.col("post_end_date")))
+def event_news(events: DataFrame, news: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """News of every event whose window holds its day (and that shares ``on``); one row may enter several events, of any number."""
+    windows = events.select("event_id", *(on or []), "pre_start_date", "event_start_date", "event_end_date", "post_end_date")
+    return interval_join(news, windows, "date", "pre_start_date", "post_end_date", on)
+
+
+def bucketed(df: DataFrame, name: str, buckets: int, by: list[str] = FIRM, order: str = "date") -> DataFrame:
+    """The table written once as ``buckets`` files by ``by``, sorted, and read back: joins and groups by these keys need no exchange."""
+    spark = df.sparkSession
+    table = f"{name}_{uuid.uuid4().hex}"
+    df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by, order).option("path", shared_path(spark, name)).saveAsTable(table)
+    return spark.table(table)
+
+
+def bucketed_panel(firms: DataFrame, prices: DataFrame, news: DataFrame, buckets: int = 8) -> DataFrame:
+    """``dense_panel`` over bucketed tables: prices and daily counts are joined where they lie.
+
+    ``prices`` and ``news`` (daily counts) come from ``bucketed`` with the same number of buckets; only the firms, which become days
+    after they are dealt, are shuffled.
+    """
+    firms.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")  # keys of the buckets are enough
+    dealt = firms.repartition(buckets, *FIRM)
+    days = dealt.select(*EVENT_FIRM, "event_start_date", "event_end_date", F.explode(F.sequence("pre_start_date", "post_end_date")).alias("date"))
+    return flagged(days.join(prices.hint("merge"), [*FIRM, "date"], "left").join(news.hint("merge"), [*FIRM, "date"], "left"))
 
 
 def coverage(panel: DataFrame) -> DataFrame:

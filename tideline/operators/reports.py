@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -57,6 +57,39 @@ def stale(df: DataFrame, stored: dict) -> bool:
     return fingerprint(df).first().asDict() != stored
 
 
+def file_states(spark: SparkSession, path: str, by: str) -> DataFrame:
+    """Of a table partitioned by ``by`` each partition's files as one digest (``state``): names, sizes and times, no content."""
+    rows = spark.read.parquet(path).select(F.col(by).cast("string").alias("path"), "_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time")
+    files = rows.distinct()
+    return files.groupBy("path").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("file_path", "file_size", "file_modification_time")))), 256).alias("state"))
+
+
+def partition_fingerprints(spark: SparkSession, path: str, by: str, stored: DataFrame | None = None) -> DataFrame:
+    """Per partition ``rows`` and the sums of its rows' hashes, its files' ``state``, and whether it was ``read``.
+
+    Sums add up, so with what an earlier call has ``stored`` only partitions whose files changed are read; those that are
+    gone drop out.
+    """
+    now = file_states(spark, path, by)
+    if stored is None:
+        changed, same = now.select("path"), None
+    else:
+        same = stored.join(now, ["path", "state"], "left_semi").withColumn("read", F.lit(False))
+        changed = now.join(stored, ["path", "state"], "left_anti").select("path")
+    names = [r["path"] for r in changed.collect()]  # partitions' names, by which the others are pruned
+    table = spark.read.parquet(path)
+    own = F.col(by).cast("string")
+    some = table.where(own.isin([n for n in names if n is not None]) | (own.isNull() if None in names else F.lit(False)))
+    fresh = some.groupBy(own.alias("path")).agg(F.count("*").alias("rows"), *row_hashes(table.drop(by)))
+    fresh = fresh.withColumn("_p", F.col("path")).join(now.withColumnRenamed("path", "_q"), F.col("_p").eqNullSafe(F.col("_q"))).select("path", "rows", "hash_a", "hash_b", "state", F.lit(True).alias("read"))
+    return fresh if same is None else fresh.unionByName(same.select(fresh.columns))
+
+
+def total_fingerprint(parts: DataFrame) -> DataFrame:
+    """The table's fingerprint from its partitions'."""
+    return parts.agg(F.sum("rows").alias("rows"), F.sum("hash_a").alias("hash_a"), F.sum("hash_b").alias("hash_b"))
+
+
 def fold_summary(frames: DataFrame, features: int, models: str) -> DataFrame:
     """Per fold the rows of each part, the threshold, and what was fitted."""
     n = frames.groupBy("fold_id").agg(*[F.count_if(F.col("part") == p).alias(f"n_{p}") for p in ("train", "validation", "test")], F.max("threshold").alias("threshold"))

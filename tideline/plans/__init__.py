@@ -1,6 +1,6 @@
 """Registered queries over the driver's tables, and their SQL."""
 
-from . import landing, newsroom, study
+from . import depth, landing, newsroom, study
 from .registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "landing", "newsroom", "study"]
+__all__ = ["ORACLE", "QUERIES", "depth", "landing", "newsroom", "study"]
