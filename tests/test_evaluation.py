@@ -72,7 +72,7 @@ def test_splits(spark):
 
 
 def test_model_queries_fit_the_whole_models(spark, monkeypatch):
-    from tideline.operators import train
+    from tideline.operators import boosting, train
     from tideline.plans import QUERIES
 
     made, estimator = [], train.estimator
@@ -82,6 +82,9 @@ def test_model_queries_fit_the_whole_models(spark, monkeypatch):
         return made[-1][2]
 
     monkeypatch.setattr(train, "estimator", spied)
-    QUERIES["ml6_boosted_trees"](spark, "/root/testdata/sf0.001")
     QUERIES["ml5_perceptron"](spark, "/root/testdata/sf0.001")
-    assert [(t, m, e.getMaxIter()) for t, m, e in made if m != "linear"] == [("T1", "trees", 50), ("T2", "trees", 50), ("T1", "mlp", 200)]
+    assert [(t, m, e.getMaxIter()) for t, m, e in made if m != "linear"] == [("T1", "mlp", 200)]
+    real, grown = boosting.fit, []
+    monkeypatch.setattr(boosting, "fit", lambda *args: grown.append(args[2]) or real(*args[:2], 1, *args[3:]))
+    QUERIES["ml6_boosted_trees"](spark, "/root/testdata/sf0.001")
+    assert grown == [50]

@@ -78,3 +78,74 @@ def test_all_folds_are_fitted_together(spark):
         assert [got[fold, f"{fold}{60 + k}"] for k in range(20)] == [(pytest.approx(p, abs=1e-5), pytest.approx(q, abs=1e-6)) for p, q in zip(t1, t2)]
     for r in fits.collect():
         assert r["t1_gradient"] < 1e-8 and r["t2_gradient"] < 1e-6 and r["n_train"] == 60
+
+
+def plain_boosting(x, y, truth, edges, trees, rate, leaves, depth, least):
+    """Level by level over rows, then trimmed by best gain; ``edges`` as the operator has them."""
+    bins = np.stack([np.minimum(np.searchsorted(np.array(e), x[:, c]), len(e) - 1) for c, e in enumerate(edges)], 1)
+    out = []
+    for task, t in (("T1", y), ("T2", truth)):
+        score = np.full(len(x), np.log(y.mean() / (1 - y.mean())) if task == "T1" else truth.mean())
+        for _ in range(trees):
+            p = 1 / (1 + np.exp(-score))
+            g, h = (p - y, p * (1 - p)) if task == "T1" else (score - truth, np.ones(len(x)))
+
+            def best(rows):
+                found = (1e-12, None)
+                for c in range(x.shape[1]):
+                    for b in range(len(edges[c]) - 1):
+                        left = rows[bins[rows, c] <= b]
+                        right = rows[bins[rows, c] > b]
+                        if min(len(left), len(right)) >= least:
+                            gain = g[left].sum() ** 2 / h[left].sum() + g[right].sum() ** 2 / h[right].sum() - g[rows].sum() ** 2 / h[rows].sum()
+                            if gain > found[0] + 1e-9:
+                                found = (gain, (left, right))
+                return found
+
+            heap, ends, n = [(best(np.arange(len(x))), 0, np.arange(len(x)))], [], 1
+            while heap:
+                heap.sort(key=lambda e: -e[0][0])
+                (gain, parts), level, rows = heap.pop(0)
+                if parts is None or level >= depth or n >= leaves:
+                    ends.append(rows)
+                    continue
+                n += 1
+                heap += [(best(r), level + 1, r) for r in parts]
+            for rows in ends:
+                score[rows] -= rate * g[rows].sum() / h[rows].sum()
+        out.append(1 / (1 + np.exp(-score)) if task == "T1" else score)
+    return out
+
+
+def test_boosted_trees_match_plain_ones(spark):
+    from tideline.operators import boosting
+
+    rng = np.random.default_rng(9)
+    rows, data = [], {}
+    for fold in ("a", "b", "single"):
+        x = np.round(rng.normal(size=(150, 2)), 2)
+        y = (x[:, 0] + rng.normal(size=150) > 0.5).astype(float) if fold != "single" else np.zeros(150)
+        truth = x[:, 1] * (x[:, 0] > 0) + 0.1 * rng.normal(size=150)
+        data[fold] = x, y, truth
+        for part in ("train", "test"):  # scores of the train rows
+            rows += [(fold, part, "e", "m", f"{k}", float(y[k]), float(truth[k]), float(x[k, 0]), float(x[k, 1])) for k in range(150)]
+    table = spark.createDataFrame(rows, "fold_id string, part string, event_id string, market string, ticker string, high_impact_label double, abnormal_return double, u double, v double").repartition(3)
+    options = {"n_estimators": 3, "learning_rate": 0.5, "num_leaves": 4, "max_depth": 3, "colsample": 1.0, "min_child_samples": 10, "max_bin": 16}
+    out, _, edges = boosting.boost_folds(table, ["u", "v"], options)
+    got = {(r["fold_id"], r["ticker"]): (r["t1_score"], r["t2_prediction"]) for r in out.collect()}
+    for fold, (x, y, truth) in data.items():
+        if fold == "single":
+            assert all(v[0] == 0.0 for (f, _), v in got.items() if f == fold)
+            continue
+        t1, t2 = plain_boosting(x, y, truth, [edges[fold, c] for c in range(2)], 3, 0.5, 4, 3, 10)
+        assert [got[fold, str(k)] for k in range(150)] == [(pytest.approx(p), pytest.approx(q)) for p, q in zip(t1, t2)]
+
+
+def test_bins_have_equal_counts_and_medians_for_nulls(spark):
+    from tideline.operators import boosting
+
+    rows = [("f", "train", float(k) if k % 5 else None, None) for k in range(100)] + [("f", "test", 1e9, 1.0)]
+    table = spark.createDataFrame(rows, "fold_id string, part string, x double, none double")
+    got = {r["column"]: r for r in boosting.bin_edges(table, ["x", "none"], 4).collect()}
+    full = np.sort([float(k) if k % 5 else 50.0 for k in range(100)])
+    assert set(got) == {0} and got[0]["median"] == 50.0 and got[0]["edges"][-1] == 99.0 and full[24] <= got[0]["edges"][0] <= full[26]

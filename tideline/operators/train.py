@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .boosting import boost_folds
 from .checks import KEY, ValidationError, require_empty, shared_test_rows, unmatched
 from .labels import iter_task_frames
 from .linear import fit_folds, unpivoted
@@ -95,8 +96,8 @@ def fit_predict(train: DataFrame, test: DataFrame, columns: list[str], task: str
 def train_reference_model(features: DataFrame, labels: DataFrame, membership: DataFrame, t1_model: str = "linear", t2_model: str = "linear", quantile: float = 0.9, options: dict | None = None) -> dict[str, DataFrame]:
     """Fit both tasks on every fold: ``predictions``, ``metrics``, ``folds`` and, of linear models, ``fits`` tables.
 
-    Linear models of all folds are fitted together (``linear.fit_folds``); the loop over folds for other models is a loop
-    over fits, with all data work in DataFrames.
+    Linear models of all folds are fitted together (``linear.fit_folds``), and so are trees (``boosting.boost_folds``); the
+    loop over folds for other models is a loop over fits, with all data work in DataFrames.
     """
     frames = written(iter_task_frames(labels, membership, quantile), "frames")
     require_empty(shared_test_rows(frames), "samples tested in more than one fold")
@@ -106,6 +107,8 @@ def train_reference_model(features: DataFrame, labels: DataFrame, membership: Da
     out, more = None, {}
     if t1_model == t2_model == "linear":
         out, more["fits"] = fit_folds(rows, columns, options)
+    elif t1_model == t2_model == "trees":
+        out = boost_folds(rows, columns, options)[0]
     else:
         for fold in sorted(r[0] for r in frames.select("fold_id").distinct().collect()):
             mine = rows.where(F.col("fold_id") == fold)

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring as C
-from ..operators import checks, panel, reports, train
+from ..operators import boosting, checks, panel, reports, train
 from ..operators.labels import leave_one_out, task_frames
 from ..operators.tables import shared_path, written
 from ..sources import io
@@ -571,6 +571,36 @@ def ml3_certificates(spark, sf):
     return out.select("fold_id", "n_train", "n_positive", (F.col("t1_gradient") < 1e-8).alias("t1_certain"), (F.col("t2_gradient") < 1e-6).alias("t2_certain"))
 
 
+ROOT = """cell AS (SELECT fold_id, 0 AS col, u AS x, y, ar FROM g WHERE part = 'train' UNION ALL SELECT fold_id, 1, v, y, ar FROM g WHERE part = 'train'),
+cb AS (SELECT *, (rank() OVER (PARTITION BY fold_id, col ORDER BY x) - 1) * 64 // count(*) OVER (PARTITION BY fold_id, col) AS b FROM cell),
+hist AS (SELECT fold_id, col, b, max(x) AS edge, count(*) AS n, sum(y) AS y, sum(ar) AS ar FROM cb GROUP BY ALL),
+cum AS (SELECT fold_id, col, edge, sum(n) OVER w AS nl, sum(y) OVER w AS yl, sum(ar) OVER w AS al, sum(n) OVER t AS n, sum(y) OVER t AS p, sum(ar) OVER t AS a FROM hist WINDOW w AS (PARTITION BY fold_id, col ORDER BY b), t AS (PARTITION BY fold_id, col)),
+part AS (SELECT fold_id, 'T1' AS task, col, edge, nl, n, (nl * p / n - yl) AS gl, p / n * (1 - p / n) AS h FROM cum UNION ALL SELECT fold_id, 'T2', col, edge, nl, n, nl * a / n - al, 1 FROM cum),
+gain AS (SELECT *, gl * gl / (nl * h) + gl * gl / ((n - nl) * h) AS gain FROM part WHERE nl >= 20 AND n - nl >= 20 AND nl * h >= 0.001 AND (n - nl) * h >= 0.001),
+top AS (SELECT *, row_number() OVER (PARTITION BY fold_id, task ORDER BY gain DESC, col, edge) AS r FROM gain)"""
+
+
+@query(f"{WITH}, {FOLDS}, {ROOT} SELECT fold_id, task, col, round(edge, 6) AS edge, nl::BIGINT AS n_left, round(gain, 6) AS gain, true AS improves FROM top WHERE r = 1")
+def ml6_first_splits(spark, sf):
+    """Of every fold's boosted trees (50 for each task, grown together) the first split and its gain, and that train's loss is lower than a constant's."""
+    x = written(daily(spark, sf).groupBy(*KEY).agg(F.avg("close").alias("u"), F.avg("volume").alias("v")), "features")
+    usable = label_table(spark, sf).join(x.select(*KEY), KEY, "left_semi")
+    frames = written(task_frames(usable, leave_one_out(usable, "event_id", "loeo")).join(x, KEY), "frames")
+    train_rows = frames.withColumn("part", F.when(F.col("part") == "train", "test"))  # scores of the rows that the trees were fitted to
+    out, models, edges = boosting.boost_folds(frames.unionByName(train_rows.where(F.col("part") == "test").withColumn("event_id", F.concat(F.lit("train "), "event_id"))), ["u", "v"], {"colsample": 1.0})
+    fitted = out.where(F.col("event_id").startswith("train ")).withColumn("event_id", F.substring("event_id", 7, 1000)).join(frames.select("fold_id", *KEY, "abnormal_return", "high_impact_label"), ["fold_id", *KEY])
+    p = F.avg(F.col("high_impact_label").cast("double"))
+    loss = fitted.groupBy("fold_id").agg(
+        (F.avg(-F.when(F.col("high_impact_label") == 1, F.log("t1_score")).otherwise(F.log(1 - F.col("t1_score")))) < -(p * F.log(p) + (1 - p) * F.log(1 - p))).alias("T1"),
+        (F.avg((F.col("t2_prediction") - F.col("abnormal_return")) ** 2) < F.var_pop("abnormal_return")).alias("T2"),
+    )
+    improves = loss.select("fold_id", F.explode(F.create_map(F.lit("T1"), "T1", F.lit("T2"), "T2")).alias("task", "improves"))
+    rows = [(fold, task, m.trees[0].column[0], edges[fold, m.trees[0].column[0]][m.trees[0].bin[0]], m.trees[0].n_left, m.trees[0].gain[0]) for (fold, task), m in models.items() if m.trees]
+    first = spark.createDataFrame(rows, "fold_id string, task string, col int, edge double, n_left long, gain double")
+    return first.join(improves, ["fold_id", "task"]).select("fold_id", "task", "col", F.round("edge", 6).alias("edge"), "n_left", F.round("gain", 6).alias("gain"), "improves")
+
+
+
 @query(f"{WITH}, {S.FRAMES} SELECT event_id, market, ticker, 0.0::DOUBLE AS none_positive, 1.0::DOUBLE AS all_positive FROM frame WHERE part = 'test'")
 def ml7_single_class(spark, sf):
     """A train part of one class gives a constant score."""
