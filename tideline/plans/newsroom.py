@@ -39,7 +39,11 @@ def c1_normalize_text(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", F.md5(t.cast("binary")).alias("clean_md5"), F.char_length(t).alias("n"))
 
 
-STRIPPED = squeeze(r"regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')")
+def stripped(x: str) -> str:
+    return squeeze(rf"regexp_replace(regexp_replace({x}, '(?is)<script\b[^>]*>.*?</script>', ' ', 'g'), '(?s)<[^>]+>', ' ', 'g')")
+
+
+STRIPPED = stripped("coalesce(html, '')")
 
 
 @query(f"SELECT page_id, md5({STRIPPED}) AS clean_md5, length({STRIPPED})::INTEGER AS n FROM pages")
@@ -48,7 +52,11 @@ def c2_strip_markup(spark, sf):
     return S.table(spark, sf, "pages").select("page_id", F.md5(t.cast("binary")).alias("clean_md5"), F.char_length(t).alias("n"))
 
 
-@query()
+#: The entities of the pages, ampersands put aside first so that nothing is resolved twice.
+RESOLVED = "replace(replace(replace(replace(regexp_replace(coalesce(html, ''), '&amp;?', chr(1), 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '\"'), chr(1), '&')"
+
+
+@query(f"SELECT page_id, md5({stripped(RESOLVED)}) AS clean_md5, length({stripped(RESOLVED)})::INTEGER AS n FROM pages")
 def c2_u1_clean_content(spark, sf):
     t = T.clean_content(F.col("html"))
     return S.table(spark, sf, "pages").select("page_id", F.md5(t.cast("binary")).alias("clean_md5"), F.char_length(t).alias("n"))
