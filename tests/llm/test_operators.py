@@ -588,6 +588,18 @@ def plain_targets(sizes, weights, total, most):
     return out
 
 
+def plain_slots(slots, there, shards, seed, k):
+    """Every output shard's slots of a source: as many of its own region as it draws, the rest where there is room."""
+    regions = [range(there * s // shards, there * (s + 1) // shards) for s in range(shards)]
+    drawn = np.random.default_rng([seed, k]).multinomial(slots, np.array([len(r) for r in regions]) / max(1, there)).tolist()
+    taken = [min(d, len(r)) for d, r in zip(drawn, regions)]
+    left = slots - sum(taken)
+    for s, r in enumerate(regions):
+        more = min(left, len(r) - taken[s])
+        taken[s], left = taken[s] + more, left - more
+    return [j for r, n in zip(regions, taken) for j in r[:n]]
+
+
 def plain_mix(rows, block, shards, seed=11):
     """Words taken of each (doc_id, text), by going through every slot."""
     from tideline.llm.mixing import permuted
@@ -603,7 +615,7 @@ def plain_mix(rows, block, shards, seed=11):
         blocks = -(-n // block)
         slots = min(round(goal * blocks / n), 2 * blocks) if n else 0
         times = Counter()
-        for j in range(slots):
+        for j in plain_slots(slots, 2 * blocks, shards, seed, k):
             times[int(permuted(np.array([j % blocks]), np.array([blocks]), np.array([(j // blocks) * 1_000_003 + k * 7919 + seed]))[0])] += 1
         yield s, n, goal, [times[w // block] for w in range(n)]
 
@@ -631,6 +643,12 @@ def test_op9_takes_what_the_slots_say(docs, none, rows):
     again = {(r["doc_id"], r["h"], r["taken"]) for r in mix(docs.repartition(5), block=8, shards=4).collect()}
     assert again == {(r["doc_id"], r["h"], r["taken"]) for r in got}
     assert mix(none).count() == 0
+    # What the shards draw decides what is taken; targets hold all the same.
+    for other in ({"shards": 7}, {"shards": 1}, {"seed": 12}):
+        rest = mix(docs, **({"block": 8, "shards": 4} | other)).collect()
+        assert {(r["doc_id"], r["h"], r["taken"]) for r in rest} != {(r["doc_id"], r["h"], r["taken"]) for r in got}
+        for rs in by.values():
+            assert abs(sum(r["taken"] for r in rest if r["source"] == rs[0]["source"]) - rs[0]["target"]) <= 16
 
 
 def test_op9_targets_and_permutations(spark):
@@ -645,9 +663,9 @@ def test_op9_targets_and_permutations(spark):
     assert plain_targets([10, 100, 100], [3, 1, 2], 150, 2) == [20.0, 130 / 3, 260 / 3]
     for n in (1, 2, 7, 100):
         assert sorted(permuted(np.arange(n), np.full(n, n), np.full(n, 5)).tolist()) == list(range(n))
-    ranges = slot_ranges(spark.createDataFrame([(0, 10_000, 9), (1, 0, 0), (2, 5, 3)], "k long, slots long, blocks long"), 4, 1).collect()
-    for k, n in ((0, 10_000), (2, 5)):
-        assert sorted(j for r in ranges if r["k"] == k for j in range(r["lo"], r["hi"])) == list(range(n))
+    ranges = slot_ranges(spark.createDataFrame([(0, 10_000, 6_000), (1, 0, 0), (2, 5, 3), (3, 6, 3)], "k long, slots long, blocks long"), 4, 1).collect()
+    for k, n, blocks in ((0, 10_000, 6_000), (2, 5, 3), (3, 6, 3)):
+        assert sorted(j for r in ranges if r["k"] == k for j in range(r["lo"], r["hi"])) == plain_slots(n, 2 * blocks, 4, 1, k)
 
 
 def plain_components(rows, n, percent):

@@ -5,12 +5,13 @@ The words of each source, in ``doc_id`` order, are one stream, cut into blocks o
 
 * targets per source come from the weights by raising a common level until the
   wanted total is met, no source above ``most`` times its size;
-* a source's slots, as many as its target asks for, are drawn multinomially over the
-  output shards, so a shard's counts of the sources follow the weights, and the sums
-  over the shards are the targets to within a block;
-* the slots of a source are numbered over all shards; every pass over the source's
-  blocks is a pseudorandom permutation of the block indices (a Feistel network
-  with cycle walking), so slot j stands for block ``permutation(j mod blocks)``;
+* each output shard has a region of every source's slots of its own, and takes as many of
+  them as it draws: counts of the sources are multinomial, with means that follow the
+  weights, moved on where a region has no more, so that the sums over the shards are the
+  targets to within a block;
+* a source has ``most`` slots for each block; every pass over its blocks is a pseudorandom
+  permutation of the block indices (a Feistel network with cycle walking), so slot j
+  stands for block ``permutation(j mod blocks)``, and the draw decides which blocks are taken;
 * slots are grouped by (source, block) and joined with the documents' blocks.
 
 Sources are a table like any other; the driver sees sums over them only.  Everything
@@ -67,15 +68,24 @@ def ranked(sources: DataFrame, weights: tuple[float, ...]) -> DataFrame:
     return rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int")))
 
 
-def slot_ranges(sources: DataFrame, shards: int, seed: int) -> DataFrame:
-    """Slots of every (source, output shard) in ranges: ``k``, ``blocks``, ``lo``, ``hi``."""
+def counts(slots: int, rooms: np.ndarray, seed: list[int]) -> np.ndarray:
+    """How many of a source's slots each output shard takes: a multinomial draw; what is above a shard's room goes to the next that have some."""
+    drawn = np.random.default_rng(seed).multinomial(slots, rooms / max(1, rooms.sum()))
+    out = np.minimum(drawn, rooms)
+    free = rooms - out
+    before = np.cumsum(free) - free
+    return out + np.clip(slots - out.sum() - before, 0, free)
+
+
+def slot_ranges(sources: DataFrame, shards: int, seed: int, most: float = 2.0) -> DataFrame:
+    """The drawn slots of every (source, output shard) in ranges: ``k``, ``blocks``, ``lo``, ``hi``."""
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for k, slots, blocks in frame[["k", "slots", "blocks"]].itertuples(index=False):
-                drawn = np.random.default_rng([seed, k]).multinomial(slots, np.full(shards, 1 / shards))
-                hi = np.cumsum(drawn)
-                yield pd.DataFrame({"k": k, "blocks": blocks, "first": hi - drawn, "end": hi})
+                edges = np.arange(shards + 1) * int(blocks * most) // shards
+                taken = counts(slots, np.diff(edges), [seed, k])
+                yield pd.DataFrame({"k": k, "blocks": blocks, "first": edges[:-1], "end": edges[:-1] + taken})
 
     drawn = sources.where(F.col("slots") > 0).select("k", "slots", "blocks").mapInPandas(draw, "k long, blocks long, first long, end long").where(F.col("first") < F.col("end"))
     lo = F.explode(F.sequence("first", F.col("end") - 1, F.lit(STEP).cast("long"))).alias("lo")
@@ -143,7 +153,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     # given number of tasks, each with some 64 ranges; their number grows with the corpus, the blocks' too, so
     # they are merged and never broadcast.
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(sums["slots"] or 0) // (64 * STEP)))
-    ranges = slot_ranges(named, shards, seed).repartition(parts, "k", "lo")
+    ranges = slot_ranges(named, shards, seed, most).repartition(parts, "k", "lo")
 
     def to_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
