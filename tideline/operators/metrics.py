@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .checks import GROUP, KEY, base_labels, prediction_table, require_empty, unmatched
+from .checks import GROUP, KEY, base_labels, prediction_table, require_empty
 from .labels import task_frames
 from .tables import written
 
@@ -45,8 +45,13 @@ def binary_metrics(rows: DataFrame, score: str, label: str, by: list[str]) -> Da
     under the ROC curve comes from the positives' rank sum, ties shared.
     """
     ties = rows.groupBy(*by, score).agg(F.sum(label).cast("long").alias("pos"), F.count("*").alias("n"))
-    totals = ties.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
-    steps = cumulative(ties, by, score, ["pos", "n"]).join(totals, by)
+    return binary_from(cumulative(ties, by, score, ["pos", "n"]), by)
+
+
+def binary_from(steps: DataFrame, by: list[str]) -> DataFrame:
+    """The same from distinct scores with ``pos``, ``n`` and what stands below them."""
+    totals = steps.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("n").alias("all_n"))
+    steps = steps.join(totals, by)
     precision = (F.col("all_pos") - F.col("pos_below")) / (F.col("all_n") - F.col("n_below"))
     rank = F.col("n_below") + (F.col("n") + 1) / 2
     agg = steps.groupBy(*by).agg(F.sum(F.col("pos") * precision).alias("s"), F.sum(F.col("pos") * rank).alias("r"), F.sum("pos").alias("p"), F.sum("n").alias("n"))
@@ -77,6 +82,19 @@ def spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     return correlation(pairs, by, F.col("m"))
 
 
+def classified_and_ranked(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``auprc``, ``auroc`` and ``spearman`` of ``t1_score`` and ``t2_prediction``: the ranks of all three values come from one sorted table."""
+    some = lambda k, v, pos: F.struct(F.lit(k).alias("kind"), F.col(v).cast("double").alias("v"), pos.alias("pos"))
+    values = F.array(some(0, "t1_score", F.col("high_impact_label").cast("long")), some(1, "t2_prediction", F.lit(0).cast("long")), some(2, "abnormal_return", F.lit(0).cast("long")))
+    ties = rows.select(*by, F.explode(values).alias("x")).groupBy(*by, "x.kind", "x.v").agg(F.sum("x.pos").alias("pos"), F.count("*").alias("n"))
+    steps = written(cumulative(ties, [*by, "kind"], "v", ["pos", "n"]), "ranks")
+    pairs = rows.select(*by, F.col("t2_prediction").cast("double").alias("_a"), F.col("abnormal_return").cast("double").alias("_b"))
+    for kind, value, name in ((1, "_a", "_x"), (2, "_b", "_y")):
+        ranks = steps.where(F.col("kind") == kind).select(*by, F.col("v").alias(value), (F.col("n_below") + (F.col("n") + 1) / 2).alias(name))
+        pairs = pairs.join(ranks, [*by, value])
+    return binary_from(steps.where(F.col("kind") == 0), by).join(correlation(pairs, by, F.lit(1)), by)
+
+
 def group_spearman(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """The same by windows, for groups that fit a task (the firms of an event and market)."""
     return correlation(rows.withColumns({"_x": average_rank(a, by), "_y": average_rank(b, by)}), by, F.lit(1))
@@ -124,17 +142,16 @@ def matched(frames: DataFrame, predictions: DataFrame) -> DataFrame:
     return test.join(predictions, on, "left").withColumn("t3_score", F.abs("t2_prediction"))
 
 
-def metric_table(rows: DataFrame, split_name: str = "split", quantile: float = 0.9) -> DataFrame:
-    """Six rows per fold, one for each metric; fields of the ranking task are blank elsewhere.  The rows are computed once."""
+def metric_table(rows: DataFrame, split_name: str = "split", quantile: float = 0.9, stored: bool = False) -> DataFrame:
+    """Six rows per fold, one for each metric; fields of the ranking task are blank elsewhere.  The rows are computed once (``stored``: they are a written table)."""
     fold, group = ["fold_id"], ["fold_id", *GROUP]
     names = ["threshold", "label_protocol", "t1_score", "t2_prediction", "t3_score", "high_impact_label", "abnormal_return", "ranking_target"]
-    rows = written(rows.select("fold_id", *KEY, *names), "matched")
+    rows = rows if stored else written(rows.select("fold_id", *KEY, *names), "matched")
     ranked = ndcg(rows, "t3_score", "ranking_target", group).join(group_spearman(rows, "t3_score", "ranking_target", group), group)
     ranked = ranked.groupBy("fold_id").agg(F.avg("ndcg").alias("ndcg"), F.avg("spearman").alias("t3_spearman"), F.count("*").alias("groups"))
     wide = (
         rows.groupBy("fold_id").agg(F.count("*").alias("n_samples"), F.max("threshold").alias("high_impact_threshold"), F.max("label_protocol").alias("label_protocol_version"), F.avg(F.abs(F.col("t2_prediction") - F.col("abnormal_return"))).alias("mae"))
-        .join(binary_metrics(rows, "t1_score", "high_impact_label", fold), "fold_id")
-        .join(spearman(rows, "t2_prediction", "abnormal_return", fold), "fold_id")
+        .join(classified_and_ranked(rows, fold), "fold_id")
         .join(ranked, "fold_id")
     )
 
@@ -166,5 +183,6 @@ def evaluate_predictions(labels: DataFrame, predictions: DataFrame, membership:
     require_empty(wrong, "predictions")
     frames = task_frames(usable, membership, quantile)
     on = ["fold_id", *KEY] if "fold_id" in typed.columns else KEY
-    require_empty(unmatched(frames.where(F.col("part") == "test"), typed, on), "test rows without a prediction")
-    return metric_table(matched(frames, typed), split_name, quantile)
+    there = written(matched(frames, typed.select(*on, "t1_score", "t2_prediction", F.lit(True).alias("_there"))), "matched")
+    require_empty(there.where(F.col("_there").isNull()).select(*on, F.lit("unmatched").alias("rule")), "test rows without a prediction")
+    return metric_table(there, split_name, quantile, stored=True)
