@@ -564,6 +564,25 @@ def ml3_j2_ml8_fold_predictions(spark, sf):
     return out.select("fold_id", *KEY, F.round("t1_score", 6).alias("t1_score"), F.round("t2_prediction", 6).alias("t2_prediction"))
 
 
+FOLD_METRICS = """test AS (SELECT fold_id, event_id, market, ticker, y, ar, abs(ar) AS truth, 1 / (1 + exp(-(c + wa * a + wb * b))) AS t1, ma + ra * a + rb * b AS t2 FROM z JOIN w USING (fold_id) JOIN r USING (fold_id) WHERE part = 'test'),
+ties AS (SELECT fold_id, t1, sum(y) AS pos, count(*) AS n FROM test GROUP BY ALL),
+steps AS (SELECT *, sum(pos) OVER d AS cp, sum(n) OVER d AS cn, sum(n) OVER u - n + (n + 1) / 2.0 AS mr FROM ties WINDOW d AS (PARTITION BY fold_id ORDER BY t1 DESC), u AS (PARTITION BY fold_id ORDER BY t1)),
+m1 AS (SELECT fold_id, CASE WHEN sum(pos) > 0 THEN sum(pos * cp / cn) / sum(pos) END AS auprc, CASE WHEN sum(pos) > 0 THEN (sum(pos * mr) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * (sum(n) - sum(pos))) END AS auroc FROM steps GROUP BY 1),
+m2 AS (SELECT fold_id, avg(abs(t2 - ar)) AS mae, corr(x, v) AS spearman, count(*) AS n FROM (SELECT *, rank() OVER (PARTITION BY fold_id ORDER BY t2) AS x, rank() OVER (PARTITION BY fold_id ORDER BY ar) AS v FROM test) GROUP BY 1),
+rg AS (SELECT fold_id, event_id, market, rank() OVER (g ORDER BY abs(t2)) AS x, rank() OVER (g ORDER BY truth) AS v, count(*) OVER g AS n, row_number() OVER (g ORDER BY abs(t2) DESC, ticker) AS i, row_number() OVER (g ORDER BY truth DESC, ticker) AS j FROM test WINDOW g AS (PARTITION BY fold_id, event_id, market)),
+gm AS (SELECT fold_id, event_id, market, CASE WHEN count(*) > 1 THEN corr(x, v) END AS spearman, sum(CASE WHEN i <= greatest(1, ceil(n * 0.1::DOUBLE)) THEN v / n / log2(i + 1) END) / sum(CASE WHEN j <= greatest(1, ceil(n * 0.1::DOUBLE)) THEN v / n / log2(j + 1) END) AS ndcg FROM rg GROUP BY ALL),
+m3 AS (SELECT fold_id, avg(ndcg) AS ndcg, avg(spearman) AS spearman FROM gm GROUP BY 1),
+lines AS (SELECT fold_id, 'T1' AS task, 'auprc' AS metric, auprc AS value FROM m1 UNION ALL SELECT fold_id, 'T1', 'auroc', auroc FROM m1 UNION ALL SELECT fold_id, 'T2', 'mae', mae FROM m2
+  UNION ALL SELECT fold_id, 'T2', 'spearman', spearman FROM m2 UNION ALL SELECT fold_id, 'T3', 'ndcg_at_10pct', ndcg FROM m3 UNION ALL SELECT fold_id, 'T3', 'spearman', spearman FROM m3)"""
+
+
+@query(f"{WITH}, {FOLDS}, {newton_sql()}, {FOLD_METRICS} SELECT fold_id, task, metric, round(value, 6) AS value, n AS n_samples, round(t, 6) AS high_impact_threshold FROM lines JOIN m2 USING (fold_id) JOIN gt USING (fold_id)")
+def ml8_fold_metrics(spark, sf):
+    """The six metrics of every leave-one-event-out fold, from labels to fits to scores."""
+    out = trained_folds(spark, sf)["metrics"]
+    return out.select("fold_id", "task", "metric", F.round("value", 6).alias("value"), "n_samples", F.round("high_impact_threshold", 6).alias("high_impact_threshold"))
+
+
 @query(f"{WITH}, {FOLDS} SELECT fold_id, n::BIGINT AS n_train, p::BIGINT AS n_positive, true AS t1_certain, true AS t2_certain FROM st")
 def ml3_certificates(spark, sf):
     """Every fold's gradients, over its train rows, are below 1e-8 (T1) and 1e-6 (T2)."""
