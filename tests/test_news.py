@@ -221,6 +221,10 @@ def test_ingestion_stops_and_resumes(lots):
     assert lots.sound() == ["c0", "c0", "c1", "c1", "c2", "c2"]
 
 
+def test_nothing_has_landed(lots):
+    assert lots.run() == (0, 0) and lots.tasks() == {} and lots.sound() == []
+
+
 def test_ingestion_parts_records_of_one_time(spark, lots):
     given = [("2020-01-01 08:00:00", "a"), ("2020-01-01 08:00:00", ""), ("2020-01-01 08:00:00", "b"), (None, "c")]
     lots.land("a.json", envelope([{"datetime": ts, "title": "t", "content": c, "src": "s"} for ts, c in given]))

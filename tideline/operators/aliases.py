@@ -102,7 +102,7 @@ class Forms:
             a.make_automaton()
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=2)
 def part_forms(part: Broadcast) -> Forms:
     """One for each worker process and part."""
     return Forms(part.value)
@@ -146,25 +146,26 @@ def scan(texts: DataFrame, aliases: DataFrame) -> DataFrame:
         for batch in batches:
             column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
             markets = column("market") if own else None
-            at, out = [], {"market": [], "location": [], "compact": [], "free": []}
-            for location in ("title", "content"):
-                raws, flats = column(location), column(f"{location}_flat")
-                found: dict[tuple[int, str | None], list[tuple[int, int]]] = {}
-                for part in parts:
-                    automata = part_forms(part).automata
+            texts_of = {p: (column(p), column(f"{p}_flat")) for p in ("title", "content")}
+            found: dict[tuple[str, int, str | None], dict[tuple[int, int], list[str]]] = {}
+            for part in parts:  # one at a time: a part's automata are there for the whole batch
+                forms = part_forms(part)
+                for location, (_, flats) in texts_of.items():
                     for row, text in enumerate(flats):
-                        for market in (automata if markets is None else (markets[row],)):
-                            if text and market in automata:
-                                spots = [(end + 1 - n, n) for end, n in automata[market].iter(text)]
-                                if spots:
-                                    found.setdefault((row, market), []).extend(spots)
-                for (row, market), spots in found.items():
-                    text, lower = flats[row], raws[row].lower()
-                    for form in dict.fromkeys(text[s : s + n] for s, n in leftmost_longest(spots)):
-                        at.append(row)
-                        named = [a for part in parts for a in part_forms(part).latin.get((market, form), ())]
-                        for name, value in (("market", market), ("location", location), ("compact", form), ("free", [a for a in named if stands_free(lower, a.lower())])):
-                            out[name].append(value)
+                        for market in (forms.automata if markets is None else (markets[row],)):
+                            if text and market in forms.automata:
+                                for end, n in forms.automata[market].iter(text):
+                                    spot = (end + 1 - n, n)
+                                    found.setdefault((location, row, market), {})[spot] = forms.latin.get((market, text[spot[0] : end + 1]), [])
+            at, out = [], {"market": [], "location": [], "compact": [], "free": []}
+            for (location, row, market), spots in found.items():
+                raws, flats = texts_of[location]
+                text, lower = flats[row], raws[row].lower()
+                named = {text[s : s + n]: spots[s, n] for s, n in leftmost_longest(list(spots))}
+                for form, latin in named.items():
+                    at.append(row)
+                    for name, value in (("market", market), ("location", location), ("compact", form), ("free", [a for a in latin if stands_free(lower, a.lower())])):
+                        out[name].append(value)
             take = pa.array(at, pa.int64())
             made = [pa.array(out["market"], pa.string()), pa.array(out["location"], pa.string()), pa.array(out["compact"], pa.string()), pa.array(out["free"], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *made], names=["id", "day", *out])

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -59,9 +60,17 @@ def ingest_pools(spark: SparkSession, landing: str, out: str, checkpoint: str, l
 RECORDS = "pool string, attempt string, place int, endpoint string, ts string, title string, content string, source string, window_start timestamp_ntz, window_end timestamp_ntz, row_count long, n_records int, epoch int, rule string"
 
 
+def epochs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What all epochs have written; no rows before the first."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
 def landed(spark: SparkSession, out: str) -> DataFrame:
     """All records taken up, with the rule that they break (null: sound) and their epoch."""
-    return spark.read.schema(RECORDS).parquet(f"{out}/landed")
+    return epochs(spark, f"{out}/landed", RECORDS)
 
 
 def records(spark: SparkSession, out: str) -> DataFrame:
@@ -73,7 +82,7 @@ def violations(spark: SparkSession, out: str) -> DataFrame:
 
 
 def unreadable(spark: SparkSession, out: str) -> DataFrame:
-    return spark.read.schema("file string, attempt string, unreadable boolean, n int, epoch int").parquet(f"{out}/envelopes").where("unreadable").select("file", "attempt", "epoch")
+    return epochs(spark, f"{out}/envelopes", "file string, attempt string, unreadable boolean, n int, epoch int").where("unreadable").select("file", "attempt", "epoch")
 
 
 class Ledger(StatefulProcessor):
@@ -130,7 +139,7 @@ def keep_ledger(spark: SparkSession, landing: str, out: str, checkpoint: str, li
 
 def ledger(spark: SparkSession, out: str) -> DataFrame:
     """The last state of every task."""
-    rows = spark.read.schema(LEDGER + ", epoch int").parquet(f"{out}/ledger")
+    rows = epochs(spark, f"{out}/ledger", LEDGER + ", epoch int")
     last = F.max_by(F.struct(*[c for c in rows.columns if c != "pool"]), "epoch").alias("t")
     return rows.groupBy("pool").agg(last).select("pool", "t.*")
 
