@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .metrics import cumulative
 from .tables import shared_path
 
 FIRM = ["market", "ticker"]
@@ -70,6 +71,21 @@ def eligible(events: DataFrame, companies: DataFrame) -> DataFrame:
     return interval_join(events, companies, "event_start_date", "member_from", "member_to")
 
 
+def eligible_counts(events: DataFrame, companies: DataFrame) -> DataFrame:
+    """``events`` with ``firms``, the number of rows that ``eligible`` has for each; events without any have no row.
+
+    The count of a day is what began up to it less what ended before it, so pairs of events and companies are never made.
+    """
+    start, end = F.col("member_from"), F.col("member_to")
+    lasting = companies.where(F.coalesce(start <= end, F.lit(True)))
+    begun = lasting.select(F.coalesce(start, F.lit("0001-01-01").cast("date")).alias("event_start_date"), F.lit(1).alias("n"))
+    ended = lasting.where(end.isNotNull()).select(F.date_add(end, 1).alias("event_start_date"), F.lit(-1).alias("n"))
+    asked = events.where(F.col("event_start_date").isNotNull()).select("event_start_date", F.lit(0).alias("n"))
+    days = begun.unionByName(ended).unionByName(asked).groupBy("event_start_date").agg(F.sum("n").alias("n"))
+    counts = cumulative(days, [], "event_start_date", ["n"]).select("event_start_date", (F.col("n_below") + F.col("n")).alias("firms"))
+    return events.join(F.broadcast(counts.where(F.col("firms") > 0)), "event_start_date")  # a row for each day
+
+
 def dense_panel(firms: DataFrame, prices: DataFrame, news: DataFrame) -> DataFrame:
     """Every eligible firm on every day of its event's window, with prices and news where there are any.
 
@@ -103,6 +119,22 @@ def event_news(events: DataFrame, news: DataFrame, on: list[str] | None = None)
     return interval_join(news, windows, "date", "pre_start_date", "post_end_date", on)
 
 
+def event_news_counts(events: DataFrame, news: DataFrame, on: list[str]) -> DataFrame:
+    """Per event the rows that ``event_news`` has for it: ``rows``, and ``before`` and ``after`` the event; events without any have no row.
+
+    Equal windows (of the same ``on``) count once, over a row for each day's news, so pairs of events and news are never made.
+    """
+    dates = ["pre_start_date", "event_start_date", "event_end_date", "post_end_date"]
+    windows = events.select(*on, *dates).distinct()
+    daily = news.groupBy(*on, "date").agg(F.count("*").alias("n"))
+    met = interval_join(daily, windows, "date", "pre_start_date", "post_end_date", on).withColumn("p", period(F.col("date")))
+    of = lambda p: F.sum(F.when(F.col("p") == p, F.col("n")).otherwise(0))
+    counts = met.groupBy(*on, *dates).agg(F.sum("n").alias("rows"), of("pre_event").alias("before"), of("post_event").alias("after"))
+    w, e = counts.alias("w"), events.alias("e")
+    same = [F.col(f"e.{c}") == F.col(f"w.{c}") for c in on] + [F.col(f"e.{c}").eqNullSafe(F.col(f"w.{c}")) for c in dates]  # an open end is null
+    return e.join(w, same).groupBy("e.event_id").agg(*[F.sum(f"w.{c}").alias(c) for c in ("rows", "before", "after")])
+
+
 def bucketed(df: DataFrame, name: str, buckets: int, by: list[str] = FIRM, order: str = "date") -> DataFrame:
     """The table written once as ``buckets`` files by ``by``, sorted, and read back: joins and groups by these keys need no exchange."""
     spark = df.sparkSession
