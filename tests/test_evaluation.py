@@ -88,3 +88,20 @@ def test_model_queries_fit_the_whole_models(spark, monkeypatch):
     monkeypatch.setattr(boosting, "fit", lambda *args: grown.append(args[2]) or real(*args[:2], 1, *args[3:]))
     QUERIES["ml6_boosted_trees"](spark, "/root/testdata/sf0.001")
     assert grown == [50]
+
+
+def test_rows_without_prediction_are_left_out_when_partial(spark):
+    """Before: an error (m8_evaluate), and places and shares that counted rows without a score (o2_top_share)."""
+    names = [(e, "m", str(k)) for e in ("a", "b") for k in range(12)]
+    base = spark.createDataFrame([(*n, (i * 7 % 13) / 10, True) for i, n in enumerate(names)], "event_id string, market string, ticker string, event_return double, label_available_flag boolean")
+    member = spark.createDataFrame([("f", "train", "a", "m", None), ("f", "test", "b", "m", None)], "fold_id string, part string, event_id string, market string, ticker string")
+    pred = spark.createDataFrame([(*n, 0.1 + 0.01 * i, 0.02 * i) for i, n in enumerate(names) if n[2] != "3"], "event_id string, market string, ticker string, t1_score double, t2_prediction double")
+    with pytest.raises(checks.ValidationError, match="without a prediction"):
+        metrics.evaluate_predictions(base, pred, member)
+    rows = metrics.evaluate_predictions(base, pred, member, partial=True).collect()
+    assert len(rows) == 6 and {r["n_samples"] for r in rows} == {11}
+    frames = labels.task_frames(base, member)
+    mean = sum((i * 7 % 13) / 10 for i in range(12, 24)) / 12  # of all test rows
+    got = metrics.matched(frames, pred, "inner")
+    assert got.count() == 11 and abs(got.where("ticker = '0'").first()["abnormal_return"] - ((12 * 7 % 13) / 10 - mean)) < 1e-12
+    assert metrics.top_share(got, "t3_score", ["fold_id", "event_id", "market"], share=1 / 11).count() == 1  # 12 rows would give 2

@@ -135,11 +135,11 @@ def macro(groups: DataFrame, value: str, by: list[str]) -> DataFrame:
     return groups.groupBy(*by).agg(F.avg(value).alias(value), F.count(value).alias("n_groups"))
 
 
-def matched(frames: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Test rows with their predictions; ``t3_score`` is the size of the predicted return."""
+def matched(frames: DataFrame, predictions: DataFrame, how: str = "left") -> DataFrame:
+    """Test rows with their predictions; ``t3_score`` is the size of the predicted return.  ``inner``: only rows that have one."""
     test = frames.where(F.col("part") == "test")
     on = ["fold_id", *KEY] if "fold_id" in predictions.columns else KEY
-    return test.join(predictions, on, "left").withColumn("t3_score", F.abs("t2_prediction"))
+    return test.join(predictions, on, how).withColumn("t3_score", F.abs("t2_prediction"))
 
 
 def metric_table(rows: DataFrame, split_name: str = "split", quantile: float = 0.9, stored: bool = False) -> DataFrame:
@@ -171,10 +171,11 @@ def metric_table(rows: DataFrame, split_name: str = "split", quantile: float = 0
     )
 
 
-def evaluate_predictions(labels: DataFrame, predictions: DataFrame, membership: DataFrame, quantile: float = 0.9, split_name: str = "split") -> DataFrame:
+def evaluate_predictions(labels: DataFrame, predictions: DataFrame, membership: DataFrame, quantile: float = 0.9, split_name: str = "split", partial: bool = False) -> DataFrame:
     """Check both tables, build the folds' labels, join the predictions and score them.
 
-    The three tables have a row per sample or less; each is computed once.
+    The three tables have a row per sample or less; each is computed once.  A test row without a prediction is an error; with
+    ``partial`` such rows still count for the labels (means, thresholds) but are not scored, and ``n_samples`` is what was.
     """
     labels, predictions, membership = written(labels, "labels"), written(predictions, "predictions"), written(membership, "membership")
     usable, wrong = base_labels(labels)
@@ -183,6 +184,6 @@ def evaluate_predictions(labels: DataFrame, predictions: DataFrame, membership:
     require_empty(wrong, "predictions")
     frames = task_frames(usable, membership, quantile)
     on = ["fold_id", *KEY] if "fold_id" in typed.columns else KEY
-    there = written(matched(frames, typed.select(*on, "t1_score", "t2_prediction", F.lit(True).alias("_there"))), "matched")
+    there = written(matched(frames, typed.select(*on, "t1_score", "t2_prediction", F.lit(True).alias("_there")), "inner" if partial else "left"), "matched")
     require_empty(there.where(F.col("_there").isNull()).select(*on, F.lit("unmatched").alias("rule")), "test rows without a prediction")
     return metric_table(there, split_name, quantile, stored=True)
