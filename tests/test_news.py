@@ -246,3 +246,13 @@ def test_tables_keep_keys_as_text(spark, tmp_path):
     assert io.read_frame(spark, f"file://{tmp_path}/t.csv").first()["ticker"] == "000001"
     io.write_slices(rows, f"file://{tmp_path}/slices")
     assert spark.read.parquet(f"file://{tmp_path}/slices/event_id=e/market=m").count() == 1
+
+
+def test_pool_order_ignores_the_last_bit_of_sums(spark):
+    """0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 are equal scores; before, the greater double went first."""
+    low, high = (0.3, 0.2, 0.1), (0.1, 0.2, 0.3)
+    assert low[0] + low[1] + low[2] < high[0] + high[1] + high[2]
+    rows = [("e", "m", "1", dt.date(2020, 1, 1), f"k{i}", f"a{i}", "s", "hkexnews_announcement", "t", "c", "", f"a{i}.json", *scores) for i, scores in enumerate((low, high))]
+    c = spark.createDataFrame(rows, "event_id string, market string, ticker string, date date, dedupe_key string, article_id string, source string, source_type string, title string, content string, time string, file_name string, alignment_score double, quality_score double, source_priority double")
+    ranks = {r["article_id"]: r["rank"] for r in pool.daily_pool(c).collect()}
+    assert ranks == {"a0": 1, "a1": 2}  # by alignment

@@ -42,12 +42,13 @@ def with_texts(rows: DataFrame, candidates: DataFrame) -> DataFrame:
 def daily_pool(candidates: DataFrame, minimum: float = MIN_ALIGNMENT) -> DataFrame:
     """Deduplicated candidates with ``passes``, ``in_pool`` and ``rank`` in the pool.
 
-    A day keeps what passes; a day in which nothing passes keeps everything.
+    A day keeps what passes; a day in which nothing passes keeps everything.  Scores that agree to six digits are equal in the
+    order: sums that are equal but for the last bit of a double are told apart by the next score, not by that bit.
     """
     deduped = best_duplicates(candidates)
     passes = F.coalesce(F.col("source_type").isin(*DIRECT_SOURCES), F.lit(False)) | (F.col("alignment_score") >= minimum)
     day = W.partitionBy(*DAY)
-    order = day.orderBy(F.desc("in_pool"), F.desc("representative_score"), F.desc("alignment_score"), F.desc("quality_score"), F.desc("length"), F.desc("time"), "first_file", "article_id")
+    order = day.orderBy(F.desc("in_pool"), F.desc(F.round("representative_score", 6)), F.desc("alignment_score"), F.desc(F.round("quality_score", 6)), F.desc("length"), F.desc("time"), "first_file", "article_id")
     rows = deduped.withColumn("passes", passes).withColumn("in_pool", F.col("passes") | ~F.max("passes").over(day))
     return rows.withColumn("rank", F.when(F.col("in_pool"), F.row_number().over(order)))
 
