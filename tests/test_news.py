@@ -256,3 +256,21 @@ def test_pool_order_ignores_the_last_bit_of_sums(spark):
     c = spark.createDataFrame(rows, "event_id string, market string, ticker string, date date, dedupe_key string, article_id string, source string, source_type string, title string, content string, time string, file_name string, alignment_score double, quality_score double, source_priority double")
     ranks = {r["article_id"]: r["rank"] for r in pool.daily_pool(c).collect()}
     assert ranks == {"a0": 1, "a1": 2}  # by alignment
+
+
+def test_joined_dictionary_finds_what_automata_find(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda a, b: "".join(rng.choice("abé中 -") for _ in range(rng.randint(a, b)))
+    rows = [(rng.choice("MN"), w, str(k % 5)) for k, w in enumerate([word(2, 5) for _ in range(60)] + ["ab", "aba", "b-a"])]
+    words = spark.createDataFrame(rows, "market string, alias string, ticker string").withColumn("compact", text.compact_alias(F.col("alias")))
+    news = [(k, None, word(0, 12), word(0, 60)) for k in range(80)] + [(3, None, "ab aba", None)]
+    texts = spark.createDataFrame(news, "id int, day date, title string, content string")
+    monkeypatch.setattr(aliases, "BEGINNINGS", 12)
+    monkeypatch.setattr(aliases, "FILTER_BITS", 256)
+    show = lambda df: sorted({(r["id"], r["market"], r["location"], r["compact"], tuple(sorted(r["free"]))) for r in df.collect()})
+    for t in (texts, texts.withColumn("market", F.when(F.col("id") % 3 > 0, "M").otherwise("N"))):
+        plain = show(aliases.scan(t, words))
+        assert plain == show(aliases.scan_joined(t, words)) and plain
+    monkeypatch.setattr(aliases, "PART_BYTES", 64)
+    monkeypatch.setattr(aliases, "dictionary_parts", None)  # before: as many parts as the dictionary needs, all built for each batch
+    assert show(aliases.scan(texts, words))

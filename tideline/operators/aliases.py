@@ -5,18 +5,21 @@ pass over a text finds all its forms, of which the leftmost-longest stay, so a f
 market neither hides nor credits one of another.  What is found is joined back to the
 dictionary by market and form.
 
-Tasks build the automata from the dictionary's forms, which are broadcast in parts of at
-most ``PART_BYTES``; a text meets all parts before overlaps are settled, so the number of
-parts changes no result and the driver and a worker hold a part at a time, about.
+Tasks build the automata from the dictionary's forms, which are broadcast, up to ``PART_BYTES``.
+A greater dictionary stays where it is (``scan_joined``): texts give the places at which a form may
+begin, found by beginnings of forms and a filter of ``FILTER_BITS`` bits, and these are joined with the forms;
+what is broadcast does not grow with the dictionary, and a text is not scanned once for each part of it.
 """
 
 from __future__ import annotations
 
 import functools
 import io
+import zlib
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -26,9 +29,12 @@ from pyspark.sql import functions as F
 from ..functions import scoring as S
 from ..functions.constants import MIN_ALIGNMENT
 from ..functions.text import compact_alias, normalize_text
+from .tables import written
 
 #: Bytes of forms in a part of the dictionary; an automaton takes some fifty times as much.
 PART_BYTES = 4 << 20
+#: Beginnings of forms that tasks look for in texts, and bits of the filter of whole forms, if the dictionary is greater.
+BEGINNINGS, FILTER_BITS = 100_000, 1 << 27
 #: Aliases of these characters have to stand between characters that are no letters or digits.
 LATIN = "^[A-Za-z0-9 .&_-]+$"
 
@@ -70,12 +76,19 @@ def best_per_alias(aliases: DataFrame) -> DataFrame:
     return aliases.withColumn("_r", F.row_number().over(order)).where(F.col("_r") == 1).drop("_r")
 
 
+def dictionary_forms(aliases: DataFrame) -> DataFrame:
+    latin = F.when(F.col("alias").rlike(LATIN), F.col("alias"))
+    return aliases.where(F.col("compact") != "").select("market", "compact", latin.alias("latin")).distinct()
+
+
+def form_bytes(forms: DataFrame) -> int:
+    return forms.agg(F.sum(F.octet_length("compact") + F.coalesce(F.octet_length("latin"), F.lit(0)))).first()[0] or 0
+
+
 def dictionary_parts(aliases: DataFrame) -> list[Broadcast]:
     """Forms and Latin aliases by market, in parts that are bounded in bytes; each is collected on its own."""
-    latin = F.when(F.col("alias").rlike(LATIN), F.col("alias"))
-    forms = aliases.where(F.col("compact") != "").select("market", "compact", latin.alias("latin")).distinct()
-    size = forms.agg(F.sum(F.octet_length("compact") + F.coalesce(F.octet_length("latin"), F.lit(0)))).first()[0] or 0
-    n = size // PART_BYTES + 1
+    forms = dictionary_forms(aliases)
+    n = form_bytes(forms) // PART_BYTES + 1
     context, out = aliases.sparkSession.sparkContext, []
     for k in range(n):
         part = forms.where(F.pmod(F.xxhash64("market", "compact"), F.lit(n)) == k).toArrow()
@@ -134,6 +147,8 @@ def scan(texts: DataFrame, aliases: DataFrame) -> DataFrame:
 
     ``texts`` has ``id``, ``day``, ``title``, ``content``; with a ``market`` too, a text is scanned for that market only.
     """
+    if form_bytes(dictionary_forms(aliases)) >= PART_BYTES:
+        return scan_joined(texts, aliases)
     parts = dictionary_parts(aliases)
     own = "market" in texts.columns
     texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
@@ -174,6 +189,105 @@ def scan(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"id {kinds['id']}, day {kinds['day']}, market string, location string, compact string, free array<string>")
 
 
+def beginnings(forms: DataFrame) -> tuple[int, list[str], list[int]]:
+    """The longest ``k`` (of 64 at most) for which the forms' first ``k`` characters are few; these beginnings (shorter forms whole); and the forms' lengths."""
+    n = F.char_length("compact")
+    lengths = sorted(r[0] for r in forms.select(n.alias("n")).distinct().collect())
+    sizes = forms.agg(*[F.approx_count_distinct(F.left("compact", F.lit(k))).alias(str(k)) for k in range(1, min(64, lengths[-1]) + 1)]).first()
+    k = max([j for j in range(1, min(64, lengths[-1]) + 1) if sizes[j - 1] <= BEGINNINGS], default=1)
+    return k, [r[0] for r in forms.select(F.left("compact", F.lit(k)).alias("b")).distinct().collect()], lengths
+
+
+def form_filter(forms: DataFrame) -> np.ndarray:
+    """A bit for each form's checksum: ``FILTER_BITS`` of them, brought together in words by Spark."""
+    at = F.crc32(F.col("compact").cast("binary")) % FILTER_BITS
+    words = forms.select(at.alias("at")).groupBy(F.floor(F.col("at") / 64).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at % 64 as int))")).alias("v")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, np.int64)
+    out[words.column("w").to_numpy()] = words.column("v").to_numpy()
+    return out.view(np.uint8)
+
+
+@functools.lru_cache(maxsize=1)
+def beginning_automaton(sent: Broadcast) -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for b in sent.value[0]:
+        out.add_word(b, len(b))
+    out.make_automaton()
+    return out
+
+
+def scan_joined(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """``scan`` for dictionaries that are joined, not broadcast; the same rows."""
+    own = "market" in texts.columns
+    keys = ["id", "day", *(["market"] if own else [])]
+    session = texts.sparkSession
+    session.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    forms = written(dictionary_forms(aliases).groupBy("market", "compact").agg(F.collect_set("latin").alias("latin")), "forms")
+    k, starts, lengths = beginnings(forms)
+    sent = session.sparkContext.broadcast((starts, form_filter(forms.select("compact").distinct())))
+    raw = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "content")]
+    rows = written(texts.select(*keys, *raw).withColumn("_text", F.xxhash64("title", "content")), "texts")
+    flat = rows.select(*keys, "_text", F.explode(F.array(*[F.struct(F.lit(c).alias("location"), compact_alias(F.col(c)).alias("flat")) for c in ("title", "content")])).alias("f")).select(*keys, "_text", "f.*")
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton, bits = beginning_automaton(sent), sent.value[1]
+        for batch in batches:
+            row, start, form = [], [], []
+            for r, text in enumerate(batch.column("flat").to_pylist()):
+                for end, n in automaton.iter(text) if text else ():
+                    a = end + 1 - n
+                    for m in lengths if n == k else (n,):
+                        if m >= n and a + m <= len(text):
+                            x = zlib.crc32(text[a : a + m].encode()) % FILTER_BITS
+                            if bits[x >> 3] >> (x & 7) & 1:
+                                row.append(r)
+                                start.append(a)
+                                form.append(text[a : a + m])
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c).take(take) for c in (*keys, "_text", "location")], pa.array(start, pa.int32()), pa.array(form, pa.string())], names=[*keys, "_text", "location", "start", "compact"])
+
+    kinds = dict(rows.dtypes)
+    typed = ", ".join(f"{c} {kinds[c]}" for c in keys)
+    maybe = flat.mapInArrow(candidates, f"{typed}, _text long, location string, start int, compact string")
+    found = maybe.join(forms, ["market", "compact"] if own else ["compact"])
+    spot = ["id", "day", "_text", "location", "market"]
+    ordered = found.select(*spot, "start", F.char_length("compact").alias("n"), "compact", "latin").repartition(*spot).sortWithinPartitions(*spot, "start", F.desc("n"))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before, free = None, 0  # a text's matches may go on in the next batch
+        for batch in batches:
+            take = []
+            spots = zip(*[batch.column(c).to_pylist() for c in spot])
+            for r, (now, start, n) in enumerate(zip(spots, batch.column("start").to_pylist(), batch.column("n").to_pylist())):
+                if now != before:
+                    before, free = now, 0
+                if start >= free:
+                    take.append(r)
+                    free = start + n
+            some = batch.take(pa.array(take, pa.int64()))
+            yield pa.RecordBatch.from_arrays([some.column(c) for c in (*spot, "compact", "latin")], names=[*spot, "compact", "latin"])
+
+    taken = ordered.mapInArrow(kept, f"id {kinds['id']}, day {kinds['day']}, _text long, location string, market string, compact string, latin array<string>").groupBy("id", "day", "_text").agg(F.collect_set(F.struct("location", "market", "compact", "latin")).alias("m"))
+    m, t = taken.alias("m"), rows.select("id", "day", "_text", "title", "content").distinct().alias("t")
+    met = m.join(t, [F.col("m._text") == F.col("t._text"), *[F.col(f"m.{c}").eqNullSafe(F.col(f"t.{c}")) for c in ("id", "day")]]).select("t.id", "t.day", "t.title", "t.content", "m.m")
+
+    def standing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, out = [], {"market": [], "location": [], "compact": [], "free": []}
+            for r, (title, content, matches) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("title", "content", "m")])):
+                lower = {"title": title.lower(), "content": content.lower()}
+                for x in matches:
+                    at.append(r)
+                    for name in ("market", "location", "compact"):
+                        out[name].append(x[name])
+                    out["free"].append([a for a in x["latin"] if stands_free(lower[x["location"]], a.lower())])
+            take = pa.array(at, pa.int64())
+            made = [pa.array(out[c], pa.string()) for c in ("market", "location", "compact")] + [pa.array(out["free"], pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column("id").take(take), batch.column("day").take(take), *made], names=["id", "day", *out])
+
+    return met.mapInArrow(standing, f"id {kinds['id']}, day {kinds['day']}, market string, location string, compact string, free array<string>")
+
+
 def hits(matches: DataFrame, aliases: DataFrame) -> DataFrame:
     """Scored hits, one per text, market, ticker, alias form and location.
 
