@@ -177,6 +177,6 @@ def predict(rows: DataFrame, folds: dict[str, Fold]) -> DataFrame:
 def fit_folds(rows: DataFrame, columns: list[str], options: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """Predictions for the test rows of all folds, and the fits; ``rows`` has labels, parts and the feature columns."""
     options = options or {}
-    made = written(design(rows.select("fold_id", "part", *KEY, F.col("high_impact_label").alias("label"), F.col("abnormal_return").alias("y"), *columns), columns), "design")
+    made = written(design(rows.select("fold_id", "part", *KEY, F.col("high_impact_label").alias("label"), F.col("abnormal_return").alias("y"), *columns), columns), "design", spread=True)
     folds = fit(made, 2 * len(columns), options.get("C", 1.0), options.get("alpha", 1.0))
     return predict(made, folds), fits_table(made, folds)

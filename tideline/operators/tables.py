@@ -24,8 +24,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The table written as Parquet and read back: computed once, and a lost executor costs a reread."""
+def written(df: DataFrame, name: str, spread: bool = False) -> DataFrame:
+    """The table written as Parquet and read back: computed once, and a lost executor costs a reread.
+
+    ``spread``: in a file for each core at least.  Small tables otherwise become one file, and each of the many passes of a fit one task.
+    """
     path = shared_path(df.sparkSession, name)
+    if spread:
+        df = df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -103,7 +103,7 @@ def train_reference_model(features: DataFrame, labels: DataFrame, membership: Da
     require_empty(shared_test_rows(frames), "samples tested in more than one fold")
     require_empty(unmatched(frames, features, KEY), "labelled samples without features")
     columns = [c for c, k in features.dtypes if c not in KEY and k in ("double", "float", "int", "bigint")]
-    rows = written(frames.join(features, KEY), "samples")
+    rows = written(frames.join(features, KEY), "samples", spread=True)
     out, more = None, {}
     if t1_model == t2_model == "linear":
         out, more["fits"] = fit_folds(rows, columns, options)

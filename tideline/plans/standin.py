@@ -34,10 +34,16 @@ def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select(F.col("r_name").alias("market"), F.col("s_suppkey").cast("string").alias("ticker"), "s_suppkey", F.col("s_name").alias("company_name"))
 
 
-def prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Days are aggregated by supplier number before the (small) firm table is joined."""
+def prices(spark: SparkSession, sf_dir: str, windows: DataFrame | None = None) -> DataFrame:
+    """Days are aggregated by supplier number before the (small) firm table is joined.
+
+    With ``windows`` (``start``, ``end``) only the days in some of them: they are chosen before line items are shuffled.
+    """
     unit = F.col("l_extendedprice") / F.col("l_quantity")
-    days = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", F.to_date("l_shipdate").alias("date")).agg(F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume"))
+    lines = table(spark, sf_dir, "lineitem").withColumn("date", F.to_date("l_shipdate"))
+    if windows is not None:
+        lines = lines.join(F.broadcast(windows.select(F.explode(F.sequence("start", "end")).alias("date")).distinct()), "date", "left_semi")  # days of a calendar
+    days = lines.groupBy("l_suppkey", "date").agg(F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume"))
     return days.join(firms(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).select("market", "ticker", "date", "high", "low", F.col("high").alias("close"), "volume")
 
 
@@ -49,6 +55,10 @@ def before_windows(spark: SparkSession) -> DataFrame:
     return calendar(spark).select("event_id", F.date_sub("event_start_date", 45).alias("start"), F.date_sub("event_start_date", 1).alias("end"))
 
 
+def input_windows(spark: SparkSession) -> DataFrame:
+    return calendar(spark).select("event_id", F.col("pre_start_date").alias("start"), F.date_sub("event_start_date", 1).alias("end"))
+
+
 def predictions(before: DataFrame) -> DataFrame:
     t2 = F.coalesce("event_return", F.lit(0.0))
     return before.select("event_id", "market", "ticker", (F.abs(t2) / (1 + F.abs(t2))).alias("t1_score"), t2.alias("t2_prediction"))
