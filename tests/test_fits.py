@@ -149,3 +149,31 @@ def test_bins_have_equal_counts_and_medians_for_nulls(spark):
     got = {r["column"]: r for r in boosting.bin_edges(table, ["x", "none"], 4).collect()}
     full = np.sort([float(k) if k % 5 else 50.0 for k in range(100)])
     assert set(got) == {0} and got[0]["median"] == 50.0 and got[0]["edges"][-1] == 99.0 and full[24] <= got[0]["edges"][0] <= full[26]
+
+
+def test_tables_of_many_passes_are_spread_and_scores_kept(spark):
+    """Before, a small table was one file and each pass over it one task, and each pass applied all trees."""
+    from tideline.operators import boosting
+    from tideline.operators.tables import written
+
+    rows = spark.range(1000).selectExpr("id % 7 AS k", "id").groupBy("k").count()
+    assert written(rows, "spread", spread=True).inputFiles().__len__() > 1
+    rng = np.random.default_rng(1)
+    bins = rng.integers(0, 8, (50, 2)).astype(np.uint8)
+    trees = []
+    for k in range(3):
+        t = boosting.Tree()
+        t.split(0, {"nl": 5, "col": k % 2, "bin": 3 + k % 2, "gain": 1.0, "gl": 1.0 + k, "hl": 2.0, "g": -1.0, "h": 5.0}, 0.1)
+        trees.append(t)
+    some, whole = boosting.Model(0.5, trees=trees[:2]), boosting.Model(0.5, trees=trees)
+    assert np.array_equal(whole.score(bins, some.score(bins), 2), whole.score(bins))
+
+
+def test_prices_of_windows_are_those_of_all_days(spark):
+    from tideline.plans import standin
+
+    sf = "/root/testdata/sf0.001"
+    windows = standin.input_windows(spark)
+    some, every = standin.prices(spark, sf, windows), standin.prices(spark, sf)
+    inside = every.join(windows, F.col("date").between(F.col("start"), F.col("end")), "left_semi")
+    assert some.exceptAll(inside).isEmpty() and inside.exceptAll(some).isEmpty() and not some.isEmpty() and some.count() < every.count()

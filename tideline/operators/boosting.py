@@ -4,7 +4,8 @@ Values become bins of equal counts (exact, from ranks over ranges).  For each le
 pass over the binned rows sums gradients, curvatures and counts by (fold, task, node, column,
 bin) within the tasks; Spark brings the partial histograms of a (fold, task, node, column) together, a
 small array from each task, and returns its best split.  The driver holds the trees, a few hundred numbers
-each; rows carry no state, their scores come from the trees, so a lost executor costs a reread.
+each.  Every ``KEPT`` trees the train rows are written with their scores, so a pass applies those few trees that came since,
+not all, and a lost executor costs a reread.
 
 As in the published defaults: 50 trees, rate 0.03, 31 leaves by best gain (within ``depth`` levels), 85 per cent of the
 columns for a tree, leaves of 20 rows at least; T1 logistic loss from the log odds, T2 squared error from the mean.
@@ -28,6 +29,8 @@ from .quantiles import quantiles
 from .tables import written
 
 TASKS = ("T1", "T2")
+#: Trees whose scores a row gets anew in each pass; then the table is written with them.
+KEPT = 5
 SPLIT = "fold_id string, task string, node int, col int, gain double, bin int, gl double, hl double, nl long, g double, h double, n long"
 
 
@@ -84,13 +87,34 @@ class Model:
     constant: bool = False
     trees: list[Tree] = field(default_factory=list)
 
-    def score(self, bins: np.ndarray) -> np.ndarray:
-        out = np.full(len(bins), self.start)
-        for t in self.trees:
+    def score(self, bins: np.ndarray, known: np.ndarray | None = None, done: int = 0) -> np.ndarray:
+        """Scores by all trees; ``known`` are those by the first ``done``."""
+        out = np.full(len(bins), self.start) if known is None else known.copy()
+        for t in self.trees[done:]:
             out += np.array(t.value)[t.places(bins)]
         return out
 
 
+def scored(train: DataFrame, models: dict[tuple[str, str], Model], done: dict[tuple[str, str], int]) -> DataFrame:
+    """Train rows, written with ``s1`` and ``s2``, the scores of both tasks by the trees so far; ``done`` trees are in the scores that they have."""
+    names = ["fold_id", "label", "y", "bins"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds = np.array(batch.column("fold_id").to_pylist(), object)
+            codes = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(len(folds), -1)
+            out = [batch.column(c).to_numpy(zero_copy_only=False).copy() for c in ("s1", "s2")]
+            for fold in set(folds.tolist()):
+                mine = folds == fold
+                for task, s in zip(TASKS, out):
+                    first = done.get((fold, task), 0)
+                    s[mine] = models[fold, task].score(codes[mine], s[mine] if first else None, first)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *[pa.array(s) for s in out]], names=[*names, "s1", "s2"])
+
+    kinds = dict(train.dtypes)
+    return written(train.select(*names, "s1", "s2").mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in names) + ", s1 double, s2 double"), "scored")
+
+
 def bin_edges(rows: DataFrame, columns: list[str], bins: int) -> DataFrame:
     """Per fold and column the largest train value of each bin; a value's bin comes from how many are smaller.  Null values count as the median."""
     train = rows.where(F.col("part") == "train")
@@ -137,21 +161,22 @@ def slopes(task: str, score: np.ndarray, truth: np.ndarray) -> tuple[np.ndarray,
     return p - truth, p * (1 - p)
 
 
-def best_splits(train: DataFrame, models: dict, growing: dict, used: list[int], bins: int, least: int) -> list:
-    """For every open node of the growing trees and column the best split over all rows."""
+def best_splits(train: DataFrame, models: dict, growing: dict, used: list[int], bins: int, least: int, done: dict) -> list:
+    """For every open node of the growing trees and column the best split over all rows; rows have scores by ``done`` trees of each model."""
+    now = {key: models[key] for key in growing}
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[tuple, np.ndarray] = {}
         for batch in batches:
             folds = np.array(batch.column("fold_id").to_pylist(), object)
             codes = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(len(folds), -1)
-            truth = {t: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for t, c in (("T1", "label"), ("T2", "y"))}
+            truth, known = ({t: batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for t, c in zip(TASKS, pair)} for pair in (("label", "y"), ("s1", "s2")))
             for (fold, task), tree in growing.items():
                 mine = np.flatnonzero(folds == fold)
                 if not len(mine):
                     continue
                 own = codes[mine]
-                g, h = slopes(task, models[fold, task].score(own), truth[task][mine])
+                g, h = slopes(task, now[fold, task].score(own, known[task][mine], done[fold, task]), truth[task][mine])
                 node = tree.places(own)
                 for k in tree.open:
                     at = node == k
@@ -188,7 +213,12 @@ def fit(train: DataFrame, columns: int, trees: int = 50, rate: float = 0.03, lea
         p = float(r["p"]) / r["n"]
         models[r["fold_id"], "T1"] = Model(float(np.log(p / (1 - p))) if 0 < p < 1 else p, not 0 < p < 1)
         models[r["fold_id"], "T2"] = Model(float(r["m"]))
+    done: dict[tuple[str, str], int] = {}
+    train = train.withColumns({"s1": F.lit(0.0), "s2": F.lit(0.0)})
     for k in range(trees):
+        if k % KEPT == 0:
+            train = scored(train, models, done)
+            done = {key: len(m.trees) for key, m in models.items()}
         used = sorted(np.random.default_rng([seed, k]).permutation(columns)[: max(1, int(columns * share + 0.5))].tolist())
         growing = {key: Tree() for key, m in models.items() if not m.constant}
         everything = dict(growing)
@@ -196,7 +226,7 @@ def fit(train: DataFrame, columns: int, trees: int = 50, rate: float = 0.03, lea
             if not growing:
                 break
             found: dict[tuple, dict] = {}
-            for r in best_splits(train, models, growing, used, bins, least):
+            for r in best_splits(train, models, growing, used, bins, least, done):
                 key = (r["fold_id"], r["task"], r["node"])
                 if r["gain"] > 1e-12 and (key not in found or (-r["gain"], r["col"]) < (-found[key]["gain"], found[key]["col"])):
                     found[key] = r.asDict()
@@ -239,7 +269,7 @@ def boost_folds(rows: DataFrame, columns: list[str], options: dict | None = None
     o = options or {}
     bins = o.get("max_bin", 64)
     made, edges = binned(rows.select("fold_id", "part", *KEY, F.col("high_impact_label").cast("double").alias("label"), F.col("abnormal_return").cast("double").alias("y"), *columns), columns, bins)
-    made = written(made, "binned")
+    made = written(made, "binned", spread=True)
     train = made.where((F.col("part") == "train") & F.col("label").isNotNull() & F.col("y").isNotNull())
     models = fit(train, len(columns), o.get("n_estimators", 50), o.get("learning_rate", 0.03), o.get("num_leaves", 31), o.get("max_depth", 5), o.get("colsample", 0.85), o.get("min_child_samples", 20), bins, o.get("seed", 42))
     return predict(made.where(F.col("part") == "test"), models), models, edges
