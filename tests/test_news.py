@@ -274,3 +274,12 @@ def test_joined_dictionary_finds_what_automata_find(spark, monkeypatch):
     monkeypatch.setattr(aliases, "PART_BYTES", 64)
     monkeypatch.setattr(aliases, "dictionary_parts", None)  # before: as many parts as the dictionary needs, all built for each batch
     assert show(aliases.scan(texts, words))
+
+
+def test_alignment_passes_over_a_text_before_it_meets_its_companies(spark):
+    from tideline.plans import newsroom
+
+    plan = newsroom.c19_alias_alignment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    met, below = plan.split("Join Inner", 1)
+    assert "regexp_replace(content" not in met and "regexp_replace(title" not in met  # before: for each company, and again for each reason
+    assert met.lower().count("contains(content_compact") == 2 and "regexp_replace(content" in below

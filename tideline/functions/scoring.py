@@ -1,10 +1,10 @@
-"""Scores and classes of news candidates, as column expressions."""
+"""Scores and classes of news candidates, as column expressions; the alignment in steps over a table."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import constants as C
@@ -23,9 +23,8 @@ def lookup(value: Column, table: dict[str, float], default: Column | float) -> C
     return out
 
 
-def name_variants(name: Column, ticker: Column) -> Column:
+def name_variants(cleaned: Column, ticker: Column) -> Column:
     """The cleaned name, the name without stopwords (two characters at least), the ticker; sorted."""
-    cleaned = normalize_article(name)
     stripped = F.trim(reduce(lambda t, w: F.replace(t, F.lit(w), F.lit("")), C.NAME_STOPWORDS, cleaned))
     kept = F.array(F.nullif(cleaned, F.lit("")), F.when(F.char_length(compact_plain(stripped)) >= 2, stripped), F.nullif(filled(ticker), F.lit("")))
     return F.array_sort(F.array_distinct(F.array_compact(kept)))
@@ -37,23 +36,33 @@ def source_priority(source_type: Column, source_name: Column) -> Column:
     return reduce(lambda a, b: a + b, boosts, lookup(source_type, C.SOURCE_PRIORITY, 10.0))
 
 
-def alignment(title: Column, content: Column, ticker: Column, name: Column, source_type: Column, hit: Column | None = None) -> tuple[Column, Column]:
-    """Score 0 to 100 that an article is about a company, and the reasons.
+def with_compact_forms(rows: DataFrame) -> DataFrame:
+    """Texts with what ``with_alignment`` reads of their normalised ``title`` and ``content`` and their ``company_name``.
 
-    ``title`` and ``content`` are normalised; ``hit`` is the best alias hit of the
-    company (``location``, ``alias``, ``alias_type``, ``score``, ``ambiguous``; null for none).
+    These are passes over whole texts: for a text with several companies they belong before the join with these.
     """
-    t, c, code = compact_plain(title), compact_plain(content), F.lower(filled(ticker))
-    direct = F.coalesce(source_type.isin(*C.DIRECT_SOURCES), F.lit(False))
-    code_title, code_content = (code != "") & t.contains(code), (code != "") & c.contains(code)
-    variants = F.filter(F.transform(name_variants(name, ticker), compact_plain), lambda v: (v != "") & (v != code))
-    in_title, in_content = F.exists(variants, lambda v: t.contains(v)), F.exists(variants, lambda v: c.contains(v))
+    return rows.withColumns({"title_compact": compact_plain(F.col("title")), "content_compact": compact_plain(F.col("content")), "clean_name": normalize_article(F.col("company_name"))})
+
+
+def with_alignment(rows: DataFrame, hit: Column | None = None) -> DataFrame:
+    """``alignment_score``, 0 to 100, that an article is about a company, and the ``reasons``.
+
+    ``rows`` has ``ticker``, ``source_type`` and the columns of ``with_compact_forms``; ``hit`` is the best alias hit of the
+    company (``location``, ``alias``, ``alias_type``, ``score``, ``ambiguous``; null for none).  Each test of a text is a
+    column of its own, so it is made once a row however often score and reasons name it.
+    """
+    t, c, code = F.col("title_compact"), F.col("content_compact"), F.col("_code")
+    forms = rows.withColumns({"_code": F.lower(filled(F.col("ticker"))), "_names": F.transform(name_variants(F.col("clean_name"), F.col("ticker")), compact_plain)})
+    variants = forms.withColumn("_names", F.filter("_names", lambda v: (v != "") & (v != code)))
+    in_any = lambda text: F.exists("_names", lambda v: text.contains(v))
+    tested = variants.withColumns({"_code_title": (code != "") & t.contains(code), "_code_content": (code != "") & c.contains(code), "_name_title": in_any(t), "_name_content": in_any(c)})
+    direct = F.coalesce(F.col("source_type").isin(*C.DIRECT_SOURCES), F.lit(False))
     parts = [
         (direct, 45.0, "direct_company_source"),
-        (code_title, 20.0, "ticker_in_title"),
-        (~code_title & code_content, 10.0, "ticker_in_content"),
-        (in_title, 25.0, "name_in_title"),
-        (~in_title & in_content, 12.0, "name_in_content"),
+        (F.col("_code_title"), 20.0, "ticker_in_title"),
+        (~F.col("_code_title") & F.col("_code_content"), 10.0, "ticker_in_content"),
+        (F.col("_name_title"), 25.0, "name_in_title"),
+        (~F.col("_name_title") & F.col("_name_content"), 12.0, "name_in_content"),
     ]
     points = [F.when(p, F.lit(x)).otherwise(0.0) for p, x, _ in parts]
     of_alias = F.lit(0.0) if hit is None else F.coalesce(hit["score"], F.lit(0.0))
@@ -63,7 +72,8 @@ def alignment(title: Column, content: Column, ticker: Column, name: Column, sour
         named = F.concat(F.lit("alias_"), F.concat_ws(":", hit["location"], hit["alias"], hit["alias_type"]), F.lit(":score="), hit["score"].cast("string"))
         by_alias = [F.when(hit.isNotNull(), named), F.when(hit["ambiguous"], F.lit("alias_ambiguous_downweighted"))]
     reasons = F.array_compact(F.array(*[F.when(p, F.lit(r)) for p, _, r in parts[:3]], *by_alias, *[F.when(p, F.lit(r)) for p, _, r in parts[3:]], F.when(~direct & (score == 0), F.lit("no_alignment_signal"))))
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), reasons
+    out = tested.withColumns({"alignment_score": F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)), "reasons": reasons})
+    return out.drop("_code", "_names", "_code_title", "_code_content", "_name_title", "_name_content")
 
 
 def quality(status: Column, content: Column, title: Column, source: Column, url: Column, time: Column, mode: Column) -> Column:

@@ -107,7 +107,8 @@ def compact_plain(text: Column) -> Column:
 
 
 def compact_alias(text: Column) -> Column:
-    return F.lower(F.regexp_replace(normalize_text(text), ALIAS_GAPS, ""))
+    """White space needs no collapsing first: the gaps hold all of it."""
+    return F.lower(F.regexp_replace(unescape(filled(text)), ALIAS_GAPS, ""))
 
 
 def first_filled(*texts: Column) -> Column:

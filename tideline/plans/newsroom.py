@@ -147,10 +147,9 @@ def raw_candidates(spark, sf):
 
 
 def scored_candidates(spark, sf):
-    rows = raw_candidates(spark, sf)
-    score, reasons = C.alignment(F.col("title"), F.col("content"), F.col("ticker"), F.col("company_name"), F.col("source_type"))
+    rows = C.with_alignment(C.with_compact_forms(raw_candidates(spark, sf))).drop("title_compact", "content_compact", "clean_name")
     quality = C.quality(F.col("status"), F.col("content"), F.col("title"), F.col("source"), F.col("url"), F.col("time"), F.lit(None).cast("string"))
-    rows = rows.withColumns({"alignment_score": score, "reasons": F.array_join(reasons, ";"), "quality_score": quality, "source_priority": C.source_priority(F.col("source_type"), F.col("source"))})
+    rows = rows.withColumns({"reasons": F.array_join("reasons", ";"), "quality_score": quality, "source_priority": C.source_priority(F.col("source_type"), F.col("source"))})
     return rows.withColumns({"dedupe_key": C.dedupe_key(F.col("url"), F.col("title"), F.col("content"), F.col("date"), F.col("article_id")), "file_name": F.concat(F.col("article_id"), F.lit(".json"))})
 
 
@@ -294,9 +293,9 @@ SELECT id, market, ticker, least(100.0::DOUBLE, CASE WHEN {DIRECT} THEN 45.0 ELS
 def c19_alias_alignment(spark, sf):
     """Alignment of texts with the companies whose aliases they hold: the best hit counts and is named in the reasons."""
     best = aliases.best_hits(alias_hits(spark, sf)).select("id", "market", "ticker", F.struct("location", "alias", "alias_type", "score", "ambiguous").alias("hit"))
-    rows = best.join(S.news(spark, sf), F.col("id") == F.col("doc_id")).withColumns({"source_type": pick(KINDS, 5), "company_name": pick(WORDS, 8)})
-    score, reasons = C.alignment(F.col("title"), F.col("content"), F.col("ticker"), F.col("company_name"), F.col("source_type"), F.col("hit"))
-    return rows.select("id", "market", "ticker", score.alias("alignment_score"), F.array_join(reasons, ";").alias("reasons"))
+    texts = C.with_compact_forms(S.news(spark, sf).withColumns({"source_type": pick(KINDS, 5), "company_name": pick(WORDS, 8)}))
+    rows = best.join(texts.select("doc_id", "source_type", "title_compact", "content_compact", "clean_name"), F.col("id") == F.col("doc_id"))
+    return C.with_alignment(rows, F.col("hit")).select("id", "market", "ticker", "alignment_score", F.array_join("reasons", ";").alias("reasons"))
 
 
 #: A form for each order that is not open, and one for its customer's orders of that priority; texts name the orders of line items.
