@@ -747,3 +747,33 @@ def test_op10_large_group_with_far_members(spark, monkeypatch):
     got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     want = plain_components(rows, 5, 75)
     assert got == want and len({c for _, _, c in want}) > 5
+
+
+def test_new_stretches_are_asked_many_to_a_text():
+    import pyarrow as pa
+
+    from tideline.llm.entries import tokenizer_path
+    from tideline.llm.tokens import Encoder
+
+    encoder, asked = Encoder(tokenizer_path()), []
+    library = encoder.library
+
+    class Counted:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            asked.append(len(texts))
+            return library.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+        def encode(self, text, add_special_tokens):
+            return library.encode(text, add_special_tokens=add_special_tokens)
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdeXé中🙂0'.,-\t\u00a0\u200b\r") for _ in range(rng.randint(1, 9)))
+    made = ["".join(word() + rng.choice("  \n") for _ in range(60))[:-1] for _ in range(100)]
+    given = [*made, "ends in a tab\t", "ends in a tab\t", "ends in a no-break space\u00a0", "\tfirst", "new\nline\r", "x", ""]
+    encoder.library = Counted()
+    ids, lengths = encoder.encode(pa.array(given))
+    want = [library.encode(t, add_special_tokens=False).ids for t in given]
+    assert ids.tolist() == [x for w in want for x in w] and lengths.tolist() == [len(w) for w in want]
+    encoder.known, asked[:] = type(encoder.known)(), []
+    encoder.encode(pa.array([" ".join(f"w{k}x" for k in range(5000))]))
+    assert sum(asked) < 50  # before: 5000, one for each new stretch

@@ -28,6 +28,9 @@ SLICE = 1 << 21
 TAIL = ".,;:!?&%#$*|"
 #: Marks at the front of a stretch: after a line end, and at the start of a text.  Others stood after a space.
 LINE, START = "\x01", "\x02"
+#: Stretches that the library gets in one text, and those that it gets alone: at the start of a text, or with white space at the end.
+TOGETHER = 256
+ALONE = r"^\x02|[\x00-\x20\x{85}\p{Z}]$"
 #: Texts with white space other than single spaces and line ends between other characters, or with the marks.
 ODD = r"[\x00-\x20\x{85}\p{Z}][\x00-\x20\x{85}\p{Z}]|^[ \n]|[ \n]$|^$|[\x01\x02]"
 _LOADED: dict[str, "Encoder"] = {}
@@ -144,6 +147,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True  # their strings in a text are ordinary text
         self.known = Known()
+        vocabulary = self.library.get_vocab()
+        self.first = np.zeros(max(vocabulary.values(), default=0) + 1, bool)  # ids that begin with a space or line end: the first of a stretch
+        self.first[[i for t, i in vocabulary.items() if t[:1] in ("\u0120", "\u010a")]] = True
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts end to end (uint32), and how many each text has."""
@@ -189,13 +195,13 @@ class Encoder:
         entry[new[whole]] = self._ask(fresh.take(pa.array(whole)), strings, new[whole])
         if cut.any():
             rows = np.flatnonzero(cut)
-            stems, ended = stems.take(pa.array(rows)), fresh.take(pa.array(rows))
+            stems = stems.take(pa.array(rows))
             stem_of = stems.dictionary_encode()
             words = Strings(stem_of.dictionary)
             s_entry = known.find(words, np.arange(len(words)))
             missing = np.flatnonzero(s_entry < 0)
             s_entry[missing] = self._ask(stem_of.dictionary.take(pa.array(missing)), words, missing)
-            b, t_flat, t_start, t_len = self._tails(ended, stems)
+            b, t_flat, t_start, t_len = self._tails(strings, new[rows], pc.binary_length(stems).to_numpy())
             a = s_entry[stem_of.indices.to_numpy()]
             s_len = known.ends[a + 1] - known.ends[a]
             used = int(known.ends[known.n])
@@ -205,21 +211,47 @@ class Encoder:
             entry[new[rows]] = known.add(strings, new[rows], gather(both, starts, lengths), s_len + t_len[b])
         return entry
 
-    def _tails(self, whole: pa.Array, stems: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """What follows each stem: a code per row, and the ids of each code."""
-        tails = pa.array([w[len(s) :] for w, s in zip(whole.to_pylist(), stems.to_pylist())], pa.string()).dictionary_encode()
+    def _tails(self, strings: Strings, which: np.ndarray, stem: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What follows each stem (of ``stem`` bytes): a code per row, and the ids of each code."""
+        size = strings.length[which] - stem
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = gather(strings.raw, strings.starts[which] + stem, size)
+        tails = pa.LargeStringArray.from_buffers(len(which), pa.py_buffer(ends), pa.py_buffer(raw)).dictionary_encode()
         ids = [e.ids for e in self.library.encode_batch_fast(tails.dictionary.to_pylist(), add_special_tokens=False)]
         length = np.array([len(x) for x in ids], np.int64)
         return tails.indices.to_numpy().astype(np.int64), np.array(sum(ids, []), np.uint32), np.cumsum(length) - length, length
 
     def _ask(self, marked: pa.Array, strings: Strings, which: np.ndarray) -> np.ndarray:
         """Have the library encode new stretches, which are the strings ``which``; their entries."""
+        alone = pc.match_substring_regex(marked, ALONE)
+        flat, lengths = self._together(marked.filter(pc.invert(alone)))
+        if len(lengths) < len(marked):
+            is_alone = alone.to_numpy(zero_copy_only=False)
+            more, each = self._singly(marked.filter(alone))
+            every, starts = np.empty(len(marked), np.int64), np.empty(len(marked), np.int64)
+            every[~is_alone], every[is_alone] = lengths, each
+            starts[~is_alone], starts[is_alone] = np.cumsum(lengths) - lengths, len(flat) + np.cumsum(each) - each
+            flat, lengths = gather(np.concatenate([flat, more]), starts, every), every
+        return self.known.add(strings, which, flat, lengths)
+
+    def _together(self, marked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of stretches, many to a text: a stretch has its only space or line end in front, so its first id, and no other, begins with one."""
+        n = len(marked)
+        asked = pc.replace_substring(pc.binary_join_element_wise(" ", marked, ""), " " + LINE, "\n")
+        edges = np.append(np.arange(0, n, TOGETHER), n).astype(np.int32)
+        whole = pc.binary_join(pa.ListArray.from_arrays(pa.array(edges), asked), "").to_pylist()
+        ids = np.concatenate([np.zeros(0, np.uint32), *[np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(whole, add_special_tokens=False)]])
+        starts = np.flatnonzero(self.first[ids])
+        if len(starts) != n:  # another kind of vocabulary
+            return self._singly(marked)
+        return ids, np.diff(np.append(starts, len(ids)))
+
+    def _singly(self, marked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         real = {LINE: "\n", START: ""}
         asked = [real[s[0]] + s[1:] if s[:1] in real else " " + s for s in marked.to_pylist()]
         got = [e.ids for e in self.library.encode_batch_fast(asked, add_special_tokens=False)]
         lengths = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((x for ids in got for x in ids), np.uint32, int(lengths.sum()))
-        return self.known.add(strings, which, flat, lengths)
+        return np.fromiter((x for ids in got for x in ids), np.uint32, int(lengths.sum())), lengths
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE) -> Iterator[pa.RecordBatch]:
