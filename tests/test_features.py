@@ -85,3 +85,20 @@ def test_medians_and_indicators(spark):
     medians, missing = train.imputation(rows, ["a", "b", "c"])
     assert medians == {"a": 2.0, "b": 2.0} and missing == ["b"]
     assert train.prepared(rows, medians, missing).first()["b__missing"] == 1.0
+
+
+def test_runs_of_days_are_found_in_words_not_in_sorted_days(spark):
+    import random
+
+    from tideline.operators import panel
+
+    rng, first = random.Random(5), dt.date(1969, 10, 1)
+    days = {k: {first + dt.timedelta(rng.randrange(260)) for _ in range(k * 30)} for k in range(1, 7)} | {7: {first + dt.timedelta(n) for n in range(200)}, 8: {dt.date(1970, 1, 1)}}
+    rows = [(k, d) for k, some in days.items() for d in some for _ in range(2)] + [(1, None), (9, None)]
+    found = panel.islands(spark.createDataFrame(rows, "k int, date date"), ["k"])
+    want = []
+    for k, some in days.items():
+        ends = [d for d in sorted(some) if d + dt.timedelta(1) not in some]
+        want += [(k, a, b) for a, b in zip([d for d in sorted(some) if d - dt.timedelta(1) not in some], ends)]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()  # before: each day was a group and was sorted

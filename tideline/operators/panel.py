@@ -30,10 +30,26 @@ def covered_days(events: DataFrame) -> DataFrame:
     return events.select(F.explode(F.sequence("pre_start_date", "post_end_date")).alias("date")).distinct()
 
 
+def runs(days: DataFrame, by: list[str]) -> DataFrame:
+    """A row for each ``by`` with its ``runs`` of consecutive days, in order: an array of ``start`` and ``end``.
+
+    Days are bits of 64-day words, so a group is a word and not a day, and no day is sorted; null days are left out.
+    """
+    day = F.unix_date("date")
+    some = days.where(F.col("date").isNotNull())
+    words = some.groupBy(*by, F.shiftright(day, 6).alias("_w")).agg(F.bit_or(F.expr("shiftleft(1L, unix_date(date) & 63)")).alias("_m"))
+    each = words.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_w", "_m"))).alias("_words"))
+    bits = lambda x: F.transform(F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(x["_m"], i) == 1), lambda i: x["_w"] * 64 + i)
+    sets = each.select(*by, F.flatten(F.transform("_words", bits)).alias("_d"))
+    alone = lambda at, n: F.coalesce(F.get("_d", at) != n, F.lit(True))
+    starts, ends = F.filter("_d", lambda n, i: alone(i - 1, n - 1)), F.filter("_d", lambda n, i: alone(i + 1, n + 1))
+    pairs = F.zip_with(starts, ends, lambda x, y: F.struct(F.date_from_unix_date(x).alias("start"), F.date_from_unix_date(y).alias("end")))
+    return sets.select(*by, pairs.alias("runs"))
+
+
 def islands(days: DataFrame, by: list[str]) -> DataFrame:
     """Runs of consecutive days: ``start`` and ``end`` of each."""
-    n = F.row_number().over(W.partitionBy(*by).orderBy("date"))
-    return days.select(*by, "date").distinct().withColumn("_g", F.date_sub("date", n)).groupBy(*by, "_g").agg(F.min("date").alias("start"), F.max("date").alias("end")).drop("_g")
+    return runs(days, by).select(*by, F.inline("runs"))
 
 
 def chunks(ranges: DataFrame, days: int = 365) -> DataFrame:

@@ -47,6 +47,11 @@ def prices(spark: SparkSession, sf_dir: str, windows: DataFrame | None = None) -
     return days.join(firms(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).select("market", "ticker", "date", "high", "low", F.col("high").alias("close"), "volume")
 
 
+def price_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days of ``prices`` by supplier number, a row for each line item, dealt by supplier so that what is counted for one needs no further shuffle."""
+    return table(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("date")).repartition("l_suppkey")
+
+
 def outcome_windows(spark: SparkSession) -> DataFrame:
     return calendar(spark).select("event_id", F.col("event_start_date").alias("start"), F.col("event_end_date").alias("end"))
 
