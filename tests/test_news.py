@@ -283,3 +283,28 @@ def test_alignment_passes_over_a_text_before_it_meets_its_companies(spark):
     met, below = plan.split("Join Inner", 1)
     assert "regexp_replace(content" not in met and "regexp_replace(title" not in met  # before: for each company, and again for each reason
     assert met.lower().count("contains(content_compact") == 2 and "regexp_replace(content" in below
+
+
+def test_places_are_held_for_one_text_at_a_time():
+    import tracemalloc
+    from io import BytesIO
+
+    import pyarrow as pa
+
+    buffer = BytesIO()
+    words = pa.table({"market": ["M", "M"], "compact": ["ab", "cd"], "latin": pa.array([None, "cd"])})
+    with pa.ipc.new_stream(buffer, words.schema) as writer:
+        writer.write_table(words)
+    forms = aliases.Forms(buffer.getvalue())
+
+    def most(n):
+        text = "abcd" * 2000
+        batch = pa.RecordBatch.from_pydict({"id": list(range(n)), "day": pa.nulls(n, pa.date32()), "title": ["ab cd"] * n, "content": [text] * n, "title_flat": ["abcd"] * n, "content_flat": [text] * n})
+        tracemalloc.start()
+        found = [x for out in aliases.found_in(iter([batch]), forms, False) for x in out.to_pylist()]
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(found) == 4 * n and {x["compact"]: x["free"] for x in found if x["location"] == "title"} == {"ab": [], "cd": ["cd"]}
+        return peak
+
+    assert most(80) < 2 * most(20)  # before: a batch's places, 4,000 for each of these texts

@@ -33,6 +33,8 @@ from .tables import written
 
 #: Bytes of forms in a part of the dictionary; an automaton takes some fifty times as much.
 PART_BYTES = 4 << 20
+#: Bytes of texts that go to Python at once, about: a worker's memory depends on this and on its longest text, not on the table.
+BATCH = "4m"
 #: Beginnings of forms that tasks look for in texts, and bits of the filter of whole forms, if the dictionary is greater.
 BEGINNINGS, FILTER_BITS = 100_000, 1 << 27
 #: Aliases of these characters have to stand between characters that are no letters or digits.
@@ -142,6 +144,29 @@ def stands_free(text: str, alias: str) -> bool:
     return False
 
 
+def found_in(batches: Iterator[pa.RecordBatch], forms: Forms, own: bool) -> Iterator[pa.RecordBatch]:
+    """The forms in each text; the places where they stand are held for one text at a time."""
+    for batch in batches:
+        column = {name: batch.column(k) for k, name in enumerate(batch.schema.names)}
+        at, out = [], {"market": [], "location": [], "compact": [], "free": []}
+        for row in range(batch.num_rows):
+            markets = forms.automata if not own else {column["market"][row].as_py()} & forms.automata.keys()
+            for location in ("title", "content"):
+                text, lower = column[f"{location}_flat"][row].as_py(), None
+                for market in markets if text else ():
+                    spots = [(end + 1 - n, n) for end, n in forms.automata[market].iter(text)]
+                    for form in dict.fromkeys(text[s : s + n] for s, n in leftmost_longest(spots)):
+                        latin = forms.latin.get((market, form), ())
+                        if latin and lower is None:
+                            lower = column[location][row].as_py().lower()
+                        at.append(row)
+                        for name, value in (("market", market), ("location", location), ("compact", form), ("free", [a for a in latin if stands_free(lower, a.lower())])):
+                            out[name].append(value)
+        take = pa.array(at, pa.int64())
+        made = [pa.array(out["market"], pa.string()), pa.array(out["location"], pa.string()), pa.array(out["compact"], pa.string()), pa.array(out["free"], pa.list_(pa.string()))]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *made], names=["id", "day", *out])
+
+
 def scan(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """One row per form found in a place: the texts' ``id`` and ``day``, ``market``, ``location``, ``compact``, ``free`` (its Latin aliases that stand between other characters).
 
@@ -149,41 +174,16 @@ def scan(texts: DataFrame, aliases: DataFrame) -> DataFrame:
     """
     if form_bytes(dictionary_forms(aliases)) >= PART_BYTES:
         return scan_joined(texts, aliases)
-    parts = dictionary_parts(aliases)
+    (part,) = dictionary_parts(aliases)  # it is smaller than a part
     own = "market" in texts.columns
-    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     keys = ["id", "day", *(["market"] if own else [])]
     raw = [F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("title", "content")]
     flat = [compact_alias(F.coalesce(F.col(c), F.lit(""))).alias(f"{c}_flat") for c in ("title", "content")]
     rows = texts.select(*keys, *raw, *flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = lambda name: batch.column(batch.schema.get_field_index(name)).to_pylist()
-            markets = column("market") if own else None
-            texts_of = {p: (column(p), column(f"{p}_flat")) for p in ("title", "content")}
-            found: dict[tuple[str, int, str | None], dict[tuple[int, int], list[str]]] = {}
-            for part in parts:  # one at a time: a part's automata are there for the whole batch
-                forms = part_forms(part)
-                for location, (_, flats) in texts_of.items():
-                    for row, text in enumerate(flats):
-                        for market in (forms.automata if markets is None else (markets[row],)):
-                            if text and market in forms.automata:
-                                for end, n in forms.automata[market].iter(text):
-                                    spot = (end + 1 - n, n)
-                                    found.setdefault((location, row, market), {})[spot] = forms.latin.get((market, text[spot[0] : end + 1]), [])
-            at, out = [], {"market": [], "location": [], "compact": [], "free": []}
-            for (location, row, market), spots in found.items():
-                raws, flats = texts_of[location]
-                text, lower = flats[row], raws[row].lower()
-                named = {text[s : s + n]: spots[s, n] for s, n in leftmost_longest(list(spots))}
-                for form, latin in named.items():
-                    at.append(row)
-                    for name, value in (("market", market), ("location", location), ("compact", form), ("free", [a for a in latin if stands_free(lower, a.lower())])):
-                        out[name].append(value)
-            take = pa.array(at, pa.int64())
-            made = [pa.array(out["market"], pa.string()), pa.array(out["location"], pa.string()), pa.array(out["compact"], pa.string()), pa.array(out["free"], pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *made], names=["id", "day", *out])
+        return found_in(batches, part_forms(part), own)
 
     kinds = dict(texts.dtypes)
     return rows.mapInArrow(run, f"id {kinds['id']}, day {kinds['day']}, market string, location string, compact string, free array<string>")
