@@ -150,6 +150,20 @@ def test_transducer_gives_the_library_s_ids(vocabulary):
             assert decoded(ids[e - k : e], own.utf8) == (t, hashlib.sha256(t.encode()).hexdigest())
 
 
+def test_transducer_of_new_stretches(vocabulary):
+    """An encoder that has seen nothing yet; it has no ``first``, by which the library's ids are cut."""
+    import pyarrow as pa
+
+    from tideline.llm.transducer import BpeEncoder
+
+    path, pattern, library = vocabulary
+    own = BpeEncoder(path, pattern)
+    given = ["one two, three.\nfour  five", None, "", "中文 字\n0 '", " ".join(f"w{k}x!" for k in range(600))]
+    ids, n = own.encode(pa.array(given, pa.string()))
+    want = [library.encode_ordinary(t or "") for t in given]
+    assert ids.tolist() == [x for w in want for x in w] and n.tolist() == [len(w) for w in want]
+
+
 def test_transducer_of_small_vocabularies(monkeypatch):
     """Merges of random bytes, with few states kept and tokens put out early."""
     from tideline.llm import transducer

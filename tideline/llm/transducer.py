@@ -283,6 +283,10 @@ class BpeEncoder(Encoder):
         one = self.transducer.encode
         return [_Ids([i for piece in self.pieces(t) for i in one(piece.encode())]) for t in asked]
 
+    def _together(self, marked: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Each alone: matches of the pattern are encoded one by one here, so a text of many saves nothing."""
+        return self._singly(marked)
+
 
 def bpe_encoder(path: str, pattern: str) -> BpeEncoder:
     """One for each worker process, vocabulary file and pattern."""
