@@ -557,6 +557,31 @@ def test_op8_removes_what_repeats(docs, none, rows, window, anchor, block):
     assert remove_repeats(none).count() == 0
 
 
+def test_op8_segments_that_meet_many_blocks_do_not_repeat_themselves(spark):
+    from tideline.llm.fmindex import remove_repeats
+
+    own = iter(range(10**6))
+    many = lambda n: [f"w{next(own)}" for _ in range(n)]
+    common = many(30)
+    rows = [(k, " ".join(many(40) + common + many(40))) for k in range(24)]
+    rows += [(None, rows[3][1]), (0, rows[3][1]), (0, rows[3][1])]
+    got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), block=2)
+    assert Counter(tuple(r) for r in got.collect()) == plain_removal(rows, 35)
+
+
+def test_op8_bitmap_leaves_out_most_other_texts(spark):
+    from tideline.llm.fmindex import TEXT, keyed, marked
+
+    rows = [(k, f"text {k}") for k in range(3000)] + [(None, "text 0"), (None, None), (None, "text 7")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    chosen = keyed(docs).where("doc_id % 30 = 7 or text = 'text 0'").select(*TEXT)
+    got = {(r["doc_id"], r["text"]): r["maybe"] for r in marked(keyed(docs), chosen).collect()}
+    wanted = {(k, t) for k, t in rows if t == "text 0" or k is not None and k % 30 == 7}
+    assert len(got) == len(rows) and all(got[x] for x in wanted)
+    assert sum(got.values()) < len(wanted) + 400
+    assert not any(r["maybe"] for r in marked(keyed(docs), chosen.limit(0)).collect())
+
+
 def test_fm_index_counts():
     from tideline.llm.fmindex import FMIndex
 

@@ -8,7 +8,7 @@ sequence also starts anywhere else.
    text that share both anchors are consecutive; their words are a segment.  Two
    anchors keep a very common line from gathering all texts: it rarely gives both.
 2. Segments whose anchors no other segment has hold no repeated window.  The others are
-   grouped by content (96 bits), with their number and one place each.
+   told apart by content (96 bits); the first place of each content leads, with its number.
 3. The distinct segments of equal anchors are dealt to shards as texts; where they are
    more than ``BLOCK``, they are cut into blocks, and every two blocks meet in a shard.
    A shard joins its segments (those that occur more than once, twice) to one sequence
@@ -20,6 +20,8 @@ sequence also starts anywhere else.
    that fails rules out all windows that hold the failed words; behind one that is
    matched, the rest is searched at once again.
 4. Repeated intervals go to all texts that hold the segment; the words they cover are removed.
+5. Texts are shuffled only where a segment's words are wanted of them, or where words go:
+   a bitmap of these texts' hashes leaves out all others but a few beforehand.
 
 Cases: null text has no words; texts shorter than a window keep all words; rows with a
 null or repeated ``doc_id`` are texts of their own (a text given twice is repeated); an
@@ -33,8 +35,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .shared import keep, release, texts
 from .tokens import slices
@@ -44,10 +47,15 @@ from .words import Words, mixed, numbered
 SHARD = 500_000
 #: Segments of equal anchors that stay together.
 BLOCK = 8192
+#: Bits of a bitmap for each text in it, and in all at most (16 MB); a fuller one only leaves out fewer texts.
+BITS, MOST_BITS = 16, 1 << 27
+#: Bits that Spark's bitmap functions put into one row.
+ROW_BITS = 1 << 15
+TEXT = ["d", "h"]  # what tells rows apart
 KEY = ["a", "c1", "c2"]  # anchors and content of a segment
 KEY_TYPE = "a long, c1 long, c2 int"
 KEY_FIELDS = [("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int32())]
-SEGMENT = f"doc_id long, h long, {KEY_TYPE}, first int, n int"
+SEGMENT = f"d long, h long, {KEY_TYPE}, first int, n int"
 
 
 class FMIndex:
@@ -199,12 +207,36 @@ class Stretches:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return texts(docs).withColumn("h", F.xxhash64("text")).select("doc_id", "h", "text")
+    """``doc_id``, ``text`` and what tells rows apart: ``d`` and ``h`` are never null, so that one shuffle serves grouping and joins."""
+    rows = texts(docs)
+    return rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text", F.col("doc_id").isNull()).alias("h"), "text")
+
+
+def bitmap(chosen: DataFrame) -> tuple[DataFrame, int]:
+    """A bitmap of the texts in ``chosen``: rows of ``ROW_BITS`` bits (``bits``) by number (``bucket``), and how many rows there may be."""
+    n = chosen.agg(F.approx_count_distinct(F.xxhash64(*TEXT))).first()[0]
+    rows = max(1, min(MOST_BITS, BITS * n) // ROW_BITS)
+    at = slot(rows)
+    return chosen.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")), rows
+
+
+def slot(rows: int) -> Column:
+    """A text's bit in a bitmap of so many rows."""
+    return F.pmod(F.xxhash64(*TEXT), F.lit(rows * ROW_BITS)) + 1
+
+
+def marked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """``rows`` with ``maybe``: true for the texts of ``chosen`` (and a few others), else false."""
+    bits, n = bitmap(chosen)
+    rows = rows.withColumn("at", slot(n)).withColumn("bucket", F.bitmap_bucket_number("at")).withColumn("place", F.bitmap_bit_position("at"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    maybe = F.coalesce(F.getbit(byte, (F.col("place") % 8).cast("int")), F.lit(0)) == 1
+    return rows.join(F.broadcast(bits), "bucket", "left").withColumn("maybe", maybe).drop("at", "bucket", "place", "bits")
 
 
 def segments_of(docs: DataFrame, window: int, anchor: int, base: int) -> DataFrame:
     """Segments of all texts: a hash of their anchors, 96 bits of their content, first word and length."""
-    out = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *KEY_FIELDS, ("first", pa.int32()), ("n", pa.int32())])
+    out = pa.schema([("d", pa.int64()), ("h", pa.int64()), *KEY_FIELDS, ("first", pa.int32()), ("n", pa.int32())])
     span = window - anchor + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,19 +258,19 @@ def segments_of(docs: DataFrame, window: int, anchor: int, base: int) -> DataFra
             at = pa.array(d)
             keys = [mixed(grams[left[new]] ^ mixed(grams[right[new]], 3)), one(begin, length), two(begin, length)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(at), batch.column("h").take(at), *[pa.array(k.view(np.int64).astype(t.to_pandas_dtype())) for k, (_, t) in zip(keys, KEY_FIELDS)], pa.array((begin - edges[d]).astype(np.int32)), pa.array(length.astype(np.int32))],
+                [batch.column("d").take(at), batch.column("h").take(at), *[pa.array(k.view(np.int64).astype(t.to_pandas_dtype())) for k, (_, t) in zip(keys, KEY_FIELDS)], pa.array((begin - edges[d]).astype(np.int32)), pa.array(length.astype(np.int32))],
                 schema=out,
             )
 
-    return keyed(docs).mapInArrow(run, SEGMENT)
+    return keyed(docs).select(*TEXT, "text").mapInArrow(run, SEGMENT)
 
 
-def with_words(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``places`` (one text's segments) with their ``words`` as text."""
-    names = [n for n in places.columns if n not in ("doc_id", "h")]
+def with_words(docs: DataFrame, places: DataFrame, leads: DataFrame) -> DataFrame:
+    """``places`` (texts' segments, ``leads`` without repeats) with their ``words`` as text."""
+    names = [n for n in places.columns if n not in TEXT]
     kinds = dict(places.dtypes)
-    by_text = places.groupBy("doc_id", "h").agg(F.collect_list(F.struct(*names)).alias("at")).select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "at")
-    rows = keyed(docs).dropDuplicates(["doc_id", "h"]).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh"))).select("at", "text")
+    by_text = places.groupBy(*TEXT).agg(F.collect_list(F.struct(*names)).alias("at"))
+    rows = marked(keyed(docs), leads).where("maybe").select(*TEXT, "text").dropDuplicates(TEXT).join(by_text, TEXT).select("at", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -263,7 +295,12 @@ def search_shards(segments: DataFrame, window: int) -> DataFrame:
     out = pa.schema([*KEY_FIELDS, ("lo", pa.int32()), ("hi", pa.int32())])
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
+        # A segment that meets several blocks in this shard is in it once.
+        keys = [table.column(k).to_numpy() for k in KEY]
+        order = np.lexsort(keys)
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+        table = (table if new.all() else table.take(pa.array(np.sort(order[new])))).combine_chunks()
         words = Words(table.column("words").combine_chunks(), lower=False)
         numbers, _ = numbered(words.hashes, words.others)
         which, first, last = repeated_windows(numbers, words.edges, table.column("times").to_numpy() > 1, window)
@@ -275,30 +312,38 @@ def search_shards(segments: DataFrame, window: int) -> DataFrame:
 
 
 def repeated_intervals(docs: DataFrame, window: int = 35, anchor: int = 8, block: int = BLOCK) -> DataFrame:
-    """Per text (``doc_id``, ``h``) the intervals of words (``lo``, ``hi``) that repeated windows cover; they may overlap."""
+    """Per text (``d``, ``h``) the intervals of words (``lo``, ``hi``) that repeated windows cover; they may overlap."""
     # What the hashes of stretches are taken with is drawn anew each time, so nobody can prepare texts for it; the result does not depend on it.
     base = secrets.randbits(64) | 1
-    common = segments_of(docs, window, anchor, base).groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > 1).select("a")
-    shared = keep(segments_of(docs, window, anchor, base).join(keep(common, "anchors"), "a"), "segments")
-    kinds = keep(shared.groupBy(*KEY).agg(F.count("*").alias("times"), F.min(F.struct("doc_id", "h", "first", "n")).alias("at")), "kinds")
-    crowd = keep(kinds.groupBy("a").agg(F.expr(f"(count(*) - 1) div {block} + 1").cast("int").alias("blocks")), "crowds")
+    same_anchors, same = W.partitionBy("a"), W.partitionBy(*KEY)
+    # One shuffle, by anchors, serves all of this.
+    shared = segments_of(docs, window, anchor, base).withColumn("c", F.count("*").over(same_anchors)).where(F.col("c") > 1).drop("c")
+    shared = shared.withColumn("lead", F.row_number().over(same.orderBy(*TEXT, "first")) == 1).withColumn("times", F.count("*").over(same))
+    shared = shared.withColumn("kinds", F.count_if("lead").over(same_anchors))
+    # Of each content the first segment leads: only it has its number (2 stands for more) and that of the blocks of its anchors.
+    times, blocks = F.least("times", F.lit(2)), F.expr(f"(kinds - 1) div {block} + 1")
+    shared = keep(shared.select(*TEXT, *KEY, "first", "n", *[F.when(F.col("lead"), x).otherwise(0).cast("int").alias(y) for x, y in ((times, "times"), (blocks, "blocks"))]), "segments")
+    leads = shared.where(F.col("times") > 0)
     # Segments of equal anchors are in one block, or every two blocks of them meet.
     mine = F.pmod(F.xxhash64("c1", "c2"), F.col("blocks")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: (b != mine) | (F.col("blocks") == 1))
-    places = kinds.join(crowd, "a").select("at.doc_id", "at.h", "at.first", "at.n", *KEY, "times", F.explode(others).alias("other"), mine.alias("mine"))
+    places = leads.select(*TEXT, "first", "n", *KEY, "times", F.explode(others).alias("other"), mine.alias("mine"))
     meets = F.xxhash64("a", F.least("mine", "other"), F.greatest("mine", "other"))
-    places = places.select("doc_id", "h", "first", "n", *KEY, F.least("times", F.lit(2)).alias("times"), meets.alias("meets"))
-    size = kinds.agg(F.sum("at.n")).first()[0] or 0
-    shard = F.pmod("meets", F.lit(-(-size // SHARD) or 1)).cast("int").alias("shard")
-    found = keep(search_shards(with_words(docs, places.select("doc_id", "h", "first", "n", *KEY, "times", shard)), window), "found")
-    return shared.join(found.distinct(), KEY).select("doc_id", "h", (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    size = leads.agg(F.sum("n")).first()[0] or 0
+    shard = F.pmod(meets, F.lit(-(-size // SHARD) or 1)).cast("int").alias("shard")
+    found = keep(search_shards(with_words(docs, places.select(*TEXT, "first", "n", *KEY, "times", shard), leads), window), "found")
+    # Dealt by segment before repeated intervals go, so that the join finds them there.
+    found = found.repartition(*KEY).distinct()
+    return shared.select(*TEXT, *KEY, "first").join(found, KEY).select(*TEXT, (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, anchor: int = 8, block: int = BLOCK) -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``n_removed``, ``kept_text`` (kept words joined by one space)."""
     hits = keep(repeated_intervals(docs, window, anchor, block), "hits")
-    by_text = hits.groupBy("doc_id", "h").agg(F.collect_set(F.struct("lo", "hi")).alias("cuts")).select(F.col("doc_id").alias("d"), F.col("h").alias("hh"), "cuts")
-    rows = keyed(docs).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("hh")), "left").select("doc_id", "text", "cuts")
+    cuts = hits.groupBy(*TEXT).agg(F.collect_set(F.struct("lo", "hi")).alias("cuts"))
+    rows = marked(keyed(docs), hits)
+    cut = rows.where("maybe").join(cuts, TEXT, "left").select("doc_id", "text", "cuts")
+    rows = cut.union(rows.where(~F.col("maybe")).select("doc_id", "text", F.lit(None).cast(cut.schema["cuts"].dataType)))
     out = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
