@@ -569,6 +569,17 @@ def test_op8_segments_that_meet_many_blocks_do_not_repeat_themselves(spark):
     assert Counter(tuple(r) for r in got.collect()) == plain_removal(rows, 35)
 
 
+def test_op8_one_of_equal_segments_in_a_batch_stands_for_all(spark):
+    from tideline.llm.fmindex import segments_of
+
+    docs = spark.createDataFrame([(k, "ab cd " * 200) for k in range(5)] + [(9, " ".join(f"w{k}" for k in range(99)))], "doc_id long, text string").coalesce(1)
+    rows = segments_of(docs, 35, 8, 12345).collect()
+    number = Counter((r["a"], r["c1"], r["c2"]) for r in rows)
+    stands = [r for r in rows if r["copies"]]
+    assert {(r["a"], r["c1"], r["c2"]): r["copies"] for r in stands} == number and len(stands) == len(number) < len(rows) / 5
+    assert all((r["spread"] == 0) == (r["copies"] > 0) for r in rows)
+
+
 def test_op8_bitmap_leaves_out_most_other_texts(spark):
     from tideline.llm.fmindex import TEXT, keyed, marked
 

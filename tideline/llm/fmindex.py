@@ -55,7 +55,7 @@ TEXT = ["d", "h"]  # what tells rows apart
 KEY = ["a", "c1", "c2"]  # anchors and content of a segment
 KEY_TYPE = "a long, c1 long, c2 int"
 KEY_FIELDS = [("a", pa.int64()), ("c1", pa.int64()), ("c2", pa.int32())]
-SEGMENT = f"d long, h long, {KEY_TYPE}, first int, n int"
+SEGMENT = f"d long, h long, {KEY_TYPE}, first int, n int, copies int, spread int"
 
 
 class FMIndex:
@@ -234,9 +234,25 @@ def marked(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(bits), "bucket", "left").withColumn("maybe", maybe).drop("at", "bucket", "place", "bits")
 
 
+def copies_of(a: np.ndarray, c1: np.ndarray, c2: np.ndarray) -> np.ndarray:
+    """For one row of equal keys their number, for the others 0."""
+    copies = np.ones(len(c1), np.int64)
+    order = np.argsort(c1)
+    same = c1[order[1:]] == c1[order[:-1]]
+    rows = order[np.append(same, False) | np.append(False, same)] if len(order) else order
+    number, first = numbered(numbered(a[rows], c1[rows])[0], c2[rows])
+    copies[rows] = 0
+    copies[rows[first]] = np.bincount(number)[: len(first)]
+    return copies
+
+
 def segments_of(docs: DataFrame, window: int, anchor: int, base: int) -> DataFrame:
-    """Segments of all texts: a hash of their anchors, 96 bits of their content, first word and length."""
-    out = pa.schema([("d", pa.int64()), ("h", pa.int64()), *KEY_FIELDS, ("first", pa.int32()), ("n", pa.int32())])
+    """Segments of all texts: a hash of their anchors, 96 bits of their content, first word and length.
+
+    Of equal segments in a batch one stands for all: it has their number in ``copies``, the others have 0 there and a number
+    in ``spread`` by which they are dealt, so that what occurs all over does not meet in one task.
+    """
+    out = pa.schema([("d", pa.int64()), ("h", pa.int64()), *KEY_FIELDS, *[(x, pa.int32()) for x in ("first", "n", "copies", "spread")]])
     span = window - anchor + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +273,11 @@ def segments_of(docs: DataFrame, window: int, anchor: int, base: int) -> DataFra
             d = doc[begin]
             at = pa.array(d)
             keys = [mixed(grams[left[new]] ^ mixed(grams[right[new]], 3)), one(begin, length), two(begin, length)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("d").take(at), batch.column("h").take(at), *[pa.array(k.view(np.int64).astype(t.to_pandas_dtype())) for k, (_, t) in zip(keys, KEY_FIELDS)], pa.array((begin - edges[d]).astype(np.int32)), pa.array(length.astype(np.int32))],
-                schema=out,
-            )
+            keys = [k.view(np.int64).astype(t.to_pandas_dtype()) for k, (_, t) in zip(keys, KEY_FIELDS)]
+            copies = copies_of(*keys)
+            spread = np.where(copies > 0, 0, 1 + np.arange(len(copies)) % 65536)
+            numbers = [(begin - edges[d]), length, copies, spread]
+            yield pa.RecordBatch.from_arrays([batch.column("d").take(at), batch.column("h").take(at), *map(pa.array, keys), *[pa.array(x.astype(np.int32)) for x in numbers]], schema=out)
 
     return keyed(docs).select(*TEXT, "text").mapInArrow(run, SEGMENT)
 
@@ -315,10 +332,11 @@ def repeated_intervals(docs: DataFrame, window: int = 35, anchor: int = 8, block
     """Per text (``d``, ``h``) the intervals of words (``lo``, ``hi``) that repeated windows cover; they may overlap."""
     # What the hashes of stretches are taken with is drawn anew each time, so nobody can prepare texts for it; the result does not depend on it.
     base = secrets.randbits(64) | 1
-    same_anchors, same = W.partitionBy("a"), W.partitionBy(*KEY)
-    # One shuffle, by anchors, serves all of this.
-    shared = segments_of(docs, window, anchor, base).withColumn("c", F.count("*").over(same_anchors)).where(F.col("c") > 1).drop("c")
-    shared = shared.withColumn("lead", F.row_number().over(same.orderBy(*TEXT, "first")) == 1).withColumn("times", F.count("*").over(same))
+    same_anchors, same = W.partitionBy("a", "spread"), W.partitionBy("spread", *KEY)
+    # One shuffle, by anchors, serves all of this; segments that others stand for are known to be shared.
+    shared = segments_of(docs, window, anchor, base).withColumn("c", F.sum("copies").over(same_anchors)).where((F.col("c") > 1) | (F.col("copies") == 0)).drop("c")
+    first = F.row_number().over(same.orderBy(*TEXT, "first")) == 1
+    shared = shared.withColumn("lead", first & (F.col("copies") > 0)).withColumn("times", F.sum("copies").over(same))
     shared = shared.withColumn("kinds", F.count_if("lead").over(same_anchors))
     # Of each content the first segment leads: only it has its number (2 stands for more) and that of the blocks of its anchors.
     times, blocks = F.least("times", F.lit(2)), F.expr(f"(kinds - 1) div {block} + 1")
@@ -332,9 +350,7 @@ def repeated_intervals(docs: DataFrame, window: int = 35, anchor: int = 8, block
     size = leads.agg(F.sum("n")).first()[0] or 0
     shard = F.pmod(meets, F.lit(-(-size // SHARD) or 1)).cast("int").alias("shard")
     found = keep(search_shards(with_words(docs, places.select(*TEXT, "first", "n", *KEY, "times", shard), leads), window), "found")
-    # Dealt by segment before repeated intervals go, so that the join finds them there.
-    found = found.repartition(*KEY).distinct()
-    return shared.select(*TEXT, *KEY, "first").join(found, KEY).select(*TEXT, (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
+    return shared.select(*TEXT, *KEY, "first").join(found.distinct(), KEY).select(*TEXT, (F.col("first") + F.col("lo")).alias("lo"), (F.col("first") + F.col("hi")).alias("hi"))
 
 
 def remove_repeats(docs: DataFrame, window: int = 35, anchor: int = 8, block: int = BLOCK) -> DataFrame:
