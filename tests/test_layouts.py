@@ -68,6 +68,31 @@ def test_bucketed_tables_are_joined_where_they_lie(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
+def test_dense_panel_shuffles_firms_not_days(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        events = spark.createDataFrame([("e", day(2), day(5), day(6), day(9)), ("f", day(8), day(9), day(9), day(11))], "event_id string, pre_start_date date, event_start_date date, event_end_date date, post_end_date date")
+        ends = {"e": (2, 9), "f": (8, 11)}
+        firms = spark.createDataFrame([("M", str(k), None, None) for k in range(5)], "market string, ticker string, member_from date, member_to date")
+        have = [("M", str(k % 4), day(n), float(n)) for k in range(4) for n in range(k, 14, k + 1)] + [("M", "0", day(8), -1.0)]  # a day with two prices
+        told = [("M", str(k), day(n)) for k in range(5) for n in (1, 3, 3, 8)]
+        prices = spark.createDataFrame([*have, ("M", "1", None, 5.0), ("X", "1", day(3), 5.0)], "market string, ticker string, date date, close double")
+        news = spark.createDataFrame([*told, ("M", "1", None), (None, "1", day(3))], "market string, ticker string, date date")
+        out = panel.dense_panel(panel.eligible(events, firms), prices, news)
+        lines = out._jdf.queryExecution().executedPlan().toString().split("\n")
+        first = [next(i for i, x in enumerate(lines) if word in x) for word in ("Generate", "Exchange")]
+        assert first[0] < first[1], lines  # days become rows above all shuffles
+        want = []
+        for e, (a, b) in ends.items():
+            for k in range(5):
+                for n in range(a, b + 1):
+                    for close in [p[3] for p in have if p[1:3] == (str(k), day(n))] or [None]:
+                        want.append((e, str(k), day(n), close, told.count(("M", str(k), day(n)))))
+        assert sorted(map(str, map(tuple, out.select("event_id", "ticker", "date", "close", "news_count").collect()))) == sorted(map(str, want))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_fingerprints_are_brought_up_to_date(spark, tmp_path):
     path, stored_at = f"file://{tmp_path}/t", f"file://{tmp_path}/f"
     rows = spark.range(60).select("id", (F.col("id") % 3).cast("string").alias("p"))

@@ -105,11 +105,26 @@ def eligible_counts(events: DataFrame, companies: DataFrame) -> DataFrame:
 def dense_panel(firms: DataFrame, prices: DataFrame, news: DataFrame) -> DataFrame:
     """Every eligible firm on every day of its event's window, with prices and news where there are any.
 
-    ``firms`` is ``eligible``'s result.  Missing prices stay null; firms without news stay, with 0.
+    ``firms`` is ``eligible``'s result.  Missing prices stay null; firms without news stay, with 0.  A firm's days are an array, so what is
+    shuffled and sorted is a row for each firm; days become rows at the end, where they are.
     """
-    days = firms.select(*EVENT_FIRM, "event_start_date", "event_end_date", F.explode(F.sequence("pre_start_date", "post_end_date")).alias("date"))
-    daily = news.groupBy(*FIRM, "date").agg(F.count("*").alias("news_count"))
-    return flagged(days.join(prices, [*FIRM, "date"], "left").join(daily, [*FIRM, "date"], "left"))
+    date, more = F.col("date"), [c for c in prices.columns if c not in (*FIRM, "date")]
+    priced = prices.where(date.isNotNull()).groupBy(*FIRM).agg(F.collect_list(F.struct("date", *more)).alias("_prices"))
+    daily = news.where(date.isNotNull()).groupBy(*FIRM, "date").agg(F.count("*").alias("n"))
+    told = daily.groupBy(*FIRM).agg(F.map_from_entries(F.collect_list(F.struct("date", "n"))).alias("_news"))
+    dates = ["pre_start_date", "event_start_date", "event_end_date", "post_end_date"]
+    met = firms.select(*EVENT_FIRM, *dates).join(priced, FIRM, "left").join(told, FIRM, "left")
+    met = met.withColumns({"_a": F.least("pre_start_date", "post_end_date"), "_b": F.greatest("pre_start_date", "post_end_date"), "_days": F.sequence("pre_start_date", "post_end_date")})
+    inside = lambda d: (d >= F.col("_a")) & (d <= F.col("_b"))
+    met = met.withColumn("_prices", F.coalesce(F.filter("_prices", lambda p: inside(p["date"])), F.array().cast(priced.schema["_prices"].dataType)))
+    met = met.withColumn("_news", F.map_filter("_news", lambda d, n: inside(d)))
+    kinds = prices.schema
+    alone = lambda d: F.struct(d.alias("date"), *[F.lit(None).cast(kinds[c].dataType).alias(c) for c in more])
+    rest = F.array_except("_days", F.transform("_prices", lambda p: p["date"]))
+    full = F.concat("_prices", F.transform(rest, alone))
+    told_of = F.transform(full, lambda p: F.struct(*[p[c].alias(c) for c in ("date", *more)], F.try_element_at("_news", p["date"]).alias("news_count")))
+    rows = met.select(*EVENT_FIRM, "event_start_date", "event_end_date", F.inline(told_of))
+    return flagged(rows.select(*FIRM, "date", "event_id", "event_start_date", "event_end_date", *more, "news_count"))
 
 
 def flagged(full: DataFrame) -> DataFrame:

@@ -37,13 +37,15 @@ def firms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prices(spark: SparkSession, sf_dir: str, windows: DataFrame | None = None) -> DataFrame:
     """Days are aggregated by supplier number before the (small) firm table is joined.
 
+    Line items are dealt by supplier first: few share a day, so aggregates before a shuffle would only fill a task's memory.
     With ``windows`` (``start``, ``end``) only the days in some of them: they are chosen before line items are shuffled.
     """
     unit = F.col("l_extendedprice") / F.col("l_quantity")
     lines = table(spark, sf_dir, "lineitem").withColumn("date", F.to_date("l_shipdate"))
     if windows is not None:
         lines = lines.join(F.broadcast(windows.select(F.explode(F.sequence("start", "end")).alias("date")).distinct()), "date", "left_semi")  # days of a calendar
-    days = lines.groupBy("l_suppkey", "date").agg(F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume"))
+    dealt = lines.select("l_suppkey", "date", "l_extendedprice", "l_quantity").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "l_suppkey")
+    days = dealt.groupBy("l_suppkey", "date").agg(F.max(unit).alias("high"), F.min(unit).alias("low"), F.sum("l_quantity").alias("volume"))
     return days.join(firms(spark, sf_dir), F.col("l_suppkey") == F.col("s_suppkey")).select("market", "ticker", "date", "high", "low", F.col("high").alias("close"), "volume")
 
 
@@ -60,6 +62,10 @@ def before_windows(spark: SparkSession) -> DataFrame:
     return calendar(spark).select("event_id", F.date_sub("event_start_date", 45).alias("start"), F.date_sub("event_start_date", 1).alias("end"))
 
 
+def panel_windows(spark: SparkSession) -> DataFrame:
+    return calendar(spark).select("event_id", F.col("pre_start_date").alias("start"), F.col("post_end_date").alias("end"))
+
+
 def input_windows(spark: SparkSession) -> DataFrame:
     return calendar(spark).select("event_id", F.col("pre_start_date").alias("start"), F.date_sub("event_start_date", 1).alias("end"))
 
