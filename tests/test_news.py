@@ -276,6 +276,43 @@ def test_joined_dictionary_finds_what_automata_find(spark, monkeypatch):
     assert show(aliases.scan(texts, words))
 
 
+def test_hits_of_a_great_dictionary_are_those_of_a_small_one(spark, monkeypatch):
+    rng = random.Random(11)
+    day = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    number = lambda: "no#" + "".join(rng.choice("123") for _ in range(rng.randint(1, 5)))
+    rows = [(rng.choice("MN"), number() if k % 8 else rng.choice(["no 1", "o-1", "1#no#", "#2no"]), str(k % 9), rng.choice(["manual_alias", "ticker"]), day(rng.randint(0, 3)) if k % 4 == 0 else None, day(rng.randint(2, 6)) if k % 5 == 0 else None) for k in range(150)]
+    words = spark.createDataFrame(rows, "market string, alias string, ticker string, alias_type string, valid_from date, valid_to date").withColumn("compact", text.compact_alias(F.col("alias")))
+    words = words.withColumn("confidence", F.lit(0.9)).dropDuplicates(["market", "ticker", "compact"])
+    line = lambda n: ", ".join(number() for _ in range(n))
+    news = [(k // 2 if k % 9 == 0 else k, day(rng.randint(0, 8)) if k % 3 else None, line(rng.randint(0, 3)), line(rng.randint(0, 9))) for k in range(90)] + [(None, None, "no#1 no 1", None)]
+    texts = spark.createDataFrame(news, "id int, day date, title string, content string")
+    monkeypatch.setattr(aliases, "BEGINNINGS", 40)
+    monkeypatch.setattr(aliases, "HASHED", 50)
+    show = lambda df: sorted(map(str, df.select("id", "market", "ticker", "compact", "location", "alias", "ambiguous", "score").collect()))
+    for part, shared, bits in ((words, 1, 1 << 20), (words, 20, 64), (words.where("alias not like '% %' and alias not like '%-%'"), 5, 1 << 20)):
+        monkeypatch.setattr(aliases, "SHARED", shared)
+        monkeypatch.setattr(aliases, "FILTER_BITS", bits)
+        for t in (texts, texts.withColumn("market", F.when(F.col("id") % 3 > 0, "M").otherwise("N"))):
+            plain = show(aliases.hits(aliases.scan(t, part), part))
+            assert plain == show(aliases.hits_joined(t, part)) and plain
+
+
+def test_places_are_shuffled_once_and_texts_not_at_all(spark, monkeypatch):
+    from tideline.plans import newsroom
+
+    plain = newsroom.j10_large_dictionary(spark, "/root/testdata/sf0.001").collect()
+    monkeypatch.setattr(aliases, "PART_BYTES", 1)
+    out = newsroom.j10_large_dictionary(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.split("\n") if "Join" in x and "_text" in x]  # before: matches met their texts again
+    assert sorted(out.collect()) == sorted(plain) and plain
+    forms = ["no#1", "no#12", "no#123", "no#1234"]
+    words = aliases.entry_table(spark.createDataFrame([("M", f, "1") for f in forms], "market string, alias string, ticker string").withColumn("compact", F.col("alias")))
+    texts = spark.createDataFrame([(1, None, "no#1234, no#12345, no#13", "")], "id int, day date, title string, content string")
+    places = aliases.placed(texts, words, aliases.Plan(words), False).where("spot > 0")
+    assert sorted(r["compact"] for r in places.collect()) == ["no#1", "no#1234"]  # before: a row for each form that a place begins with, nine
+
+
 def test_alignment_passes_over_a_text_before_it_meets_its_companies(spark):
     from tideline.plans import newsroom
 

@@ -258,7 +258,7 @@ def dictionary(spark):
 def alias_hits(spark, sf):
     texts = S.news(spark, sf).select(F.col("doc_id").alias("id"), F.col("date").alias("day"), "title", "content")
     words = dictionary(spark)
-    return aliases.hits(aliases.scan(texts, words), words)
+    return aliases.text_hits(texts, words)
 
 
 @query(f"{WITH}, {HITS} SELECT id, market, ticker, compact, location, ambiguous, score FROM hit")
@@ -314,7 +314,7 @@ def j10_large_dictionary(spark, sf):
     words = words.withColumns({"compact": T.compact_alias(F.col("alias")), "valid_from": F.lit(None).cast("date"), "valid_to": F.lit(None).cast("date")})
     title = F.array_join(F.transform(F.array_sort(F.collect_list("l_orderkey")), lambda k: F.concat(F.lit("Order# "), k.cast("string"))), ", ")
     texts = S.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(title.alias("title")).select("id", F.lit(None).cast("date").alias("day"), "title", F.lit("").alias("content"))
-    return aliases.hits(aliases.scan(texts, words), words).select("id", "market", "compact", "ticker")
+    return aliases.text_hits(texts, words).select("id", "market", "compact", "ticker")
 
 
 @query(f"""{WITH}, {HITS}, company AS (SELECT market, ticker, market || ':' || ticker AS company_id, count(*) AS forms FROM alias GROUP BY ALL)
